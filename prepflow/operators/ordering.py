@@ -104,16 +104,15 @@ def with_halo(
     i = F.col(idx)
     own = F.floor(i / F.lit(size)).cast("bigint")
     offset = i - own * F.lit(size)
-    copies = F.filter(
-        F.array(
-            F.struct(own.alias("chunk"), F.lit(False).alias("is_halo")),
-            F.when(offset >= size - before, F.struct((own + 1).alias("chunk"), F.lit(True).alias("is_halo"))),
-            F.when(
-                (offset < after) & (own > 0),
-                F.struct((own - 1).alias("chunk"), F.lit(True).alias("is_halo")),
-            ),
-        ),
-        lambda s: s.isNotNull(),
+    stay = F.struct(own.alias("chunk"), F.lit(False).alias("is_halo"))
+    late, early = offset >= size - before, (offset < after) & (own > 0)
+    to_next = F.struct((own + 1).alias("chunk"), F.lit(True).alias("is_halo"))
+    to_previous = F.struct((own - 1).alias("chunk"), F.lit(True).alias("is_halo"))
+    copies = (
+        F.when(late & early, F.array(stay, to_next, to_previous))
+        .when(late, F.array(stay, to_next))
+        .when(early, F.array(stay, to_previous))
+        .otherwise(F.array(stay))
     )
     return indexed.select("*", F.inline(copies))
 

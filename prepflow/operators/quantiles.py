@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prepflow.functions.columns import chunks, dbl, local_frame
+from prepflow.functions.columns import chunks, col, dbl, local_frame
 from prepflow.functions.moments import fences, interpolate
 from prepflow.operators.ordering import running_weights
 
@@ -210,37 +210,47 @@ def outlier_tally(df: DataFrame, limits: Mapping[str, tuple], columns: Columns |
     return out
 
 
-def grouped_quantiles(
-    df: DataFrame, group: str, name: str, probs: Sequence[float]
+def counted_quantiles(
+    counts: DataFrame, by: Sequence[str], value: str, cnt: str, probs: Sequence[float]
 ) -> DataFrame:
-    """Quantiles of ``name`` within every group: ``group`` plus one column ``q0..`` per probability.
+    """Quantiles of a (by.., value, cnt) count table: one row per ``by``, columns ``q0..``.
 
-    Works on the (group, value) count table, so a group with most of the rows is only as
-    large as its distinct values and is still spread over range partitions.
+    Positions come from running totals over range partitions of the distinct values, so a
+    group or a value that holds most of the rows is no larger than any other.
     """
-    values = (
-        df.where(_clean(dbl(name)).isNotNull())
-        .groupBy(F.col(f"`{group}`").alias("g"), dbl(name).alias("value"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
+    by = list(by)
+    placed = running_weights(counts, [F.col(value)], {cnt: "__upto"}, keys=by)
+    sizes = placed.groupBy(*[col(k).alias(f"__g{i}") for i, k in enumerate(by)]).agg(
+        F.max("__upto").alias("__size")
     )
-    placed = running_weights(values, [F.col("value")], {"cnt": "upto"}, keys=["g"])
-    sizes = placed.groupBy("g").agg(F.max("upto").alias("size")).withColumnRenamed("g", "g2")
-    joined = placed.join(sizes, F.col("g").eqNullSafe(F.col("g2")))
-    start = F.col("upto") - F.col("cnt")
+    same = [col(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(by)]
+    joined = placed.join(sizes, same)
+    upto = F.col("__upto")
+    start = upto - F.col(cnt)
     aggs = []
     for i, p in enumerate(probs):
-        position = (F.col("size") - 1) * F.lit(float(p))
+        position = (F.col("__size") - 1) * F.lit(float(p))
         low, high = F.floor(position), F.ceil(position)
         aggs += [
-            F.max(F.when((start <= low) & (F.col("upto") > low), F.col("value"))).alias(f"lo{i}"),
-            F.max(F.when((start <= high) & (F.col("upto") > high), F.col("value"))).alias(f"hi{i}"),
+            F.max(F.when((start <= low) & (upto > low), F.col(value))).alias(f"lo{i}"),
+            F.max(F.when((start <= high) & (upto > high), F.col(value))).alias(f"hi{i}"),
             F.max(position - low).alias(f"f{i}"),
         ]
-    picked = joined.groupBy("g").agg(*aggs)
+    picked = joined.groupBy(*[col(k) for k in by]).agg(*aggs)
     return picked.select(
-        F.col("g").alias(group),
+        *[col(k) for k in by],
         *[
             (F.col(f"lo{i}") * (1 - F.col(f"f{i}")) + F.col(f"hi{i}") * F.col(f"f{i}")).alias(f"q{i}")
             for i in range(len(probs))
         ],
     )
+
+
+def grouped_quantiles(df: DataFrame, group: str, name: str, probs: Sequence[float]) -> DataFrame:
+    """Quantiles of ``name`` within every group: ``group`` plus one column ``q0..`` per probability."""
+    counts = (
+        df.where(_clean(dbl(name)).isNotNull())
+        .groupBy(col(group), dbl(name).alias("__value"))
+        .agg(F.count(F.lit(1)).alias("__cnt"))
+    )
+    return counted_quantiles(counts, [group], "__value", "__cnt", probs)
