@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     reader = {"csv": read_csv, "json": read_json, "parquet": read_parquet}[kind]
     try:
         return reader(spark, path, schema)
-    except PySparkException as e:
+    except (PySparkException, Py4JError) as e:
         raise ValueError(f"Failed to parse file: {e}") from e
 
 
