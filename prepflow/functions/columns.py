@@ -8,14 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prepflow.session import together
+
 FRACTIONAL = (T.FloatType, T.DoubleType)
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 NUMERIC = FRACTIONAL + INTEGRAL + (T.DecimalType,)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
 
-# One aggregate holds this many columns at most, so generated code stays compilable.
-COLUMNS_PER_AGG = 60
+# Past this many aggregates in one scan the generated code is too long to be compiled (measured).
+AGGS_PER_SCAN = 48
+# A side this small, counted first, may be broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def col(name: str) -> Column:
@@ -45,10 +49,30 @@ def scalar_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if not isinstance(f.dataType, NESTED)]
 
 
-def chunks(items: Sequence, size: int = COLUMNS_PER_AGG) -> list:
+def chunks(items: Sequence, each: int = 1) -> list:
+    """Consecutive groups whose aggregates, ``each`` per item, fit one scan."""
+    size = max(1, AGGS_PER_SCAN // each)
     return [items[i : i + size] for i in range(0, len(items), size)]
 
 
+def aggregate(df: DataFrame, exprs: Sequence[Column]) -> list:
+    """The values of any number of aggregates over the whole table.
+
+    Wide lists become several scans submitted together; a columnar source then still reads
+    every column once.
+    """
+    groups = chunks(list(exprs))
+    if len(groups) <= 1:
+        return list(df.agg(*exprs).first()) if groups else []
+    rows = together(df.sparkSession, *[lambda g=g: df.agg(*g).first() for g in groups])
+    return [value for row in rows for value in row]
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if a count shows it is small, else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Floating NaN becomes NULL: the operators know one kind of missing value."""
     frac = {f.name for f in df.schema if isinstance(f.dataType, FRACTIONAL)}
@@ -67,7 +91,7 @@ def per_column_agg(
 ) -> DataFrame:
     """One scan, one row per column: ``column`` plus one field per entry of ``parts``."""
     out = None
-    for group in chunks(list(names)):
+    for group in chunks(list(names), len(parts)):
         cells = [
             F.struct(F.lit(n).alias("column"), *[fn(n).alias(k) for k, fn in parts.items()])
             for n in group

@@ -14,7 +14,7 @@ from prepflow.functions.columns import (
     FRACTIONAL,
     INTEGRAL,
     NUMERIC,
-    chunks,
+    aggregate,
     col,
     data_type,
     dbl,
@@ -26,6 +26,7 @@ from prepflow.operators.frequency import modes
 from prepflow.operators.ordering import carry_fill, index_rows
 from prepflow.operators.profile import Profile, _null_total, count_duplicates
 from prepflow.operators.quantiles import exact_quantiles, outlier_tally
+from prepflow.session import together
 
 # fixed values
 NULL_STRATEGIES = ("none", "drop", "mean", "median", "mode", "ffill", "bfill", "custom", "zero")
@@ -267,11 +268,7 @@ class _Fitter:
         self.waiting += steps
 
     def nulls(self, names: Sequence[str]) -> dict[str, int]:
-        out = {}
-        for group in chunks(list(names)):
-            row = self.frame.agg(*[F.count(F.when(col(n).isNull(), 1)) for n in group]).first()
-            out.update(zip(group, map(int, row)))
-        return out
+        return dict(zip(names, aggregate(self.frame, [F.count(F.when(col(n).isNull(), 1)) for n in names])))
 
     def flush(self) -> None:
         batch, self.batch = self.batch, []
@@ -309,8 +306,7 @@ class _Fitter:
         gaps = [(n, r) for n, r in filling if missing[n]]
         by = {k: [n for n, r in gaps if r.null_strategy == k] for k in NULL_STRATEGIES}
         values: dict[str, object] = {}
-        for group in chunks(by["mean"]):
-            values.update(zip(group, self.frame.agg(*[F.avg(dbl(n)) for n in group]).first()))
+        values.update(zip(by["mean"], aggregate(self.frame, [F.avg(dbl(n)) for n in by["mean"]])))
         if by["median"]:
             found = exact_quantiles(self.frame, by["median"], [0.5], self.n)
             values.update({n: q[0] for n, q in found.items()})
@@ -385,9 +381,13 @@ def outlier_remove(df: DataFrame, name: str) -> DataFrame:
 
 def cleaning_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows, nulls and duplicates before and after, as one row."""
-    rows_before, dups_before = count_duplicates(before)
-    rows_after, dups_after = count_duplicates(after)
-    nulls_before, nulls_after = _null_total(before), _null_total(after)
+    (rows_before, dups_before), (rows_after, dups_after), nulls_before, nulls_after = together(
+        before.sparkSession,
+        lambda: count_duplicates(before),
+        lambda: count_duplicates(after),
+        lambda: _null_total(before),
+        lambda: _null_total(after),
+    )
     row = (
         rows_before, rows_after, rows_before - rows_after,
         nulls_before, nulls_after, nulls_before - nulls_after, dups_before, dups_after,

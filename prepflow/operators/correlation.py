@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -9,26 +10,77 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepflow.functions.columns import chunks, col, dbl, local_frame, numeric_columns
+from prepflow.functions.columns import aggregate, col, dbl, local_frame, numeric_columns, sized
 from prepflow.functions.moments import pearson
 from prepflow.operators.ordering import running_weights
+from prepflow.session import together
 
-# Up to this many columns the pairs are plain aggregates; beyond it p*p of them would not compile well.
-PAIRWISE_COLUMNS = 16
-PAIRS_PER_AGG = 40
+# Up to this many columns the cross products are plain sums; beyond it p*p of them would not compile well.
+SUMMED_COLUMNS = 16
+# A centred sum of squares this small beside the raw one is rounding: the column is constant.
+ROUNDING = 1e-12
 
+Pair = tuple[str, str]
 
-def pair_correlations(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float | None]:
-    """r for every pair i < j over the rows where both are present, plus the diagonal."""
-    if len(columns) > PAIRWISE_COLUMNS:
-        return _blocked(df, columns)
-    clean = df.select(*[F.when(~F.isnan(dbl(c)), dbl(c)).alias(f"c{i}") for i, c in enumerate(columns)])
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+
+def _coefficient(n, si, sj, sii, sjj, sij) -> float | None:
+    """r from sums over the rows where both are present."""
+    if not n:
+        return None
+    vi, vj = sii - si * si / n, sjj - sj * sj / n
+    if vi <= ROUNDING * sii or vj <= ROUNDING * sjj:
+        return None
+    return max(-1.0, min(1.0, (sij - si * sj / n) / math.sqrt(vi * vj)))
+
+
+def _clean(name: str) -> Column:
+    return F.when(~F.isnan(dbl(name)), dbl(name))
+
+
+def _centres(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, float], set[str]]:
+    """Rows, column means, and the columns that have gaps."""
+    parts = [a for c in columns for a in (F.avg(_clean(c)), F.count(_clean(c)))]
+    n, *found = aggregate(df, [F.count(F.lit(1)), *parts])
+    means = {c: found[2 * k] or 0.0 for k, c in enumerate(columns)}
+    return n, means, {c for k, c in enumerate(columns) if found[2 * k + 1] < n}
+
+
+def pair_correlations(
+    df: DataFrame, columns: Sequence[str], pairs: Sequence[Pair] | None = None
+) -> dict[Pair, float | None]:
+    """r of every pair i <= j (or of the given pairs) over the rows where both are present.
+
+    Two scans: the means, then sums of centred products. Sums are the cheapest aggregates
+    Spark compiles; columns without gaps share their single-column sums between all pairs.
+    """
+    if pairs is None:
+        if len(columns) > SUMMED_COLUMNS:
+            return _blocked(df, columns)
+        pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    n, means, gaps = _centres(df, columns)
+    place = {c: f"c{k}" for k, c in enumerate(columns)}
+    centred = df.select(*[(_clean(c) - F.lit(means[c])).alias(k) for c, k in place.items()])
+    terms: dict[tuple, Column] = {}
+    for a, b in pairs:
+        x, y = F.col(place[a]), F.col(place[b])
+        if a in gaps or b in gaps:
+            both = x.isNotNull() & y.isNotNull()
+            parts = (F.lit(1), x, y, x * x, y * y, x * y)
+            for k, part in enumerate(parts):
+                terms[a, b, k] = F.sum(F.when(both, part))
+            continue
+        for c, v in ((a, x), (b, y)):
+            terms[c,] = F.sum(v)
+            terms[c, c] = F.sum(v * v)
+        terms[a, b] = F.sum(x * y)
+    found = aggregate(centred, list(terms.values()))
+    sums: dict[tuple, float] = {key: v or 0.0 for key, v in zip(terms, found)}
     out = {}
-    for group in chunks(pairs, PAIRS_PER_AGG):
-        row = clean.agg(*[pearson(F.col(f"c{i}"), F.col(f"c{j}")).alias(f"r{i}_{j}") for i, j in group]).first()
-        for k, (i, j) in enumerate(group):
-            out[columns[i], columns[j]] = None if row[k] is None else max(-1.0, min(1.0, row[k]))
+    for a, b in pairs:
+        if a in gaps or b in gaps:
+            out[a, b] = _coefficient(*[sums[a, b, k] for k in range(6)])
+        else:
+            out[a, b] = _coefficient(n, sums[a,], sums[b,], sums[a, a], sums[b, b], sums[a, b])
     return out
 
 
@@ -38,10 +90,8 @@ def _blocked(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], flo
     Values are centred on the column means first, so the sums keep their digits.
     """
     p = len(columns)
-    centre = []
-    for group in chunks(list(columns)):
-        centre += list(df.agg(*[F.avg(F.when(~F.isnan(dbl(c)), dbl(c))) for c in group]).first())
-    shift = np.array([c or 0.0 for c in centre])
+    _, means, _ = _centres(df, columns)
+    shift = np.array([means[c] for c in columns])
     upper = np.triu_indices(p)
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,15 +128,10 @@ def _blocked(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], flo
         .agg(*[F.sum(k).alias(k) for k in ("n", "si", "sj", "sii", "sjj", "sij")])
         .collect()
     )
-    out = {}
-    for r in total:
-        vi = r["sii"] - r["si"] ** 2 / r["n"] if r["n"] else 0.0
-        vj = r["sjj"] - r["sj"] ** 2 / r["n"] if r["n"] else 0.0
-        r_ij = None
-        if vi > 0 and vj > 0:
-            r_ij = max(-1.0, min(1.0, (r["sij"] - r["si"] * r["sj"] / r["n"]) / (vi * vj) ** 0.5))
-        out[columns[r["i"]], columns[r["j"]]] = r_ij
-    return out
+    return {
+        (columns[r["i"]], columns[r["j"]]): _coefficient(*[r[k] for k in ("n", "si", "sj", "sii", "sjj", "sij")])
+        for r in total
+    }
 
 
 def _matrix_frame(df: DataFrame, columns: Sequence[str], r: dict, digits: int | None) -> DataFrame:
@@ -119,11 +164,9 @@ def corr_pair(df: DataFrame, a: str, b: str) -> DataFrame:
 def target_corr(df: DataFrame, target: str, columns: Sequence[str] | None = None) -> DataFrame:
     """|r| of every numeric column with the target, weakest first, with a strength band."""
     columns = [c for c in (columns or numeric_columns(df)) if c != target]
-    found = {}
-    for group in chunks(columns, PAIRS_PER_AGG):
-        row = df.agg(*[F.abs(pearson(dbl(c), dbl(target))) for c in group]).first()
-        found.update(zip(group, row))
-    frame = local_frame(df.sparkSession, list(found.items()), "column string, abs_r double")
+    found = pair_correlations(df, [*columns, target], [(c, target) for c in columns])
+    strengths = [(c, None if r is None else abs(r)) for (c, _), r in found.items()]
+    frame = local_frame(df.sparkSession, strengths, "column string, abs_r double")
     band = F.when(F.col("abs_r") >= 0.5, "strong").when(F.col("abs_r") >= 0.2, "moderate").otherwise("weak")
     return (
         frame.where(F.col("abs_r").isNotNull())
@@ -145,11 +188,12 @@ def average_ranks(df: DataFrame, value: Column) -> DataFrame:
 
 
 def _with_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace each column by its average rank. A hot value is one row on the rank side; adaptive
-    execution splits it on the row side."""
+    """Replace each column by its average rank: a broadcast lookup when the distinct values are
+    few. Otherwise a hot value is one row on the rank side and adaptive execution splits it on
+    the other."""
     out = df.select(*[dbl(c).alias(f"c{i}") for i, c in enumerate(columns)])
     for i in range(len(columns)):
-        ranks = average_ranks(out, F.col(f"c{i}")).toDF("__v", "__r")
+        ranks = sized(average_ranks(out, F.col(f"c{i}")).toDF("__v", "__r"))
         out = out.join(ranks, F.col(f"c{i}") == F.col("__v"), "left").select(
             *[F.col("__r").alias(f"c{j}") if j == i else F.col(f"c{j}") for j in range(len(columns))]
         )
@@ -160,29 +204,27 @@ def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None, digits: i
     """Pearson on average ranks. Where a pair has nulls its ranks are remade on its complete rows."""
     columns = list(columns or numeric_columns(df))
     clean = df.select(*[F.when(~F.isnan(dbl(c)), dbl(c)).alias(c) for c in columns])
-    gaps = set()
-    for group in chunks(columns):
-        row = clean.agg(*[F.count(F.when(col(c).isNull(), 1)) for c in group]).first()
-        gaps |= {c for c, k in zip(group, row) if k}
+    parts = [a for c in columns for a in (F.count(F.when(col(c).isNull(), 1)), F.min(col(c)), F.max(col(c)))]
+    found = aggregate(clean, parts)
+    gaps = {c for k, c in enumerate(columns) if found[3 * k]}
+    varies = {c for k, c in enumerate(columns) if found[3 * k + 1] != found[3 * k + 2]}
     full = [c for c in columns if c not in gaps]
-    r = {}
-    if full:
+    r: dict[Pair, float | None] = {(c, c): 1.0 if c in varies else None for c in columns}
+
+    def all_full() -> dict[Pair, float | None]:
         ranked = _with_ranks(clean, full)
-        found = pair_correlations(ranked, ranked.columns)
-        for i, a in enumerate(full):
-            for j, b in enumerate(full):
-                if i <= j:
-                    r[a, b] = found[f"c{i}", f"c{j}"]
-    for i, a in enumerate(columns):
-        for b in columns[i:]:
-            if (a, b) in r:
-                continue
-            if a == b:
-                ranked = _with_ranks(clean.where(col(a).isNotNull()), [a])
-                r[a, b] = pair_correlations(ranked, ["c0"])["c0", "c0"]
-                continue
-            if a not in gaps and b not in gaps:
-                continue
-            ranked = _with_ranks(clean.where(col(a).isNotNull() & col(b).isNotNull()), [a, b])
-            r[a, b] = pair_correlations(ranked, ["c0", "c1"])["c0", "c1"]
+        pairs = [(i, j) for i in range(len(full)) for j in range(i + 1, len(full))]
+        named = pair_correlations(ranked, ranked.columns, [(f"c{i}", f"c{j}") for i, j in pairs])
+        return {(full[i], full[j]): named[f"c{i}", f"c{j}"] for i, j in pairs}
+
+    def one(a: str, b: str) -> dict[Pair, float | None]:
+        ranked = _with_ranks(clean.where(col(a).isNotNull() & col(b).isNotNull()), [a, b])
+        return {(a, b): pair_correlations(ranked, ["c0", "c1"], [("c0", "c1")])["c0", "c1"]}
+
+    gapped = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :] if a in gaps or b in gaps]
+    jobs = [lambda a=a, b=b: one(a, b) for a, b in gapped]
+    if len(full) > 1:
+        jobs.append(all_full)
+    for part in together(df.sparkSession, *jobs) if jobs else []:
+        r.update(part)
     return _matrix_frame(df, columns, r, digits)

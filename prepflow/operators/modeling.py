@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepflow.functions.columns import NUMERIC, TEMPORAL, chunks, col, data_type, dbl, local_frame, nan_to_null
+from prepflow.functions.columns import NUMERIC, TEMPORAL, aggregate, col, data_type, dbl, local_frame, nan_to_null
 from prepflow.operators.features import class_text
 from prepflow.operators.frequency import distinct_counts, modes
 from prepflow.operators.ordering import framed, index_rows, lagged, running_weights, Frame
@@ -104,10 +104,9 @@ def ml_prepare(df: DataFrame, target: str, keys: Sequence[str] = ()) -> Prepared
     numeric = [c for c in kept if c != target and isinstance(data_type(frame, c), NUMERIC)]
     flags = [c for c in kept if c != target and isinstance(data_type(frame, c), T.BooleanType)]
     texts = [c for c in kept if c != target and c not in numeric and c not in flags]
-    gaps: set[str] = set()
-    for group in chunks(numeric + flags + texts):
-        row = frame.agg(*[F.count(F.when(col(c).isNull(), 1)) for c in group]).first()
-        gaps |= {c for c, k in zip(group, row) if k}
+    inputs = numeric + flags + texts
+    missing = aggregate(frame, [F.count(F.when(col(c).isNull(), 1)) for c in inputs])
+    gaps = {c for c, k in zip(inputs, missing) if k}
     medians = exact_quantiles(frame, [c for c in numeric if c in gaps], [0.5])
     common = modes(frame, [c for c in flags + texts if c in gaps])
     cells: list[Column] = []
@@ -191,15 +190,15 @@ def cv_folds(
             extra + F.floor((F.col("__idx") - edge) / small)
         )
         return indexed.select(*[col(c) for c in df.columns], fold.cast("int").alias(name))
-    indexed = index_rows(df, order_by, idx="__all")
-    placed = index_rows(indexed, ["__all"], [stratify], idx="__idx")
+    placed = index_rows(df, order_by, [stratify], idx="__idx")
+    first = F.min(F.struct(*[col(k) for k in order_by])).alias("first")
     classes = (
-        placed.groupBy(col(stratify).alias("c")).agg(F.min("__all").alias("first"), F.count(F.lit(1)).alias("n"))
-    ).limit(MAX_CATEGORIES + 1).collect()
-    if len(classes) > MAX_CATEGORIES:
+        df.groupBy(col(stratify).alias("c")).agg(first, F.count(F.lit(1)).alias("n")).limit(MAX_CATEGORIES + 1)
+    )
+    if classes.count() > MAX_CATEGORIES:
         raise ValueError(f"{stratify!r} has more than {MAX_CATEGORIES} classes")
     rows, start = [], 0
-    for r in sorted(classes, key=lambda r: r["first"]):
+    for r in classes.orderBy("first").collect():
         end = start + r["n"]
         sizes = [len(range(start + (i - start) % folds, end, folds)) for i in range(folds)]
         rows.append((r["c"], _fold_bounds(sizes)))

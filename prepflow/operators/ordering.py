@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prepflow.functions.columns import col, local_frame
+from prepflow.functions.columns import col, local_frame, sized
 from prepflow.session import checkpoint
 
 PART, POS = "__part", "__pos"
@@ -74,7 +74,7 @@ def index_rows(
             F.min(idx).alias("__start"), F.count(F.lit(1)).alias("__n")
         )
         same = [col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-        placed = placed.join(starts, same).withColumn(idx, F.col(idx) - F.col("__start"))
+        placed = placed.join(sized(starts), same).withColumn(idx, F.col(idx) - F.col("__start"))
         size = F.col("__n")
     else:
         size = F.lit(totals["__base"]).cast("bigint")
@@ -180,7 +180,7 @@ def running_weights(
             *[F.min(F.col(t) - F.col(w)).alias(f"__s_{w}") for w, t in weights.items()]
         )
         same = [col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-        out = out.join(starts, same).select(
+        out = out.join(sized(starts), same).select(
             *[col(c) for c in df.columns],
             *[(F.col(t) - F.col(f"__s_{w}")).alias(t) for w, t in weights.items()],
         )

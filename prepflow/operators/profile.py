@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prepflow.functions.columns import (
-    chunks,
+    aggregate,
     col,
     dbl,
     local_frame,
@@ -29,6 +29,7 @@ from prepflow.functions.moments import (
 from prepflow.operators.frequency import distinct_counts, top_values
 from prepflow.operators.quantiles import exact_quantiles, outlier_tally
 from prepflow.operators.types import ColumnTypes, detect_column_types
+from prepflow.session import together
 
 # fixed values
 TOP_K = 15
@@ -81,11 +82,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def _null_total(df: DataFrame) -> int:
-    missing = [F.count(F.when(col(n).isNull(), 1)) for n in df.columns]
-    total = 0
-    for group in chunks(missing):
-        total += sum(int(v) for v in df.agg(*group).first())
-    return total
+    return sum(aggregate(df, [F.count(F.when(col(n).isNull(), 1)) for n in df.columns]))
 
 
 def quality(null_pct: Column, duplicate_pct: Column) -> Column:
@@ -191,29 +188,23 @@ def moments(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
     Sums of powers around the mean compile to far smaller code than one central-moment
     aggregate per statistic, and share the work between the three of them.
     """
-    out: dict[str, dict] = {}
-    for group in chunks(list(names)):
-        first = df.agg(
-            *[a for n in group for a in (F.count(dbl(n)), F.avg(dbl(n)), F.min(dbl(n)), F.max(dbl(n)))]
-        ).first()
-        for i, n in enumerate(group):
-            size, mean, low, high = first[4 * i : 4 * i + 4]
-            out[n] = {"count": int(size), "mean": mean, "min": low, "max": high}
-        sums = []
-        for n in group:
-            d = dbl(n) - F.lit(out[n]["mean"] or 0.0)
-            sums += [F.sum(d), F.sum(d * d), F.sum(d * d * d), F.sum(d * d * d * d)]
-        second = df.agg(*sums).first()
-        for i, n in enumerate(group):
-            powers = [v or 0.0 for v in second[4 * i : 4 * i + 4]]
-            out[n].update(moments_from_sums(out[n]["count"], *powers))
-            if out[n]["min"] is not None and out[n]["min"] == out[n]["max"]:
-                flat = out[n]["count"]
-                out[n].update(
-                    std=0.0 if flat >= 2 else None,
-                    skewness=0.0 if flat >= 3 else None,
-                    kurtosis=0.0 if flat >= 4 else None,
-                )
+    names = list(names)
+    basic = aggregate(df, [f(dbl(n)) for n in names for f in (F.count, F.avg, F.min, F.max)])
+    out = {
+        n: {"count": basic[4 * i], "mean": basic[4 * i + 1], "min": basic[4 * i + 2], "max": basic[4 * i + 3]}
+        for i, n in enumerate(names)
+    }
+    sums = []
+    for n in names:
+        d = dbl(n) - F.lit(out[n]["mean"] or 0.0)
+        sums += [F.sum(d), F.sum(d * d), F.sum(d * d * d), F.sum(d * d * d * d)]
+    powers = [v or 0.0 for v in aggregate(df, sums)]
+    for i, n in enumerate(names):
+        size = out[n]["count"]
+        out[n].update(moments_from_sums(size, *powers[4 * i : 4 * i + 4]))
+        if size and out[n]["min"] == out[n]["max"]:
+            for least, key in ((2, "std"), (3, "skewness"), (4, "kurtosis")):
+                out[n][key] = 0.0 if size >= least else None
     return out
 
 
@@ -283,22 +274,31 @@ def profile(df: DataFrame, types: ColumnTypes | None = None, order_by: Sequence[
     types = types or detect_column_types(df, order_by)
     names = [n for n, _ in types.items()]
     numeric = [n for n in types.numeric]
-    total, copies = count_duplicates(df)
-    nulls = {}
-    for group in chunks(names):
-        row = df.agg(*[F.count(F.when(col(n).isNull(), 1)) for n in group]).first()
-        nulls.update(zip(group, map(int, row)))
-    unique = distinct_counts(df, [n for n in names if n in scalar_columns(df)])
-    stats = moments(df, numeric)
-    quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75], total)
-    limits = {n: fences(quartiles[n][0], quartiles[n][2]) for n in numeric}
-    outliers = outlier_tally(df, limits)
-    tops: list[tuple] = []
-    if types.categorical:
-        tops = [
-            (r["column"], r["value"], r["count"], r["rank"])
-            for r in top_values(df, types.categorical, TOP_K).collect()
-        ]
+    scalars = [n for n in names if n in scalar_columns(df)]
+
+    def null_totals() -> dict[str, int]:
+        return dict(zip(names, aggregate(df, [F.count(F.when(col(n).isNull(), 1)) for n in names])))
+
+    def spread() -> tuple[dict, dict, dict]:
+        quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75])
+        limits = {n: fences(quartiles[n][0], quartiles[n][2]) for n in numeric}
+        return quartiles, limits, outlier_tally(df, limits)
+
+    def common() -> list[tuple]:
+        if not types.categorical:
+            return []
+        found = top_values(df, types.categorical, TOP_K).collect()
+        return [(r["column"], r["value"], r["count"], r["rank"]) for r in found]
+
+    (total, copies), nulls, unique, stats, (quartiles, limits, outliers), tops = together(
+        df.sparkSession,
+        lambda: count_duplicates(df),
+        null_totals,
+        lambda: distinct_counts(df, scalars),
+        lambda: moments(df, numeric),
+        spread,
+        common,
+    )
     columns = {}
     for n, kind in types.items():
         c = {

@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prepflow.functions.columns import chunks, col, dbl, local_frame
+from prepflow.functions.columns import aggregate, chunks, col, dbl, local_frame, sized
 from prepflow.functions.moments import fences, interpolate
 from prepflow.operators.ordering import running_weights
 
@@ -50,7 +50,7 @@ def exact_quantiles(
     if n_rows is None:
         n_rows = df.count()
     out: dict[str, list[float | None]] = {}
-    for group in chunks(list(columns.items())):
+    for group in chunks(list(columns.items()), 1 + 2 * len(probs)):
         part = dict(group)
         if n_rows * len(part) <= BUILTIN_CELLS:
             out.update(_builtin(df, part, probs))
@@ -202,11 +202,8 @@ def outlier_tally(df: DataFrame, limits: Mapping[str, tuple], columns: Columns |
     columns = columns or {n: dbl(n) for n in limits}
     known = [n for n, (lo, _) in limits.items() if lo is not None]
     out = dict.fromkeys(limits, 0)
-    for group in chunks(known):
-        row = df.agg(
-            *[_count_if((columns[n] < limits[n][0]) | (columns[n] > limits[n][1])) for n in group]
-        ).first()
-        out.update({n: int(row[i] or 0) for i, n in enumerate(group)})
+    found = aggregate(df, [_count_if((columns[n] < limits[n][0]) | (columns[n] > limits[n][1])) for n in known])
+    out.update({n: int(v or 0) for n, v in zip(known, found)})
     return out
 
 
@@ -224,7 +221,7 @@ def counted_quantiles(
         F.max("__upto").alias("__size")
     )
     same = [col(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(by)]
-    joined = placed.join(sizes, same)
+    joined = placed.join(sized(sizes), same)
     upto = F.col("__upto")
     start = upto - F.col(cnt)
     aggs = []

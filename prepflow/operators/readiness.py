@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepflow.functions.columns import chunks, col, dbl, local_frame, numeric_columns
+from prepflow.functions.columns import aggregate, col, dbl, local_frame, numeric_columns
 from prepflow.operators.profile import _null_total, count_duplicates
+from prepflow.session import together
 
 # fixed values
 WEIGHTS = {
@@ -44,10 +45,7 @@ def scale_score(df: DataFrame, target: str | None) -> float:
     names = numeric_columns(df, exclude=[target] if target else [])
     if len(names) < 2:
         return 100.0
-    ranges = []
-    for group in chunks(names):
-        row = df.agg(*[F.max(dbl(n)) - F.min(dbl(n)) for n in group]).first()
-        ranges += [v for v in row if v]
+    ranges = [v for v in aggregate(df, [F.max(dbl(n)) - F.min(dbl(n)) for n in names]) if v]
     return min(min(ranges) / max(ranges) * 100, 100.0) if ranges else 100.0
 
 
@@ -101,17 +99,22 @@ def single_score(df: DataFrame, name: str, target: str | None = None) -> DataFra
 
 
 def scores(df: DataFrame, target: str | None = None) -> dict:
-    n, copies = count_duplicates(df)
-    nulls = _null_total(df)
+    (n, copies), nulls, scale, balance = together(
+        df.sparkSession,
+        lambda: count_duplicates(df),
+        lambda: _null_total(df),
+        lambda: scale_score(df, target),
+        lambda: balance_score(df, target),
+    )
     encoding, other = encoding_score(df, target)
     target_type = df.schema[target].dataType if target in df.columns else None
     return {
         "completeness": completeness_score(nulls, n, len(df.columns)),
         "encoding": encoding,
         "no_duplicates": duplicates_score(copies, n),
-        "scale_uniformity": scale_score(df, target),
+        "scale_uniformity": scale,
         "sample_size": size_score(n),
-        "class_balance": balance_score(df, target),
+        "class_balance": balance,
         "feature_count": feature_score(len(df.columns) - (1 if target else 0)),
         "n_rows": n,
         "n_cols": len(df.columns),

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepflow.functions.columns import chunks, col, local_frame, numeric_columns, round_half_up
+from prepflow.functions.columns import aggregate, col, local_frame, numeric_columns, round_half_up
 from prepflow.operators.correlation import pair_correlations
 from prepflow.operators.profile import Profile
 from prepflow.sources.tables import DECIMAL
@@ -79,16 +79,14 @@ def scan_high_missing(p: Profile) -> DataFrame:
 def scan_numeric_strings(df: DataFrame, p: Profile) -> DataFrame:
     """Text columns where over 90 % of all rows read as a number."""
     names = [n for n in p.types.categorical if p.columns[n]["dtype"] == "string"]
-    rows = []
-    for group in chunks(names):
-        trimmed = [F.trim(col(n)) for n in group]
-        row = df.agg(
-            *[F.count(F.when(c.rlike(DECIMAL), c.try_cast("double"))) for c in trimmed]
-        ).first()
-        for n, k in zip(group, row):
-            share = k / max(p.n_rows, 1)
-            if share > NUMERIC_SHARE:
-                rows.append(("numeric_strings", "warning", n, None, round_half_up(share, 4), "convert"))
+    trimmed = [F.trim(col(n)) for n in names]
+    counts = aggregate(df, [F.count(F.when(c.rlike(DECIMAL), c.try_cast("double"))) for c in trimmed])
+    shares = {n: k / max(p.n_rows, 1) for n, k in zip(names, counts)}
+    rows = [
+        ("numeric_strings", "warning", n, None, round_half_up(share, 4), "convert")
+        for n, share in shares.items()
+        if share > NUMERIC_SHARE
+    ]
     return _frame(p, rows)
 
 

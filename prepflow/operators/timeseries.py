@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepflow.functions.columns import col, data_type, dbl, local_frame, micros, round_half_up
-from prepflow.functions.moments import pearson
+from prepflow.functions.columns import col, data_type, dbl, local_frame, micros, round_half_up, sized
+from prepflow.operators.correlation import ROUNDING
 from prepflow.operators.ordering import (
     Frame,
     chunk_size,
@@ -242,13 +242,25 @@ def autocorr_lags(series: Series, max_lag: int = 7) -> DataFrame:
     """Correlation of the series with itself ``lag`` points earlier, strongest first."""
     lags = range(1, max_lag + 1)
     moved = framed(series.frame, {f"l{k}": lagged(F.col("v"), k) for k in lags}, series.n, series.keys)
-    wide = moved.groupBy(*[col(k) for k in series.keys]).agg(
-        F.max("n").alias("n"), *[pearson(F.col("v"), F.col(f"l{k}")).alias(f"r{k}") for k in lags]
-    )
+    centre = F.lit(series.frame.agg(F.avg("v")).first()[0] or 0.0)
+    keys = [col(k) for k in series.keys]
+    x, sums = F.col("v") - centre, []
+    for k in lags:
+        y = F.col(f"l{k}") - centre
+        parts = {"n": F.lit(1.0), "x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}
+        sums += [F.sum(F.when(y.isNotNull(), e)).alias(f"{p}{k}") for p, e in parts.items()]
+    wide = moved.groupBy(*keys).agg(F.max("n").alias("n"), *sums)
+
+    def coefficient(k: int) -> Column:
+        n, sx, sy, xx, yy, xy = (F.col(f"{p}{k}") for p in ("n", "x", "y", "xx", "yy", "xy"))
+        vx, vy = xx - sx * sx / n, yy - sy * sy / n
+        varies = (vx > ROUNDING * xx) & (vy > ROUNDING * yy)
+        return F.when(varies, (xy - sx * sy / n) / F.sqrt(vx * vy))
+
     long = wide.select(
-        *[col(k) for k in series.keys],
+        *keys,
         "n",
-        F.inline(F.array(*[F.struct(F.lit(k).cast("bigint").alias("lag"), F.col(f"r{k}").alias("r")) for k in lags])),
+        F.inline(F.array(*[F.struct(F.lit(k).cast("bigint").alias("lag"), coefficient(k).alias("r")) for k in lags])),
     )
     usable = (F.col("lag") < F.floor(F.col("n") / 2)) & F.col("r").isNotNull()
     rounded = F.round("r", 4)
@@ -325,7 +337,7 @@ def decompose(series: Series, period: int | None = None) -> DataFrame:
     phases = phased.groupBy("phase").agg(F.avg("rest").alias("mean"))
     centre = phases.agg(F.avg("mean")).first()[0]
     season = phases.select("phase", (F.col("mean") - F.lit(centre)).alias("seasonal"))
-    return phased.join(season, "phase").withColumn("resid", F.col("rest") - F.col("seasonal")).drop("rest", "phase")
+    return phased.join(sized(season), "phase").withColumn("resid", F.col("rest") - F.col("seasonal")).drop("rest", "phase")
 
 
 def decompose_ma(series: Series, period: int | None = None) -> DataFrame:

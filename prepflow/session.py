@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+MAX_JOBS = 8
 
 
 def local_session(cores: str = "8", app: str = "prepflow", memory: str = "8g") -> SparkSession:
@@ -19,6 +23,7 @@ def local_session(cores: str = "8", app: str = "prepflow", memory: str = "8g") -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -53,3 +58,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage and cut its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def together(spark: SparkSession, *jobs: Callable):
+    """Results of independent actions submitted at once, so one job's tail leaves no core idle."""
+    with ThreadPoolExecutor(max_workers=min(len(jobs), MAX_JOBS)) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+        return [w.result() for w in waiting]

@@ -29,7 +29,7 @@ def _matrix(frame, digits=10):
 
 @pytest.mark.parametrize("limit", [16, 0])
 def test_pearson_both_ways(spark, monkeypatch, limit):
-    monkeypatch.setattr(co, "PAIRWISE_COLUMNS", limit)
+    monkeypatch.setattr(co, "SUMMED_COLUMNS", limit)
     pdf = _numbers()
     pdf["z"] = 3.0
     got = _matrix(co.corr_pearson(_df(spark, pdf), digits=None))
