@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepflow.functions.columns import col, dbl, local_frame, numeric_columns, pct
+from prepflow.functions.columns import col, dbl, local_frame, numeric_columns, sized
 from prepflow.functions.moments import fences
 from prepflow.operators.correlation import pair_correlations
 from prepflow.operators.frequency import value_counts
@@ -23,9 +23,8 @@ from prepflow.sources.tables import sample_rows
 GRID_POINTS = 300
 PAIR_COLUMNS = 6
 COMPONENTS = 3
-# A chart shows one shape per group; more than this is not a chart.
-MAX_GROUPS = 1_000
-KERNEL_CELLS = 1 << 21
+REACH = 9.0  # bandwidths; a kernel is below 3e-18 of its height beyond, under double precision
+OPEN_GRIDS = 2_000  # grids a task holds before passing them on
 
 
 def bin_count(n: int) -> int:
@@ -55,67 +54,78 @@ def histogram(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def _kernel_sums(df: DataFrame, name: str, shapes: dict, group: str | None) -> DataFrame:
+def _kernel_sums(rows: DataFrame) -> DataFrame:
     """Sum of Gaussian kernels at every grid point of every group: (g, point, total).
 
-    Each task adds up whole grids for the rows it holds and emits one grid per group, so the
-    shuffle carries grids, not rows. Repeated values in a batch are evaluated once.
+    ``rows`` carry (g, v) and their group's grid limits and bandwidth. Each task adds up
+    whole grids for the rows it holds, so the shuffle carries grids, not rows, and a group
+    with most of the rows costs every task one grid. Repeated values in a batch are
+    evaluated once, and only against the grid points their kernel reaches.
     """
-    order = list(shapes)
-    grids = {g: (np.linspace(s["min"], s["max"], GRID_POINTS), s["h"]) for g, s in shapes.items()}
+
+    def emit(totals: dict) -> Iterator[pd.DataFrame]:
+        for g, total in totals.items():
+            yield pd.DataFrame({"g": g, "point": np.arange(GRID_POINTS), "total": total})
+        totals.clear()
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = {}
+        totals: dict[str, np.ndarray] = {}
         for batch in batches:
             for g, part in batch.groupby("g"):
-                if g not in grids:
-                    continue
-                grid, h = grids[g]
+                low, high, h = part[["low", "high", "h"]].iloc[0]
                 values, weights = np.unique(part["v"].to_numpy(dtype=float), return_counts=True)
-                step = max(1, KERNEL_CELLS // GRID_POINTS)
+                grid = np.linspace(low, high, GRID_POINTS)
+                first = np.searchsorted(values, grid - REACH * h)
+                last = np.searchsorted(values, grid + REACH * h)
                 total = totals.setdefault(g, np.zeros(GRID_POINTS))
-                for i in range(0, len(values), step):
-                    z = (grid[:, None] - values[None, i : i + step]) / h
-                    total += np.exp(-0.5 * z * z) @ weights[i : i + step]
-        for g, total in totals.items():
-            yield pd.DataFrame({"g": g, "point": np.arange(GRID_POINTS), "total": total})
+                for k in np.flatnonzero(last > first):
+                    near = slice(first[k], last[k])
+                    z = (grid[k] - values[near]) / h
+                    total[k] += np.exp(-0.5 * z * z) @ weights[near]
+            if len(totals) > OPEN_GRIDS:
+                yield from emit(totals)
+        yield from emit(totals)
 
-    key = F.lit("") if group is None else col(group).cast("string")
-    rows = df.select(key.alias("g"), dbl(name).alias("v")).where(
-        F.col("v").isNotNull() & F.col("g").isNotNull()
-    )
-    if not order:
-        return local_frame(df.sparkSession, [], "g string, point int, total double")
-    return rows.mapInPandas(add_up, "g string, point int, total double").groupBy("g", "point").agg(
-        F.sum("total").alias("total")
+    return (
+        rows.mapInPandas(add_up, "g string, point int, total double")
+        .groupBy("g", "point")
+        .agg(F.sum("total").alias("total"))
     )
 
 
-def _densities(df: DataFrame, name: str, stats: dict[str, dict], group: str | None) -> DataFrame:
-    """(g, point, x, y): kernel density scaled to the histogram's counts."""
-    shapes = {}
-    for g, s in stats.items():
-        if s["count"] > 1 and s["std"]:
-            h = s["count"] ** -0.2 * s["std"]
-            scale = (s["max"] - s["min"]) / bin_count(s["count"]) / (h * math.sqrt(2 * math.pi))
-            shapes[g] = {"min": s["min"], "max": s["max"], "h": h, "scale": scale}
-    rows = [
-        (g, s["min"], (s["max"] - s["min"]) / (GRID_POINTS - 1), s["scale"]) for g, s in shapes.items()
-    ]
-    scales = local_frame(df.sparkSession, rows, "g string, x0 double, dx double, scale double")
-    sums = _kernel_sums(df, name, shapes, group)
-    return sums.join(F.broadcast(scales), "g").select(
+def _densities(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """(g, point, x, y): kernel density of the (g, v) rows, scaled to the histogram's counts.
+
+    ``stats`` has one row per group: g, count, std, min, max.
+    """
+    bins = F.least(F.lit(50), F.greatest(F.lit(10), F.floor(F.sqrt(F.col("count").cast("double")))))
+    h = F.pow(F.col("count").cast("double"), F.lit(-0.2)) * F.col("std")
+    shapes = stats.where((F.col("count") > 1) & (F.col("std") > 0) & (F.col("max") > F.col("min"))).select(
+        F.col("g").alias("sg"),
+        F.col("min").alias("low"),
+        F.col("max").alias("high"),
+        h.alias("h"),
+        ((F.col("max") - F.col("min")) / bins / (h * math.sqrt(2 * math.pi))).alias("scale"),
+    )
+    shapes = sized(shapes)
+    same = F.col("g") == F.col("sg")
+    sums = _kernel_sums(rows.join(shapes, same).select("g", "v", "low", "high", "h"))
+    step = (F.col("high") - F.col("low")) / (GRID_POINTS - 1)
+    return sums.join(shapes, same).select(
         "g",
         F.col("point").cast("bigint").alias("point"),
-        (F.col("x0") + F.col("point") * F.col("dx")).alias("x"),
+        (F.col("low") + F.col("point") * step).alias("x"),
         (F.col("total") * F.col("scale")).alias("y"),
     )
 
 
 def kde(df: DataFrame, name: str) -> DataFrame:
     """Gaussian kernel density (Scott bandwidth) on 300 points from minimum to maximum."""
-    stats = {"": moments(df, [name])[name]}
-    return _densities(df, name, stats, None).drop("g")
+    m = moments(df, [name])[name]
+    row = ("", m["count"], m["std"], m["min"], m["max"])
+    stats = local_frame(df.sparkSession, [row], "g string, count bigint, std double, min double, max double")
+    rows = df.select(F.lit("").alias("g"), dbl(name).alias("v")).where(F.col("v").isNotNull())
+    return _densities(rows, stats).drop("g")
 
 
 def _box(df: DataFrame, name: str) -> dict:
@@ -168,47 +178,29 @@ def violin_stats(df: DataFrame, name: str) -> DataFrame:
     return summary.unionByName(curve)
 
 
-def group_moments(df: DataFrame, name: str, group: str) -> dict[str, dict]:
-    value = dbl(name)
-    rows = (
-        df.where(col(group).isNotNull() & value.isNotNull())
-        .groupBy(col(group).cast("string").alias("g"))
-        .agg(
-            F.count(value).alias("count"),
-            F.avg(value).alias("mean"),
-            F.stddev_samp(value).alias("std"),
-            F.min(value).alias("min"),
-            F.max(value).alias("max"),
-        )
-        .limit(MAX_GROUPS + 1)
-        .collect()
-    )
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"{group!r} has more than {MAX_GROUPS} values: pick a column with fewer groups")
-    return {r["g"]: r.asDict() for r in rows}
-
-
 def grouped_violin(df: DataFrame, name: str, group: str) -> DataFrame:
     """(group, part, label, x, y): density curve, quartiles and mean of every group."""
-    stats = group_moments(df, name, group)
-    curve = _densities(df, name, stats, group).select(
-        F.col("g").alias("group"), F.lit("density").alias("part"), F.col("point").cast("string").alias("label"), "x", "y"
+    rows = df.select(col(group).cast("string").alias("g"), dbl(name).alias("v")).where(
+        F.col("g").isNotNull() & F.col("v").isNotNull()
     )
-    keyed = df.where(col(group).isNotNull()).select(col(group).cast("string").alias("group"), dbl(name).alias("v"))
-    quartiles = grouped_quantiles(keyed, "group", "v", [0.25, 0.5, 0.75])
-    box = quartiles.unpivot("group", ["q0", "q1", "q2"], "label", "x").select(
-        "group",
-        F.lit("summary").alias("part"),
-        F.when(F.col("label") == "q0", "q1").when(F.col("label") == "q1", "median").otherwise("q3").alias("label"),
-        "x",
-        F.lit(None).cast("double").alias("y"),
+    stats = rows.groupBy("g").agg(
+        F.count("v").alias("count"),
+        F.avg("v").alias("mean"),
+        F.stddev_samp("v").alias("std"),
+        F.min("v").alias("min"),
+        F.max("v").alias("max"),
     )
-    means = local_frame(
-        df.sparkSession,
-        [(g, "summary", "mean", s["mean"], None) for g, s in stats.items()],
-        "group string, part string, label string, x double, y double",
+    curve = _densities(rows, stats).select(
+        F.col("g").alias("group"), F.lit("density").alias("part"), F.col("point").cast("string").alias("label"), "x", "y"
     )
-    return curve.unionByName(box).unionByName(means)
+    quartiles = grouped_quantiles(rows, "g", "v", [0.25, 0.5, 0.75]).toDF("group", "q1", "median", "q3")
+    means = stats.select(F.col("g").alias("group"), "mean")
+    nothing = F.lit(None).cast("double").alias("y")
+    summary = [
+        frame.unpivot("group", labels, "label", "x").select("group", F.lit("summary").alias("part"), "label", "x", nothing)
+        for frame, labels in ((quartiles, ["q1", "median", "q3"]), (means, ["mean"]))
+    ]
+    return curve.unionByName(summary[0]).unionByName(summary[1])
 
 
 def category_bars(df: DataFrame, name: str, top_n: int = 15) -> DataFrame:

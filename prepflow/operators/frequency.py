@@ -1,90 +1,61 @@
-"""Value counts: the table behind distinct counts, top values and modes."""
+"""Value counts: distinct counts, top values and modes.
+
+Every column is its own branch of a union: it reads only its own column of a columnar file,
+shuffles single-column keys in their native type, and combines repeats before the shuffle,
+so a hot value is one row per task. Profile a stored or persisted table rather than a long
+derivation: each branch reads its input again.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from prepflow.functions.columns import (
     FRACTIONAL,
-    TEMPORAL,
+    chunks,
     col,
     data_type,
     local_frame,
-    micros,
     pct,
     scalar_columns,
 )
+from prepflow.session import together
 
 
-def _family(kind: T.DataType) -> str:
-    """Types that can share one long column without losing distinctness."""
-    if isinstance(kind, FRACTIONAL):
-        return "double"
-    if isinstance(kind, (T.StringType, T.DecimalType)):
-        return "string"
-    return "long"
-
-
-def _as_family(df: DataFrame, name: str) -> Column:
-    kind = data_type(df, name)
-    family = _family(kind)
-    if family == "double":
-        c = col(name).cast("double")
-        return F.when(~F.isnan(c), c)
-    if family == "string":
-        return col(name).cast("string")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return micros(df, name)
-    if isinstance(kind, T.DateType):
-        return F.unix_date(col(name)).cast("bigint")
-    return col(name).cast("bigint")
-
-
-def _family_counts(df: DataFrame, group: Sequence[str]) -> DataFrame:
-    """(column, value, n) for columns of one family: combined in the map tasks, so hot values collapse early."""
-    return (
-        df.select(*[_as_family(df, n).alias(n) for n in group])
-        .unpivot([], [col(n) for n in group], "column", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+def _value(df: DataFrame, name: str) -> Column:
+    if isinstance(data_type(df, name), FRACTIONAL):
+        return F.when(~F.isnan(col(name)), col(name))
+    return col(name)
 
 
-def _distinct_long(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row per (column, distinct value), value dropped, over all type families."""
-    parts = None
-    for family in ("long", "double", "string"):
-        group = [n for n in names if _family(data_type(df, n)) == family]
-        if not group:
-            continue
-        long = _family_counts(df, group).select("column", "n")
-        parts = long if parts is None else parts.unionByName(long)
-    return parts
+def union_all(frames: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, frames)
 
 
 def distinct_counts(df: DataFrame, names: Sequence[str] | None = None, approx: bool = False) -> dict[str, int]:
     """Exact distinct non-null count per column (``approx`` trades exactness for no shuffle)."""
     names = list(names if names is not None else scalar_columns(df))
+    count = F.approx_count_distinct if approx else F.count_distinct
+
+    def group(part: Sequence[str]) -> list:
+        branches = [df.select(_value(df, n).alias("v")).agg(count("v").alias("k")) for n in part]
+        return union_all([b.select(F.lit(n).alias("column"), "k") for n, b in zip(part, branches)]).collect()
+
     if not names:
         return {}
-    if approx:
-        row = df.agg(*[F.approx_count_distinct(col(n)).alias(f"c{i}") for i, n in enumerate(names)]).first()
-        return {n: int(row[i]) for i, n in enumerate(names)}
-    rows = _distinct_long(df, names).groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()
-    found = {r["column"]: int(r["k"]) for r in rows}
-    return {n: found.get(n, 0) for n in names}
+    groups = [lambda p=p: group(p) for p in chunks(names)]
+    found = {r["column"]: int(r["k"]) for rows in together(df.sparkSession, *groups) for r in rows}
+    return {n: found[n] for n in names}
 
 
 def unique_counts(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Per column: distinct count and its share of all rows."""
     names = list(names if names is not None else scalar_columns(df))
-    counts = distinct_counts(df, names)
-    n = df.count()
+    counts, n = together(df.sparkSession, lambda: distinct_counts(df, names), df.count)
     frame = local_frame(
         df.sparkSession, [(c, counts[c], n) for c in names], "column string, unique_count bigint, n bigint"
     )
@@ -99,51 +70,43 @@ def column_nunique(df: DataFrame, names: Sequence[str] | None = None) -> DataFra
 
 def value_counts(df: DataFrame, name: str) -> DataFrame:
     """(value, count) of the non-null values of one column."""
-    return df.where(col(name).isNotNull()).groupBy(col(name).alias("value")).agg(
-        F.count(F.lit(1)).alias("count")
-    )
+    values = df.select(_value(df, name).alias("value")).where(F.col("value").isNotNull())
+    return values.groupBy("value").agg(F.count(F.lit(1)).alias("count"))
 
 
 def top_values(df: DataFrame, names: Sequence[str], k: int = 15) -> DataFrame:
-    """The ``k`` most frequent values of each column; ties go to the smaller value.
+    """The ``k`` most frequent values of each column as text; ties go to the smaller value.
 
-    The rank filter lets Spark keep k rows per column inside each task before the shuffle.
+    Each column is a top-k of its own counts; only k rows per column are then ranked.
     """
-    counts = (
-        df.select(*[col(n).cast("string").alias(n) for n in names])
-        .unpivot([], [col(n) for n in names], "column", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("count"))
+    texts = df.select(*[col(n).cast("string").alias(n) for n in names])
+    tops = union_all(
+        [
+            value_counts(texts, n)
+            .orderBy(F.desc("count"), F.asc("value"))
+            .limit(k)
+            .select(F.lit(n).alias("column"), "value", "count")
+            for n in names
+        ]
     )
     order = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return tops.withColumn("rank", F.row_number().over(order))
 
 
 def modes(df: DataFrame, names: Sequence[str]) -> dict[str, object]:
     """The most frequent value of each column in its own type; ties go to the smallest.
 
-    The maximum of (count, value) needs no sort. Columns of one type family share a scan;
-    dates and timestamps, whose values must come back as such, take one each.
+    The smallest (-count, value) pair is a plain aggregate: no sort.
     """
-    out: dict[str, object] = dict.fromkeys(names)
-    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("value"))).alias("best")
-    temporal = [n for n in names if isinstance(data_type(df, n), TEMPORAL)]
-    for family in ("long", "double", "string"):
-        group = [n for n in names if n not in temporal and _family(data_type(df, n)) == family]
-        if not group:
-            continue
-        found = _family_counts(df, group).groupBy("column").agg(best).collect()
-        for r in found:
-            value = r["best"]["value"]
-            if isinstance(data_type(df, r["column"]), T.BooleanType):
-                value = bool(value)
-            out[r["column"]] = value
-    for n in temporal:
-        counts = value_counts(df, n).withColumnRenamed("count", "n")
-        found = counts.agg(best).first()["best"]
-        out[n] = found["value"] if found is not None else None
-    return out
+    best = F.min(F.struct((-F.col("count")).alias("n"), F.col("value"))).alias("best")
+
+    def one(name: str) -> object:
+        found = value_counts(df, name).agg(best).first()["best"]
+        return found["value"] if found is not None else None
+
+    if not names:
+        return {}
+    return dict(zip(names, together(df.sparkSession, *[lambda n=n: one(n) for n in names])))
 
 
 def top_value(df: DataFrame, names: Sequence[str]) -> DataFrame:

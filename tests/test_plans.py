@@ -144,3 +144,19 @@ def test_hot_first_key_is_split(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(sizes) > 1 and max(sizes) < 20_000 * 0.6
+
+
+def test_worker_functions_travel_by_value(tmp_path):
+    """A worker without this package on its path can load what it is sent."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(lambda x: timeseries._lag_rows(x, 2, 1)))
+    code = (
+        "import numpy, pickle; f = pickle.load(open('f.pkl', 'rb')); "
+        "print(f(numpy.arange(5.0)).shape)"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
+    assert done.stdout.strip() == "(3, 4)", done.stderr
