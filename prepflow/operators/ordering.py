@@ -17,7 +17,8 @@ from prepflow.session import checkpoint
 
 PART, POS = "__part", "__pos"
 LOW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row position in its lower 33 bits
-MIN_CHUNK = 1 << 16
+MIN_CHUNK = 1 << 13
+HALO_SHARE = 8  # a chunk is at least this many times its frame's reach
 MAX_CHUNKS = 20_000
 
 
@@ -84,7 +85,7 @@ def index_rows(
 
 def chunk_size(n: int, reach: int = 0) -> int:
     """Rows per chunk: enough to amortise the halo, and never more than MAX_CHUNKS chunks."""
-    return max(MIN_CHUNK, reach, -(-n // MAX_CHUNKS))
+    return max(MIN_CHUNK, HALO_SHARE * reach, -(-n // MAX_CHUNKS))
 
 
 def with_halo(

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from prepflow.functions.columns import aggregate, chunks, col, dbl, local_frame, sized
 from prepflow.functions.moments import fences, interpolate
 from prepflow.operators.ordering import running_weights
+from prepflow.session import together
 
 ACCURACY = 10_000
 SAMPLE_ROWS = 100_000
@@ -49,13 +50,16 @@ def exact_quantiles(
         return {}
     if n_rows is None:
         n_rows = df.count()
-    out: dict[str, list[float | None]] = {}
-    for group in chunks(list(columns.items()), 1 + 2 * len(probs)):
-        part = dict(group)
+    groups = [dict(g) for g in chunks(list(columns.items()), 1 + 2 * len(probs))]
+
+    def solve(part: Columns) -> dict:
         if n_rows * len(part) <= BUILTIN_CELLS:
-            out.update(_builtin(df, part, probs))
-        else:
-            out.update(_refined(df, part, probs, n_rows))
+            return _builtin(df, part, probs)
+        return _refined(df, part, probs, n_rows)
+
+    out: dict[str, list[float | None]] = {}
+    for found in together(df.sparkSession, *[lambda g=g: solve(g) for g in groups]):
+        out.update(found)
     return out
 
 

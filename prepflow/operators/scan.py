@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepflow.functions.columns import aggregate, col, local_frame, numeric_columns, round_half_up
 from prepflow.operators.correlation import pair_correlations
+from prepflow.operators.frequency import union_all
 from prepflow.operators.profile import Profile
+from prepflow.session import together
 from prepflow.sources.tables import DECIMAL
 
 # fixed values
@@ -92,12 +92,8 @@ def scan_numeric_strings(df: DataFrame, p: Profile) -> DataFrame:
 
 def smart_scan(df: DataFrame, p: Profile) -> DataFrame:
     """All six rules, in order."""
-    found = [
-        scan_id_columns(p),
-        scan_constant(p),
-        scan_high_corr(df, p),
-        scan_skewed(p),
-        scan_high_missing(p),
-        scan_numeric_strings(df, p),
-    ]
-    return reduce(DataFrame.unionByName, found)
+    related, numbers = together(
+        p.spark, lambda: scan_high_corr(df, p), lambda: scan_numeric_strings(df, p)
+    )
+    found = [scan_id_columns(p), scan_constant(p), related, scan_skewed(p), scan_high_missing(p), numbers]
+    return union_all(found)

@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepflow.functions.columns import col, data_type, dbl, local_frame, micros, round_half_up, sized
+from prepflow.functions.columns import chunks, col, data_type, dbl, local_frame, micros, round_half_up, sized
 from prepflow.operators.correlation import ROUNDING
+from prepflow.operators.frequency import union_all
 from prepflow.operators.ordering import (
     Frame,
     chunk_size,
@@ -87,9 +88,9 @@ def infer_frequency(df: DataFrame, date: str, keys: Sequence[str] = ()) -> DataF
     stamped = parsed.select(*[col(k) for k in keys], micros(parsed, "t").alias("t"), F.lit(0).alias("__all"))
     by = [*keys, "__all"]
     days = stamped.groupBy(*[col(k) for k in by], "t").agg(F.count(F.lit(1)).alias("c"))
-    indexed = index_rows(days, ["t"], by, count="n")
+    indexed = index_rows(days, ["t"], keys, count="n")
     n = int(indexed.agg(F.max("n")).first()[0] or 0)
-    gaps = framed(indexed, {"__before": lagged(F.col("t"), 1)}, n, by)
+    gaps = framed(indexed, {"__before": lagged(F.col("t"), 1)}, n, keys)
     weighted = gaps.select(
         *[col(k) for k in by],
         F.inline(
@@ -238,37 +239,38 @@ def variance_ratio(series: Series) -> DataFrame:
 # --- lags ---------------------------------------------------------------------------
 
 
-def autocorr_lags(series: Series, max_lag: int = 7) -> DataFrame:
-    """Correlation of the series with itself ``lag`` points earlier, strongest first."""
-    lags = range(1, max_lag + 1)
-    moved = framed(series.frame, {f"l{k}": lagged(F.col("v"), k) for k in lags}, series.n, series.keys)
-    centre = F.lit(series.frame.agg(F.avg("v")).first()[0] or 0.0)
+def _lag_products(series: Series, lags: Sequence[int], centre: Column) -> DataFrame:
+    """(keys, n, lag, r): sums of centred products of the series with its lags, in one aggregate."""
     keys = [col(k) for k in series.keys]
+    moved = framed(series.frame, {f"l{k}": lagged(F.col("v"), k) for k in lags}, series.n, series.keys)
     x, sums = F.col("v") - centre, []
     for k in lags:
         y = F.col(f"l{k}") - centre
-        parts = {"n": F.lit(1.0), "x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}
-        sums += [F.sum(F.when(y.isNotNull(), e)).alias(f"{p}{k}") for p, e in parts.items()]
+        terms = {"x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}
+        sums += [F.sum(F.when(y.isNotNull(), e)).alias(f"{p}{k}") for p, e in terms.items()]
     wide = moved.groupBy(*keys).agg(F.max("n").alias("n"), *sums)
 
     def coefficient(k: int) -> Column:
-        n, sx, sy, xx, yy, xy = (F.col(f"{p}{k}") for p in ("n", "x", "y", "xx", "yy", "xy"))
+        n = F.col("n") - k  # positions are dense: all but the first k have a partner
+        sx, sy, xx, yy, xy = (F.col(f"{p}{k}") for p in ("x", "y", "xx", "yy", "xy"))
         vx, vy = xx - sx * sx / n, yy - sy * sy / n
-        varies = (vx > ROUNDING * xx) & (vy > ROUNDING * yy)
+        varies = (n > 0) & (vx > ROUNDING * xx) & (vy > ROUNDING * yy)
         return F.when(varies, (xy - sx * sy / n) / F.sqrt(vx * vy))
 
-    long = wide.select(
-        *keys,
-        "n",
-        F.inline(F.array(*[F.struct(F.lit(k).cast("bigint").alias("lag"), coefficient(k).alias("r")) for k in lags])),
-    )
+    cells = [F.struct(F.lit(k).cast("bigint").alias("lag"), coefficient(k).alias("r")) for k in lags]
+    return wide.select(*keys, "n", F.inline(F.array(*cells)))
+
+
+def autocorr_lags(series: Series, max_lag: int = 7) -> DataFrame:
+    """Correlation of the series with itself ``lag`` points earlier, strongest first."""
+    centre = F.lit(series.frame.agg(F.avg("v")).first()[0] or 0.0)
+    keys = [col(k) for k in series.keys]
+    parts = [_lag_products(series, lags, centre) for lags in chunks(range(1, max_lag + 1), 5)]
+    long = union_all(parts)
     usable = (F.col("lag") < F.floor(F.col("n") / 2)) & F.col("r").isNotNull()
-    rounded = F.round("r", 4)
-    return (
-        long.where(usable)
-        .select(*[col(k) for k in series.keys], "lag", rounded.alias("autocorr"))
-        .orderBy(*[col(k) for k in series.keys], F.desc(F.abs("autocorr")), "lag")
-    )
+    found = long.where(usable).select(*keys, "lag", F.round("r", 4).alias("autocorr"))
+    ranked = found.orderBy(*keys, F.desc(F.abs("autocorr")), "lag")
+    return ranked if keys else ranked.limit(max_lag)  # a top-k of one series needs no second pass
 
 
 def lag_strength(lags: DataFrame, top: int = 3) -> DataFrame:

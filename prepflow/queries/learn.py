@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prepflow.operators import modeling
-from prepflow.queries.registry import ORDERS_N, View, query, table
+from prepflow.queries.registry import View, query, table
 
 # Orders as a modelling table: gaps, a category, a flag and a key.
 ORDERS_ML = View(
