@@ -70,7 +70,7 @@ def aggregate(df: DataFrame, exprs: Sequence[Column]) -> list:
 
 def sized(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast if a count shows it is small, else as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

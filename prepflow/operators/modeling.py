@@ -192,9 +192,7 @@ def cv_folds(
         return indexed.select(*[col(c) for c in df.columns], fold.cast("int").alias(name))
     placed = index_rows(df, order_by, [stratify], idx="__idx")
     first = F.min(F.struct(*[col(k) for k in order_by])).alias("first")
-    classes = (
-        df.groupBy(col(stratify).alias("c")).agg(first, F.count(F.lit(1)).alias("n")).limit(MAX_CATEGORIES + 1)
-    )
+    classes = df.groupBy(col(stratify).alias("c")).agg(first, F.count(F.lit(1)).alias("n"))
     if classes.count() > MAX_CATEGORIES:
         raise ValueError(f"{stratify!r} has more than {MAX_CATEGORIES} classes")
     rows, start = [], 0

@@ -150,7 +150,7 @@ def sample_rows(
     limit = _hash_limit(k, n_rows)
     if limit is not None:
         near = hashed.where(F.col("__h") < limit)
-        if near.limit(k).count() == k:
+        if near.count() >= k:
             hashed = near
     return hashed.orderBy("__h", *[col(c) for c in keys]).limit(k).drop("__h")
 
