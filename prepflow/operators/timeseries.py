@@ -15,9 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepflow.functions.columns import chunks, col, data_type, dbl, local_frame, micros, round_half_up, sized
+from prepflow.functions.columns import col, data_type, dbl, local_frame, micros, round_half_up, sized
 from prepflow.operators.correlation import ROUNDING
-from prepflow.operators.frequency import union_all
 from prepflow.operators.ordering import (
     Frame,
     chunk_size,
@@ -239,34 +238,41 @@ def variance_ratio(series: Series) -> DataFrame:
 # --- lags ---------------------------------------------------------------------------
 
 
-def _lag_products(series: Series, lags: Sequence[int], centre: Column) -> DataFrame:
-    """(keys, n, lag, r): sums of centred products of the series with its lags, in one aggregate."""
+def autocorr_lags(series: Series, max_lag: int = 7) -> DataFrame:
+    """Correlation of the series with itself ``lag`` points earlier, strongest first.
+
+    Positions are dense, so which points have a partner is known from the position alone:
+    only the products need the lagged values, and with them the one shuffle into chunks.
+    """
     keys = [col(k) for k in series.keys]
-    moved = framed(series.frame, {f"l{k}": lagged(F.col("v"), k) for k in lags}, series.n, series.keys)
-    x, sums = F.col("v") - centre, []
+    lags = range(1, max_lag + 1)
+    x = F.col("v") - F.lit(series.frame.agg(F.avg("v")).first()[0] or 0.0)
+    later, earlier = F.col("idx"), F.col("n") - F.col("idx")
+    single = [F.max("n").alias("n")]
     for k in lags:
-        y = F.col(f"l{k}") - centre
-        terms = {"x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}
-        sums += [F.sum(F.when(y.isNotNull(), e)).alias(f"{p}{k}") for p, e in terms.items()]
-    wide = moved.groupBy(*keys).agg(F.max("n").alias("n"), *sums)
+        for name, value in (("", x), ("2", x * x)):
+            single.append(F.sum(F.when(later >= k, value)).alias(f"x{name}_{k}"))
+            single.append(F.sum(F.when(earlier > k, value)).alias(f"y{name}_{k}"))
+    sums = series.frame.groupBy(*keys, F.lit(0).alias("__all")).agg(*single)
+    moved = framed(
+        series.frame.withColumn("v", x), {f"l{k}": lagged(F.col("v"), k) for k in lags}, series.n, series.keys
+    )
+    names = [f"__k{i}" for i in range(len(keys))]
+    products = moved.groupBy(*[k.alias(a) for k, a in zip(keys, names)], F.lit(0).alias("__one")).agg(
+        *[F.sum(F.col("v") * F.col(f"l{k}")).alias(f"xy_{k}") for k in lags]
+    )
+    same = [F.col("__all") == F.col("__one")] + [k.eqNullSafe(F.col(a)) for k, a in zip(keys, names)]
+    wide = sums.join(sized(products) if keys else F.broadcast(products), same)  # one row without keys
 
     def coefficient(k: int) -> Column:
-        n = F.col("n") - k  # positions are dense: all but the first k have a partner
-        sx, sy, xx, yy, xy = (F.col(f"{p}{k}") for p in ("x", "y", "xx", "yy", "xy"))
+        n = F.col("n") - k
+        sx, sy, xx, yy, xy = (F.col(f"{p}_{k}") for p in ("x", "y", "x2", "y2", "xy"))
         vx, vy = xx - sx * sx / n, yy - sy * sy / n
         varies = (n > 0) & (vx > ROUNDING * xx) & (vy > ROUNDING * yy)
         return F.when(varies, (xy - sx * sy / n) / F.sqrt(vx * vy))
 
     cells = [F.struct(F.lit(k).cast("bigint").alias("lag"), coefficient(k).alias("r")) for k in lags]
-    return wide.select(*keys, "n", F.inline(F.array(*cells)))
-
-
-def autocorr_lags(series: Series, max_lag: int = 7) -> DataFrame:
-    """Correlation of the series with itself ``lag`` points earlier, strongest first."""
-    centre = F.lit(series.frame.agg(F.avg("v")).first()[0] or 0.0)
-    keys = [col(k) for k in series.keys]
-    parts = [_lag_products(series, lags, centre) for lags in chunks(range(1, max_lag + 1), 5)]
-    long = union_all(parts)
+    long = wide.select(*keys, "n", F.inline(F.array(*cells)))
     usable = (F.col("lag") < F.floor(F.col("n") / 2)) & F.col("r").isNotNull()
     found = long.where(usable).select(*keys, "lag", F.round("r", 4).alias("autocorr"))
     ranked = found.orderBy(*keys, F.desc(F.abs("autocorr")), "lag")
