@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepflow.llm import exact_dedup, line_dedup, simhash, substring_dedup
+from prepflow.llm import exact_dedup, line_dedup, simhash, substring_dedup, token_files, tokenization
+from prepflow.session import scratch_path
+
+TOKENIZERS = "/opt/tokenizers"  # the folder of public_tokenizers, where that package is not installed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +26,14 @@ def query(key: str, sql: str | None = None):
     return add
 
 
+def tokenizer_file(name: str) -> str:
+    try:
+        import public_tokenizers
+    except ImportError:
+        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -56,3 +67,22 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_line_dedup")
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated_lines(_read(spark, sf_dir, "documents")).drop("kept")
+
+
+# The pattern of the rank file's vocabulary: a fixed value.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+@query("op3_byte_bpe")
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = tokenizer_file("byte_bpe_multi_50k.tiktoken")
+    out = tokenization.encode_documents(_read(spark, sf_dir, "documents"), ranks, PATTERN, keep=False)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_files.write_tokens(_read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), path)
+    read = token_files.read_tokens(spark, path)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
