@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepflow.llm import exact_dedup, line_dedup, simhash, substring_dedup, token_files, tokenization
+from prepflow.llm import exact_dedup, line_dedup, quality, simhash, substring_dedup, token_files, tokenization
 from prepflow.session import scratch_path
 
 TOKENIZERS = "/opt/tokenizers"  # the folder of public_tokenizers, where that package is not installed
@@ -86,3 +86,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_files.write_tokens(_read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), path)
     read = token_files.read_tokens(spark, path)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
