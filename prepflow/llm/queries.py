@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepflow.llm import exact_dedup, line_dedup, quality, simhash, substring_dedup, token_files, tokenization
+from prepflow.llm import exact_dedup, line_dedup, quality, simhash, substring_dedup, token_files, tokenization, topk
 from prepflow.session import scratch_path
 
 TOKENIZERS = "/opt/tokenizers"  # the folder of public_tokenizers, where that package is not installed
@@ -91,3 +91,25 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_quality_classifier")
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+_SCALED = """
+    SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+"""
+
+
+@query(
+    "op1_exact_top_k",
+    f"""
+    WITH e AS ({_SCALED}),
+    s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+        FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+    )
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+    FROM s QUALIFY rank <= 20
+    """,
+)
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"))
