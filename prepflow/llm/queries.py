@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepflow.llm import exact_dedup, line_dedup, quality, simhash, substring_dedup, token_files, tokenization, topk
+from prepflow.llm import exact_dedup, line_dedup, mixing, quality, simhash, substring_dedup, token_files, tokenization, topk
 from prepflow.session import scratch_path
 
 TOKENIZERS = "/opt/tokenizers"  # the folder of public_tokenizers, where that package is not installed
@@ -113,3 +113,9 @@ _SCALED = """
 )
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"))
+
+
+@query("op9_source_mixing")
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "copy", "block")
