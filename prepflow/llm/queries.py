@@ -7,11 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepflow.llm import exact_dedup, line_dedup, mixing, quality, simhash, substring_dedup, token_files, tokenization, topk
+import corpus_pipeline
+from prepflow.llm import (
+    exact_dedup,
+    extraction,
+    line_dedup,
+    mixing,
+    quality,
+    simhash,
+    substring_dedup,
+    token_files,
+    tokenization,
+    topk,
+)
+from prepflow.llm.vocabularies import PATTERN, tokenizer_file
 from prepflow.session import scratch_path
 
-TOKENIZERS = "/opt/tokenizers"  # the folder of public_tokenizers, where that package is not installed
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -26,14 +37,6 @@ def query(key: str, sql: str | None = None):
     return add
 
 
-def tokenizer_file(name: str) -> str:
-    try:
-        import public_tokenizers
-    except ImportError:
-        return f"{TOKENIZERS}/{name}"
-    return public_tokenizers.path(name)
-
-
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -69,14 +72,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated_lines(_read(spark, sf_dir, "documents")).drop("kept")
 
 
-# The pattern of the rank file's vocabulary: a fixed value.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
 @query("op3_byte_bpe")
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokenizer_file("byte_bpe_multi_50k.tiktoken")
-    out = tokenization.encode_documents(_read(spark, sf_dir, "documents"), ranks, PATTERN, keep=False)
+    out = tokenization.encode_documents(_read(spark, sf_dir, "documents"), ranks, PATTERN, give=())
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -119,3 +118,13 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "copy", "block")
+
+
+@query("op2_main_text")
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_read(spark, sf_dir, "pages"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

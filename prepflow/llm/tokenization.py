@@ -160,7 +160,7 @@ class ByteLevel:
         return np.cumsum(sizes) - sizes
 
 
-def _encode(definition_text, keep: bool):
+def _encode(definition_text, give: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in slices(batches):
@@ -171,9 +171,9 @@ def _encode(definition_text, keep: bool):
                 ids = codec.encode(text)
                 decoded = codec.decode(ids)
                 n.append(len(ids))
-                raw_ids.append(ids.tobytes() if keep else None)
-                starts.append(codec.starts(ids).astype("<u4").tobytes() if keep else None)
-                texts_back.append(decoded if keep else None)
+                raw_ids.append(ids.tobytes() if "ids" in give else None)
+                starts.append(codec.starts(ids).astype("<u4").tobytes() if "starts" in give else None)
+                texts_back.append(decoded if "decoded" in give else None)
                 ids_sha.append(hashlib.sha256(",".join([decimal[i] for i in ids.tolist()]).encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(decoded).hexdigest())
             yield pa.RecordBatch.from_arrays(
@@ -198,19 +198,19 @@ def encode_documents(
     pattern: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    keep: bool = True,
+    give: tuple[str, ...] = ("ids", "starts", "decoded"),
 ) -> DataFrame:
     """Encode every text and decode its ids again.
 
     ``ranks`` is the path of a rank file on the driver, ``pattern`` cuts a text into the matches
     that are encoded separately. Returns doc_id, n_tokens, ids and starts (little-endian unsigned
     32-bit integers: the ids, and the byte where each token starts), decoded, ids_sha256 (of the
-    decimal ids joined by commas) and decoded_sha256. Without ``keep`` ids, starts and decoded
-    are null and only the digests come back.
+    decimal ids joined by commas) and decoded_sha256. Of ids, starts and decoded those not named in
+    ``give`` are null.
 
     A null text counts as empty and has no ids. Rows that repeat each get a row, null ids stay
     null, other columns are ignored, and an empty table gives an empty result.
     """
     text = definition(read_ranks(ranks), pattern)
     shared = df.sparkSession.sparkContext.broadcast(text)  # as large as the vocabulary, not the data
-    return texts(df, id_col, text_col).mapInArrow(_encode(shared, keep), ENCODED)
+    return texts(df, id_col, text_col).mapInArrow(_encode(shared, tuple(give)), ENCODED)
