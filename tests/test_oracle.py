@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle
+from prepflow.queries import ORACLE as SQL
+from prepflow.queries import QUERIES
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
 # Trained at full size elsewhere: the unit tests cover them with small settings.
 SLOW = {"train_random_forest", "train_extra_trees", "train_gbt"}
 
@@ -26,5 +27,6 @@ def test_entry(spark):
 
 
 def test_keys():
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) <= set(QUERIES) <= set(entry.queries())
+    assert SQL.items() <= entry.oracle_sql().items()
     assert not [k for k in QUERIES if "pipeline" in k or k.startswith("op")]
