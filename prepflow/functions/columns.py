@@ -18,8 +18,8 @@ NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
 
 # Past this many aggregates in one scan the generated code is too long to be compiled (measured).
 AGGS_PER_SCAN = 48
-# A side this small, counted first, may be broadcast.
-BROADCAST_ROWS = 200_000
+# A side that Spark's own statistics prove this small may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def col(name: str) -> Column:
@@ -28,7 +28,8 @@ def col(name: str) -> Column:
 
 
 def dbl(name: str) -> Column:
-    return col(name).cast("double")
+    """A column as double; NaN is NULL, as everywhere in this package."""
+    return F.nanvl(col(name).cast("double"), F.lit(None).cast("double"))
 
 
 def data_type(df: DataFrame, name: str) -> T.DataType:
@@ -69,8 +70,13 @@ def aggregate(df: DataFrame, exprs: Sequence[Column]) -> list:
 
 
 def sized(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if a count shows it is small, else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df`` marked for broadcast if the statistics of its plan bound its bytes, else as it is.
+
+    Nothing runs: the bound comes from file sizes. Beyond it the join shuffles, unless adaptive
+    execution finds the side small after all.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(size) <= BROADCAST_BYTES else df
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepflow.functions.columns import NUMERIC, col
+from prepflow.functions.columns import INTEGRAL, NUMERIC, col
 
 # fixed values
 FUNCTIONS = {
@@ -81,6 +81,18 @@ def formula(df: DataFrame, text: str) -> Column:
     except SyntaxError as e:
         raise FormulaError(f"cannot read {text!r}") from e
 
+    def whole(node: ast.AST) -> Column | None:
+        """An integer column or constant as it is: doubles do not tell large integers apart."""
+        if isinstance(node, ast.Name):
+            name = quoted.get(node.id, node.id)
+            return col(name) if name in df.columns and isinstance(df.schema[name].dataType, INTEGRAL) else None
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
+            inner = whole(node.operand)
+            return None if inner is None or isinstance(node.operand, ast.Name) else -inner
+        if isinstance(node, ast.Constant) and type(node.value) is int and abs(node.value) < 1 << 63:
+            return F.lit(node.value)
+        return None
+
     def build(node: ast.AST) -> Column:
         if isinstance(node, ast.Name):
             name = quoted.get(node.id, node.id)
@@ -105,7 +117,10 @@ def formula(df: DataFrame, text: str) -> Column:
                 out = out & build(part) if isinstance(node.op, ast.And) else out | build(part)
             return out
         if isinstance(node, ast.Compare) and all(type(o) in COMPARISONS for o in node.ops):
-            sides = [build(n) for n in (node.left, *node.comparators)]
+            parts = (node.left, *node.comparators)
+            sides = [whole(n) for n in parts]
+            if any(side is None for side in sides):
+                sides = [build(n) for n in parts]
             out = None
             for op, a, b in zip(node.ops, sides, sides[1:]):
                 test = COMPARISONS[type(op)](a, b)

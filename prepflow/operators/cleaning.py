@@ -143,19 +143,39 @@ def _cell(df: DataFrame, current: Column, step: CleanStep) -> Column:
     )
 
 
+def _carry(df: DataFrame, steps: Sequence[CleanStep]) -> DataFrame:
+    """Forward and backward fills that share an order: one numbering for all of them."""
+    indexed = index_rows(df, steps[0].order_by, idx="__idx", count="__n")
+    head = indexed.select("__n").limit(1).collect()
+    n = head[0][0] if head else 0
+    for step in steps:
+        indexed = carry_fill(indexed, step.column, n, step.strategy == "ffill", idx="__idx")
+    return indexed.select(*[col(c) for c in df.columns])
+
+
 def apply_steps(df: DataFrame, steps: Sequence[CleanStep]) -> DataFrame:
     """Fills and caps between two row-level steps become one projection. NaN must be NULL already."""
     out = df
     cells: dict[str, Column] = {}
+    carried: list[CleanStep] = []
 
     def flush(frame: DataFrame) -> DataFrame:
-        if not cells:
-            return frame
-        made = frame.select(*[cells[c].alias(c) if c in cells else col(c) for c in frame.columns])
-        cells.clear()
-        return made
+        if cells:
+            frame = frame.select(*[cells[c].alias(c) if c in cells else col(c) for c in frame.columns])
+            cells.clear()
+        if carried:
+            frame = _carry(frame, carried)
+            carried.clear()
+        return frame
 
     for step in steps:
+        if step.op == "carry":
+            if cells or any(step.order_by != c.order_by for c in carried):
+                out = flush(out)
+            carried.append(step)
+            continue
+        if carried:
+            out = flush(out)
         if step.op in ("fill", "cap"):
             cells[step.column] = _cell(out, cells.get(step.column, col(step.column)), step)
             continue
@@ -167,14 +187,6 @@ def apply_steps(df: DataFrame, steps: Sequence[CleanStep]) -> DataFrame:
         elif step.op == "remove":
             value = dbl(step.column)
             out = out.where(value.isNull() | ~_outside(value, step))
-        elif step.op == "carry":
-            columns = out.columns
-            indexed = index_rows(out, step.order_by, idx="__idx", count="__n")
-            n = indexed.select("__n").limit(1).collect()
-            filled = carry_fill(
-                indexed, step.column, n[0][0] if n else 0, step.strategy == "ffill", idx="__idx"
-            )
-            out = filled.select(*[col(c) for c in columns])
     return flush(out)
 
 
@@ -241,7 +253,9 @@ class _Fitter:
         fill = rule.null_strategy
         if fill in ("drop", "ffill", "bfill"):
             self.flush()
-            missing = self.nulls([name])[name]
+            # a carry of another column changes neither this one nor the order
+            only_carries = all(s.op == "carry" and name not in (s.column, *s.order_by) for s in self.waiting)
+            missing = self.nulls([name], self._frame if only_carries else self.frame)[name]
             if missing:
                 step = CleanStep("drop" if fill == "drop" else "carry", name, strategy=fill, affected=missing)
                 if fill == "drop":
@@ -267,8 +281,9 @@ class _Fitter:
         self.steps += steps
         self.waiting += steps
 
-    def nulls(self, names: Sequence[str]) -> dict[str, int]:
-        return dict(zip(names, aggregate(self.frame, [F.count(F.when(col(n).isNull(), 1)) for n in names])))
+    def nulls(self, names: Sequence[str], frame: DataFrame | None = None) -> dict[str, int]:
+        frame = self.frame if frame is None else frame
+        return dict(zip(names, aggregate(frame, [F.count(F.when(col(n).isNull(), 1)) for n in names])))
 
     def flush(self) -> None:
         batch, self.batch = self.batch, []
@@ -327,21 +342,23 @@ class _Fitter:
 
 
 def fit_clean(df: DataFrame, spec: CleanSpec) -> FittedClean:
-    """Find every fill value and limit the spec asks for."""
+    """Find every fill value and limit the spec asks for, on the table with NaN read as NULL."""
     first: list[CleanStep] = []
-    n, copies = count_duplicates(df) if spec.remove_duplicates else (df.count(), 0)
     start = nan_to_null(df)
+    n, copies = count_duplicates(start) if spec.remove_duplicates else (start.count(), 0)
     if copies:
         first = [CleanStep("dedup", affected=copies)]
         # read by every statistics job below; recomputed from source if an executor is lost
         start = start.dropDuplicates().persist(StorageLevel.MEMORY_AND_DISK)
-    fitter = _Fitter(start, n - copies)
-    for name, rule in spec.columns.items():
-        if name in df.columns:
-            fitter.add(name, rule, spec.order_by)
-    fitter.flush()
-    if copies:
-        start.unpersist()
+    try:
+        fitter = _Fitter(start, n - copies)
+        for name, rule in spec.columns.items():
+            if name in df.columns:
+                fitter.add(name, rule, spec.order_by)
+        fitter.flush()
+    finally:
+        if copies:
+            start.unpersist()
     return FittedClean(first + fitter.steps)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from prepflow.functions.columns import aggregate, col, dbl, local_frame, numeric_columns, sized
 from prepflow.functions.moments import pearson
 from prepflow.operators.ordering import running_weights
-from prepflow.session import together
+from prepflow.session import checkpoint
 
 # Up to this many columns the cross products are plain sums; beyond it p*p of them would not compile well.
 SUMMED_COLUMNS = 16
@@ -33,20 +33,19 @@ def _coefficient(n, si, sj, sii, sjj, sij) -> float | None:
     return max(-1.0, min(1.0, (sij - si * sj / n) / math.sqrt(vi * vj)))
 
 
-def _clean(name: str) -> Column:
-    return F.when(~F.isnan(dbl(name)), dbl(name))
-
-
 def _centres(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, float], set[str]]:
     """Rows, column means, and the columns that have gaps."""
-    parts = [a for c in columns for a in (F.avg(_clean(c)), F.count(_clean(c)))]
+    parts = [a for c in columns for a in (F.avg(dbl(c)), F.count(dbl(c)))]
     n, *found = aggregate(df, [F.count(F.lit(1)), *parts])
     means = {c: found[2 * k] or 0.0 for k, c in enumerate(columns)}
     return n, means, {c for k, c in enumerate(columns) if found[2 * k + 1] < n}
 
 
 def pair_correlations(
-    df: DataFrame, columns: Sequence[str], pairs: Sequence[Pair] | None = None
+    df: DataFrame,
+    columns: Sequence[str],
+    pairs: Sequence[Pair] | None = None,
+    summed_columns: int | None = None,
 ) -> dict[Pair, float | None]:
     """r of every pair i <= j (or of the given pairs) over the rows where both are present.
 
@@ -54,12 +53,12 @@ def pair_correlations(
     Spark compiles; columns without gaps share their single-column sums between all pairs.
     """
     if pairs is None:
-        if len(columns) > SUMMED_COLUMNS:
+        if len(columns) > (SUMMED_COLUMNS if summed_columns is None else summed_columns):
             return _blocked(df, columns)
         pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     n, means, gaps = _centres(df, columns)
     place = {c: f"c{k}" for k, c in enumerate(columns)}
-    centred = df.select(*[(_clean(c) - F.lit(means[c])).alias(k) for c, k in place.items()])
+    centred = df.select(*[(dbl(c) - F.lit(means[c])).alias(k) for c, k in place.items()])
     terms: dict[tuple, Column] = {}
     for a, b in pairs:
         x, y = F.col(place[a]), F.col(place[b])
@@ -143,10 +142,18 @@ def _matrix_frame(df: DataFrame, columns: Sequence[str], r: dict, digits: int |
     return frame if digits is None else frame.withColumn("r", F.round("r", digits))
 
 
-def corr_pearson(df: DataFrame, columns: Sequence[str] | None = None, digits: int | None = 2) -> DataFrame:
-    """The full matrix in long form: (col_a, col_b, i, j, r)."""
+def corr_pearson(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    digits: int | None = 2,
+    summed_columns: int | None = None,
+) -> DataFrame:
+    """The full matrix in long form: (col_a, col_b, i, j, r).
+
+    Beyond ``summed_columns`` the cross products are summed in blocks.
+    """
     columns = list(columns or numeric_columns(df))
-    return _matrix_frame(df, columns, pair_correlations(df, columns), digits)
+    return _matrix_frame(df, columns, pair_correlations(df, columns, summed_columns=summed_columns), digits)
 
 
 def corr_lower_triangle(matrix: DataFrame) -> DataFrame:
@@ -176,55 +183,55 @@ def target_corr(df: DataFrame, target: str, columns: Sequence[str] | None = None
     )
 
 
-def average_ranks(df: DataFrame, value: Column) -> DataFrame:
-    """(value, rank) per distinct value, ties sharing their average rank.
+def average_ranks(long: DataFrame) -> DataFrame:
+    """(which, value, rank) per distinct value of each of several rankings, ties sharing their average rank.
 
-    Ranks come from the value-count table, so a value held by a third of the rows is one row.
+    ``long`` has (which, value). Ranks come from the value counts of all rankings in one
+    ordered table, so a value held by a third of the rows is one row, and there is one sort.
     """
-    counts = df.where(value.isNotNull()).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-    placed = running_weights(counts, [F.col("value")], {"cnt": "upto"})
+    counts = long.groupBy("which", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    placed = running_weights(counts, [F.col("value")], {"cnt": "upto"}, keys=["which"])
     rank = F.col("upto") - F.col("cnt") + (F.col("cnt") + 1) / 2
-    return placed.select("value", rank.cast("double").alias("rank"))
-
-
-def _with_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace each column by its average rank: a broadcast lookup when the distinct values are
-    few. Otherwise a hot value is one row on the rank side and adaptive execution splits it on
-    the other."""
-    out = df.select(*[dbl(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    for i in range(len(columns)):
-        ranks = sized(average_ranks(out, F.col(f"c{i}")).toDF("__v", "__r"))
-        out = out.join(ranks, F.col(f"c{i}") == F.col("__v"), "left").select(
-            *[F.col("__r").alias(f"c{j}") if j == i else F.col(f"c{j}") for j in range(len(columns))]
-        )
-    return out
+    return placed.select("which", "value", rank.cast("double").alias("rank"))
 
 
 def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None, digits: int | None = 2) -> DataFrame:
-    """Pearson on average ranks. Where a pair has nulls its ranks are remade on its complete rows."""
+    """Pearson on average ranks. A pair with gaps is ranked on its complete rows.
+
+    Columns without gaps are ranked once, for all their pairs; a pair with gaps brings two rankings
+    of its own. All rankings go through one table of value counts, one join and one grouping
+    back to rows, however many there are.
+    """
     columns = list(columns or numeric_columns(df))
-    clean = df.select(*[F.when(~F.isnan(dbl(c)), dbl(c)).alias(c) for c in columns])
-    parts = [a for c in columns for a in (F.count(F.when(col(c).isNull(), 1)), F.min(col(c)), F.max(col(c)))]
-    found = aggregate(clean, parts)
-    gaps = {c for k, c in enumerate(columns) if found[3 * k]}
-    varies = {c for k, c in enumerate(columns) if found[3 * k + 1] != found[3 * k + 2]}
-    full = [c for c in columns if c not in gaps]
-    r: dict[Pair, float | None] = {(c, c): 1.0 if c in varies else None for c in columns}
-
-    def all_full() -> dict[Pair, float | None]:
-        ranked = _with_ranks(clean, full)
-        pairs = [(i, j) for i in range(len(full)) for j in range(i + 1, len(full))]
-        named = pair_correlations(ranked, ranked.columns, [(f"c{i}", f"c{j}") for i, j in pairs])
-        return {(full[i], full[j]): named[f"c{i}", f"c{j}"] for i, j in pairs}
-
-    def one(a: str, b: str) -> dict[Pair, float | None]:
-        ranked = _with_ranks(clean.where(col(a).isNotNull() & col(b).isNotNull()), [a, b])
-        return {(a, b): pair_correlations(ranked, ["c0", "c1"], [("c0", "c1")])["c0", "c1"]}
-
-    gapped = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :] if a in gaps or b in gaps]
-    jobs = [lambda a=a, b=b: one(a, b) for a, b in gapped]
-    if len(full) > 1:
-        jobs.append(all_full)
-    for part in together(df.sparkSession, *jobs) if jobs else []:
-        r.update(part)
+    clean = df.select(*[dbl(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    found = aggregate(
+        clean, [a for c in clean.columns for a in (F.count(F.when(F.col(c).isNull(), 1)), F.min(c), F.max(c))]
+    )
+    gaps = {i for i in range(len(columns)) if found[3 * i]}
+    varies = {i for i in range(len(columns)) if found[3 * i + 1] != found[3 * i + 2]}
+    r: dict[Pair, float | None] = {(c, c): 1.0 if i in varies else None for i, c in enumerate(columns)}
+    rankings: dict[tuple, Column] = {}
+    pairs: dict[tuple, tuple] = {}
+    for i in range(len(columns)):
+        for j in range(i + 1, len(columns)):
+            x, y = F.col(f"c{i}"), F.col(f"c{j}")
+            if i in gaps or j in gaps:
+                both = x.isNotNull() & y.isNotNull()
+                rankings[i, j, 0], rankings[i, j, 1] = F.when(both, x), F.when(both, y)
+                pairs[i, j] = ((i, j, 0), (i, j, 1))
+            else:
+                rankings[i,], rankings[j,] = x, y
+                pairs[i, j] = ((i,), (j,))
+    if not pairs:
+        return _matrix_frame(df, columns, r, digits)
+    names = {key: f"w{k}" for k, key in enumerate(rankings)}
+    wide = clean.select(F.monotonically_increasing_id().alias("__row"), *[c.alias(names[k]) for k, c in rankings.items()])
+    long = wide.unpivot(["__row"], [F.col(n) for n in names.values()], "which", "value").where(F.col("value").isNotNull())
+    ranks = average_ranks(long)
+    there = ranks.select(F.col("which").alias("__w"), F.col("value").alias("__v"), "rank")
+    ranked = long.join(sized(there), (F.col("which") == F.col("__w")) & (F.col("value") == F.col("__v")))
+    back = ranked.groupBy("__row").agg(*[F.max(F.when(F.col("which") == n, F.col("rank"))).alias(n) for n in names.values()])
+    wanted = [(names[a], names[b]) for a, b in pairs.values()]
+    for (i, j), v in zip(pairs, pair_correlations(checkpoint(back), list(names.values()), wanted).values()):
+        r[columns[i], columns[j]] = v
     return _matrix_frame(df, columns, r, digits)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepflow.functions.columns import col, dbl, local_frame, numeric_columns, sized
+from prepflow.functions.columns import aggregate, col, dbl, local_frame, nan_to_null, numeric_columns, sized
 from prepflow.functions.moments import fences
 from prepflow.operators.correlation import pair_correlations
 from prepflow.operators.frequency import value_counts
@@ -23,7 +23,7 @@ from prepflow.sources.tables import sample_rows
 GRID_POINTS = 300
 PAIR_COLUMNS = 6
 COMPONENTS = 3
-REACH = 9.0  # bandwidths; a kernel is below 3e-18 of its height beyond, under double precision
+BATCH_VALUES = 4_096  # distinct values against a whole grid at a time
 OPEN_GRIDS = 2_000  # grids a task holds before passing them on
 
 
@@ -32,12 +32,20 @@ def bin_count(n: int) -> int:
 
 
 def histogram(df: DataFrame, name: str) -> DataFrame:
-    """Equal-width bins over the value range, empty bins included."""
-    value = dbl(name)
-    n, low, high = df.agg(F.count(value), F.min(value), F.max(value)).first()
+    """Equal-width bins over the range of the finite values, empty bins included.
+
+    Infinite values have a row each, without a bin, if there are any.
+    """
+    given = dbl(name)
+    value = F.when(F.abs(given) < F.lit(math.inf), given)
+    n, low, high, below, above = df.agg(
+        F.count(value), F.min(value), F.max(value), F.count_if(given == -math.inf), F.count_if(given == math.inf)
+    ).first()
     schema = "bin bigint, lo double, hi double, count bigint"
+    ends = [(None, v, v, k) for v, k in ((-math.inf, below), (math.inf, above)) if k]
+    outside = local_frame(df.sparkSession, ends, schema)
     if not n:
-        return local_frame(df.sparkSession, [], schema)
+        return outside
     bins = bin_count(n)
     width = (high - low) / bins
     at = F.lit(0) if width == 0 else F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
@@ -49,9 +57,8 @@ def histogram(df: DataFrame, name: str) -> DataFrame:
         (F.lit(low) + F.col("id") * F.lit(width)).alias("lo"),
         (F.lit(low) + (F.col("id") + 1) * F.lit(width)).alias("hi"),
     )
-    return edges.join(F.broadcast(counts), "bin", "left").fillna(0, ["count"]).select(
-        "bin", "lo", "hi", "count"
-    )
+    full = edges.join(F.broadcast(counts), "bin", "left").fillna(0, ["count"]).select("bin", "lo", "hi", "count")
+    return full.unionByName(outside) if ends else full
 
 
 def _kernel_sums(rows: DataFrame) -> DataFrame:
@@ -60,7 +67,7 @@ def _kernel_sums(rows: DataFrame) -> DataFrame:
     ``rows`` carry (g, v) and their group's grid limits and bandwidth. Each task adds up
     whole grids for the rows it holds, so the shuffle carries grids, not rows, and a group
     with most of the rows costs every task one grid. Repeated values in a batch are
-    evaluated once, and only against the grid points their kernel reaches.
+    evaluated once.
     """
 
     def emit(totals: dict) -> Iterator[pd.DataFrame]:
@@ -75,13 +82,10 @@ def _kernel_sums(rows: DataFrame) -> DataFrame:
                 low, high, h = part[["low", "high", "h"]].iloc[0]
                 values, weights = np.unique(part["v"].to_numpy(dtype=float), return_counts=True)
                 grid = np.linspace(low, high, GRID_POINTS)
-                first = np.searchsorted(values, grid - REACH * h)
-                last = np.searchsorted(values, grid + REACH * h)
                 total = totals.setdefault(g, np.zeros(GRID_POINTS))
-                for k in np.flatnonzero(last > first):
-                    near = slice(first[k], last[k])
-                    z = (grid[k] - values[near]) / h
-                    total[k] += np.exp(-0.5 * z * z) @ weights[near]
+                for at in range(0, len(values), BATCH_VALUES):
+                    z = (grid[:, None] - values[at : at + BATCH_VALUES]) / h
+                    total += np.exp(-0.5 * z * z) @ weights[at : at + BATCH_VALUES]
             if len(totals) > OPEN_GRIDS:
                 yield from emit(totals)
         yield from emit(totals)
@@ -232,7 +236,7 @@ def _points(
     """Complete rows; with ``max_points`` a reproducible sample ordered by the hash of ``keys``."""
     names = list(dict.fromkeys(columns))
     extra = [k for k in keys if k not in names]
-    rows = df.select(*[col(c) for c in names + extra]).dropna(subset=list(dict.fromkeys(complete)))
+    rows = nan_to_null(df.select(*[col(c) for c in names + extra])).dropna(subset=list(dict.fromkeys(complete)))
     if max_points is not None:
         rows = sample_rows(rows, keys, max_points)
     return rows.select(*[col(c) for c in names])
@@ -268,7 +272,7 @@ def hierarchy_rollup(df: DataFrame, path: Sequence[str], value: str | None = Non
 
     The full path is aggregated first, so the roll-up only expands one row per leaf.
     """
-    rows = df.dropna(subset=[*path, *([value] if value else [])])
+    rows = nan_to_null(df).dropna(subset=[*path, *([value] if value else [])])
     total = F.sum(dbl(value)) if value else F.count(F.lit(1)).cast("double")
     leaves = rows.groupBy(*[col(p) for p in path]).agg(total.alias("__total"))
     level = F.lit(len(path)) - F.bit_count(F.grouping_id())
@@ -315,7 +319,7 @@ def pca(df: DataFrame, target: str | None = None) -> Pca:
     medians = exact_quantiles(df, names, [0.5])
     fill = {n: medians[n][0] if medians[n][0] is not None else 0.0 for n in names}
     full = df.select(*[F.coalesce(dbl(n), F.lit(fill[n])).alias(n) for n in names])
-    row = full.agg(*[a for n in names for a in (F.avg(col(n)), F.stddev_pop(col(n)))]).first()
+    row = aggregate(full, [a for n in names for a in (F.avg(col(n)), F.stddev_pop(col(n)))])
     mean = [row[2 * i] or 0.0 for i in range(len(names))]
     std = [row[2 * i + 1] or 1.0 for i in range(len(names))]
     r = pair_correlations(full, names)

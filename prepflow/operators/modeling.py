@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepflow.functions.columns import NUMERIC, TEMPORAL, aggregate, col, data_type, dbl, local_frame, nan_to_null
-from prepflow.operators.features import class_text
+from prepflow.functions.columns import NUMERIC, TEMPORAL, aggregate, col, data_type, dbl, local_frame, nan_to_null, sized
+from prepflow.operators.features import FeatureStep, class_text
 from prepflow.operators.frequency import distinct_counts, modes
 from prepflow.operators.ordering import framed, index_rows, lagged, running_weights, Frame
 from prepflow.operators.quantiles import exact_quantiles
@@ -34,14 +34,14 @@ TREES = 100
 ROUNDS = 100
 LEARNING_RATE = 0.1
 BOOST_DEPTH = 3
-MAX_DEPTH = 10  # a level is a pass over the data; up to 30 can be asked for
+MAX_DEPTH = 30  # as deep as MLlib grows; a level is a pass over the data, so ask for less where that will do
 NODE_MEMORY_MB = 1024  # nodes split per pass
 MAX_ITER = 1000
 TOP_FEATURES = 20
 GRID = 50
 MIN_ROWS = 10
 MIN_PERMUTE = 20
-MAX_CATEGORIES = 1_000
+PERMUTED = 8  # features permuted in one pass, each a copy of the row
 TINY = 1e-9
 
 
@@ -73,65 +73,66 @@ def ml_task_type(df: DataFrame, target: str) -> str:
 
 
 def _classes(df: DataFrame, name: str) -> list[str]:
+    """Sorted class texts: they name columns, so they are known on the driver, however many."""
     values = df.select(class_text(df, name).alias("v")).where(F.col("v").isNotNull()).distinct()
-    found = [r["v"] for r in values.limit(MAX_CATEGORIES + 1).collect()]
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"{name!r} has more than {MAX_CATEGORIES} categories: encode or drop it first")
-    return sorted(found, key=lambda s: s.encode())
+    return sorted((r["v"] for r in values.collect()), key=lambda s: s.encode())
+
+
+def _varying(df: DataFrame, names: Sequence[str]) -> list[str]:
+    """Columns with two different values: one scan, no shuffle."""
+    found = aggregate(df, [F.coalesce(F.min(col(n)) != F.max(col(n)), F.lit(False)) for n in names])
+    return [n for n, varies in zip(names, found) if varies]
 
 
 def ml_prepare(df: DataFrame, target: str, keys: Sequence[str] = ()) -> Prepared:
     """Drop constants and rows without target, fill gaps, encode text; ``keys`` ride along unused."""
     frame = nan_to_null(df)
-    candidates = [c for c in frame.columns if c not in keys]
-    unique = distinct_counts(frame, candidates)
-    kept = [c for c in candidates if unique[c] > 1]
+    kept = _varying(frame, [c for c in frame.columns if c not in keys])
     if target not in kept:
         raise ValueError(f"target column {target!r} not found, or constant")
+    classification = ml_task_type(frame, target) == "classification"
     frame = frame.where(col(target).isNotNull())
-    dates = [c for c in kept if c != target and isinstance(data_type(frame, c), TEMPORAL)]
+    inputs = [c for c in kept if c != target]
+    dates = [c for c in inputs if isinstance(data_type(frame, c), TEMPORAL)]
     if dates:
         raise ValueError(f"take date parts of {dates} first")
-    is_text = isinstance(data_type(frame, target), (T.StringType, T.BooleanType))
-    classification = is_text or unique[target] < CLASS_LIMIT
-    classes = _classes(frame, target) if classification else []
-    if classification:
-        pairs = [F.lit(v) for i, c in enumerate(classes) for v in (c, float(i))]
-        label = F.try_element_at(F.create_map(*pairs), class_text(frame, target))
-    else:
-        label = dbl(target)
-
-    numeric = [c for c in kept if c != target and isinstance(data_type(frame, c), NUMERIC)]
-    flags = [c for c in kept if c != target and isinstance(data_type(frame, c), T.BooleanType)]
-    texts = [c for c in kept if c != target and c not in numeric and c not in flags]
-    inputs = numeric + flags + texts
+    numeric = [c for c in inputs if isinstance(data_type(frame, c), NUMERIC)]
+    flags = [c for c in inputs if isinstance(data_type(frame, c), T.BooleanType)]
+    texts = [c for c in inputs if c not in numeric and c not in flags]
     missing = aggregate(frame, [F.count(F.when(col(c).isNull(), 1)) for c in inputs])
     gaps = {c for c, k in zip(inputs, missing) if k}
     medians = exact_quantiles(frame, [c for c in numeric if c in gaps], [0.5])
     common = modes(frame, [c for c in flags + texts if c in gaps])
-    cells: list[Column] = []
-    names: list[str] = []
-    for c in kept:
-        if c == target:
-            continue
-        if c in numeric:
-            cells.append(F.coalesce(dbl(c), F.lit(medians[c][0])) if c in gaps else dbl(c))
-            names.append(c)
-        elif c in flags:
-            value = F.coalesce(col(c), F.lit(common[c])) if c in gaps else col(c)
-            cells.append(value.cast("double"))
-            names.append(c)
+    fills = {c: medians[c][0] if c in numeric else common[c] for c in gaps}
+    filled = frame.select(
+        *[col(k) for k in keys],
+        *[
+            F.coalesce(dbl(c) if c in numeric else col(c), F.lit(fills[c])).alias(c) if c in gaps else col(c)
+            for c in inputs
+        ],
+        col(target),
+    )
+    classes = _classes(filled, target) if classification else []
+    if classification:
+        filled = FeatureStep("ordinal", target, classes=classes).coded(filled, "__label")
+    else:
+        filled = filled.withColumn("__label", dbl(target))
+    names = []
+    for c in inputs:
+        if c in texts:
+            flagged = FeatureStep("onehot", c, classes=_classes(filled, c)[1:])
+            filled = flagged.apply(filled)
+            names += [f"{c}_{category}" for category in flagged.classes]
         else:
-            text = class_text(frame, c)
-            if c in gaps:
-                text = F.coalesce(text, F.lit(common[c]))
-            for category in _classes(frame, c)[1:]:
-                cells.append((text == category).cast("double"))
-                names.append(f"{c}_{category}")
+            names.append(c)
     if not names:
         raise ValueError("no usable features")
     plain = [n.replace(".", "_").replace("`", "_") for n in names]  # the assembler reads dots as nesting
-    prepared = frame.select(*[col(k) for k in keys], *[c.alias(n) for c, n in zip(cells, plain)], label.alias("label"))
+    prepared = filled.select(
+        *[col(k) for k in keys],
+        *[col(c).cast("double").alias(n) for c, n in zip(names, plain)],
+        F.col("__label").cast("double").alias("label"),
+    )
     return Prepared(prepared, plain, classification, classes, tuple(keys))
 
 
@@ -164,15 +165,6 @@ def train_test_split(
     return indexed.select(*[col(c) for c in df.columns], is_test.alias("is_test"))
 
 
-def _fold_bounds(sizes: Sequence[int]) -> list[int]:
-    """Upper positions of consecutive folds of the given sizes, the last left open."""
-    bounds, at = [], 0
-    for size in sizes[:-1]:
-        at += size
-        bounds.append(at)
-    return bounds
-
-
 def cv_folds(
     df: DataFrame, order_by: Sequence[str], folds: int = 5, stratify: str | None = None, name: str = "fold"
 ) -> DataFrame:
@@ -192,19 +184,22 @@ def cv_folds(
         return indexed.select(*[col(c) for c in df.columns], fold.cast("int").alias(name))
     placed = index_rows(df, order_by, [stratify], idx="__idx")
     first = F.min(F.struct(*[col(k) for k in order_by])).alias("first")
-    classes = df.groupBy(col(stratify).alias("c")).agg(first, F.count(F.lit(1)).alias("n"))
-    if classes.count() > MAX_CATEGORIES:
-        raise ValueError(f"{stratify!r} has more than {MAX_CATEGORIES} classes")
-    rows, start = [], 0
-    for r in classes.orderBy("first").collect():
-        end = start + r["n"]
-        sizes = [len(range(start + (i - start) % folds, end, folds)) for i in range(folds)]
-        rows.append((r["c"], _fold_bounds(sizes)))
-        start = end
-    kind = data_type(df, stratify).simpleString()
-    bounds = local_frame(df.sparkSession, rows, f"__c {kind}, __bounds array<bigint>")
+    classes = df.groupBy(col(stratify).alias("__c")).agg(first, F.count(F.lit(1)).alias("__n"))
+    laid = running_weights(classes, [F.col("first")], {"__n": "__end"}).select("__c", "__n", "__end")
+    start = F.col("__end") - F.col("__n")
+
+    def dealt(at: Column, fold: int) -> Column:
+        """Places before ``at`` that are the ``fold``-th of their round."""
+        return F.floor((at - 1 - fold) / folds)
+
+    # a class has dealt(end) - dealt(start) rows in a fold; the folds before the last one have upper bounds
+    bounds, upto = [], F.lit(0)
+    for i in range(folds - 1):
+        upto = upto + dealt(F.col("__end"), i) - dealt(start, i)
+        bounds.append(upto)
+    laid = laid.select("__c", F.array(*bounds).alias("__bounds"))
     fold = F.size(F.filter("__bounds", lambda b: b <= F.col("__idx")))
-    return placed.join(F.broadcast(bounds), col(stratify).eqNullSafe(F.col("__c"))).select(
+    return placed.join(sized(laid), col(stratify).eqNullSafe(F.col("__c"))).select(
         *[col(c) for c in df.columns], fold.cast("int").alias(name)
     )
 
@@ -282,17 +277,16 @@ def classification_metrics(predictions: DataFrame) -> DataFrame:
 def confusion_matrix(predictions: DataFrame, labels: Sequence[float] | None = None) -> DataFrame:
     """Every (label, prediction) pair with its count and its share of the label's row."""
     counts = _outcome_counts(predictions)
+    pair = F.array(F.struct(F.col("label").alias("v")), F.struct(F.col("prediction").alias("v")))
     if labels is None:
-        seen = counts.select(F.inline(F.array(F.struct(F.col("label").alias("v")), F.struct(F.col("prediction").alias("v")))))
-        labels = sorted(r["v"] for r in seen.distinct().limit(MAX_CATEGORIES + 1).collect())
-        if len(labels) > MAX_CATEGORIES:
-            raise ValueError(f"more than {MAX_CATEGORIES} classes")
-    grid = local_frame(
-        predictions.sparkSession, [(a, b) for a in labels for b in labels], "label double, prediction double"
-    )
-    full = grid.join(F.broadcast(counts), ["label", "prediction"], "left").fillna(0, ["n"])
+        known = counts.select(F.inline(pair)).agg(F.array_sort(F.collect_set("v")).alias("vs"))
+    else:
+        known = predictions.sparkSession.range(1).select(F.array(*[F.lit(float(v)) for v in labels]).alias("vs"))
+    # the answer is the whole grid of classes, so the classes of one row are its size's root
+    grid = known.select(F.explode("vs").alias("label"), "vs").select("label", F.explode("vs").alias("prediction"))
+    full = grid.join(counts, ["label", "prediction"], "left").fillna(0, ["n"])
     rows = counts.groupBy("label").agg(F.sum("n").alias("row_n"))
-    return full.join(F.broadcast(rows), "label", "left").select(
+    return full.join(rows, "label", "left").select(
         "label",
         "prediction",
         F.col("n").alias("count"),
@@ -378,17 +372,25 @@ def _score(predictions: DataFrame, classification: bool, measure: str | None = N
     return float("nan") if value is None else float(value)
 
 
+def cut_folds(prepared: Prepared, order_by: Sequence[str], folds: int = 5) -> DataFrame:
+    """fold, label and feature vector of every row: cut once, for any number of models."""
+    cut = cv_folds(prepared.frame, order_by, folds, "label" if prepared.classification else None)
+    vectors = VectorAssembler(inputCols=prepared.features, outputCol="features").transform(cut)
+    return checkpoint(vectors.select("fold", "label", "features"))
+
+
 def cross_validate(
-    prepared: Prepared, make: Callable[[int], object], order_by: Sequence[str], folds: int = 5
+    prepared: Prepared,
+    make: Callable[[int], object],
+    order_by: Sequence[str],
+    folds: int = 5,
+    cut: DataFrame | None = None,
 ) -> DataFrame:
     """(fold, score): weighted F1 or R2 of a fresh model on each held-out fold.
 
-    ``make`` builds the estimator for a training size. Folds are cut once and kept.
+    ``make`` builds the estimator for a training size; ``cut`` are folds already cut.
     """
-    stratify = "label" if prepared.classification else None
-    cut = cv_folds(prepared.frame, order_by, folds, stratify)
-    vectors = VectorAssembler(inputCols=prepared.features, outputCol="features").transform(cut)
-    data = checkpoint(vectors.select("fold", "label", "features"))
+    data = cut_folds(prepared, order_by, folds) if cut is None else cut
     sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
     total = sum(sizes.values())
     if total < 2 * folds:
@@ -443,8 +445,8 @@ def permutation_importance(
     """Mean and deviation of the score lost when one feature is shuffled between the rows.
 
     Rows are numbered in a hash order; a repeat hands every row the values of the row a
-    random number of places on, by one equi-join on the position. All features are scored in
-    the same pass, each as its own copy of the row with one value replaced.
+    random number of places on, by one equi-join on the position. A pass scores ``PERMUTED``
+    features, each as its own copy of the row with one value replaced.
     """
     names = prepared.features
     values = test.select(*[col(k) for k in keys], "label", F.array(*[col(n) for n in names]).alias("x"))
@@ -462,20 +464,20 @@ def permutation_importance(
         shift = 1 + (seed * 7919 + repeat * 104729) % (n - 1)
         donors = numbered.select(((F.col("__at") + shift) % n).alias("__at"), F.col("x").alias("other"))
         paired = numbered.join(donors, "__at")
-        copies = paired.select(
-            "label",
-            F.posexplode(
-                F.array(*[_with_value(i, F.col("other")[i]) for i in range(len(names))])
-            ).alias("feature", "x"),
-        )
-        scored = model.transform(copies.select("feature", "label", array_to_vector("x").alias("features")))
-        if prepared.classification:
-            quality = F.avg((F.col("label") == F.col("prediction")).cast("double"))
-        else:
-            miss = F.col("label") - F.col("prediction")
-            quality = F.lit(1.0) - F.try_divide(F.sum(miss * miss), F.var_pop("label") * F.count("label"))
-        for r in scored.groupBy("feature").agg(quality.alias("q")).collect():
-            losses[r["feature"]].append(base - r["q"])
+        for at in range(0, len(names), PERMUTED):
+            changed = [
+                F.struct(F.lit(i).alias("feature"), _with_value(i, F.col("other")[i]).alias("x"))
+                for i in range(at, min(at + PERMUTED, len(names)))
+            ]
+            copies = paired.select("label", F.inline(F.array(*changed)))
+            scored = model.transform(copies.select("feature", "label", array_to_vector("x").alias("features")))
+            if prepared.classification:
+                quality = F.avg((F.col("label") == F.col("prediction")).cast("double"))
+            else:
+                miss = F.col("label") - F.col("prediction")
+                quality = F.lit(1.0) - F.try_divide(F.sum(miss * miss), F.var_pop("label") * F.count("label"))
+            for r in scored.groupBy("feature").agg(quality.alias("q")).collect():
+                losses[r["feature"]].append(base - r["q"])
     rows = []
     for i, name in enumerate(names):
         mean = sum(losses[i]) / repeats
@@ -547,7 +549,6 @@ def train_and_evaluate(
     split = train_test_split(
         prepared.frame, keys, test_size, seed, "label" if classification else None, exact=True
     )
-    split = checkpoint(split)
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     n_train, n_test = train.count(), test.count()
     if n_train + n_test < MIN_ROWS:
@@ -556,6 +557,7 @@ def train_and_evaluate(
     k = len(prepared.classes)
     wanted = estimators(classification, k, n_train, seed, **sizes)
     models, predictions, cv, permuted, rows = {}, {}, {}, {}, []
+    cut = cut_folds(prepared, keys, folds) if run_cv and n_train + n_test >= 2 * folds else None
     for name, estimator in wanted.items():
         if only is not None and name not in only:
             continue
@@ -566,12 +568,13 @@ def train_and_evaluate(
         frame = classification_metrics if classification else regression_metrics
         row = frame(predictions[name]).first().asDict()
         row.update(model=name, fit_time=seconds)
-        if run_cv and n_train + n_test >= 2 * folds:
+        if cut is not None:
             cv[name] = cross_validate(
                 prepared,
                 lambda n, name=name: estimators(classification, k, n, seed, **sizes)[name],
                 keys,
                 folds,
+                cut,
             )
             row.update(cv_summary(cv[name]).first().asDict())
         if permute and n_test >= MIN_PERMUTE:

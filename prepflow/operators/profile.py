@@ -14,6 +14,7 @@ from prepflow.functions.columns import (
     col,
     dbl,
     local_frame,
+    nan_to_null,
     numeric_columns,
     pct,
     per_column_agg,
@@ -53,12 +54,14 @@ def _row_key(df: DataFrame) -> Column:
     return F.xxhash64(*cells)
 
 
-def count_duplicates(df: DataFrame) -> tuple[int, int]:
+def count_duplicates(df: DataFrame, suspect_share: float | None = None) -> tuple[int, int]:
     """(rows, rows beyond the first copy), exact, nulls equal.
 
     A row whose 64-bit hash is unique has no copy, so the first job shuffles 8 bytes per
-    row. Only rows that share a hash are then compared in full.
+    row. Only rows that share a hash are then compared in full, picked out by a join while they
+    are at most ``suspect_share`` of all.
     """
+    df = nan_to_null(df)
     hashed = df.withColumn("__h", _row_key(df))
     tally = hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("c"))
     row = tally.agg(F.sum("c"), F.sum(F.when(F.col("c") > 1, F.col("c")))).first()
@@ -66,15 +69,15 @@ def count_duplicates(df: DataFrame) -> tuple[int, int]:
     if suspects == 0:
         return total, 0
     pool = df
-    if suspects <= SUSPECT_SHARE * total:
+    if suspects <= (SUSPECT_SHARE if suspect_share is None else suspect_share) * total:
         pool = hashed.join(tally.where(F.col("c") > 1).select("__h"), "__h", "left_semi").drop("__h")
     counted = pool.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
     copies = counted.agg(F.sum(F.col("__n") - 1)).first()[0]
     return total, int(copies or 0)
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    total, copies = count_duplicates(df)
+def duplicate_rows(df: DataFrame, suspect_share: float | None = None) -> DataFrame:
+    total, copies = count_duplicates(df, suspect_share)
     frame = local_frame(df.sparkSession, [(copies, total)], "duplicate_rows bigint, n bigint")
     return frame.select(
         "duplicate_rows", pct(F.col("duplicate_rows"), F.col("n")).alias("duplicate_pct")
@@ -82,6 +85,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def _null_total(df: DataFrame) -> int:
+    df = nan_to_null(df)
     return sum(aggregate(df, [F.count(F.when(col(n).isNull(), 1)) for n in df.columns]))
 
 
@@ -141,6 +145,7 @@ def total_values(df: DataFrame) -> DataFrame:
 
 
 def null_counts(df: DataFrame) -> DataFrame:
+    df = nan_to_null(df)
     rows = per_column_agg(
         df,
         df.columns,
@@ -170,7 +175,7 @@ def skewness(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     return per_column_agg(
         df,
         names or numeric_columns(df),
-        {"skewness": lambda n: F.round(adjusted_skewness(F.count(col(n)), F.skewness(dbl(n))), 4)},
+        {"skewness": lambda n: F.round(adjusted_skewness(F.count(dbl(n)), F.skewness(dbl(n))), 4)},
     )
 
 
@@ -178,7 +183,7 @@ def kurtosis(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     return per_column_agg(
         df,
         names or numeric_columns(df),
-        {"kurtosis": lambda n: F.round(adjusted_kurtosis(F.count(col(n)), F.kurtosis(dbl(n))), 4)},
+        {"kurtosis": lambda n: F.round(adjusted_kurtosis(F.count(dbl(n)), F.kurtosis(dbl(n))), 4)},
     )
 
 
@@ -265,13 +270,14 @@ class Profile:
         return local_frame(self.spark, self.tops, "column string, value string, count bigint, rank int")
 
 
-def profile(df: DataFrame, types: ColumnTypes | None = None, order_by: Sequence[str] = ()) -> Profile:
+def profile(df: DataFrame, types: ColumnTypes | None = None) -> Profile:
     """Profile a table in a fixed number of scans, whatever its number of columns.
 
     Scans: nulls; duplicates; distinct counts; basic moments; central powers; quartiles
     (one to three); outliers; top values of the categorical columns.
     """
-    types = types or detect_column_types(df, order_by)
+    df = nan_to_null(df)
+    types = types or detect_column_types(df)
     names = [n for n, _ in types.items()]
     numeric = [n for n in types.numeric]
     scalars = [n for n in names if n in scalar_columns(df)]
@@ -343,8 +349,8 @@ def profile(df: DataFrame, types: ColumnTypes | None = None, order_by: Sequence[
     return Profile(df.sparkSession, types, total, copies, columns, tops)
 
 
-def column_profile(df: DataFrame, types: ColumnTypes | None = None, order_by: Sequence[str] = ()) -> DataFrame:
-    return profile(df, types, order_by).column_frame()
+def column_profile(df: DataFrame, types: ColumnTypes | None = None) -> DataFrame:
+    return profile(df, types).column_frame()
 
 
 def column_stats_table(p: Profile) -> DataFrame:

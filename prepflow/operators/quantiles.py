@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,15 +23,26 @@ from prepflow.operators.ordering import running_weights
 from prepflow.session import together
 
 ACCURACY = 10_000
-SAMPLE_ROWS = 100_000
-# Below this many cells the built-in exact percentile holds them all in one small buffer.
-BUILTIN_CELLS = 1_000_000
-# Above this many gathered rows the positions come from a range-partitioned running total.
-WINDOW_ROWS = 2_000_000
 
 Columns = Mapping[str, Column]
 
 
+@dataclass(frozen=True)
+class Plan:
+    """Where one way to the same answer gives over to the next.
+
+    Up to ``builtin_cells`` the built-in exact percentile holds all cells in one small buffer;
+    above ``window_rows`` gathered rows positions come from a range-partitioned running total.
+    """
+
+    builtin_cells: int = 1_000_000
+    window_rows: int = 2_000_000
+    sample_rows: int = 100_000
+
+
+PLAN = Plan()
+
+
 def _clean(c: Column) -> Column:
     c = c.cast("double")
     return F.when(~F.isnan(c), c)
@@ -41,10 +53,12 @@ def exact_quantiles(
     columns: Columns | Sequence[str],
     probs: Sequence[float],
     n_rows: int | None = None,
+    plan: Plan | None = None,
 ) -> dict[str, list[float | None]]:
     """Quantiles of several numeric expressions at once, on the driver: len(columns) x len(probs) numbers."""
     if not isinstance(columns, Mapping):
         columns = {n: dbl(n) for n in columns}
+    plan = plan or PLAN
     columns = {n: _clean(c) for n, c in columns.items()}
     if not columns:
         return {}
@@ -53,9 +67,9 @@ def exact_quantiles(
     groups = [dict(g) for g in chunks(list(columns.items()), 1 + 2 * len(probs))]
 
     def solve(part: Columns) -> dict:
-        if n_rows * len(part) <= BUILTIN_CELLS:
+        if n_rows * len(part) <= plan.builtin_cells:
             return _builtin(df, part, probs)
-        return _refined(df, part, probs, n_rows)
+        return _refined(df, part, probs, n_rows, plan)
 
     out: dict[str, list[float | None]] = {}
     for found in together(df.sparkSession, *[lambda g=g: solve(g) for g in groups]):
@@ -69,9 +83,9 @@ def _builtin(df: DataFrame, columns: Columns, probs: Sequence[float]) -> dict:
     return {n: list(row[i]) if row[i] is not None else [None] * len(probs) for i, n in enumerate(columns)}
 
 
-def _sketch(df: DataFrame, columns: Columns, probs: Sequence[float], n_rows: int):
+def _sketch(df: DataFrame, columns: Columns, probs: Sequence[float], n_rows: int, plan: Plan):
     """Per column and probability a (low, high) value bracket, or None where the sample is empty."""
-    rows = max(SAMPLE_ROWS, n_rows // 1000)
+    rows = max(plan.sample_rows, n_rows // 1000)
     drawn = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns.values())])
     if rows < n_rows:
         drawn = drawn.sample(fraction=rows / n_rows, seed=17)
@@ -108,8 +122,8 @@ def _count_if(test: Column) -> Column:
     return F.sum(F.when(test, F.lit(1)).otherwise(F.lit(0)))
 
 
-def _refined(df: DataFrame, columns: Columns, probs: Sequence[float], n_rows: int) -> dict:
-    brackets = _sketch(df, columns, probs, n_rows)
+def _refined(df: DataFrame, columns: Columns, probs: Sequence[float], n_rows: int, plan: Plan) -> dict:
+    brackets = _sketch(df, columns, probs, n_rows, plan)
     counted = []
     for n, c in columns.items():
         counted.append(F.count(c))
@@ -139,13 +153,13 @@ def _refined(df: DataFrame, columns: Columns, probs: Sequence[float], n_rows: in
             targets.append((n, j, first - below, last - below, position - first))
     if not targets:
         return out
-    picked = _pick(df, columns, brackets, targets, gathered)
+    picked = _pick(df, columns, brackets, targets, gathered <= plan.window_rows)
     for k, (n, j, first, last, fraction) in enumerate(targets):
         out[n][j] = interpolate(picked[k, first], picked[k, last], fraction)
     return out
 
 
-def _pick(df, columns, brackets, targets, gathered: int) -> dict[tuple[int, int], float]:
+def _pick(df, columns, brackets, targets, few: bool) -> dict[tuple[int, int], float]:
     """The values at the wanted positions of every bracket."""
     labels = [str(k) for k in range(len(targets))]
     values = (
@@ -160,7 +174,7 @@ def _pick(df, columns, brackets, targets, gathered: int) -> dict[tuple[int, int]
         .groupBy("target", "value")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    if gathered <= WINDOW_ROWS:
+    if few:
         upto = Window.partitionBy("target").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         placed = values.withColumn("upto", F.sum("cnt").over(upto))
     else:
@@ -184,9 +198,9 @@ def _pick(df, columns, brackets, targets, gathered: int) -> dict[tuple[int, int]
     return picked
 
 
-def quantile_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
+def quantile_stats(df: DataFrame, names: Sequence[str], plan: Plan | None = None) -> DataFrame:
     """Quartiles per column."""
-    found = exact_quantiles(df, names, [0.25, 0.5, 0.75])
+    found = exact_quantiles(df, names, [0.25, 0.5, 0.75], plan=plan)
     rows = [(n, *found[n]) for n in names]
     return local_frame(df.sparkSession, rows, "column string, q25 double, median double, q75 double")
 

@@ -1,7 +1,13 @@
-"""How ready a table is for modelling: seven scores of 0-100 and a weighted total."""
+"""How ready a table is for modelling: seven scores of 0-100 and a weighted total.
+
+What the scores need to know is a handful of counts, found by aggregates; the scores, their
+total, the grade and the messages are expressions over one row of these facts.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,151 +28,151 @@ WEIGHTS = {
 }
 GRADES = ((88, "Excellent"), (72, "Good"), (55, "Fair"))
 LAST_GRADE = "Needs Work"
+NULL_PENALTY, COPY_PENALTY = 5, 10  # points per percent
+SIZE_BANDS = ((100_000, 100.0), (10_000, 90.0), (1_000, 70.0), (200, 50.0))  # rows from, points
+SMALL_PER_ROW, SMALL_LEAST = 0.5, 5.0
+FEATURE_BANDS = (  # features over, points, points lost per feature over, points at least
+    (200, 100.0, 0.3, 20.0),
+    (50, 100.0, 0.8, 60.0),
+    (1, 100.0, 0.0, 100.0),
+    (0, 30.0, 0.0, 30.0),
+)
+NO_FEATURES, NO_TARGET, ONE_CLASS, ONE_SCALE = 10.0, 100.0, 50.0, 100.0
+LIMITS = {  # a message for scores under these
+    "completeness": 75,
+    "encoding": 80,
+    "no_duplicates": 85,
+    "scale_uniformity": 40,
+    "class_balance": 60,
+    "sample_size": 70,
+    "feature_count": 60,
+}
+FACTS = (
+    "n_rows bigint, n_cols bigint, nulls bigint, copies bigint, features bigint, non_numeric bigint, "
+    "narrowest double, widest double, rarest bigint, commonest bigint, classes bigint, "
+    "has_target boolean, continuous_target boolean"
+)
 
 
-def completeness_score(nulls: int, n_rows: int, n_cols: int) -> float:
-    return max(0.0, 100.0 - 5 * (nulls / max(n_rows * n_cols, 1) * 100))
+def _bands(value: Column, bands: Sequence[tuple], last: Column) -> Column:
+    """The first band whose bound ``value`` reaches."""
+    for least, points in reversed(bands):
+        last = F.when(value >= least, points).otherwise(last)
+    return last
 
 
-def encoding_score(df: DataFrame, target: str | None) -> tuple[float, int]:
-    """Score and number of feature columns that are not numeric (booleans count as such)."""
-    numeric = set(numeric_columns(df))
-    other = [c for c in df.columns if c not in numeric and c != target]
-    features = max(len(df.columns) - (1 if target else 0), 1)
-    return max(0.0, (1 - len(other) / features) * 100), len(other)
+def _percent(part: str, whole: Column) -> Column:
+    return F.col(part) / F.greatest(whole, F.lit(1)) * 100
 
 
-def duplicates_score(copies: int, n_rows: int) -> float:
-    return max(0.0, 100.0 - 10 * (copies / max(n_rows, 1) * 100))
+def _floor(points: Column, least: float = 0.0) -> Column:
+    return F.greatest(points, F.lit(float(least)))
 
 
-def scale_score(df: DataFrame, target: str | None) -> float:
-    """Smallest over largest value range of the non-constant numeric features."""
-    names = numeric_columns(df, exclude=[target] if target else [])
-    if len(names) < 2:
-        return 100.0
-    ranges = [v for v in aggregate(df, [F.max(dbl(n)) - F.min(dbl(n)) for n in names]) if v]
-    return min(min(ranges) / max(ranges) * 100, 100.0) if ranges else 100.0
+def _expressions() -> dict[str, Column]:
+    """Every score over a row of facts."""
+    n, k = F.col("n_rows"), F.col("features")
+    features = F.lit(NO_FEATURES)
+    for over, points, lost, least in reversed(FEATURE_BANDS):
+        features = F.when(k > over, _floor(points - (k - over) * lost, least)).otherwise(features)
+    ranges = F.least(F.col("narrowest") / F.col("widest") * 100, F.lit(100.0))
+    return {
+        "completeness": _floor(100 - NULL_PENALTY * _percent("nulls", n * F.col("n_cols"))),
+        "encoding": _floor((1 - F.col("non_numeric") / F.greatest(k, F.lit(1))) * 100),
+        "no_duplicates": _floor(100 - COPY_PENALTY * _percent("copies", n)),
+        "scale_uniformity": F.coalesce(ranges, F.lit(ONE_SCALE)),
+        "sample_size": _bands(n, SIZE_BANDS, _floor(n * SMALL_PER_ROW, SMALL_LEAST)),
+        "class_balance": F.when(F.col("classes").isNull(), NO_TARGET)
+        .when(F.col("classes") < 2, ONE_CLASS)
+        .otherwise(F.col("rarest") / F.col("commonest") * 100),
+        "feature_count": features,
+    }
 
 
-def size_score(n: int) -> float:
-    for least, score in ((100_000, 100.0), (10_000, 90.0), (1_000, 70.0), (200, 50.0)):
-        if n >= least:
-            return score
-    return max(5.0, n / 2)
+def _ranges(df: DataFrame, target: str | None) -> tuple:
+    """Smallest and largest value range of the numeric features that vary, if there are two features."""
+    names = numeric_columns(df, exclude=[target] if target else [])
+    spans = aggregate(df, [F.max(dbl(n)) - F.min(dbl(n)) for n in names]) if len(names) > 1 else []
+    spans = [s for s in spans if s]
+    return (min(spans), max(spans)) if spans else (None, None)
 
 
-def balance_score(df: DataFrame, target: str | None) -> float:
-    """Rarest over most common class; one class only scores 50, no target 100."""
+def _class_sizes(df: DataFrame, target: str | None) -> tuple:
+    """Size of the rarest and the commonest class, and the number of classes."""
     if not target or target not in df.columns:
-        return 100.0
-    counts = df.where(col(target).isNotNull()).groupBy(col(target)).agg(F.count(F.lit(1)).alias("n"))
-    row = counts.agg(F.min("n"), F.max("n"), F.count(F.lit(1))).first()
-    return row[0] / row[1] * 100 if row[2] >= 2 else 50.0
-
-
-def feature_score(k: int) -> float:
-    if 2 <= k <= 50:
-        return 100.0
-    if k > 200:
-        return max(20.0, 100 - (k - 200) * 0.3)
-    if k > 50:
-        return max(60.0, 100 - (k - 50) * 0.8)
-    return 30.0 if k == 1 else 10.0
+        return None, None, None
+    sizes = df.where(col(target).isNotNull()).groupBy(col(target)).agg(F.count(F.lit(1)).alias("n"))
+    return tuple(sizes.agg(F.min("n"), F.max("n"), F.count(F.lit(1))).first())
+
+
+def scores(df: DataFrame, target: str | None = None, wanted: Sequence[str] = tuple(WEIGHTS)) -> DataFrame:
+    """One row: the facts and the wanted scores, reading only what these need."""
+    unknown = [name for name in wanted if name not in WEIGHTS]
+    if unknown:
+        raise ValueError(f"no scores named {unknown}; have {', '.join(WEIGHTS)}")
+    wants = set(wanted).__contains__
+    jobs = (
+        (lambda: count_duplicates(df)) if wants("no_duplicates") else (lambda: (df.count(), None)),
+        (lambda: _null_total(df)) if wants("completeness") else (lambda: None),
+        (lambda: _ranges(df, target)) if wants("scale_uniformity") else (lambda: (None, None)),
+        (lambda: _class_sizes(df, target)) if wants("class_balance") else (lambda: (None, None, None)),
+    )
+    (n, copies), nulls, ranges, classes = together(df.sparkSession, *jobs)
+    numeric = set(numeric_columns(df))
+    inputs = [c for c in df.columns if c != target]
+    kind = df.schema[target].dataType if target in df.columns else None
+    facts = (
+        n, len(df.columns), nulls, copies, len(df.columns) - bool(target), sum(c not in numeric for c in inputs),
+        *ranges, *classes, bool(target), isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)),
+    )
+    row = local_frame(df.sparkSession, [facts], FACTS)
+    return row.select("*", *[e.cast("double").alias(k) for k, e in _expressions().items() if wants(k)])
 
 
 def single_score(df: DataFrame, name: str, target: str | None = None) -> DataFrame:
-    """One of the seven scores, reading only what that score needs."""
-    if name == "completeness":
-        value = completeness_score(_null_total(df), df.count(), len(df.columns))
-    elif name == "encoding":
-        value = encoding_score(df, target)[0]
-    elif name == "no_duplicates":
-        total, copies = count_duplicates(df)
-        value = duplicates_score(copies, total)
-    elif name == "scale_uniformity":
-        value = scale_score(df, target)
-    elif name == "sample_size":
-        value = size_score(df.count())
-    elif name == "class_balance":
-        value = balance_score(df, target)
-    elif name == "feature_count":
-        value = feature_score(len(df.columns) - (1 if target else 0))
-    else:
-        raise ValueError(f"no score named {name!r}; have {', '.join(WEIGHTS)}")
-    frame = local_frame(df.sparkSession, [(float(value),)], f"{name} double")
-    return frame.select(F.round(name, 4).alias(name))
-
-
-def scores(df: DataFrame, target: str | None = None) -> dict:
-    (n, copies), nulls, scale, balance = together(
-        df.sparkSession,
-        lambda: count_duplicates(df),
-        lambda: _null_total(df),
-        lambda: scale_score(df, target),
-        lambda: balance_score(df, target),
-    )
-    encoding, other = encoding_score(df, target)
-    target_type = df.schema[target].dataType if target in df.columns else None
-    return {
-        "completeness": completeness_score(nulls, n, len(df.columns)),
-        "encoding": encoding,
-        "no_duplicates": duplicates_score(copies, n),
-        "scale_uniformity": scale,
-        "sample_size": size_score(n),
-        "class_balance": balance,
-        "feature_count": feature_score(len(df.columns) - (1 if target else 0)),
-        "n_rows": n,
-        "n_cols": len(df.columns),
-        "non_numeric": other,
-        "has_target": bool(target),
-        "continuous_target": isinstance(target_type, (T.FloatType, T.DoubleType, T.DecimalType)),
-    }
+    """One of the seven scores."""
+    return scores(df, target, [name]).select(F.round(name, 4).alias(name))
 
 
-def score_frame(df: DataFrame, found: dict, digits: int = 4) -> DataFrame:
+def readiness_score(
+    df: DataFrame, target: str | None = None, found: DataFrame | None = None, digits: int = 4
+) -> DataFrame:
     """One row: every score, the weighted total and its grade."""
-    schema = ", ".join(f"{k} double" for k in WEIGHTS) + ", n_rows bigint, n_cols bigint"
-    rows = [[*[float(found[k]) for k in WEIGHTS], found["n_rows"], found["n_cols"]]]
-    frame = local_frame(df.sparkSession, rows, schema)
-    raw: Column = F.lit(0.0)
-    for k, w in WEIGHTS.items():
-        raw = raw + F.col(k) * w
-    grade = F.lit(LAST_GRADE)
-    for least, label in reversed(GRADES):
-        grade = F.when(raw >= least, label).otherwise(grade)
-    return frame.select(
+    found = scores(df, target) if found is None else found
+    total = F.aggregate(
+        F.array(*[F.col(k) * w for k, w in WEIGHTS.items()]), F.lit(0.0), lambda a, b: a + b
+    )
+    return found.withColumn("total", total).select(
         *[F.round(k, digits).alias(k) for k in WEIGHTS],
         "n_rows",
         "n_cols",
-        F.round(raw, 1).alias("score"),
-        grade.alias("grade"),
+        F.round("total", 1).alias("score"),
+        _bands(F.col("total"), GRADES, F.lit(LAST_GRADE)).alias("grade"),
     )
 
 
-def readiness_score(df: DataFrame, target: str | None = None) -> DataFrame:
-    return score_frame(df, scores(df, target))
-
-
-def readiness_issues(df: DataFrame, target: str | None = None, found: dict | None = None) -> DataFrame:
-    """The threshold messages that apply: (issue, detail)."""
-    s = found or scores(df, target)
-    rows = []
-    if s["completeness"] < 75:
-        missing = (100 - s["completeness"]) / 5
-        at_least = "at least " if s["completeness"] == 0 else ""
-        rows.append(("missing_data", f"{at_least}{missing:.1f}% of cells missing: impute before training"))
-    if s["encoding"] < 80:
-        rows.append(("encoding", f"{s['non_numeric']} non-numeric columns still need encoding"))
-    if s["no_duplicates"] < 85:
-        rows.append(("duplicates", "duplicate rows: remove them to avoid leakage"))
-    if s["scale_uniformity"] < 40:
-        rows.append(("scale", "feature scales vary widely: normalise or standardise"))
-    if s["class_balance"] < 60 and s["has_target"]:
-        detail = None if s["continuous_target"] else "class imbalance: consider resampling or class weights"
-        rows.append(("class_balance", detail))
-    if s["sample_size"] < 70:
-        rows.append(("sample_size", f"only {s['n_rows']} rows: risk of overfitting"))
-    if s["feature_count"] < 60:
-        rows.append(("feature_count", "unsuitable number of features: consider reducing dimensions"))
-    return local_frame(df.sparkSession, rows, "issue string, detail string")
+def readiness_issues(df: DataFrame, target: str | None = None, found: DataFrame | None = None) -> DataFrame:
+    """The messages of the scores under their limits: (issue, detail)."""
+    found = scores(df, target) if found is None else found
+    bound = F.when(F.col("completeness") == 0, "at least ").otherwise("")
+    missing = (100 - F.col("completeness")) / NULL_PENALTY
+    texts = {
+        "completeness": ("missing_data", F.format_string("%s%.1f%% of cells missing: impute before training", bound, missing)),
+        "encoding": ("encoding", F.format_string("%d non-numeric columns still need encoding", "non_numeric")),
+        "no_duplicates": ("duplicates", F.lit("duplicate rows: remove them to avoid leakage")),
+        "scale_uniformity": ("scale", F.lit("feature scales vary widely: normalise or standardise")),
+        "class_balance": (
+            "class_balance",
+            F.when(~F.col("continuous_target"), "class imbalance: consider resampling or class weights"),
+        ),
+        "sample_size": ("sample_size", F.format_string("only %d rows: risk of overfitting", "n_rows")),
+        "feature_count": ("feature_count", F.lit("unsuitable number of features: consider reducing dimensions")),
+    }
+    rows = [
+        F.when(
+            (F.col(k) < limit) & (F.col("has_target") if k == "class_balance" else F.lit(True)),
+            F.struct(F.lit(texts[k][0]).alias("issue"), texts[k][1].alias("detail")),
+        )
+        for k, limit in LIMITS.items()
+    ]
+    return found.select(F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))

@@ -11,11 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepflow.functions.columns import col, data_type, dbl, local_frame, micros, round_half_up, sized
+from prepflow.functions.columns import col, data_type, dbl, micros, round_half_up, sized
 from prepflow.operators.correlation import ROUNDING
 from prepflow.operators.ordering import (
     Frame,
@@ -147,12 +147,13 @@ def rolling(
     windows: Sequence[int] = WINDOWS,
     stats: Sequence[str] = ("mean", "std", "min", "max"),
     skip_short: bool = True,
+    chunk: int | None = None,
 ) -> DataFrame:
     """Rolling columns ``{stat}_{window}``; windows not shorter than the series stay NULL."""
     columns: dict[str, Frame] = {}
     for w in windows:
         columns.update(rolling_frames(F.col("v"), w, stats))
-    out = framed(series.frame, columns, series.n, series.keys)
+    out = framed(series.frame, columns, series.n, series.keys, size=chunk)
     if skip_short:
         out = out.withColumns(
             {f"{s}_{w}": F.when(F.col("n") > w, F.col(f"{s}_{w}")) for w in windows for s in stats}
@@ -279,11 +280,15 @@ def autocorr_lags(series: Series, max_lag: int = 7) -> DataFrame:
     return ranked if keys else ranked.limit(max_lag)  # a top-k of one series needs no second pass
 
 
-def lag_strength(lags: DataFrame, top: int = 3) -> DataFrame:
-    """Band every lag and keep the recommended ones: at most ``max_lag`` rows come in."""
+def lag_strength(lags: DataFrame, top: int = 3, keys: Sequence[str] = ()) -> DataFrame:
+    """Band every lag and keep the recommended ones of each series: at most ``max_lag`` rows per series come in."""
     size = F.abs("autocorr")
     band = F.when(size > 0.5, "Strong").when(size > 0.2, "Moderate").otherwise("Weak")
-    return lags.withColumn("strength", band).orderBy(F.desc(size), "lag").limit(top)
+    banded = lags.withColumn("strength", band)
+    if not keys:
+        return banded.orderBy(F.desc(size), "lag").limit(top)
+    order = Window.partitionBy(*[col(k) for k in keys]).orderBy(F.desc(size), "lag")
+    return banded.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= top).drop("__rank")
 
 
 # --- decomposition ------------------------------------------------------------------
@@ -307,11 +312,20 @@ def _moving_trend(m: int) -> Frame:
     return Frame(h, h, evaluate)
 
 
+def _per_series(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Join rows to the one row that ``right`` has for their ``names``, nulls equal."""
+    there = right.withColumnsRenamed({n: f"__r{i}" for i, n in enumerate(names)})
+    same = [col(n).eqNullSafe(F.col(f"__r{i}")) for i, n in enumerate(names)]
+    return left.join(sized(there), same).drop(*[f"__r{i}" for i in range(len(names))])
+
+
 def decompose(series: Series, period: int | None = None) -> DataFrame:
-    """Additive trend + season + residual of a single series.
+    """Additive trend + season + residual of every series.
 
     The trend's undefined ends continue the straight line through the nearest ``period``
-    defined points; the season is the centred mean of each phase.
+    defined points; the season is the centred mean of each phase. All series share the period, by
+    default that of the longest; a series shorter than two periods (or ten points) among
+    others has no parts, a single one is refused.
     """
     n = series.n
     if n < 10:
@@ -319,33 +333,36 @@ def decompose(series: Series, period: int | None = None) -> DataFrame:
     m = default_period(n) if period is None else period
     if n < 2 * m:
         raise ValueError(f"need at least {2 * m} points for period {m}")
-    front = m // 2
-    back = n - 1 - m // 2
-    front_last, back_first = min(front + m, back), max(front, back - m)
-    idx = F.col("idx")
-    reach = m // 2
-    near = series.frame.where((idx < front_last + reach) | (idx >= back_first - reach))
-    ends = framed(near, {"trend": _moving_trend(m)}, n)
+    idx, size, reach = F.col("idx"), F.col("n"), m // 2
+    back = size - 1 - reach
+    ends = ((F.lit(reach), F.least(F.lit(reach + m), back)), (F.greatest(F.lit(reach), back - m), back))
+    frame = series.frame.withColumn("__all", F.lit(0))
+    by = [*series.keys, "__all"]
+    near = frame.where((idx < ends[0][1] + reach) | (idx >= ends[1][0] - reach))
     x = idx.cast("double")
-    heads = ends.agg(
-        *[
-            agg(F.when((idx >= lo) & (idx < hi), F.col("trend")), x)
-            for lo, hi in ((front, front_last), (back_first, back))
-            for agg in (F.regr_slope, F.regr_intercept)
-        ]
-    ).first()
+    fitted = [
+        agg(F.when((idx >= lo) & (idx < hi), F.col("trend")), x).alias(f"__{name}{k}")
+        for k, (lo, hi) in enumerate(ends)
+        for name, agg in (("slope", F.regr_slope), ("start", F.regr_intercept))
+    ]
+    lines = framed(near, {"trend": _moving_trend(m)}, n, series.keys).groupBy(*[col(k) for k in by]).agg(*fitted)
+    whole = _per_series(framed(frame, {"trend": _moving_trend(m)}, n, series.keys), lines, by)
 
     def line(k: int) -> Column:
-        slope, start = heads[2 * k], heads[2 * k + 1]
-        return x * F.lit(slope if slope is not None else 0.0) + F.lit(start if start is not None else 0.0)
+        return x * F.coalesce(f"__slope{k}", F.lit(0.0)) + F.coalesce(f"__start{k}", F.lit(0.0))
 
-    trend = F.when(idx < front, line(0)).when(idx > back, line(1)).otherwise(F.col("trend"))
-    whole = framed(series.frame, {"trend": _moving_trend(m)}, n).withColumn("trend", trend)
-    phased = whole.withColumn("phase", (idx % m).cast("bigint")).withColumn("rest", F.col("v") - F.col("trend"))
-    phases = phased.groupBy("phase").agg(F.avg("rest").alias("mean"))
-    centre = phases.agg(F.avg("mean")).first()[0]
-    season = phases.select("phase", (F.col("mean") - F.lit(centre)).alias("seasonal"))
-    return phased.join(sized(season), "phase").withColumn("resid", F.col("rest") - F.col("seasonal")).drop("rest", "phase")
+    long_enough = size >= max(10, 2 * m)
+    trend = F.when(idx < reach, line(0)).when(idx > back, line(1)).otherwise(F.col("trend"))
+    phased = whole.withColumn("trend", F.when(long_enough, trend)).withColumns(
+        {"phase": (idx % m).cast("bigint"), "rest": F.col("v") - F.col("trend")}
+    )
+    phases = phased.groupBy(*[col(k) for k in by], "phase").agg(F.avg("rest").alias("mean"))
+    centres = phases.groupBy(*[col(k) for k in by]).agg(F.avg("mean").alias("centre"))
+    season = _per_series(phases, centres, by).select(
+        *[col(k) for k in by], "phase", (F.col("mean") - F.col("centre")).alias("seasonal")
+    )
+    out = _per_series(phased, season, [*by, "phase"]).withColumn("resid", F.col("rest") - F.col("seasonal"))
+    return out.select(*[col(c) for c in series.frame.columns], "trend", "seasonal", "resid")
 
 
 def decompose_ma(series: Series, period: int | None = None) -> DataFrame:
@@ -400,33 +417,28 @@ def _lag_rows(x: np.ndarray, first: int, lags: int) -> np.ndarray:
     return out
 
 
-def _cross_products(series: Series, lags: int, centre: float) -> np.ndarray:
-    """Sum of z z' over all regression rows: every task adds up its own chunks."""
+def _adf_lags(n: int, most: int | None = None) -> int:
+    """The largest lag order tried; below 0 the series is too short."""
+    lags = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
+    return lags if most is None else min(lags, most)
+
+
+def _products(part: pd.DataFrame, lags: int) -> pd.DataFrame:
+    """Sum of z z' over the regression rows of one chunk, and the first points of its series."""
     width = lags + 3
-    block = max(256, (1 << 22) // width)
     rows, cols = np.triu_indices(width)
-
-    def add_up(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        x = part["v"].to_numpy(dtype=float) - centre
-        first = max(int((~part["is_halo"]).to_numpy().argmax()), lags + 1)
-        total = np.zeros((width, width))
-        for at in range(first, len(x), block):
-            z = _lag_rows(x[at - lags - 1 : at + block], lags + 1, lags)
-            total += z.T @ z
-        return pd.DataFrame({"i": rows, "j": cols, "s": total[rows, cols]})
-
-    halo = with_halo(series.frame.select("idx", "v"), lags + 1, 0, chunk_size(series.n, lags + 1))
-    sums = (
-        halo.groupBy("chunk")
-        .applyInPandas(add_up, "i int, j int, s double")
-        .groupBy("i", "j")
-        .agg(F.sum("s").alias("s"))
-        .collect()
-    )
-    out = np.zeros((width, width))
-    for r in sums:
-        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["s"]
+    part = part.sort_values("idx")
+    x = part["v"].to_numpy(dtype=float) - float(part["centre"].iloc[0])
+    first = max(int((~part["is_halo"]).to_numpy().argmax()), lags + 1)
+    total = np.zeros((width, width))
+    block = max(256, (1 << 22) // width)
+    for at in range(first, len(x), block):
+        z = _lag_rows(x[at - lags - 1 : at + block], lags + 1, lags)
+        total += z.T @ z
+    out = pd.DataFrame({"i": rows, "j": cols, "s": total[rows, cols]})
+    if part["chunk"].iloc[0] == 0:
+        head = x[: lags + 1]
+        out = pd.concat([out, pd.DataFrame({"i": -1, "j": np.arange(len(head)), "s": head})])
     return out
 
 
@@ -441,23 +453,13 @@ def _solve(products: np.ndarray, used: Sequence[int], response: int):
     return beta, max(ssr, 0.0), np.diag(inverse)
 
 
-def adf_test(series: Series) -> dict:
-    """Augmented Dickey-Fuller test with a constant, lag order by AIC.
-
-    One pass sums the cross products for the largest lag order; every smaller order is a
-    sub-matrix of them. The few extra rows a smaller order gains at the start of the series
-    are added from its first points.
-    """
-    n = series.n
-    lags = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
-    if lags < 0:
-        raise ValueError("series is too short for a unit-root test")
-    low, high, centre = series.frame.agg(F.min("v"), F.max("v"), F.avg("v")).first()
-    if low == high:
-        raise ValueError("series is constant")
-    products = _cross_products(series, lags, centre)
-    response = lags + 2
-    rows = n - 1 - lags
+def _adf_solve(part: pd.DataFrame, n: int, lags: int) -> dict:
+    """The test of one series from its summed cross products (i, j, s) and first points (i = -1)."""
+    width, response, rows = lags + 3, lags + 2, n - 1 - lags
+    at = part[part["i"] >= 0]
+    products = np.zeros((width, width))
+    products[at["i"], at["j"]] = products[at["j"], at["i"]] = at["s"]
+    head = part[part["i"] < 0].sort_values("j")["s"].to_numpy(dtype=float)
     best = None
     for k in range(lags + 1):
         used = list(range(k + 2))
@@ -466,35 +468,94 @@ def adf_test(series: Series) -> dict:
         if best is None or aic < best[0]:
             best = (aic, k)
     k = best[1]
-    used = list(range(k + 2))
-    keep = used + [response]
+    keep = [*range(k + 2), response]
     final = products[np.ix_(keep, keep)].copy()
-    if k < lags:
-        head = series.frame.where(F.col("idx") <= lags).orderBy("idx").select("v").collect()
-        x = np.array([r["v"] for r in head]) - centre
-        z = _lag_rows(x, k + 1, k)
+    if k < lags:  # the rows that a smaller order gains at the start of the series
+        z = _lag_rows(head, k + 1, k)
         final += z.T @ z
     n_obs = n - 1 - k
     beta, ssr, inverse = _solve(final, list(range(k + 2)), k + 2)
     sigma = ssr / (n_obs - k - 2)
     statistic = float(beta[1] / math.sqrt(sigma * inverse[1]))
     p = adf_p_value(statistic)
+    critical = adf_critical(n_obs)
     return {
         "statistic": statistic,
         "p_value": p,
         "lags_used": k,
         "n_obs": n_obs,
-        "critical_values": adf_critical(n_obs),
+        **{f"critical_{level.rstrip('%')}": c for level, c in critical.items()},
         "is_stationary": p < 0.05,
     }
 
 
-def adf_frame(series: Series) -> DataFrame:
-    """The test as one row."""
-    a = adf_test(series)
-    row = [(a["statistic"], a["p_value"], a["lags_used"], a["n_obs"], *a["critical_values"].values(), a["is_stationary"])]
-    schema = (
-        "statistic double, p_value double, lags_used bigint, n_obs bigint, "
-        "critical_1 double, critical_5 double, critical_10 double, is_stationary boolean"
+ADF_FIELDS = (
+    "statistic double, p_value double, lags_used bigint, n_obs bigint, "
+    "critical_1 double, critical_5 double, critical_10 double, is_stationary boolean"
+)
+ADF_CHUNK = 1 << 16  # points that one call holds
+
+
+def adf_frame(series: Series, max_lags: int | None = None, chunk: int = ADF_CHUNK) -> DataFrame:
+    """Augmented Dickey-Fuller test with a constant, lag order by AIC: one row per series.
+
+    The orders tried go up to 12 (n / 100) ^ 1/4, or to ``max_lags`` if that is less.
+
+    Every chunk of points sums the cross products for the largest lag order; every smaller
+    order is a sub-matrix of the totals, so one pass serves all orders. A series that is too
+    short or constant has a row of NULLs.
+    """
+    names = [f"__k{i}" for i in range(len(series.keys))]
+    keyed = series.frame.select(*[col(k).alias(a) for k, a in zip(series.keys, names)], "idx", "v", "n").withColumn(
+        "__all", F.lit(0)
+    )
+    by = [*names, "__all"]
+    facts = keyed.groupBy(*by).agg(
+        F.max("n").alias("size"), F.avg("v").alias("centre"), (F.min("v") < F.max("v")).alias("varies")
+    )
+    usable = facts.where(F.col("varies") & (F.col("size") >= 4)).select(*by, "centre")
+    reach = max(_adf_lags(series.n, max_lags), 0) + 1
+    points = _per_series(keyed, usable, by)
+    halo = with_halo(points, reach, 0, max(chunk, reach))
+    types = {f.name: f.dataType.simpleString() for f in halo.schema}
+    lead = ", ".join(f"`{k}` {types[k]}" for k in by)
+
+    def add_up(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        n = int(part["n"].iloc[0])
+        out = _products(part, _adf_lags(n, max_lags))
+        for k, value in zip([*by, "n"], [*key[:-1], n]):
+            out[k] = value
+        return out[[*by, "n", "i", "j", "s"]]
+
+    sums = (
+        halo.groupBy(*by, "chunk")
+        .applyInPandas(add_up, f"{lead}, n bigint, i int, j int, s double")
+        .groupBy(*by, "n", "i", "j")
+        .agg(F.sum("s").alias("s"))
     )
-    return local_frame(series.frame.sparkSession, row, schema)
+
+    def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        n = int(part["n"].iloc[0])
+        found = _adf_solve(part, n, _adf_lags(n, max_lags))
+        return pd.DataFrame([{**dict(zip(by, key)), **found}])
+
+    found = sums.groupBy(*by).applyInPandas(solve, f"{lead}, {ADF_FIELDS}")
+    there = found.withColumnsRenamed({k: f"{k}_r" for k in by})
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in by]
+    out = facts.join(there, same, "left")
+    fields = [f.split()[0] for f in ADF_FIELDS.split(", ")]
+    return out.select(*[F.col(a).alias(k) for k, a in zip(series.keys, names)], *fields)
+
+
+def adf_test(series: Series, max_lags: int | None = None, chunk: int = ADF_CHUNK) -> dict:
+    """The test of a single series, which must be long enough and vary."""
+    if series.keys:
+        raise ValueError("several series: adf_frame has a row for each")
+    if _adf_lags(series.n) < 0:
+        raise ValueError("series is too short for a unit-root test")
+    row = adf_frame(series, max_lags, chunk).first()
+    if row["statistic"] is None:
+        raise ValueError("series is constant")
+    out = row.asDict()
+    out["critical_values"] = {level: out.pop(f"critical_{level.rstrip('%')}") for level in CRITICAL}
+    return out

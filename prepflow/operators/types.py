@@ -21,7 +21,6 @@ from prepflow.functions.columns import (
 
 # fixed values
 KINDS = ("numeric", "categorical", "datetime", "boolean", "text")
-PROBE_VALUES = 200
 TEXT_LENGTH = 80
 DATE_SHAPES = (
     r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$",
@@ -69,30 +68,21 @@ def parse_datetime(c: Column) -> Column:
     return F.coalesce(*tries)
 
 
-def datetime_probe(
-    df: DataFrame, names: Sequence[str] | None = None, order_by: Sequence[str] = ()
-) -> DataFrame:
-    """Per string column: how many of the first 200 non-null values were seen, and how many parse.
+DATE_COUNTS = {
+    "probed": lambda n: F.count(col(n)),
+    "parsed": lambda n: F.count(F.when(parse_datetime(F.trim(col(n))).isNotNull(), 1)),
+}
 
-    With ``order_by`` "first" is deterministic (a top-k, no full sort); without it the
-    first values the scan yields are used.
+
+def datetime_probe(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """Per string column: how many values are present and how many read as dates, over all rows.
+
+    A column of dates has no other value: one text among them and it stays text.
     """
     names = list(names if names is not None else string_columns(df))
-    probes = None
-    for n in names:
-        present = df.where(col(n).isNotNull())
-        if order_by:
-            present = present.orderBy(*[col(k) for k in order_by])
-        head = present.limit(PROBE_VALUES).select(
-            F.lit(n).alias("column"), parse_datetime(F.trim(col(n))).isNotNull().alias("ok")
-        )
-        probe = head.agg(
-            F.count(F.lit(1)).alias("probed"), F.count(F.when(F.col("ok"), 1)).alias("parsed")
-        ).select(F.lit(n).alias("column"), "probed", "parsed")
-        probes = probe if probes is None else probes.unionByName(probe)
-    if probes is None:
+    if not names:
         return local_frame(df.sparkSession, [], "column string, probed bigint, parsed bigint, is_datetime boolean")
-    return probes.withColumn(
+    return per_column_agg(df, names, DATE_COUNTS).withColumn(
         "is_datetime", (F.col("probed") > 0) & (F.col("parsed") == F.col("probed"))
     )
 
@@ -103,15 +93,16 @@ def avg_text_length(df: DataFrame, names: Sequence[str] | None = None) -> DataFr
     return per_column_agg(df, names, {"avg_length": lambda n: F.avg(F.length(col(n)))})
 
 
-def detect_column_types(df: DataFrame, order_by: Sequence[str] = ()) -> ColumnTypes:
-    """Type every column: by schema first, strings by a date probe and their mean length."""
+def detect_column_types(df: DataFrame) -> ColumnTypes:
+    """Type every column: by schema first, strings by whether all are dates and by their mean length."""
     strings = string_columns(df)
     dates, lengths = set(), {}
     if strings:
-        dates = {r["column"] for r in datetime_probe(df, strings, order_by).collect() if r["is_datetime"]}
-        rest = [n for n in strings if n not in dates]
-        if rest:
-            lengths = {r["column"]: r["avg_length"] or 0.0 for r in avg_text_length(df, rest).collect()}
+        parts = {**DATE_COUNTS, "avg_length": lambda n: F.avg(F.length(col(n)))}
+        for r in per_column_agg(df, strings, parts).collect():
+            lengths[r["column"]] = r["avg_length"] or 0.0
+            if r["probed"] and r["parsed"] == r["probed"]:
+                dates.add(r["column"])
     kinds = {}
     for f in df.schema:
         kind = f.dataType
@@ -132,14 +123,14 @@ def detect_column_types(df: DataFrame, order_by: Sequence[str] = ()) -> ColumnTy
     return ColumnTypes.of(kinds)
 
 
-def column_types(df: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
-    rows = detect_column_types(df, order_by).items()
+def column_types(df: DataFrame) -> DataFrame:
+    rows = detect_column_types(df).items()
     return local_frame(df.sparkSession, rows, "column string, kind string")
 
 
-def type_distribution(df: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
+def type_distribution(df: DataFrame) -> DataFrame:
     """Number of columns per semantic type; types without columns are left out."""
-    return column_types(df, order_by).groupBy("kind").agg(F.count(F.lit(1)).alias("columns"))
+    return column_types(df).groupBy("kind").agg(F.count(F.lit(1)).alias("columns"))
 
 
 def time_columns(types: ColumnTypes) -> list[str]:

@@ -52,8 +52,8 @@ class PrepSpec:
         rows += [("features", n, "sqrt") for n in f.sqrt_transform]
         rows += [("features", n, "square") for n in f.square_transform]
         rows += [("features", f"{a}_x_{b}", "interaction") for a, b in f.interaction_terms]
-        rows += [("features", i["name"], f"formula: {i['formula']}") for i in f.custom_formulas]
-        rows += [("features", i["col"], f"bin: {i.get('strategy', 'quantile')}") for i in f.binning]
+        rows += [("features", i.name, f"formula: {i.formula}") for i in f.custom_formulas]
+        rows += [("features", i.col, f"bin: {i.strategy}") for i in f.binning]
         numbered = [(i, *r) for i, r in enumerate(rows, 1)]
         return local_frame(spark, numbered, "step bigint, stage string, `column` string, action string")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prepflow.operators import frequency, profile, quantiles, readiness, scan, types
+from prepflow.operators import cleaning, features, frequency, profile, quantiles, readiness, scan, types
 from prepflow.queries.registry import (
     COLUMNS,
     DOCS_L,
@@ -54,6 +54,29 @@ def _(spark, sf):
     return tables.read_csv(spark, path, "o_orderkey bigint, o_totalprice double, o_orderpriority string")
 
 
+@query("csv_round_trip", "SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents")
+def _(spark, sf):
+    path = scratch_path(spark, "documents") + ".csv"
+    tables.write_csv(table(spark, sf, "documents"), path)
+    return tables.read_csv(spark, path, multi_line=True)
+
+
+@query(
+    "current_stage",
+    f"""WITH c AS (SELECT DISTINCT * FROM ({ORDERS_N.sql}) WHERE o_orderpriority IS NOT NULL)
+    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, round(o_totalprice * o_totalprice, 2) AS o_totalprice_sq FROM c""",
+)
+def _(spark, sf):
+    """Raw, cleaned, engineered; the latest is written and read back."""
+    raw = ORDERS_N.df(spark, sf).drop("o_orderdate")
+    cleaned = cleaning.apply_cleaning(raw, cleaning.CleanSpec(True, {"o_orderpriority": cleaning.ColumnRule("drop")}))[0]
+    engineered = features.apply_features(cleaned, features.FeatureSpec(square_transform=["o_totalprice"]))[0]
+    path = scratch_path(spark, "stage") + ".csv"
+    tables.write_csv(tables.current_stage(raw, cleaned, engineered), path)
+    out = tables.read_table(spark, path)
+    return out.withColumn("o_totalprice_sq", F.round("o_totalprice_sq", 2))
+
+
 @query("read_json", "SELECT p_partkey, p_name, p_brand, p_size::BIGINT AS p_size, p_retailprice FROM part")
 def _(spark, sf):
     path = scratch_path(spark, "part") + ".json"
@@ -102,12 +125,12 @@ _TEXTS = ["text", "lang", "source"]
         _TEXTS,
         """SELECT '{c}' AS "column",
            CASE WHEN (SELECT count(*) > 0 AND count(*) = count(TRY_CAST(v AS TIMESTAMP)) FROM
-                 (SELECT {c} AS v FROM documents WHERE {c} IS NOT NULL ORDER BY doc_id LIMIT 200)) THEN 'datetime'
+                 (SELECT {c} AS v FROM documents WHERE {c} IS NOT NULL)) THEN 'datetime'
                 WHEN (SELECT avg(length({c})) FROM documents) > 80 THEN 'text' ELSE 'categorical' END AS kind""",
     ),
 )
 def _(spark, sf):
-    return types.column_types(table(spark, sf, "documents"), ["doc_id"])
+    return types.column_types(table(spark, sf, "documents"))
 
 
 @query("type_distribution", "SELECT kind, count(*) AS columns FROM (" + each(
@@ -117,26 +140,45 @@ def _(spark, sf):
        WHEN avg(length({c}::VARCHAR)) > 80 THEN 'text' ELSE 'categorical' END AS kind FROM orders""",
 ) + ") GROUP BY kind")
 def _(spark, sf):
-    return types.type_distribution(table(spark, sf, "orders"), ["o_orderkey"])
+    return types.type_distribution(table(spark, sf, "orders"))
+
 
+# Text dates; text dates of which one late row is none; other texts.
+_DATED = """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day_text,
+    CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS nearly,
+    o_orderpriority FROM orders"""
 
-_DATED = "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day_text, o_orderstatus, o_orderpriority FROM orders"
+
+def _dated(spark, sf):
+    orders = table(spark, sf, "orders")
+    last = F.broadcast(orders.agg(F.max("o_orderkey").alias("last")))  # one row
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return orders.join(last, F.col("o_orderkey") == F.col("last"), "left").select(
+        "o_orderkey", day.alias("day_text"), F.when(F.col("last").isNull(), day).otherwise("unknown").alias("nearly"),
+        "o_orderpriority",
+    )
 
 
 @query(
     "datetime_probe",
     each(
-        ["day_text", "o_orderstatus", "o_orderpriority"],
+        ["day_text", "nearly", "o_orderpriority"],
         f"""SELECT '{{c}}' AS "column", count(*) AS probed, count(TRY_CAST(v AS TIMESTAMP)) AS parsed,
             count(*) = count(TRY_CAST(v AS TIMESTAMP)) AS is_datetime
-            FROM (SELECT {{c}} AS v FROM ({_DATED}) WHERE {{c}} IS NOT NULL ORDER BY o_orderkey LIMIT 200)""",
+            FROM (SELECT {{c}} AS v FROM ({_DATED}) WHERE {{c}} IS NOT NULL)""",
     ),
 )
 def _(spark, sf):
-    dated = table(spark, sf, "orders").select(
-        "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day_text"), "o_orderstatus", "o_orderpriority"
-    )
-    return types.datetime_probe(dated, order_by=["o_orderkey"])
+    return types.datetime_probe(_dated(spark, sf))
+
+
+@query(
+    "column_types_late_text",
+    """SELECT 'o_orderkey' AS "column", 'numeric' AS kind UNION ALL SELECT 'day_text', 'datetime'
+       UNION ALL SELECT 'nearly', 'categorical' UNION ALL SELECT 'o_orderpriority', 'categorical'""",
+)
+def _(spark, sf):
+    return types.column_types(_dated(spark, sf))
 
 
 @query(
@@ -272,6 +314,40 @@ def _(spark, sf):
     return found.select("column", *[F.round(c, 6).alias(c) for c in ("q25", "median", "q75")])
 
 
+_MANY = ["l_extendedprice", "l_quantity", "l_partkey"]
+
+
+@query(
+    "quantile_stats_refined",
+    each(
+        _MANY,
+        """SELECT '{c}' AS "column", round(quantile_cont({c}::DOUBLE, 0.25), 6) AS q25,
+           round(quantile_cont({c}::DOUBLE, 0.5), 6) AS median,
+           round(quantile_cont({c}::DOUBLE, 0.75), 6) AS q75 FROM lineitem""",
+    ),
+)
+def _(spark, sf):
+    """The same answers by brackets, as for tables of any size."""
+    found = quantiles.quantile_stats(table(spark, sf, "lineitem"), _MANY, quantiles.Plan(builtin_cells=0))
+    return found.select("column", *[F.round(c, 6).alias(c) for c in ("q25", "median", "q75")])
+
+
+@query(
+    "quantile_stats_ranged",
+    each(
+        _MANY,
+        """SELECT '{c}' AS "column", round(quantile_cont({c}::DOUBLE, 0.25), 6) AS q25,
+           round(quantile_cont({c}::DOUBLE, 0.5), 6) AS median,
+           round(quantile_cont({c}::DOUBLE, 0.75), 6) AS q75 FROM lineitem""",
+    ),
+)
+def _(spark, sf):
+    """And with the values inside the brackets placed by range partitions."""
+    plan = quantiles.Plan(builtin_cells=0, window_rows=0, sample_rows=1_000)
+    found = quantiles.quantile_stats(table(spark, sf, "lineitem"), _MANY, plan)
+    return found.select("column", *[F.round(c, 6).alias(c) for c in ("q25", "median", "q75")])
+
+
 _SHAPED = NUMERIC["lineitem"]
 
 
@@ -413,7 +489,7 @@ EVENTS_PROFILE = profile_sql("SELECT * FROM events", _EVENT_KINDS)
 
 @query("column_profile", _ORDERS_PROFILE)
 def _(spark, sf):
-    return profile_frame(profile.column_profile(ORDERS_N.df(spark, sf), order_by=["o_orderkey"]))
+    return profile_frame(profile.column_profile(ORDERS_N.df(spark, sf)))
 
 
 @query("column_profile_lineitem", profile_sql("SELECT * FROM lineitem", _LINE_KINDS))
@@ -427,7 +503,7 @@ def _(spark, sf):
         outlier_count, top_value FROM ({EVENTS_PROFILE})""",
 )
 def _(spark, sf):
-    shown = profile.column_stats_table(profile.profile(table(spark, sf, "events"), order_by=["event_id"]))
+    shown = profile.column_stats_table(profile.profile(table(spark, sf, "events")))
     return shown.drop("dtype").withColumns({c: F.round(c, 4) for c in ("mean", "std")})
 
 
@@ -436,7 +512,7 @@ def _(spark, sf):
     f"""SELECT "column", skewness, kurtosis, outlier_pct FROM ({EVENTS_PROFILE}) WHERE kind = 'numeric'""",
 )
 def _(spark, sf):
-    return profile.eda_stats(profile.profile(table(spark, sf, "events"), order_by=["event_id"]))
+    return profile.eda_stats(profile.profile(table(spark, sf, "events")))
 
 
 def _health_sql(profiled: str) -> str:
@@ -455,7 +531,7 @@ def _joined_issues(health):
 
 @query("column_health", _health_sql(EVENTS_PROFILE))
 def _(spark, sf):
-    p = profile.profile(table(spark, sf, "events"), order_by=["event_id"])
+    p = profile.profile(table(spark, sf, "events"))
     return _joined_issues(profile.column_health(p))
 
 
@@ -465,7 +541,7 @@ def _(spark, sf):
         WHERE null_count > 0 OR outlier_count > 0""",
 )
 def _(spark, sf):
-    return profile.columns_with_issues(profile.profile(ORDERS_N.df(spark, sf), order_by=["o_orderkey"]))
+    return profile.columns_with_issues(profile.profile(ORDERS_N.df(spark, sf)))
 
 
 # --- quality rules -------------------------------------------------------------------
@@ -533,7 +609,7 @@ def _text_numbers_sql(columns, base):
 
 @query("scan_id_columns", _ids_sql(COLUMNS["orders"], "orders"))
 def _(spark, sf):
-    return scan.scan_id_columns(profile.profile(table(spark, sf, "orders"), order_by=["o_orderkey"]))
+    return scan.scan_id_columns(profile.profile(table(spark, sf, "orders")))
 
 
 @query("scan_constant", _constant_sql(_LINE_X_COLUMNS, f"({LINE_X.sql})"))
@@ -549,12 +625,12 @@ def _(spark, sf):
 
 @query("scan_skewed", _skewed_sql(NUMERIC["events"], "events"))
 def _(spark, sf):
-    return scan.scan_skewed(profile.profile(table(spark, sf, "events"), order_by=["event_id"]))
+    return scan.scan_skewed(profile.profile(table(spark, sf, "events")))
 
 
 @query("scan_high_missing", _missing_sql(_DOCS_COLUMNS, f"({DOCS_L})"))
 def _(spark, sf):
-    return scan.scan_high_missing(profile.profile(docs_labels(spark, sf), order_by=["doc_id"]))
+    return scan.scan_high_missing(profile.profile(docs_labels(spark, sf)))
 
 
 @query("scan_numeric_strings", _text_numbers_sql(["l_parttext", "l_returnflag"], f"({LINE_X.sql})"))
@@ -592,7 +668,7 @@ def _ready_sql(base: str, columns: list[str], numeric: list[str], target: str) -
     ranges = "\nUNION ALL\n".join(
         f"SELECT max({c})::DOUBLE - min({c})::DOUBLE AS r FROM base" for c in numeric if c != target
     )
-    k = len(columns)
+    k, m = len(columns), len(features)
     return f"""WITH base AS ({base}),
     a AS (SELECT count(*) AS n, ({nulls})::DOUBLE AS nulls FROM base),
     d AS (SELECT coalesce(sum(c - 1), 0)::DOUBLE AS copies FROM (SELECT count(*) AS c FROM base GROUP BY {", ".join(columns)})),
@@ -606,7 +682,8 @@ def _ready_sql(base: str, columns: list[str], numeric: list[str], target: str) -
         (CASE WHEN n >= 100000 THEN 100.0 WHEN n >= 10000 THEN 90.0 WHEN n >= 1000 THEN 70.0 WHEN n >= 200 THEN 50.0
              ELSE greatest(5.0, n / 2.0) END)::DOUBLE AS sample_size,
         balance AS class_balance,
-        {readiness.feature_score(len(features))}::DOUBLE AS feature_count, n AS n_rows, {k}::BIGINT AS n_cols
+        (CASE WHEN {m} > 200 THEN greatest(20.0, 100 - ({m} - 200) * 0.3) WHEN {m} > 50 THEN greatest(60.0, 100 - ({m} - 50) * 0.8)
+             WHEN {m} > 1 THEN 100.0 WHEN {m} = 1 THEN 30.0 ELSE 10.0 END)::DOUBLE AS feature_count, n AS n_rows, {k}::BIGINT AS n_cols
     FROM a, d, r, b"""
 
 

@@ -208,6 +208,22 @@ def _(spark, sf):
     return _long_ids(correlation.corr_spearman(df, ["o_orderkey", "o_custkey", "o_totalprice"], digits=4))
 
 
+@query(
+    "corr_pearson_wide",
+    "WITH p AS ("
+    + "\nUNION ALL\n".join(
+        f"""SELECT '{a}' AS col_a, '{b}' AS col_b, {i}::BIGINT AS i, {j}::BIGINT AS j, corr({a}, {b}) AS r FROM lineitem"""
+        for i, a in enumerate(NUMERIC["lineitem"])
+        for j, b in enumerate(NUMERIC["lineitem"])
+    )
+    + ") SELECT col_a, col_b, i, j, round(r, 6) + 0.0 AS r FROM p",
+)
+def _(spark, sf):
+    """Cross products summed in blocks, as for tables with many columns."""
+    found = correlation.corr_pearson(table(spark, sf, "lineitem"), NUMERIC["lineitem"], 6, summed_columns=0)
+    return _long_ids(found)
+
+
 @query(
     "target_corr",
     "SELECT \"column\", round(r, 4) AS abs_r, CASE WHEN r >= 0.5 THEN 'strong' WHEN r >= 0.2 THEN 'moderate' ELSE 'weak' END AS band FROM ("
@@ -258,19 +274,15 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = ORDERS_N.df(spark, sf)
-    return eda.pair_points(df, types.detect_column_types(df, ["o_orderkey"]), "o_orderpriority")
+    return eda.pair_points(df, types.detect_column_types(df), "o_orderpriority")
 
 
 @query(
     "scatter_3d",
-    f"""SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM ({ORDERS_N.sql}) WHERE o_totalprice IS NOT NULL
-        ORDER BY md5('|' || o_orderkey::VARCHAR), o_orderkey LIMIT 500""",
+    f"""SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM ({ORDERS_N.sql}) WHERE o_totalprice IS NOT NULL""",
 )
 def _(spark, sf):
-    return eda.scatter_3d(
-        ORDERS_N.df(spark, sf), "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus",
-        max_points=500, keys=["o_orderkey"],
-    )
+    return eda.scatter_3d(ORDERS_N.df(spark, sf), "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
 
 
 @query(
@@ -405,6 +417,16 @@ def _(spark, sf):
     return _rounded(timeseries.rolling(_gappy(spark, sf)).drop("t", "n"))
 
 
+@query(
+    "rolling_multi_chunks",
+    f"""{_SERIES_N} SELECT event_id, v, idx::BIGINT AS idx,
+        {", ".join(_roll_sql(s, w) for w in (7, 30) for s in ("mean", "std", "min", "max"))} FROM e""",
+)
+def _(spark, sf):
+    """The same frames over many chunks, as for long series."""
+    return _rounded(timeseries.rolling(_gappy(spark, sf), (7, 30), chunk=256).drop("t", "n"))
+
+
 @query(
     "rolling_keyed",
     f"""{_KEYED} SELECT event_type, event_id, {_roll_sql("mean", 7, "PARTITION BY event_type")},
@@ -456,7 +478,49 @@ def _(spark, sf):
     return summary.drop("adf_statistic", "adf_p_value", "stationary").withColumn("slope", F.col("slope") + 0.0)
 
 
-@query("adf_test")
+def _adf_sql(by: str, base: str) -> str:
+    """The test with no or one lagged change, whichever has the smaller AIC, from centred sums.
+
+    With y the change, x the level before it and z the change before that, the regressions on x
+    alone and on x and z have closed forms.
+    """
+    return f"""{base}, l AS (SELECT {by} AS k, idx, n, v, lag(v) OVER w AS x, lag(v, 2) OVER w AS x2 FROM e WINDOW w AS (PARTITION BY {by} ORDER BY idx)),
+    d AS (SELECT k, idx, v - x AS y, x, x - x2 AS z FROM l WHERE idx >= 1),
+    s AS (SELECT k, f, count(*)::DOUBLE AS n, var_pop(y) * count(*) AS syy, var_pop(x) * count(*) AS sxx, covar_pop(x, y) * count(*) AS sxy,
+            var_pop(z) * count(*) AS szz, covar_pop(x, z) * count(*) AS sxz, covar_pop(z, y) * count(*) AS szy
+          FROM d, (VALUES (1), (2)) r(f) WHERE idx >= f GROUP BY k, f),
+    m AS (SELECT *, syy - sxy * sxy / sxx AS ssr0, sxx * szz - sxz * sxz AS det, (sxy * szz - szy * sxz) / (sxx * szz - sxz * sxz) AS bx,
+            (szy * sxx - sxy * sxz) / (sxx * szz - sxz * sxz) AS bz FROM s),
+    a AS (SELECT *, syy - bx * sxy - bz * szy AS ssr1 FROM m),
+    pick AS (SELECT k, CASE WHEN n * ln(ssr1 / n) + 6 < n * ln(ssr0 / n) + 4 THEN 1 ELSE 0 END AS lags FROM a WHERE f = 2),
+    t AS (SELECT a.k, lags, n, CASE WHEN lags = 0 THEN sxy / sxx / sqrt(ssr0 / (n - 2) / sxx) ELSE bx / sqrt(ssr1 / (n - 3) * szz / det) END AS stat
+          FROM a JOIN pick ON a.k = pick.k AND a.f = pick.lags + 1)
+    SELECT k AS series, round(stat, 6) AS statistic, lags::BIGINT AS lags_used, n::BIGINT AS n_obs,
+        round(-3.43035 - 6.5393 / n - 16.786 / n ** 2 - 79.433 / n ** 3, 6) AS critical_1,
+        round(-2.86154 - 2.8903 / n - 4.234 / n ** 2 - 40.040 / n ** 3, 6) AS critical_5,
+        round(-2.56677 - 1.5384 / n - 2.809 / n ** 2, 6) AS critical_10,
+        stat < -2.86154 - 2.8903 / n - 4.234 / n ** 2 - 40.040 / n ** 3 AS is_stationary FROM t"""
+
+
+def _adf_rows(series, name):
+    found = timeseries.adf_frame(series, max_lags=1)
+    figures = ("statistic", "critical_1", "critical_5", "critical_10")
+    return found.select(
+        name.alias("series"), "lags_used", "n_obs", "is_stationary", *[F.round(c, 6).alias(c) for c in figures]
+    )
+
+
+@query("adf_test", _adf_sql("'all'", _SERIES))
+def _(spark, sf):
+    return _adf_rows(_events(spark, sf), F.lit("all"))
+
+
+@query("adf_test_keyed", _adf_sql("event_type", _KEYED))
+def _(spark, sf):
+    return _adf_rows(_events_by_type(spark, sf), F.col("event_type"))
+
+
+@query("adf_test_all_lags")
 def _(spark, sf):
     return timeseries.adf_frame(_events(spark, sf))
 
@@ -471,23 +535,26 @@ def _(spark, sf):
     return timeseries.variance_ratio(_events(spark, sf)).withColumn("ratio", F.round("ratio", 6))
 
 
-def _decompose_sql(m: int) -> str:
+def _decompose_sql(m: int, keyed: bool = False) -> str:
+    """By series of an event type, or of the one series that all events are."""
     h = m // 2
-    frame = f"OVER (ORDER BY idx ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING)"
+    key, base = ("event_type", _KEYED) if keyed else ("1", _SERIES)
+    frame = f"OVER (PARTITION BY k ORDER BY idx ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING)"
     total = f"sum(v) {frame}"
     if m % 2 == 0:
         total = f"({total} - (first(v) {frame} + last(v) {frame}) / 2)"
-    return f"""{_SERIES},
-    t AS (SELECT event_id, idx, n, v, CASE WHEN count(*) {frame} = {2 * h + 1} THEN {total} / {m} END AS tr FROM e),
-    ends AS (SELECT regr_slope(tr, idx) FILTER (WHERE idx >= {h} AND idx < {h + m}) AS s0,
+    return f"""{base}, x AS (SELECT *, {key} AS k FROM e),
+    t AS (SELECT k, event_id, idx, n, v, CASE WHEN count(*) {frame} = {2 * h + 1} THEN {total} / {m} END AS tr FROM x),
+    ends AS (SELECT k, regr_slope(tr, idx) FILTER (WHERE idx >= {h} AND idx < {h + m}) AS s0,
             regr_intercept(tr, idx) FILTER (WHERE idx >= {h} AND idx < {h + m}) AS i0,
             regr_slope(tr, idx) FILTER (WHERE idx >= n - 1 - {h} - {m} AND idx < n - 1 - {h}) AS s1,
-            regr_intercept(tr, idx) FILTER (WHERE idx >= n - 1 - {h} - {m} AND idx < n - 1 - {h}) AS i1 FROM t),
-    f AS (SELECT event_id, idx, v, CASE WHEN idx < {h} THEN s0 * idx + i0 WHEN idx > n - 1 - {h} THEN s1 * idx + i1 ELSE tr END AS trend FROM t, ends),
-    p AS (SELECT idx % {m} AS ph, avg(v - trend) AS pm FROM f GROUP BY 1),
-    q AS (SELECT ph, pm - (SELECT avg(pm) FROM p) AS seasonal FROM p)
+            regr_intercept(tr, idx) FILTER (WHERE idx >= n - 1 - {h} - {m} AND idx < n - 1 - {h}) AS i1 FROM t GROUP BY k),
+    f AS (SELECT t.k, event_id, idx, v, CASE WHEN idx < {h} THEN s0 * idx + i0 WHEN idx > n - 1 - {h} THEN s1 * idx + i1 ELSE tr END AS trend
+          FROM t JOIN ends ON t.k = ends.k),
+    p AS (SELECT k, idx % {m} AS ph, avg(v - trend) AS pm FROM f GROUP BY 1, 2),
+    q AS (SELECT k, ph, pm - avg(pm) OVER (PARTITION BY k) AS seasonal FROM p)
     SELECT event_id, v, round(trend, 6) + 0.0 AS trend, round(seasonal, 6) + 0.0 AS seasonal, round(v - trend - seasonal, 6) + 0.0 AS resid
-    FROM f JOIN q ON f.idx % {m} = q.ph"""
+    FROM f JOIN q ON f.k = q.k AND f.idx % {m} = q.ph"""
 
 
 def _parts(df):
@@ -501,6 +568,15 @@ def _(spark, sf):
     return _parts(timeseries.decompose(_events(spark, sf)))
 
 
+def _events_by_type(spark, sf):
+    return timeseries.prepare(table(spark, sf, "events"), "ts", "value", ["event_id"], ["event_type"])
+
+
+@query("decompose_keyed", _decompose_sql(7, keyed=True))
+def _(spark, sf):
+    return _parts(timeseries.decompose(_events_by_type(spark, sf), 7))
+
+
 @query("decompose_odd_period", _decompose_sql(7))
 def _(spark, sf):
     return _parts(timeseries.decompose(_events(spark, sf), 7))
@@ -517,6 +593,25 @@ def _(spark, sf):
     return _parts(timeseries.decompose_ma(_events(spark, sf)))
 
 
+def _lags_keyed_sql(max_lag: int) -> str:
+    lagged = ", ".join(f"lag(v, {k}) OVER (PARTITION BY event_type ORDER BY idx) AS l{k}" for k in range(1, max_lag + 1))
+    rows = "\nUNION ALL\n".join(
+        f"SELECT event_type, {k}::BIGINT AS lag, round(corr(v, l{k}), 4) + 0.0 AS autocorr FROM m GROUP BY event_type HAVING {k} < count(*) // 2 AND NOT isnan(corr(v, l{k}))"
+        for k in range(1, max_lag + 1)
+    )
+    return f"{_KEYED}, m AS (SELECT event_type, v, {lagged} FROM e) {rows}"
+
+
+@query(
+    "lag_strength_keyed",
+    f"""SELECT event_type, lag, autocorr, CASE WHEN abs(autocorr) > 0.5 THEN 'Strong' WHEN abs(autocorr) > 0.2 THEN 'Moderate' ELSE 'Weak' END AS strength
+        FROM ({_lags_keyed_sql(7)}) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY abs(autocorr) DESC, lag) <= 3""",
+)
+def _(spark, sf):
+    lags = timeseries.autocorr_lags(_events_by_type(spark, sf), 7).withColumn("autocorr", F.col("autocorr") + 0.0)
+    return timeseries.lag_strength(lags, keys=["event_type"])
+
+
 def _lags_sql(max_lag: int) -> str:
     lagged = ", ".join(f"lag(v, {k}) OVER (ORDER BY idx) AS l{k}" for k in range(1, max_lag + 1))
     rows = "\nUNION ALL\n".join(

@@ -126,11 +126,10 @@ def _(spark, sf):
 # --- models --------------------------------------------------------------------------
 
 
-def _train(spark, sf, name, target="o_orderstatus", **options):
+def _train(spark, sf, name, view, target, key="o_orderkey", **options):
     options.setdefault("run_cv", False)
-    return modeling.train_and_evaluate(
-        ORDERS_ML.df(spark, sf), target, ["o_orderkey"], only=[name], **options
-    )
+    only = None if name is None else [name]
+    return modeling.train_and_evaluate(view.df(spark, sf), target, [key], only=only, **options)
 
 
 @query(
@@ -146,47 +145,141 @@ def _(spark, sf):
     return out.select(F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"))
 
 
-@query("train_logistic")
+# Orders whose class two flags decide, and a number that a small column decides: any model must find them.
+FLAGGED = View(
+    "orders",
+    [
+        "o_orderkey",
+        "o_orderkey % 3 = 0 AS is_a",
+        "o_orderkey % 3 = 1 AS is_b",
+        "o_totalprice",
+        "CASE o_orderkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS kind",
+    ],
+)
+TWO_WAYS = View("orders", ["o_orderkey", "o_orderkey % 3 = 0 AS is_a", "o_totalprice", "CASE o_orderkey % 3 WHEN 0 THEN 'a' ELSE 'z' END AS kind"])
+STEPPED = View("orders", ["o_orderkey", "CAST(o_orderkey % 20 AS DOUBLE) AS step", "CAST(o_orderkey % 20 AS DOUBLE) * 10.0 AS amount"])
+
+
+def _split_sql(source: str, key: str, label: str = "") -> str:
+    """The test rows of the exact split, by class if a label is given."""
+    part = f"PARTITION BY {label}" if label else ""
+    return f"""(SELECT *, row_number() OVER ({part} ORDER BY md5('42|' || {key}::VARCHAR), {key}) - 1
+        < round(count(*) OVER ({part}) * 0.2) AS is_test FROM ({source}))"""
+
+
+def _found(frame, measures):
+    return frame.select(*[(F.round(m, 4) + 0.0).alias(m) for m in measures])
+
+
+_CLASS = ["accuracy", "f1", "precision", "recall"]
+
+
+def _flags_sql(view: View, rule: str) -> str:
+    """How often the rule on the flags gives the class: all measures are that share if it is 1."""
+    measures = ", ".join(f'round(avg((kind = {rule})::INT), 4) AS "{m}"' for m in _CLASS)
+    return f"SELECT {measures} FROM {_split_sql(view.sql, 'o_orderkey', 'kind')} WHERE is_test"
+
+
+_KIND = "CASE WHEN is_a THEN 'a' WHEN is_b THEN 'b' ELSE 'c' END"
+
+
+@query("train_logistic", _flags_sql(FLAGGED, _KIND))
 def _(spark, sf):
-    return _train(spark, sf, "Logistic Regression").metrics
+    return _found(_train(spark, sf, "Logistic Regression", FLAGGED, "kind").metrics, _CLASS)
 
 
-@query("train_random_forest")
+@query("train_extra_trees", _flags_sql(FLAGGED, _KIND))
 def _(spark, sf):
-    return _train(spark, sf, "Random Forest", target="o_totalprice").metrics
+    return _found(_train(spark, sf, "Extra Trees", FLAGGED, "kind", trees=15, max_depth=6).metrics, _CLASS)
 
 
-@query("train_extra_trees")
+@query("train_gbt", _flags_sql(FLAGGED, _KIND))
 def _(spark, sf):
-    return _train(spark, sf, "Extra Trees").metrics
+    """Three classes: one boosted model for each against the rest."""
+    return _found(_train(spark, sf, "Gradient Boosting", FLAGGED, "kind", rounds=3).metrics, _CLASS)
 
 
-@query("train_gbt")
+@query(
+    "train_random_forest",
+    f"""SELECT round(1 - sum(pow(amount - step * 10, 2)) / (var_pop(amount) * count(*)), 4) AS r2, round(avg(abs(amount - step * 10)), 4) AS mae
+        FROM {_split_sql(STEPPED.sql, "o_orderkey")} WHERE is_test""",
+)
 def _(spark, sf):
-    return _train(spark, sf, "Gradient Boosting", target="o_totalprice").metrics
+    return _found(_train(spark, sf, "Random Forest", STEPPED, "amount", trees=5, max_depth=8).metrics, ["r2", "mae"])
 
 
-@query("model_predictions")
+@query(
+    "train_all",
+    f"""WITH t AS (SELECT * FROM {_split_sql(TWO_WAYS.sql, "o_orderkey", "kind")} WHERE is_test),
+    m AS (SELECT model, round(avg((kind = CASE WHEN is_a THEN 'a' ELSE 'z' END)::INT), 4) AS accuracy
+          FROM t, (VALUES ('Random Forest'), ('Extra Trees'), ('Gradient Boosting'), ('Logistic Regression')) v(model) GROUP BY model)
+    SELECT model, accuracy, model = (SELECT model FROM m ORDER BY accuracy DESC, model LIMIT 1) AS best FROM m""",
+)
 def _(spark, sf):
-    return _train(spark, sf, "Linear Regression", target="o_totalprice").predictions["Linear Regression"]
+    """Four models on one split, the best of them named; equals go by name."""
+    trained = _train(spark, sf, None, TWO_WAYS, "kind", trees=5, rounds=3, max_depth=4)
+    return trained.metrics.select("model", (F.round("accuracy", 4) + 0.0).alias("accuracy"), (F.col("model") == trained.best).alias("best"))
+
 
+# Parts priced by size: regressions with closed forms.
+PARTS = View("part", ["p_partkey", "p_size", "p_retailprice"])
+PARTS_2 = View("part", ["p_partkey", "p_size", "p_partkey % 7 AS grp", "p_retailprice"])
+_PARTS = _split_sql(PARTS.sql, "p_partkey")
+_PARTS_LINE = f"""WITH p AS (SELECT * FROM {_PARTS}),
+    r AS (SELECT regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS c FROM p WHERE NOT is_test)"""
 
-@query("feature_importance")
+
+def _parts(spark, sf, view=PARTS, **options):
+    return _train(spark, sf, "Linear Regression", view, "p_retailprice", "p_partkey", **options)
+
+
+@query(
+    "model_predictions",
+    f"{_PARTS_LINE} SELECT p_partkey, p_retailprice AS label, round(c + b * p_size, 4) AS prediction FROM p, r WHERE is_test",
+)
 def _(spark, sf):
-    trained = _train(spark, sf, "Logistic Regression")
-    return modeling.feature_importance(trained.models["Logistic Regression"], trained.prepared)
+    found = _parts(spark, sf).predictions["Linear Regression"]
+    return found.select("p_partkey", "label", F.round("prediction", 4).alias("prediction"))
 
 
-@query("permutation_importance")
+@query(
+    "feature_importance",
+    f"""WITH p AS (SELECT p_size AS x, grp AS z, p_retailprice AS y FROM {_split_sql(PARTS_2.sql, "p_partkey")} WHERE NOT is_test),
+    s AS (SELECT var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM p),
+    b AS (SELECT abs((xy * zz - zy * xz) / (xx * zz - xz * xz)) AS bx, abs((zy * xx - xy * xz) / (xx * zz - xz * xz)) AS bz FROM s)
+    SELECT 'p_size' AS feature, round(bx / (bx + bz), 6) AS importance FROM b UNION ALL SELECT 'grp', round(bz / (bx + bz), 6) FROM b""",
+)
 def _(spark, sf):
-    trained = _train(spark, sf, "Logistic Regression", permute=True)
-    return trained.permutation["Logistic Regression"]
+    trained = _parts(spark, sf, PARTS_2)
+    found = modeling.feature_importance(trained.models["Linear Regression"], trained.prepared)
+    return found.withColumn("importance", F.round("importance", 6))
 
 
-@query("cross_validate")
+@query(
+    "permutation_importance",
+    f"""{_PARTS_LINE}, t AS (SELECT p_size AS x, p_retailprice AS y, row_number() OVER (ORDER BY md5('order42|' || p_partkey::VARCHAR), p_partkey) - 1 AS i,
+            count(*) OVER () AS n FROM p WHERE is_test),
+    base AS (SELECT 1 - sum(pow(y - c - b * x, 2)) / (var_pop(y) * count(*)) AS q FROM t, r),
+    loss AS (SELECT k, (SELECT q FROM base) - (1 - sum(pow(a.y - c - b * o.x, 2)) / (var_pop(a.y) * count(*))) AS lost
+        FROM t a, r, range(3) s(k), t o WHERE a.i = (o.i + 1 + (42 * 7919 + k * 104729) % (a.n - 1)) % a.n GROUP BY k)
+    SELECT 'p_size' AS feature, round(avg(lost), 6) AS importance, round(stddev_pop(lost), 6) AS std FROM loss""",
+)
+def _(spark, sf):
+    found = _parts(spark, sf, permute=True).permutation["Linear Regression"]
+    return found.select("feature", *[F.round(c, 6).alias(c) for c in ("importance", "std")])
+
+
+@query(
+    "cross_validate",
+    f"""WITH o AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () // 5 AS s, count(*) OVER () % 5 AS e FROM ({PARTS.sql})),
+    f AS (SELECT p_size AS x, p_retailprice AS y, (CASE WHEN i < e * (s + 1) THEN i // (s + 1) ELSE e + (i - e * (s + 1)) // s END)::INT AS fold FROM o),
+    r AS (SELECT k::INT AS k, regr_slope(y, x) AS b, regr_intercept(y, x) AS c FROM f, range(5) q(k) WHERE fold <> k GROUP BY k)
+    SELECT fold, round(1 - sum(pow(y - any_c - any_b * x, 2)) / (var_pop(y) * count(*)), 6) AS score
+    FROM (SELECT f.*, r.b AS any_b, r.c AS any_c FROM f JOIN r ON f.fold = r.k) GROUP BY fold""",
+)
 def _(spark, sf):
-    trained = _train(spark, sf, "Linear Regression", target="o_totalprice", run_cv=True)
-    return trained.folds["Linear Regression"]
+    found = _parts(spark, sf, run_cv=True).folds["Linear Regression"]
+    return found.select("fold", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -203,6 +296,64 @@ def _(spark, sf):
     return found.select("point", F.round("value", 4).alias("value"), F.round("prediction", 2).alias("prediction"))
 
 
+# --- many classes --------------------------------------------------------------------
+
+# More than a thousand categories from sf0.01 on.
+MANY = View("orders", ["o_orderkey", "'c' || CAST(o_orderkey % 1103 AS VARCHAR(10)) AS cat", "o_totalprice"])
+
+
+@query(
+    "ml_prepare_many",
+    f"""WITH m AS ({MANY.sql}), k AS (SELECT DISTINCT cat FROM m), r AS (SELECT cat, row_number() OVER (ORDER BY cat) - 1 AS i FROM k),
+    n AS (SELECT count(*) AS c FROM k)
+    SELECT o_orderkey, o_totalprice AS label, (CASE WHEN i > 0 THEN 1 ELSE 0 END)::DOUBLE AS flags, (i * (i > 0)::INT)::DOUBLE AS place,
+        (c - 1)::BIGINT AS features FROM m JOIN r ON m.cat = r.cat, n""",
+)
+def _(spark, sf):
+    """A flag per category but the first: how many are set in a row, and which."""
+    p = modeling.ml_prepare(MANY.df(spark, sf), "o_totalprice", ["o_orderkey"])
+    x = F.array(*[F.col(f"`{n}`") for n in p.features])
+    place = F.array_position(x, 1.0).cast("double")
+    return p.frame.select(
+        "o_orderkey", "label", F.aggregate(x, F.lit(0.0), lambda a, b: a + b).alias("flags"), place.alias("place"),
+        F.lit(len(p.features)).cast("bigint").alias("features"),
+    )
+
+
+@query(
+    "cv_folds_many",
+    f"""WITH o AS (SELECT o_orderkey, cat, row_number() OVER (PARTITION BY cat ORDER BY o_orderkey) - 1 AS j,
+            min(o_orderkey) OVER (PARTITION BY cat) AS first_key FROM ({MANY.sql})),
+    c AS (SELECT cat, first_key, count(*) AS n FROM o GROUP BY 1, 2),
+    s AS (SELECT cat, n, (coalesce(sum(n) OVER (ORDER BY first_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS st FROM c),
+    f AS (SELECT cat, k, (SELECT count(*) FROM range(s.st, s.st + s.n) r(p) WHERE p % 5 = k) AS size FROM s, range(5) q(k)),
+    u AS (SELECT cat, k, sum(size) OVER (PARTITION BY cat ORDER BY k) - size AS lo, sum(size) OVER (PARTITION BY cat ORDER BY k) AS hi FROM f)
+    SELECT o.o_orderkey, u.k::INT AS fold FROM o JOIN u ON o.cat = u.cat AND o.j >= u.lo AND o.j < u.hi""",
+)
+def _(spark, sf):
+    folded = modeling.cv_folds(MANY.df(spark, sf), ["o_orderkey"], 5, "cat")
+    return folded.select("o_orderkey", "fold")
+
+
+GUESSED_MANY = View(
+    "orders", ["CAST(o_orderkey % 1103 AS DOUBLE) AS label", "CAST(o_orderkey % 1103 - o_orderkey % 2 AS DOUBLE) AS prediction"]
+)
+
+
+@query(
+    "confusion_matrix_many",
+    f"""WITH g AS ({GUESSED_MANY.sql}), v AS (SELECT label AS v FROM g UNION SELECT prediction FROM g),
+    c AS (SELECT label, prediction, count(*) AS n FROM g GROUP BY 1, 2), t AS (SELECT label, count(*) AS n FROM g GROUP BY 1)
+    SELECT a.v AS label, sum(coalesce(c.n, 0))::BIGINT AS rows, count(*) AS cells, round(sum(coalesce(c.n, 0) / (coalesce(t.n, 0) + 1e-9)), 6) AS rate
+    FROM v a CROSS JOIN v b LEFT JOIN c ON c.label = a.v AND c.prediction = b.v LEFT JOIN t ON t.label = a.v GROUP BY a.v""",
+)
+def _(spark, sf):
+    full = modeling.confusion_matrix(GUESSED_MANY.df(spark, sf))
+    return full.groupBy("label").agg(
+        F.sum("count").alias("rows"), F.count(F.lit(1)).alias("cells"), F.round(F.sum("rate"), 6).alias("rate")
+    )
+
+
 # --- metrics -------------------------------------------------------------------------
 
 

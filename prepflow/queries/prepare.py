@@ -157,6 +157,24 @@ def _(spark, sf):
     )
 
 
+# Every fifth amount is NaN in one engine and missing in the other: copies all the same.
+_WITH_NAN = "CASE WHEN event_id % 5 = 0 THEN CAST('NaN' AS DOUBLE) WHEN event_id % 7 = 0 THEN NULL ELSE round(value, 0) END AS amount"
+DIRTY_NAN = View("events", ["event_type", _WITH_NAN])
+
+
+@query(
+    "clean_chain_nan",
+    f"""WITH r AS (SELECT event_type, CASE WHEN isnan(amount) THEN NULL ELSE amount END AS amount FROM ({DIRTY_NAN.sql})), d AS (SELECT DISTINCT * FROM r)
+    SELECT event_type, round(coalesce(amount, (SELECT quantile_cont(amount, 0.5) FROM d)), 6) AS amount,
+        (SELECT count(*) FROM r) - (SELECT count(*) FROM d) AS copies FROM d""",
+)
+def _(spark, sf):
+    spec = CleanSpec(True, {"amount": ColumnRule("median")})
+    out, log = cleaning.apply_cleaning(DIRTY_NAN.df(spark, sf), spec)
+    copies = log.where("action = 'remove_duplicates'").select(F.col("n_affected").alias("copies"))
+    return out.select("event_type", F.round("amount", 6).alias("amount")).join(F.broadcast(copies))
+
+
 @query(
     "changelog",
     f"""{_CHAIN_CTE} SELECT * FROM (
@@ -201,7 +219,7 @@ _N_FENCE = fence_sql(f"({EVENTS_N.sql})")
         FROM ({EVENTS_N.sql}), {_N_FENCE.replace("{c}", "value")}""",
 )
 def _(spark, sf):
-    return cleaning.auto_clean_config(profile.profile(EVENTS_N.df(spark, sf), order_by=["event_id"]))
+    return cleaning.auto_clean_config(profile.profile(EVENTS_N.df(spark, sf)))
 
 
 # --- features ------------------------------------------------------------------------
@@ -216,7 +234,7 @@ def _(spark, sf):
     UNION ALL SELECT 'o_orderpriority', 'encoding', CASE WHEN count(DISTINCT o_orderpriority) BETWEEN 3 AND 8 THEN 'onehot' ELSE 'label' END FROM orders""",
 )
 def _(spark, sf):
-    return features.auto_feature_config(profile.profile(table(spark, sf, "orders"), order_by=["o_orderkey"]))
+    return features.auto_feature_config(profile.profile(table(spark, sf, "orders")))
 
 
 _PARTS_SQL = {
@@ -252,6 +270,36 @@ def _(spark, sf):
     return features.apply_features(df, FeatureSpec(encoding={"c_name": "label"}))[0]
 
 
+@query(
+    "encode_onehot_many",
+    """WITH o AS (SELECT o_orderkey, 'c' || (o_orderkey % 1103)::VARCHAR AS cat FROM orders), k AS (SELECT DISTINCT cat FROM o),
+    r AS (SELECT cat, row_number() OVER (ORDER BY cat) AS i FROM k)
+    SELECT o_orderkey, 1::BIGINT AS flags, i::BIGINT AS place, (SELECT count(*) FROM k) AS columns FROM o JOIN r ON o.cat = r.cat""",
+)
+def _(spark, sf):
+    """More than a thousand flags: how many are set in a row, and which."""
+    df = table(spark, sf, "orders").selectExpr("o_orderkey", "concat('c', o_orderkey % 1103) AS cat")
+    out = features.apply_features(df, FeatureSpec(encoding={"cat": "onehot"}))[0]
+    x = F.array(*[F.col(f"`{c}`") for c in out.columns if c != "o_orderkey"])
+    return out.select(
+        "o_orderkey",
+        F.aggregate(x, F.lit(0), lambda a, b: a + b).cast("bigint").alias("flags"),
+        F.array_position(x, 1).alias("place"),
+        F.lit(len(out.columns) - 1).cast("bigint").alias("columns"),
+    )
+
+
+@query(
+    "encode_ordinal_many",
+    """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_name END AS c_name FROM customer)
+    SELECT c_custkey, CASE WHEN c_name IS NOT NULL THEN dense_rank() OVER (ORDER BY c_name NULLS LAST) - 1 END AS c_name FROM c""",
+)
+def _(spark, sf):
+    """Codes in a table that is joined, as for any number of classes; missing stays missing."""
+    df = table(spark, sf, "customer").selectExpr("c_custkey", "CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_name END AS c_name")
+    return features.apply_features(df, FeatureSpec(encoding={"c_name": "ordinal"}), local_classes=0)[0]
+
+
 _PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
@@ -377,6 +425,22 @@ def _(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("unit_price", "mixed")})
 
 
+_BIG = "o_orderkey + 9007199254740992"
+
+
+@query(
+    "formula_integers",
+    f"""SELECT o_orderkey, {_BIG} > 9007199254740995 AS after, {_BIG} = 9007199254740993 AS same, big <> o_custkey AS other
+        FROM (SELECT o_orderkey, o_custkey, {_BIG} AS big FROM orders)""",
+)
+def _(spark, sf):
+    """Keys beyond 2^53, which doubles do not tell apart."""
+    df = table(spark, sf, "orders").selectExpr("o_orderkey", "o_custkey", f"{_BIG} AS big")
+    wanted = {"after": "big > 9007199254740995", "same": "big == 9007199254740993", "other": "big != o_custkey"}
+    spec = FeatureSpec(custom_formulas=[features.Formula(n, f) for n, f in wanted.items()])
+    return features.apply_features(df, spec)[0].drop("o_custkey", "big")
+
+
 def _quantile_bins(column: str, source: str, bins: int) -> str:
     """Bin codes from distinct inner edges, right-closed."""
     points = ", ".join(f"quantile_cont({column}, {i / bins!r})" for i in range(bins + 1))
@@ -478,16 +542,56 @@ def _(spark, sf):
     return _engineered(FittedPrep.load(spark, path).transform(df))
 
 
-@query("spec_steps")
+_SKEW = f"(SELECT CASE WHEN abs(skewness(o_totalprice)) > 1 THEN 'median' ELSE 'mean' END FROM ({ORDERS_N.sql}))"
+
+
+def _missing(column: str) -> str:
+    return f"(SELECT count(*) > count({column}) FROM ({ORDERS_N.sql}))"
+
+
+def _far(column: str) -> str:
+    return f"""(SELECT count(*) FILTER (WHERE {column} < lo OR {column} > hi)::DOUBLE / count(*) * 100 > 0.5
+        FROM ({ORDERS_N.sql}), {fence_sql(f"({ORDERS_N.sql})").replace("{c}", column)})"""
+
+
+_STEPS = [
+    ("clean", None, "'remove_duplicates'", "true"),
+    ("clean", "o_orderkey", "'outliers: cap'", _far("o_orderkey")),
+    ("clean", "o_custkey", "'outliers: cap'", _far("o_custkey")),
+    ("clean", "o_totalprice", f"'nulls: ' || {_SKEW}", _missing("o_totalprice")),
+    ("clean", "o_totalprice", "'outliers: cap'", _far("o_totalprice")),
+    ("clean", "o_orderdate", "'nulls: drop'", _missing("o_orderdate")),
+    ("clean", "o_orderpriority", "'nulls: mode'", _missing("o_orderpriority")),
+    *[
+        ("features", c, f"'{a}'", "true")
+        for c, a in (
+            ("o_orderdate", "datetime: year,quarter,dayofweek"), ("o_orderpriority", "encode: label"),
+            ("o_orderstatus", "encode: ordinal"), ("o_totalprice", "scale: standard"), ("o_custkey", "scale: robust"),
+            ("o_custkey", "drop"), ("o_totalprice", "square"), ("mix", "formula: o_totalprice_sq + o_orderdate_quarter"),
+            ("o_totalprice", "bin: quantile"),
+        )
+    ],
+]
+
+
+@query(
+    "spec_steps",
+    'SELECT row_number() OVER (ORDER BY place) AS step, stage, "column", action FROM ('
+    + " UNION ALL ".join(
+        f"""SELECT {i} AS place, '{stage}' AS stage, {f"'{c}'" if c else "NULL::VARCHAR"} AS "column", {action} AS action WHERE {when}"""
+        for i, (stage, c, action, when) in enumerate(_STEPS)
+    )
+    + ")",
+)
 def _(spark, sf):
-    auto = PrepSpec(cleaning.auto_clean_spec(profile.profile(ORDERS_N.df(spark, sf), order_by=["o_orderkey"])), FEATURES)
+    auto = PrepSpec(cleaning.auto_clean_spec(profile.profile(ORDERS_N.df(spark, sf))), FEATURES)
     return auto.steps(spark)
 
 
 def _report(spark, sf, section: str):
-    """Write the report on the events, read one section back."""
+    """Write one section of the report on the events, read it back."""
     path = scratch_path(spark, "report")
-    write_report(report_tables(table(spark, sf, "events"), "event_type", order_by=["event_id"]), path)
+    write_report(report_tables(table(spark, sf, "events"), "event_type", sections=[section]), path)
     return spark.read.parquet(f"{path}/{section}")
 
 

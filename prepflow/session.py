@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -11,12 +10,15 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+WAREHOUSE_KEY = "spark.sql.warehouse.dir"
 MAX_JOBS = 8
 
 
-def local_session(cores: str = "8", app: str = "prepflow", memory: str = "8g") -> SparkSession:
-    """A single-JVM session for tests and the bench."""
-    return (
+def local_session(
+    cores: str = "8", app: str = "prepflow", memory: str = "8g", folder: str | None = None
+) -> SparkSession:
+    """A single-JVM session for tests and the bench; ``folder`` takes checkpoints and scratch tables."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
@@ -26,32 +28,31 @@ def local_session(cores: str = "8", app: str = "prepflow", memory: str = "8g") -
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    return (builder.config(CHECKPOINT_KEY, folder) if folder else builder).getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and scratch tables.
+    """The folder for checkpoints and scratch tables, on whatever file system Spark resolves it.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session, where the
-    driver and the executors are one process, may fall back to a temporary folder.
+    A cluster names it in ``spark.checkpoint.dir``; where that is unset it lies in the warehouse,
+    which every executor reaches as well.
     """
     sc = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY, None)
-    if folder:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(folder)
-        return folder
+    if not folder:
+        folder = f"{spark.conf.get(WAREHOUSE_KEY).rstrip('/')}/_prepflow"
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="prepflow-"))
-    return sc.getCheckpointDir()
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, removed when the session's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from prepflow.functions.columns import col, nan_to_null, per_column_agg, scalar_columns
+from prepflow.functions.columns import aggregate, col, nan_to_null, per_column_agg, scalar_columns
 
 # fixed values
 FORMATS = ("csv", "json", "parquet")
@@ -24,37 +24,64 @@ INTEGER = r"^[+-]?\d+$"
 DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, multi_line: bool = False
+) -> DataFrame:
     """Read a table by its file extension; globs and directories named ``*.csv`` etc. work too."""
     kind = path.rstrip("/").rsplit("/", 1)[-1].lower().rsplit(".", 1)[-1]
     if kind not in FORMATS:
         raise ValueError(f"Unsupported format: .{kind}. Supported: {', '.join(FORMATS)}")
-    reader = {"csv": read_csv, "json": read_json, "parquet": read_parquet}[kind]
     try:
-        return reader(spark, path, schema)
+        if kind == "csv":
+            return read_csv(spark, path, schema, multi_line)
+        return read_json(spark, path, schema) if kind == "json" else read_parquet(spark, path, schema)
     except (PySparkException, Py4JError) as e:
         raise ValueError(f"Failed to parse file: {e}") from e
 
 
 def read_parquet(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    reader = spark.read.schema(schema) if schema else spark.read
-    return nan_to_null(reader.parquet(path))
+    """The files as they are, so that filters on any column reach the scan; the operators read NaN as missing."""
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+
 
+def _open_quotes(spark: SparkSession, path: str) -> int:
+    """Lines with an odd number of quotes: a quoted text goes on in the next line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return spark.read.text(path).where(quotes % 2 == 1).count()
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: StructType | str | None = None,
+    multi_line: bool = False,
+    lossy: bool = False,
+) -> DataFrame:
     """Header row; every usual missing-value token becomes NULL.
 
     Without a schema all columns are read as text and typed by one aggregate scan (boolean,
-    bigint, double, else string). At scale, pass the schema and save that scan.
+    bigint, double, else string). With one, a scan makes sure that every cell fits its type, and
+    cells that do not are an error; ``lossy`` saves that scan and makes them NULL.
+
+    Quoted text may hold line breaks only with ``multi_line``, which gives up splitting files
+    between tasks; without it a file that needs it is an error, never wrong rows.
     """
-    options = {"header": True, "quote": '"', "escape": '"', "multiLine": False}
+    if not multi_line:
+        broken = _open_quotes(spark, path)
+        if broken:
+            raise ValueError(f"{broken} lines end within quotes: read with multi_line=True")
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line}
     raw = spark.read.options(**options, inferSchema=False).csv(path)
     text = raw.select(*[F.when(~col(n).isin(*NA_TOKENS), col(n)).alias(n) for n in raw.columns])
     if schema is not None:
         wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-        return nan_to_null(
-            text.select(*[col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted])
-        )
+        typed = {f.name: col(f.name).try_cast(f.dataType) for f in wanted}
+        if not lossy:
+            lost = aggregate(text, [F.count(col(n)) - F.count(c) for n, c in typed.items()])
+            bad = {n: k for n, k in zip(typed, lost) if k}
+            if bad:
+                raise ValueError(f"cells that do not fit the schema, by column: {bad}")
+        return nan_to_null(text.select(*[c.alias(n) for n, c in typed.items()]))
     seen = per_column_agg(
         text,
         text.columns,
@@ -88,24 +115,46 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     )
 
 
+def _array_files(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(files, files whose first character that is not blank opens an array): all files are looked at."""
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.trim("value").alias("v")
+    )
+    first = rows.where((F.col("v") != "")).groupBy("file", F.col("at").bitwiseAND(F.lit(-1 << 33)).alias("part"))
+    heads = first.agg(F.min_by(F.substring("v", 1, 1), "at").alias("c")).groupBy("file").agg(F.min_by("c", "part").alias("c"))
+    return tuple(heads.agg(F.count(F.lit(1)), F.count_if(F.col("c") == "[")).first())
+
+
 def read_json(
     spark: SparkSession, path: str, schema: StructType | str | None = None, lines: bool | None = None
 ) -> DataFrame:
-    """One record per line, or a document holding an array of records.
+    """One record per line, or documents that each hold an array of records: such a file is one task.
 
-    Only line-delimited files can be split between tasks. ``lines=None`` looks at the first
-    characters to tell the two apart.
+    ``lines`` says which; without it all files are looked at, and they must agree. Text that is
+    not JSON is an error.
     """
     if lines is None:
-        head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-        lines = not (head and head[0]["value"].lstrip().startswith("["))
+        files, arrays = _array_files(spark, path)
+        if 0 < arrays < files:
+            raise ValueError(f"{arrays} of {files} files hold arrays: read the two kinds apart")
+        lines = not arrays
     reader = spark.read.schema(schema) if schema else spark.read
-    return nan_to_null(reader.json(path, multiLine=not lines))
+    return nan_to_null(reader.json(path, multiLine=not lines, mode="FAILFAST"))
+
+
+CSV_OUT = {
+    "header": True,
+    "encoding": "UTF-8",
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Header, UTF-8, no row index; one part file per task."""
-    df.write.mode(mode).options(header=True, encoding="UTF-8", quote='"', escape='"').csv(path)
+    df.write.mode(mode).options(**CSV_OUT).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

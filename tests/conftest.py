@@ -13,10 +13,10 @@ SF_DIR = os.environ.get("PREPFLOW_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from prepflow.session import local_session
 
-    session = local_session("4")
+    session = local_session("4", folder=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -60,21 +60,28 @@ def test_changelog_and_steps(spark):
 def test_report(spark, tmp_path):
     df = _frame(spark)
     log = cleaning.apply_cleaning(df, SPEC.clean)[1]
-    tables = report_tables(df, "s", changelog=log, order_by=["k"])
+    tables = report_tables(df, "s", changelog=log)
     write_report(tables, str(tmp_path / "r"))
     for name in ("overview", "columns", "health", "readiness", "changelog"):
         assert spark.read.parquet(str(tmp_path / "r" / name)).count() > 0
 
 
-class _Context:
-    """Just enough of a session to see which folder is chosen."""
+def test_shared_folder_is_the_configured_one(spark):
+    folder = spark.conf.get(session.CHECKPOINT_KEY)
+    assert session.shared_dir(spark) == folder
+    path = session.scratch_path(spark, "x")
+    assert path.startswith(f"{folder}/x-") and path != session.scratch_path(spark, "x")
 
-    def __init__(self, folder, master):
-        self.chosen, self.master, self.folder = None, master, folder
-        self.conf = self.sparkContext = self
+
+class _Bare:
+    """A session that names no checkpoint folder."""
+
+    chosen = None
+    conf = property(lambda self: self)
+    sparkContext = property(lambda self: self)
 
     def get(self, key, default=None):
-        return self.folder if key == session.CHECKPOINT_KEY else default
+        return "hdfs://w/warehouse/" if key == session.WAREHOUSE_KEY else default
 
     def getConf(self):
         return self
@@ -86,14 +93,9 @@ class _Context:
         self.chosen = folder
 
 
-def test_shared_folder_is_the_configured_one():
-    cluster = _Context("hdfs://shared/ck", "yarn")
-    assert session.shared_dir(cluster) == "hdfs://shared/ck" == cluster.chosen
-    assert session.scratch_path(cluster, "x").startswith("hdfs://shared/ck/x-")
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        session.shared_dir(_Context(None, "yarn"))
-    local = _Context(None, "local[2]")
-    assert session.shared_dir(local) == local.chosen
+def test_shared_folder_defaults_to_the_warehouse():
+    bare = _Bare()
+    assert session.shared_dir(bare) == bare.chosen == "hdfs://w/warehouse/_prepflow"
 
 
 # --- plan shape ---------------------------------------------------------------------
@@ -134,6 +136,29 @@ def test_scan_reads_only_what_it_needs(spark, sf_dir):
     assert "ReadSchema: struct<l_quantity:double>" in plan
 
 
+def test_filters_on_floating_columns_reach_the_scan(spark, sf_dir):
+    from prepflow.sources.tables import read_parquet
+
+    plan = _plan(read_parquet(spark, f"{sf_dir}/lineitem.parquet").where("l_discount > 0.05").select("l_orderkey"))
+    assert "GreaterThan(l_discount,0.05)" in plan and "ReadSchema: struct<l_orderkey:bigint,l_discount:double>" in plan
+
+
+def test_fills_share_one_sort(spark):
+    rows = [(i, None if i % 3 else float(i), None if i % 4 else i) for i in range(50)]
+    df = spark.createDataFrame(rows, "k int, v double, w int")
+    rules = {"v": ColumnRule("ffill"), "w": ColumnRule("bfill")}
+    fitted = cleaning.fit_clean(df, CleanSpec(False, rules, ("k",)))
+    calls = []
+    kept = cleaning.index_rows
+    cleaning.index_rows = lambda *a, **k: calls.append(1) or kept(*a, **k)
+    try:
+        out = fitted.transform(df).orderBy("k").collect()
+    finally:
+        cleaning.index_rows = kept
+    assert len(calls) == 1
+    assert [r["v"] for r in out[:5]] == [0.0, 0.0, 0.0, 3.0, 3.0] and [r["w"] for r in out[:6]] == [0, 4, 4, 4, 4, 8]
+
+
 def test_hot_first_key_is_split(spark):
     """Rows that share the first sort key still spread over the range partitions."""
     df = spark.range(20_000).selectExpr("id", "1 as t")

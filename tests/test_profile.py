@@ -17,7 +17,7 @@ def _mixed(spark):
 
 
 def test_types(spark):
-    t = types.detect_column_types(_mixed(spark), ["code"])
+    t = types.detect_column_types(_mixed(spark))
     assert t.numeric == ("a", "b", "const")
     assert t.datetime == ("day",)
     assert t.boolean == ("flag",)

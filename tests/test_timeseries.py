@@ -57,15 +57,36 @@ def _adf_by_hand(x):
 
 
 @pytest.mark.parametrize("kind,n", [("ar", 300), ("walk", 301), ("ar", 25)])
-def test_adf(spark, chunked, kind, n):
+@pytest.mark.parametrize("chunk", [60_000, 64])
+def test_adf(spark, kind, n, chunk):
     x = _walk(n, kind=kind)
     statistic, lags, rows = _adf_by_hand(x)
-    got = ts.adf_test(_series(spark, x))
+    got = ts.adf_test(_series(spark, x), chunk=chunk)
     assert got["lags_used"] == lags and got["n_obs"] == rows
     assert got["statistic"] == pytest.approx(statistic, rel=1e-7)
     assert got["is_stationary"] == (got["p_value"] < 0.05)
 
 
+def test_adf_keyed(spark):
+    x = _walk(240)
+    series = _series(spark, x, keys=True)
+    with pytest.raises(ValueError, match="adf_frame"):
+        ts.adf_test(series)
+    got = {r["k"]: r for r in ts.adf_frame(series, chunk=50).collect()}
+    assert len(got) == 2
+    for k in (0, 1):
+        statistic, lags, rows = _adf_by_hand(x[k::2])
+        assert (got[k]["lags_used"], got[k]["n_obs"]) == (lags, rows)
+        assert got[k]["statistic"] == pytest.approx(statistic, rel=1e-7)
+
+
+def test_adf_keyed_short_and_constant(spark):
+    rows = [("a", i, float(i * i % 17)) for i in range(40)] + [("b", i, 1.0) for i in range(40)] + [(None, 0, 1.0), (None, 1, 2.0)]
+    df = spark.createDataFrame(rows, "k string, i int, v double").selectExpr("k", "i", "v", "timestamp_seconds(i) t")
+    got = {r["k"]: r["statistic"] for r in ts.adf_frame(ts.prepare(df, "t", "v", ["i"], ["k"])).collect()}
+    assert got["a"] is not None and got["b"] is None and got[None] is None and len(got) == 3
+
+
 def test_adf_table_values():
     for statistic, p in ((-2.86154, 0.05), (-3.43035, 0.01), (-2.56677, 0.10)):
         assert ts.adf_p_value(statistic) == pytest.approx(p, abs=5e-4)
@@ -118,6 +139,15 @@ def test_autocorr_keyed(spark):
     assert len(got) == 6
 
 
+def test_lag_strength_keyed(spark):
+    x = pd.Series(_walk(100))
+    lags = ts.autocorr_lags(_series(spark, x, keys=True), 7)
+    got = ts.lag_strength(lags, 3, ["k"]).collect()
+    for k in (0, 1):
+        want = sorted((r["lag"] for r in lags.collect() if r["k"] == k), key=lambda g: -abs(x[k::2].reset_index(drop=True).autocorr(g)))
+        assert [r["lag"] for r in sorted(got, key=lambda r: -abs(r["autocorr"])) if r["k"] == k] == want[:3]
+
+
 def _decompose_by_hand(x, m):
     n = len(x)
     weights = np.r_[0.5, np.ones(m - 1), 0.5] / m if m % 2 == 0 else np.ones(m) / m
@@ -145,6 +175,22 @@ def test_decompose(spark, chunked, m, n):
     assert np.allclose(got["trend"] + got["seasonal"] + got["resid"], x)
 
 
+def test_decompose_keyed(spark, chunked):
+    x = _walk(161) + np.sin(np.arange(161))
+    got = ts.decompose(_series(spark, x, keys=True), 7).toPandas()
+    for k, part in got.groupby("k"):
+        part = part.sort_values("idx")
+        for name, want in zip(("trend", "seasonal", "resid"), _decompose_by_hand(x[k::2], 7)):
+            assert np.allclose(part[name], want, atol=1e-9)
+
+
+def test_decompose_leaves_short_series_open(spark):
+    rows = [(k, i, float(i % 5)) for k, n in (("a", 60), (None, 9)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i int, v double").selectExpr("k", "i", "v", "timestamp_seconds(i) t")
+    got = ts.decompose(ts.prepare(df, "t", "v", ["i"], ["k"]), 5)
+    assert got.count() == 69 and got.where("k is null and trend is null").count() == 9
+
+
 def test_decompose_refuses(spark):
     with pytest.raises(ValueError, match="10 points"):
         ts.decompose(_series(spark, _walk(9)))
