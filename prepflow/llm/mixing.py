@@ -181,12 +181,18 @@ def mix(
     cuts = spark.read.parquet(path)  # a row per source; its size is known, so Spark picks the join
 
     keep = [c for c in df.columns if c not in (copy_col, block_col)]
-    dealt = df.select(*[F.col(f"`{c}`") for c in keep], source.alias("__source"), identity.alias("__identity"))
-    taken = F.when(order_hash(F.col("__identity"), F.lit(PARTIAL), seed) <= F.col("cut"), 1).otherwise(0)
-    copies = dealt.join(cuts, F.col("__source") == F.col("cut_source")).withColumn(
-        "__copies", (F.col("whole") + taken).cast("int")
+    carried = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")  # whatever the columns are called
+    dealt = df.select(carried, source.alias("source"), identity.alias("identity"))
+    taken = F.when(order_hash(F.col("identity"), F.lit(PARTIAL), seed) <= F.col("cut"), 1).otherwise(0)
+    copies = (F.col("whole") + taken).cast("int")
+    passes = (
+        dealt.join(cuts, F.col("source") == F.col("cut_source"))
+        .select("row", "identity", "whole", copies.alias("copies"))
+        .where("copies > 0")
+        .select("row", "identity", "whole", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    )
+    number = F.when(F.col("copy") < F.col("whole"), F.col("copy")).otherwise(PARTIAL)
+    block = F.shiftright(order_hash(F.col("identity"), number, seed), HASH_BITS - BLOCK_BITS).cast("int")
+    return passes.select(
+        *[F.col("row").getField(c).alias(c) for c in keep], F.col("copy").alias(copy_col), block.alias(block_col)
     )
-    passes = copies.where("__copies > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("__copy"))
-    number = F.when(F.col("__copy") < F.col("whole"), F.col("__copy")).otherwise(PARTIAL)
-    block = F.shiftright(order_hash(F.col("__identity"), number, seed), HASH_BITS - BLOCK_BITS).cast("int")
-    return passes.select(*[F.col(f"`{c}`") for c in keep], F.col("__copy").alias(copy_col), block.alias(block_col))
