@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepflow.functions.columns import col, data_type, dbl, micros, round_half_up, sized
+from prepflow.functions.columns import col, data_type, dbl, local_frame, micros, round_half_up, sized
 from prepflow.operators.correlation import ROUNDING
 from prepflow.operators.ordering import (
     Frame,
@@ -313,7 +313,14 @@ def _moving_trend(m: int) -> Frame:
 
 
 def _per_series(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Join rows to the one row that ``right`` has for their ``names``, nulls equal."""
+    """Give rows the values of the one row that ``right`` has for their ``names``, nulls equal.
+
+    Without names there is one row for all, or none and no rows.
+    """
+    if not names:
+        row = right.first()
+        found = left if row else left.where(F.lit(False))
+        return found.withColumns({f.name: F.lit(row[f.name] if row else None).cast(f.dataType) for f in right.schema})
     there = right.withColumnsRenamed({n: f"__r{i}" for i, n in enumerate(names)})
     same = [col(n).eqNullSafe(F.col(f"__r{i}")) for i, n in enumerate(names)]
     return left.join(sized(there), same).drop(*[f"__r{i}" for i in range(len(names))])
@@ -336,8 +343,7 @@ def decompose(series: Series, period: int | None = None) -> DataFrame:
     idx, size, reach = F.col("idx"), F.col("n"), m // 2
     back = size - 1 - reach
     ends = ((F.lit(reach), F.least(F.lit(reach + m), back)), (F.greatest(F.lit(reach), back - m), back))
-    frame = series.frame.withColumn("__all", F.lit(0))
-    by = [*series.keys, "__all"]
+    frame, by = series.frame, list(series.keys)
     near = frame.where((idx < ends[0][1] + reach) | (idx >= ends[1][0] - reach))
     x = idx.cast("double")
     fitted = [
@@ -506,10 +512,8 @@ def adf_frame(series: Series, max_lags: int | None = None, chunk: int = ADF_CHUN
     short or constant has a row of NULLs.
     """
     names = [f"__k{i}" for i in range(len(series.keys))]
-    keyed = series.frame.select(*[col(k).alias(a) for k, a in zip(series.keys, names)], "idx", "v", "n").withColumn(
-        "__all", F.lit(0)
-    )
-    by = [*names, "__all"]
+    by = names
+    keyed = series.frame.select(*[col(k).alias(a) for k, a in zip(series.keys, names)], "idx", "v", "n")
     facts = keyed.groupBy(*by).agg(
         F.max("n").alias("size"), F.avg("v").alias("centre"), (F.min("v") < F.max("v")).alias("varies")
     )
@@ -518,7 +522,7 @@ def adf_frame(series: Series, max_lags: int | None = None, chunk: int = ADF_CHUN
     points = _per_series(keyed, usable, by)
     halo = with_halo(points, reach, 0, max(chunk, reach))
     types = {f.name: f.dataType.simpleString() for f in halo.schema}
-    lead = ", ".join(f"`{k}` {types[k]}" for k in by)
+    lead = "".join(f"`{k}` {types[k]}, " for k in by)
 
     def add_up(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         n = int(part["n"].iloc[0])
@@ -529,7 +533,7 @@ def adf_frame(series: Series, max_lags: int | None = None, chunk: int = ADF_CHUN
 
     sums = (
         halo.groupBy(*by, "chunk")
-        .applyInPandas(add_up, f"{lead}, n bigint, i int, j int, s double")
+        .applyInPandas(add_up, f"{lead}n bigint, i int, j int, s double")
         .groupBy(*by, "n", "i", "j")
         .agg(F.sum("s").alias("s"))
     )
@@ -539,11 +543,13 @@ def adf_frame(series: Series, max_lags: int | None = None, chunk: int = ADF_CHUN
         found = _adf_solve(part, n, _adf_lags(n, max_lags))
         return pd.DataFrame([{**dict(zip(by, key)), **found}])
 
-    found = sums.groupBy(*by).applyInPandas(solve, f"{lead}, {ADF_FIELDS}")
-    there = found.withColumnsRenamed({k: f"{k}_r" for k in by})
-    same = [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in by]
-    out = facts.join(there, same, "left")
+    found = sums.groupBy(*by).applyInPandas(solve, f"{lead}{ADF_FIELDS}")
     fields = [f.split()[0] for f in ADF_FIELDS.split(", ")]
+    if not by:
+        row = found.first()
+        return local_frame(series.frame.sparkSession, [row or [None] * len(fields)], ADF_FIELDS)
+    there = found.withColumnsRenamed({k: f"{k}_r" for k in by})
+    out = facts.join(there, [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in by], "left")
     return out.select(*[F.col(a).alias(k) for k, a in zip(series.keys, names)], *fields)
 
 
