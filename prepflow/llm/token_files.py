@@ -13,7 +13,9 @@ sizes of shards, one row per write task, pass through the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prepflow.llm.arrow import raw, slices, texts
-from prepflow.llm.tokenization import PART_CHARS, PartEncoder, load
+from prepflow.llm.tokenization import PART_CHARS, REMEMBERED, load
 
 CHUNK_IDS = 1 << 16
 END_ID = 2
 PLANES = ("byte", "bit")
+WHITE = re.compile(rb"[ \t-\r]")
 CHUNKS = pa.schema(
     [
         ("shard", pa.int32()),
@@ -72,14 +75,86 @@ def from_planes(planes: list[bytes], n: int, plane: str) -> np.ndarray:
     return np.ascontiguousarray(big).view(">u4").ravel().astype("<u4")
 
 
+class WordEncoder:
+    """Ids of texts by a tokenizer that drops white space and ends every match with an end-of-word token.
+
+    Words between ASCII white space encode alike alone and in their text, and so do the matches in
+    a word, wherever a cut lies between ASCII or Latin-1 letters, digits and other ASCII
+    characters. So each word is looked up, new words are cut into such pieces, and only pieces
+    that are new go to the library, many in one string, told apart again by the end-of-word tokens. Words
+    with any other character go to it whole. What is known is kept for the worker's next tasks.
+    """
+
+    def __init__(self, definition: str):
+        import tokenizers
+
+        # on the library's module: functions sent by value have no module of their own that would last
+        kept = vars(tokenizers).setdefault("_prepflow_words", {})
+        if kept.get("definition") != definition:
+            tokenizer = load(definition)
+            ends = np.zeros(max(tokenizer.get_vocab().values(), default=-1) + 1, bool)
+            ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+            kept.clear()
+            kept.update(definition=definition, tokenizer=tokenizer, ends=ends, words={}, pieces={})
+        self.tokenizer, self.ends = kept["tokenizer"], kept["ends"]
+        self.words, self.pieces = kept["words"], kept["pieces"]
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, with ``MARK`` after each, and the positions of the marks."""
+        out = []
+        for words in ascii_words(BREAK.join([*texts, b""]).lower()):
+            if len(self.words) > REMEMBERED:
+                self.words.clear()
+            self.words[BREAK.strip()] = np.uint32(MARK).tobytes()
+            self._learn({*words}.difference(self.words))
+            out.append(b"".join(map(self.words.__getitem__, words)))
+        ids = np.frombuffer(b"".join(out), "<u4")
+        return ids, np.flatnonzero(ids == MARK)
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
+        whole = [w for w in words if not w.isascii() and ODD.search(w)]
+        cut = {w: PIECE.findall(w) for w in words.difference(whole)}
+        new = list(set(chain.from_iterable(cut.values())).difference(self.pieces))
+        groups = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
+        for group, ids in zip(groups, self._ids([b" ".join(g) for g in groups])):
+            at = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(at) != len(group) or at[-1] != len(ids) * 4:
+                self.pieces.update(zip(group, (x.tobytes() for x in self._ids(group))))
+                continue
+            data, at = ids.tobytes(), [0, *at.tolist()]
+            self.pieces.update(zip(group, [data[s:e] for s, e in zip(at, at[1:])]))
+        known = self.pieces.__getitem__
+        self.words.update(
+            (w, known(parts[0]) if len(parts) == 1 else b"".join(map(known, parts))) for w, parts in cut.items()
+        )
+        self.words.update(zip(whole, (x.tobytes() for x in self._ids(whole))))
+
+    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        plain = [t.decode("utf-8", "replace") for t in texts]
+        found = self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)
+        return [np.array(e.ids, "<u4") for e in found]
+
+
+MARK = 0xFFFFFFFF  # no id, and
+BREAK = b" \xff "  # no UTF-8
+JOINED = 100
+ODD = re.compile(rb"[\xc2\xc4-\xfe]|\xc3[\x97\xb7]")
+# The matches of the vocabulary's pattern within a word of lower-case ASCII and Latin-1 letters.
+PIECE = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|(?:[a-z]|\xc3[\x80-\xbf])+|[0-9]|[^a-z0-9\x80-\xff]+")
+
+
 def ascii_words(text: bytes) -> Iterator[list[bytes]]:
     """Lists of the words between ASCII white space, a bounded number of bytes at a time."""
     at = 0
     while at < len(text):
         end = at + PART_CHARS
         if end < len(text):
-            while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
-                end += 1
+            found = WHITE.search(text, end)
+            end = found.start() if found else len(text)
         yield text[at:end].split()
         at = end
 
@@ -94,16 +169,22 @@ class _Shard:
         self.came_on = False
         self.squeeze = zstandard.ZstdCompressor(level=3)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Take one document's ids; give the chunks they fill."""
-        while len(ids):
-            part, ids = ids[: self.size - self.n], ids[self.size - self.n :]
-            self.ids.append(part)
-            self.docs.append((doc_id, len(part)))
-            self.n += len(part)
+    def add(self, doc_ids: list, ids: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Take documents, whose ids end at ``ends``; give the chunks they fill."""
+        at = doc = 0
+        while at < len(ids):
+            to = min(len(ids), at + self.size - self.n)
+            last = int(np.searchsorted(ends, to))  # the document that holds the last of these ids
+            edges = np.concatenate([[at], ends[doc:last], [to]])
+            self.docs += zip(doc_ids[doc : last + 1], np.diff(edges).tolist())
+            self.ids.append(ids[at:to])
+            self.n += to - at
+            goes_on = ends[last] > to
+            doc = last + (not goes_on)
             if self.n == self.size:
-                yield self.flush(self.doc + 1, goes_on=len(ids) > 0)
-        self.doc += 1
+                yield self.flush(self.doc + last + 1, bool(goes_on))
+            at = to
+        self.doc += len(doc_ids)
 
     def flush(self, begun: int, goes_on: bool = False) -> pa.RecordBatch:
         planes = [self.squeeze.compress(p) for p in to_planes(np.concatenate(self.ids), self.plane)]
@@ -127,17 +208,17 @@ class _Shard:
         return pa.RecordBatch.from_pylist([row], schema=CHUNKS)
 
 
-def _chunks(make: Callable, end_id: int, plane: str, size: int):
+def _chunks(definition, end_id: int, plane: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, encoder = None, None
         for batch in slices(batches):
-            encoder = encoder or PartEncoder(make(), ascii_words)
+            encoder = encoder or WordEncoder(definition.value)
             shard = shard or _Shard(TaskContext.get().partitionId(), plane, size)
             data, offsets = raw(batch.column(1))
-            data = data.tobytes()
-            for doc_id, s, e in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                ids = np.frombuffer(encoder.encode([data[s:e]])[0], "<u4")
-                yield from shard.add(doc_id, np.append(ids, np.uint32(end_id)))
+            data, cuts = data.tobytes(), offsets.tolist()
+            ids, marks = encoder.encode([data[s:e] for s, e in zip(cuts, cuts[1:])])
+            ids = np.where(ids == MARK, np.uint32(end_id), ids)
+            yield from shard.add(batch.column(0).to_pylist(), ids, marks + 1)
         if shard and shard.n:
             yield shard.flush(shard.doc)
 
@@ -169,7 +250,7 @@ def write_tokens(
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.monotonically_increasing_id()]
     docs = texts(df, id_col, text_col).repartitionByRange(*order)
     docs = docs.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    rows = docs.mapInArrow(_chunks(lambda: load(shared.value), end_id, plane, chunk_ids), CHUNKS_DDL)
+    rows = docs.mapInArrow(_chunks(shared, end_id, plane, chunk_ids), CHUNKS_DDL)
     rows.write.parquet(f"{path}/chunks")
     chunks = spark.read.schema(CHUNKS_DDL).parquet(f"{path}/chunks")
     sizes = chunks.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
