@@ -27,6 +27,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def num(name: str) -> Column:
+    """A column as double, of a table whose NaN is NULL already."""
+    return col(name).cast("double")
+
+
 def dbl(name: str) -> Column:
     """A column as double; NaN is NULL, as everywhere in this package."""
     return F.nanvl(col(name).cast("double"), F.lit(None).cast("double"))

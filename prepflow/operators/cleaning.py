@@ -17,7 +17,7 @@ from prepflow.functions.columns import (
     aggregate,
     col,
     data_type,
-    dbl,
+    num,
     local_frame,
     nan_to_null,
 )
@@ -185,7 +185,7 @@ def apply_steps(df: DataFrame, steps: Sequence[CleanStep]) -> DataFrame:
         elif step.op == "drop":
             out = out.where(col(step.column).isNotNull())
         elif step.op == "remove":
-            value = dbl(step.column)
+            value = num(step.column)
             out = out.where(value.isNull() | ~_outside(value, step))
     return flush(out)
 
@@ -321,7 +321,7 @@ class _Fitter:
         gaps = [(n, r) for n, r in filling if missing[n]]
         by = {k: [n for n, r in gaps if r.null_strategy == k] for k in NULL_STRATEGIES}
         values: dict[str, object] = {}
-        values.update(zip(by["mean"], aggregate(self.frame, [F.avg(dbl(n)) for n in by["mean"]])))
+        values.update(zip(by["mean"], aggregate(self.frame, [F.avg(num(n)) for n in by["mean"]])))
         if by["median"]:
             found = exact_quantiles(self.frame, by["median"], [0.5], self.n)
             values.update({n: q[0] for n, q in found.items()})

@@ -15,6 +15,7 @@ from prepflow.functions.columns import (
     dbl,
     local_frame,
     nan_to_null,
+    num,
     numeric_columns,
     pct,
     per_column_agg,
@@ -194,14 +195,15 @@ def moments(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
     aggregate per statistic, and share the work between the three of them.
     """
     names = list(names)
-    basic = aggregate(df, [f(dbl(n)) for n in names for f in (F.count, F.avg, F.min, F.max)])
+    df = nan_to_null(df.select(*[col(n) for n in names]))
+    basic = aggregate(df, [f(num(n)) for n in names for f in (F.count, F.avg, F.min, F.max)])
     out = {
         n: {"count": basic[4 * i], "mean": basic[4 * i + 1], "min": basic[4 * i + 2], "max": basic[4 * i + 3]}
         for i, n in enumerate(names)
     }
     sums = []
     for n in names:
-        d = dbl(n) - F.lit(out[n]["mean"] or 0.0)
+        d = num(n) - F.lit(out[n]["mean"] or 0.0)
         sums += [F.sum(d), F.sum(d * d), F.sum(d * d * d), F.sum(d * d * d * d)]
     powers = [v or 0.0 for v in aggregate(df, sums)]
     for i, n in enumerate(names):
@@ -288,7 +290,7 @@ def profile(df: DataFrame, types: ColumnTypes | None = None) -> Profile:
     def spread() -> tuple[dict, dict, dict]:
         quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75])
         limits = {n: fences(quartiles[n][0], quartiles[n][2]) for n in numeric}
-        return quartiles, limits, outlier_tally(df, limits)
+        return quartiles, limits, outlier_tally(df, limits, {n: num(n) for n in numeric})
 
     def common() -> list[tuple]:
         if not types.categorical:

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prepflow.functions.columns import aggregate, chunks, col, dbl, local_frame, sized
+from prepflow.functions.columns import aggregate, chunks, col, dbl, local_frame, num, sized
 from prepflow.functions.moments import fences, interpolate
 from prepflow.operators.ordering import running_weights
 from prepflow.session import together
@@ -57,7 +57,7 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Quantiles of several numeric expressions at once, on the driver: len(columns) x len(probs) numbers."""
     if not isinstance(columns, Mapping):
-        columns = {n: dbl(n) for n in columns}
+        columns = {n: num(n) for n in columns}
     plan = plan or PLAN
     columns = {n: _clean(c) for n, c in columns.items()}
     if not columns:

@@ -367,6 +367,8 @@ def decompose(series: Series, period: int | None = None) -> DataFrame:
     season = _per_series(phases, centres, by).select(
         *[col(k) for k in by], "phase", (F.col("mean") - F.col("centre")).alias("seasonal")
     )
+    if not by:
+        season = F.broadcast(season)  # one row per phase
     out = _per_series(phased, season, [*by, "phase"]).withColumn("resid", F.col("rest") - F.col("seasonal"))
     return out.select(*[col(c) for c in series.frame.columns], "trend", "seasonal", "resid")
 
