@@ -33,6 +33,7 @@ CLOSED_BY = {  # an open element, and the start tags that end it
     "option": {"option", "optgroup"},
     "head": {"body"},
 }
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())  # the end tag of one ends any other
 SCOPE = set("table td th li ul ol dl article section aside main nav header footer form div html body".split())
 
 TAG = re.compile(
@@ -122,7 +123,8 @@ class Page:
         if tag == "html" or tag == "body":
             return
         for at in range(len(self._open) - 1, 0, -1):
-            if self._open[at][0] == tag:
+            name = self._open[at][0]
+            if name == tag or name in HEADINGS and tag in HEADINGS:
                 if tag not in INLINE:
                     self._flush()
                 while len(self._open) > at:

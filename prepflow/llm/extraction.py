@@ -24,7 +24,7 @@ from prepflow.llm.arrow import slices
 from prepflow.llm.dom import Page
 from prepflow.llm.labelled_pages import labelled_pages
 
-STEPS = 250
+STEPS = 300
 RATE = 0.15
 RIDGE = 2e-3
 SLICE = 1 << 19

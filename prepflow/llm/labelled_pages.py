@@ -43,7 +43,8 @@ class _Writer:
         if kind < 0.7:
             return self.pick(f"<p>{self.prose()}</p>", f"<p>{self.prose()}", f"<p><b>{self.prose()}<br>")
         if kind < 0.8:
-            return f"<h{self.pick(2, 3)}>{self.words(1, 8)}</h2>"
+            level = self.pick(2, 3)
+            return f"<h{level}>{self.words(1, 8)}</h{level}>"
         if kind < 0.86:
             rows = "".join(f"<li>{self.prose()}" for _ in range(self.random.randint(1, 5)))
             return self.pick(f"<ul>{rows}</ul>", f"<ol>{rows}</ol>")
@@ -78,10 +79,12 @@ class _Writer:
         )
         head = self.pick("", f"<h3>{self.words(1, 3)}</h3>")
         names = self.named("comments", "comment-list", "discussion", "responses", "disqus_thread", "reader-comments")
-        return f"<{self.pick('section', 'div')} {names}>{head}{rows}</section>" if self.pick(0, 1) else f"<div {names}>{head}{rows}</div>"
+        tag = self.pick("section", "div", "div")
+        return f"<{tag} {names}>{head}{rows}</{tag}>"
 
     def related(self) -> str:
-        return f'<{self.pick("div", "aside", "section")} {self.named("related", "more-stories", "recommended", "trending", "popular")}><h3>{self.words(1, 3)}</h3>{self.links()}</div>'
+        tag, names = self.pick("div", "aside", "section"), self.named("related", "more-stories", "recommended", "trending", "popular")
+        return f"<{tag} {names}><h3>{self.words(1, 3)}</h3>{self.links()}</{tag}>"
 
     def form(self) -> str:
         return f"<form action=/s><label>{self.words(1, 3)}</label><input name=q><p>{self.sentence(2, 9)}</p></form>"
@@ -108,7 +111,7 @@ class _Writer:
 
     def article(self) -> str:
         parts = [self.pick(f"<h1>{self.words(2, 10)}</h1>", f"<h1>{self.sentence(2, 12)}</h1>", "")]
-        for _ in range(self.pick(1, 1, 2, 4, 8, 14)):
+        for _ in range(self.pick(1, 1, 1, 2, 4, 8, 14)):
             parts.append(self.paragraph())
             if self.random.random() < 0.12:
                 other = self.pick(self.advert, self.share, self.related, self.notice, self.form)()
