@@ -8,6 +8,9 @@ between buckets of documents and owners of key ranges; positions whose fingerpri
 elsewhere are extended both ways to the shortest runs around them, and these are joined by a
 second exchange, which also settles where each run occurs first. Later copies go; overlapping
 shortest runs make up the longest ones.
+
+Fewer lines may be a passage too: each run of fewer lines that has ``passage`` words or more is
+joined as a whole by the same two exchanges.
 """
 
 from __future__ import annotations
@@ -22,11 +25,12 @@ from pyspark.sql import functions as F
 
 from prepflow.llm.arrow import numbers, packed, raw, texts
 from prepflow.llm.exchange import Layout, covered, held, owner_cuts, units, window_starts
-from prepflow.llm.hashing import Hasher
+from prepflow.llm.hashing import Hasher, mix
 from prepflow.llm.substring_dedup import SPACE
 
 GRAM = 2
 WINDOW = 2
+PASSAGE = 50  # words
 NEWLINE = np.zeros(256, bool)
 NEWLINE[0x0A] = True
 NO_ID = np.iinfo(np.int64).max  # null ids come last
@@ -41,7 +45,7 @@ KEPT = "doc_id bigint, n_lines bigint, n_removed bigint, kept string, kept_sha25
 class _Lines:
     """A bucket's texts in the order that decides what comes first, their lines and line hashes."""
 
-    def __init__(self, table: pa.Table, gram: int, window: int):
+    def __init__(self, table: pa.Table, gram: int, window: int, passage: int):
         self.ids = table["doc_id"].fill_null(NO_ID).to_numpy()
         text = table["text"]
         order = pc.sort_indices(
@@ -53,7 +57,7 @@ class _Lines:
         self.data, self.starts, self.ends, self.offsets = units(self.table, NEWLINE, SPACE)
         self.hashers = Hasher(0), Hasher(1)
         self.lines = self.hashers[0].runs(self.data, self.starts, self.ends)
-        self.gram, self.window = gram, window
+        self.gram, self.window, self.passage = gram, window, passage
 
     def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
         """Where the selected hashes are, and which they are."""
@@ -68,19 +72,49 @@ class _Lines:
         at = np.unique(best)
         return at, grams[at]
 
-    def runs(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions and two hashes of the shortest runs that start at the flagged lines."""
+    def passages(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Runs of fewer than ``shortest`` lines, but of enough words: how many lines, positions, hashes."""
+        word = ~SPACE[self.data]
+        word[1:] &= SPACE[self.data[:-1]]
+        word[self.starts] = True
+        before = np.concatenate([[0], np.cumsum(word)])
+        words = np.concatenate([[0], np.cumsum(before[self.ends] - before[self.starts])])
+        out = []
+        for size in range(1, self.shortest):
+            at = np.flatnonzero(window_starts(self.offsets, size))
+            at = at[words[at + size] - words[at] >= self.passage]
+            out.append((size, at, self.sized(self.hashers[0].windows(self.lines, size)[at], size)))
+        return out
+
+    @staticmethod
+    def sized(hashes: np.ndarray, size: int) -> np.ndarray:
+        """Hashes that tell runs of ``size`` lines from runs of other lengths."""
+        return mix(hashes ^ np.uint64(size))
+
+    def runs(self, where: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions and two hashes of the shortest runs at the flagged lines, and of the passages asked for."""
         at = np.flatnonzero(where)
-        first = self.hashers[0].windows(self.lines, self.shortest)[at]
         lines = self.hashers[1].runs(self.data, self.starts, self.ends)
-        return at, first, self.hashers[1].windows(lines, self.shortest)[at]
+        found = [
+            (
+                at,
+                self.hashers[0].windows(self.lines, self.shortest)[at],
+                self.hashers[1].windows(lines, self.shortest)[at],
+            )
+        ]
+        for size, at, keys in self.passages():
+            take = held(keys, asked)
+            at, keys = at[take], keys[take]
+            found.append((at, keys, self.sized(self.hashers[1].windows(lines, size)[at], size)))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _ask(gram: int, window: int, bits: int):
-    """A bucket's fingerprints, for each owner: distinct, with a flag where one repeats here."""
+def _ask(gram: int, window: int, passage: int, bits: int):
+    """A bucket's fingerprints and passages, for each owner: distinct, with a flag where one repeats here."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        _, keys = _Lines(table, gram, window).fingerprints()
+        lines = _Lines(table, gram, window, passage)
+        keys = np.concatenate([lines.fingerprints()[1], *[k for _, _, k in lines.passages()]])
         keys, times = np.unique(keys, return_counts=True)
         owners, cuts = owner_cuts(keys, bits)
         return pa.Table.from_arrays(
@@ -97,7 +131,7 @@ def _ask(gram: int, window: int, bits: int):
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """The fingerprints that occur twice."""
+    """The fingerprints and passages that occur twice."""
     keys, cuts = numbers(table["key"], np.uint64)
     _, place = np.unique(keys, return_inverse=True)
     again = (np.bincount(place, weights=1.0 + numbers(table["many"], np.uint8)[0]) > 1)[place]
@@ -105,19 +139,20 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([table["bucket"], packed(keys[again], ends)], names=["bucket", "key"])
 
 
-def _extend(gram: int, window: int, bits: int):
-    """The shortest runs around joined positions: each once, with its first place in this bucket."""
+def _extend(gram: int, window: int, passage: int, bits: int):
+    """The shortest runs around joined positions, and joined passages: each once, with its first place in this bucket."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
-        lines = _Lines(table, gram, window)
+        lines = _Lines(table, gram, window, passage)
         at, keys = lines.fingerprints()
-        hit = at[held(keys, np.sort(numbers(answers["key"], np.uint64)[0]))]
+        asked = np.sort(numbers(answers["key"], np.uint64)[0])
+        hit = at[held(keys, asked)]
         whole = window_starts(lines.offsets, lines.shortest)
         marks = np.zeros(len(whole) + window + 1, np.int64)
         marks[hit] = 1
         before = np.concatenate([[0], np.cumsum(marks)])
         n = np.arange(len(whole))
-        at, first, second = lines.runs(whole & (before[n + window] > before[n]))
+        at, first, second = lines.runs(whole & (before[n + window] > before[n]), asked)
         order = np.lexsort((at, second, first))  # texts are in order, so the first place comes first
         at, first, second = at[order], first[order], second[order]
         new = np.ones(len(first), bool)
@@ -167,27 +202,29 @@ def _first(table: pa.Table) -> pa.Table:
     )
 
 
-def _remove(gram: int, window: int):
+def _remove(gram: int, window: int, passage: int):
     """Take the lines of later runs out of a bucket's texts."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
-        lines = _Lines(table, gram, window)
+        lines = _Lines(table, gram, window, passage)
         keys = numbers(answers["key"], np.uint64)[0]
         first = numbers(answers["first"], np.uint8)[0]
         order = np.argsort(keys)
         keys, first = keys[order], first[order].astype(bool)
-        runs = lines.hashers[0].windows(lines.lines, lines.shortest)
         whole = window_starts(lines.offsets, lines.shortest)
-        at = np.flatnonzero(whole[: len(runs)])
-        at = at[held(runs[at], keys)]
-        place = np.searchsorted(keys, runs[at])
-        stays = np.zeros(len(at), bool)
-        if len(at):
-            _, earliest = np.unique(runs[at], return_index=True)  # texts are in order
-            stays[earliest] = first[place[earliest]]
-        later = np.zeros(len(whole), bool)
-        later[at[~stays]] = True
-        gone = covered(later, lines.shortest)
+        at = np.flatnonzero(whole)
+        gone = np.zeros(len(whole), bool)
+        longest = (lines.shortest, at, lines.hashers[0].windows(lines.lines, lines.shortest)[at])
+        for size, at, runs in [longest, *lines.passages()]:
+            again = held(runs, keys)
+            at, runs = at[again], runs[again]
+            stays = np.zeros(len(at), bool)
+            if len(at):
+                _, earliest = np.unique(runs, return_index=True)  # texts are in order
+                stays[earliest] = first[np.searchsorted(keys, runs)[earliest]]
+            later = np.zeros(len(whole), bool)
+            later[at[~stays]] = True
+            gone |= covered(later, size)
         data, offsets = raw(lines.table["text"])
         data = data.tobytes()
         kept, removed = [], []
@@ -227,9 +264,10 @@ def remove_repeated_lines(
     text_col: str = "text",
     gram: int = GRAM,
     window: int = WINDOW,
+    passage: int = PASSAGE,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Delete every line that lies in a later copy of a run of ``gram + window - 1`` lines or longer.
+    """Delete every line in a later copy of a run of ``gram + window - 1`` lines or of ``passage`` words, or longer.
 
     Returns doc_id, n_lines, n_removed, kept (the text left) and its SHA-256 for every row, and
     the columns named in ``carry``. Lines end at a line feed and are compared without the ASCII white space
@@ -242,16 +280,16 @@ def remove_repeated_lines(
     docs = texts(df, id_col, text_col, *[F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(carry)])
     layout = Layout(docs)
     docs = docs.select("*", layout.bucket())
-    prints = docs.groupBy("bucket").applyInArrow(_ask(gram, window, layout.bits), ASK)
+    prints = docs.groupBy("bucket").applyInArrow(_ask(gram, window, passage, layout.bits), ASK)
     joined = prints.groupBy("owner").applyInArrow(_answer, ANSWER)
     runs = (
         docs.groupBy("bucket")
         .cogroup(joined.groupBy("bucket"))
-        .applyInArrow(_extend(gram, window, layout.bits), RUNS)
+        .applyInArrow(_extend(gram, window, passage, layout.bits), RUNS)
     )
     later = runs.groupBy("owner").applyInArrow(_first, LATER)
     carried = "".join(f", carry_{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     out = docs.groupBy("bucket").cogroup(later.groupBy("bucket")).applyInArrow(
-        _remove(gram, window), KEPT + carried
+        _remove(gram, window, passage), KEPT + carried
     )
     return out.withColumnsRenamed({f"carry_{i}": c for i, c in enumerate(carry)})
