@@ -11,6 +11,8 @@ import corpus_pipeline
 from prepflow.llm import (
     exact_dedup,
     extraction,
+    hard_negatives,
+    licenses,
     line_dedup,
     mixing,
     quality,
@@ -19,6 +21,7 @@ from prepflow.llm import (
     token_files,
     tokenization,
     topk,
+    whitening,
 )
 from prepflow.llm.vocabularies import PATTERN, tokenizer_file
 from prepflow.session import scratch_path
@@ -125,6 +128,49 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(_read(spark, sf_dir, "pages"))
 
 
+@query(
+    "op11_hard_negatives",
+    """
+    WITH e AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+    ),
+    s AS (
+        SELECT a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same,
+            list_inner_product(a.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+        FROM e a JOIN e c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+    ),
+    p AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT p.anchor_id, positive_id,
+        row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank,
+        s.vec_id AS negative_id, positive_score, s.score AS negative_score
+    FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+        AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+    QUALIFY rank <= 10
+    """,
+)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    mined = hard_negatives.mine(_read(spark, sf_dir, "embeddings").withColumn("label", label))
+    return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+@query("op13_license_scan")
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
