@@ -22,9 +22,10 @@ from prepflow.functions.columns import (
     nan_to_null,
 )
 from prepflow.functions.moments import fences
+from prepflow.operators.duplicates import count_duplicates, drop_copies
 from prepflow.operators.frequency import modes
-from prepflow.operators.ordering import carry_fill, index_rows
-from prepflow.operators.profile import Profile, _null_total, count_duplicates
+from prepflow.operators.ordering import Ranges, carry_fill, cut_ranges
+from prepflow.operators.profile import Profile, _null_total
 from prepflow.operators.quantiles import exact_quantiles, outlier_tally
 from prepflow.session import together
 
@@ -103,6 +104,7 @@ class CleanStep:
     order_by: tuple[str, ...] = ()
     strategy: str = ""
     affected: int = 0
+    ranges: Ranges | None = None  # of the order of a carry; a later table may use the same ones
 
     def detail(self) -> str | None:
         if self.op == "fill":
@@ -144,13 +146,10 @@ def _cell(df: DataFrame, current: Column, step: CleanStep) -> Column:
 
 
 def _carry(df: DataFrame, steps: Sequence[CleanStep]) -> DataFrame:
-    """Forward and backward fills that share an order: one numbering for all of them."""
-    indexed = index_rows(df, steps[0].order_by, idx="__idx", count="__n")
-    head = indexed.select("__n").limit(1).collect()
-    n = head[0][0] if head else 0
-    for step in steps:
-        indexed = carry_fill(indexed, step.column, n, step.strategy == "ffill", idx="__idx")
-    return indexed.select(*[col(c) for c in df.columns])
+    """Forward and backward fills that share an order: one shuffle for all of them."""
+    first = steps[0]
+    ranges = first.ranges or cut_ranges(df, first.order_by)
+    return carry_fill(df, {s.column: s.strategy == "ffill" for s in steps}, first.order_by, ranges=ranges)
 
 
 def apply_steps(df: DataFrame, steps: Sequence[CleanStep]) -> DataFrame:
@@ -170,7 +169,9 @@ def apply_steps(df: DataFrame, steps: Sequence[CleanStep]) -> DataFrame:
 
     for step in steps:
         if step.op == "carry":
-            if cells or any(step.order_by != c.order_by for c in carried):
+            # a fill of its own order's columns, or of a column filled already, comes after what is waiting
+            apart = any(step.order_by != c.order_by or step.column == c.column for c in carried)
+            if cells or apart or any(c.column in step.order_by for c in carried):
                 out = flush(out)
             carried.append(step)
             continue
@@ -181,7 +182,7 @@ def apply_steps(df: DataFrame, steps: Sequence[CleanStep]) -> DataFrame:
             continue
         out = flush(out)
         if step.op == "dedup":
-            out = out.dropDuplicates()
+            out = drop_copies(out)
         elif step.op == "drop":
             out = out.where(col(step.column).isNotNull())
         elif step.op == "remove":
@@ -211,7 +212,8 @@ class FittedClean:
 
     @classmethod
     def from_dict(cls, steps: list[dict]) -> "FittedClean":
-        return cls([CleanStep(**{**s, "order_by": tuple(s["order_by"])}) for s in steps])
+        again = lambda s: {"order_by": tuple(s["order_by"]), "ranges": Ranges.from_dict(s.get("ranges"))}
+        return cls([CleanStep(**{**s, **again(s)}) for s in steps])
 
 
 def _custom_value(df: DataFrame, name: str, value: object) -> object:
@@ -248,6 +250,7 @@ class _Fitter:
         self.steps: list[CleanStep] = []
         self.waiting: list[CleanStep] = []  # taken, but no statistic has looked past them yet
         self.batch: list[tuple[str, ColumnRule]] = []
+        self._ranges: dict[tuple[str, ...], Ranges] = {}
 
     def add(self, name: str, rule: ColumnRule, order_by: Sequence[str]) -> None:
         fill = rule.null_strategy
@@ -264,12 +267,19 @@ class _Fitter:
                     raise ValueError(f"{fill} of {name!r} needs order_by: a table has no row order")
                 else:
                     step.order_by = tuple(order_by)
+                    step.ranges = self.ranges(step.order_by)
                 self.take([step])
             rule = ColumnRule("none", rule.outlier_strategy)
         self.batch.append((name, rule))
         if rule.outlier_strategy == "remove":
             self.flush()
 
+    def ranges(self, order_by: tuple[str, ...]) -> Ranges:
+        """Bounds of the order, found once: steps in between change how even they are, not what is filled."""
+        if order_by not in self._ranges:
+            self._ranges[order_by] = cut_ranges(self._frame, order_by, self.n)
+        return self._ranges[order_by]
+
     @property
     def frame(self) -> DataFrame:
         if self.waiting:
@@ -349,7 +359,7 @@ def fit_clean(df: DataFrame, spec: CleanSpec) -> FittedClean:
     if copies:
         first = [CleanStep("dedup", affected=copies)]
         # read by every statistics job below; recomputed from source if an executor is lost
-        start = start.dropDuplicates().persist(StorageLevel.MEMORY_AND_DISK)
+        start = drop_copies(start).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fitter = _Fitter(start, n - copies)
         for name, rule in spec.columns.items():
@@ -373,7 +383,7 @@ def apply_cleaning(df: DataFrame, spec: CleanSpec) -> tuple[DataFrame, DataFrame
 
 def dedup(df: DataFrame) -> DataFrame:
     """One copy of every distinct row, nulls equal."""
-    return nan_to_null(df).dropDuplicates()
+    return drop_copies(nan_to_null(df))
 
 
 def impute(

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prepflow.functions.columns import NUMERIC, TEMPORAL, aggregate, col, data_type, dbl, local_frame, nan_to_null, sized
-from prepflow.operators.features import FeatureStep, class_text
+from prepflow.functions.vectors import flags_vector
+from prepflow.operators.features import FeatureStep, fit_encodings
 from prepflow.operators.frequency import distinct_counts, modes
 from prepflow.operators.ordering import framed, index_rows, lagged, running_weights, Frame
 from prepflow.operators.quantiles import exact_quantiles
@@ -50,19 +51,55 @@ TINY = 1e-9
 
 @dataclass
 class Prepared:
-    """Numeric feature columns and a numeric ``label``; ``classes`` name the label codes."""
+    """Numeric feature columns and a numeric ``label``; ``classes`` name the label codes.
+
+    A feature in ``wide`` is the code of a category with many classes (from 0, the first, which has no flag):
+    in the vector of features it becomes a flag per class but the first. Such classes, and those of a label
+    with very many, stay in the table of their step.
+    """
 
     frame: DataFrame
     features: list[str]
     classification: bool
     classes: list[str] = field(default_factory=list)
     keys: tuple[str, ...] = ()
-
-    def assembled(self, frame: DataFrame | None = None) -> DataFrame:
-        """keys, label and one feature vector."""
-        inputs = VectorAssembler(inputCols=self.features, outputCol="features", handleInvalid="error")
+    wide: dict[str, FeatureStep] = field(default_factory=dict)
+    n_classes: int = 0
+
+    @property
+    def widths(self) -> list[int]:
+        """Entries of the vector for each feature."""
+        return [self.wide[n].width - 1 if n in self.wide else 1 for n in self.features]
+
+    def vector(self, values: Sequence[Column]) -> Column:
+        """The feature vector of the given values of ``features``."""
+        if not self.wide:
+            return array_to_vector(F.array(*[v.cast("double") for v in values]))
+        named = zip(self.features, self.widths, values)
+        return flags_vector([(v - 1, width) if n in self.wide else (v, 0) for n, width, v in named])
+
+    def assembled(self, frame: DataFrame | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+        """keys (or ``keep``), label and one feature vector."""
         source = self.frame if frame is None else frame
-        return inputs.transform(source).select(*[col(k) for k in self.keys], "label", "features")
+        kept = [col(k) for k in (self.keys if keep is None else keep)]
+        if self.wide:
+            return source.select(*kept, "label", self.vector([col(n) for n in self.features]).alias("features"))
+        inputs = VectorAssembler(inputCols=self.features, outputCol="features", handleInvalid="error")
+        return inputs.transform(source).select(*kept, "label", "features")
+
+    def names(self, entries: Sequence[int]) -> dict[int, str]:
+        """What entries of the feature vector stand for: the classes of these few alone are looked up."""
+        out, start = {}, 0
+        for name, width in zip(self.features, self.widths):
+            here = [e for e in entries if start <= e < start + width]
+            if name not in self.wide:
+                out.update(dict.fromkeys(here, name))
+            elif here:
+                codes = [e - start + 1 for e in here]
+                found = self.wide[name].table.where(F.col("__code").isin(codes)).collect()
+                out.update({r["__code"] - 1 + start: f"{name}_{r['__class']}" for r in found})
+            start += width
+        return out
 
 
 def ml_task_type(df: DataFrame, target: str) -> str:
@@ -72,12 +109,6 @@ def ml_task_type(df: DataFrame, target: str) -> str:
     return "classification" if distinct_counts(df, [target])[target] < CLASS_LIMIT else "regression"
 
 
-def _classes(df: DataFrame, name: str) -> list[str]:
-    """Sorted class texts: they name columns, so they are known on the driver, however many."""
-    values = df.select(class_text(df, name).alias("v")).where(F.col("v").isNotNull()).distinct()
-    return sorted((r["v"] for r in values.collect()), key=lambda s: s.encode())
-
-
 def _varying(df: DataFrame, names: Sequence[str]) -> list[str]:
     """Columns with two different values: one scan, no shuffle."""
     found = aggregate(df, [F.coalesce(F.min(col(n)) != F.max(col(n)), F.lit(False)) for n in names])
@@ -112,28 +143,40 @@ def ml_prepare(df: DataFrame, target: str, keys: Sequence[str] = ()) -> Prepared
         ],
         col(target),
     )
-    classes = _classes(filled, target) if classification else []
-    if classification:
-        filled = FeatureStep("ordinal", target, classes=classes).coded(filled, "__label")
-    else:
-        filled = filled.withColumn("__label", dbl(target))
-    names = []
+    coding = {c: "onehot" for c in texts} | ({target: "ordinal"} if classification else {})
+    steps = {step.column: step for step in fit_encodings(filled, coding)}
+    goal = steps.get(target)
+    filled = goal.coded(filled, "__label") if goal else filled.withColumn("__label", dbl(target))
+    names, plain, wide = [], [], {}
     for c in inputs:
-        if c in texts:
-            flagged = FeatureStep("onehot", c, classes=_classes(filled, c)[1:])
-            filled = flagged.apply(filled)
-            names += [f"{c}_{category}" for category in flagged.classes]
-        else:
+        step = steps.get(c)
+        if step is None or step.table is not None:
             names.append(c)
+            plain.append(_plain(c))
+            if step is not None:
+                filled = step.apply_code(filled)
+                wide[_plain(c)] = step
+            continue
+        flagged = FeatureStep("onehot", c, classes=step.classes[1:])
+        filled = flagged.apply(filled)
+        names += [f"{c}_{category}" for category in flagged.classes]
+        plain += [_plain(f"{c}_{category}") for category in flagged.classes]
     if not names:
         raise ValueError("no usable features")
-    plain = [n.replace(".", "_").replace("`", "_") for n in names]  # the assembler reads dots as nesting
     prepared = filled.select(
         *[col(k) for k in keys],
-        *[col(c).cast("double").alias(n) for c, n in zip(names, plain)],
+        *[col(c).cast("bigint" if n in wide else "double").alias(n) for c, n in zip(names, plain)],
         F.col("__label").cast("double").alias("label"),
     )
-    return Prepared(prepared, plain, classification, classes, tuple(keys))
+    classes = (goal.classes or []) if goal else []
+    return Prepared(
+        prepared, plain, classification, classes, tuple(keys), wide, len(classes) or (goal.width if goal else 0)
+    )
+
+
+def _plain(name: str) -> str:
+    """The assembler reads dots as nesting."""
+    return name.replace(".", "_").replace("`", "_")
 
 
 # --- splitting ----------------------------------------------------------------------
@@ -319,8 +362,8 @@ def roc_curve(
     placed, pos, neg = _score_steps(scored, label, score)
     points = placed.select("__down", "tps", "fps")
     if drop_intermediate:
-        indexed = index_rows(points, ["__down"], count="n")
-        n = indexed.limit(1).collect()
+        n = points.count()
+        indexed = index_rows(points, ["__down"], n=n)
         tps, fps = F.col("tps"), F.col("fps")
         around = {
             "tp0": lagged(tps, 1),
@@ -328,7 +371,7 @@ def roc_curve(
             "tp2": Frame(0, 1, lambda w: F.lead(tps).over(w), unframed=True),
             "fp2": Frame(0, 1, lambda w: F.lead(fps).over(w), unframed=True),
         }
-        near = framed(indexed, around, n[0]["n"] if n else 0)
+        near = framed(indexed, around, n)
         bend = (F.col("tp2") - 2 * tps + F.col("tp0") != 0) | (F.col("fp2") - 2 * fps + F.col("fp0") != 0)
         points = near.where(F.col("tp0").isNull() | F.col("tp2").isNull() | bend).select("__down", "tps", "fps")
     curve = points.select(
@@ -375,8 +418,7 @@ def _score(predictions: DataFrame, classification: bool, measure: str | None = N
 def cut_folds(prepared: Prepared, order_by: Sequence[str], folds: int = 5) -> DataFrame:
     """fold, label and feature vector of every row: cut once, for any number of models."""
     cut = cv_folds(prepared.frame, order_by, folds, "label" if prepared.classification else None)
-    vectors = VectorAssembler(inputCols=prepared.features, outputCol="features").transform(cut)
-    return checkpoint(vectors.select("fold", "label", "features"))
+    return checkpoint(prepared.assembled(cut, ["fold"]))
 
 
 def cross_validate(
@@ -424,7 +466,9 @@ def feature_importance(model: Model, prepared: Prepared, top: int = TOP_FEATURES
         weights = [float(v) for v in sum(per_class) / len(per_class)]
     if not hasattr(model, "featureImportances") and sum(weights) > 0:
         weights = [w / sum(weights) for w in weights]
-    rows = sorted(zip(prepared.features, weights), key=lambda r: -r[1])[:top]
+    first = sorted(range(len(weights)), key=lambda i: -weights[i])[:top]
+    names = prepared.names(first)
+    rows = [(names[i], weights[i]) for i in first]
     return local_frame(prepared.frame.sparkSession, rows, "feature string, importance double")
 
 
@@ -449,15 +493,16 @@ def permutation_importance(
     features, each as its own copy of the row with one value replaced.
     """
     names = prepared.features
-    values = test.select(*[col(k) for k in keys], "label", F.array(*[col(n) for n in names]).alias("x"))
+    values = test.select(*[col(k) for k in keys], "label", F.array(*[col(n).cast("double") for n in names]).alias("x"))
     hashed = values.withColumn("__h", row_hash(keys, f"order{seed}"))
-    numbered = index_rows(hashed, ["__h", *keys], idx="__at", count="__n").select("__at", "__n", "label", "x")
-    head = numbered.limit(1).collect()
-    n = head[0]["__n"] if head else 0
+    n = hashed.count()
     if n < MIN_PERMUTE:
         raise ValueError(f"need at least {MIN_PERMUTE} rows to permute")
+    # read once per repeat and pass
+    numbered = checkpoint(index_rows(hashed, ["__h", *keys], idx="__at", n=n).select("__at", "label", "x"))
     measure = "accuracy" if prepared.classification else "r2"
-    plain = numbered.select("label", array_to_vector("x").alias("features"))
+    entries = prepared.vector([F.col("x")[i] for i in range(len(names))]).alias("features")
+    plain = numbered.select("label", entries)
     base = _score(model.transform(plain).select("label", "prediction"), prepared.classification, measure)
     losses: dict[int, list[float]] = {i: [] for i in range(len(names))}
     for repeat in range(repeats):
@@ -470,7 +515,7 @@ def permutation_importance(
                 for i in range(at, min(at + PERMUTED, len(names)))
             ]
             copies = paired.select("label", F.inline(F.array(*changed)))
-            scored = model.transform(copies.select("feature", "label", array_to_vector("x").alias("features")))
+            scored = model.transform(copies.select("feature", "label", entries))
             if prepared.classification:
                 quality = F.avg((F.col("label") == F.col("prediction")).cast("double"))
             else:
@@ -497,9 +542,10 @@ def partial_dependence(model: Model, frame: DataFrame, prepared: Prepared, featu
     step = (high - low) / (points - 1)
     grid = F.array(*[F.lit(low + i * step) for i in range(points)])
     rows = frame.select(
-        F.array(*[col(n) for n in prepared.features]).alias("x"), F.posexplode(grid).alias("point", "value")
+        F.array(*[col(n).cast("double") for n in prepared.features]).alias("x"), F.posexplode(grid).alias("point", "value")
     )
-    replaced = array_to_vector(_with_value(at, F.col("value")))
+    own = [F.col("value") if i == at else F.col("x")[i] for i in range(len(prepared.features))]
+    replaced = prepared.vector(own)
     scored = model.transform(rows.select("point", "value", replaced.alias("features")))
     return (
         scored.groupBy("point")
@@ -549,12 +595,13 @@ def train_and_evaluate(
     split = train_test_split(
         prepared.frame, keys, test_size, seed, "label" if classification else None, exact=True
     )
+    split = checkpoint(split)  # every model reads it
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     n_train, n_test = train.count(), test.count()
     if n_train + n_test < MIN_ROWS:
         raise ValueError(f"need at least {MIN_ROWS} rows to train")
     fit_on, score_on = prepared.assembled(train), prepared.assembled(test)
-    k = len(prepared.classes)
+    k = prepared.n_classes
     wanted = estimators(classification, k, n_train, seed, **sizes)
     models, predictions, cv, permuted, rows = {}, {}, {}, {}, []
     cut = cut_folds(prepared, keys, folds) if run_cv and n_train + n_test >= 2 * folds else None

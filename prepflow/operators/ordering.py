@@ -1,18 +1,21 @@
-"""Row order at scale: dense positions, bounded frames and prefix sums.
+"""Row order at scale: dense positions, bounded frames, carries and prefix sums.
 
-A window without PARTITION BY pulls the whole table into one task. Everything here uses a
-range shuffle on the complete sort key instead, so a single hot value of the first key
-column is split by the next one, and then only needs one small offset per partition.
+A window without PARTITION BY pulls the whole table into one task. Here rows lie in buckets,
+consecutive ranges of the complete sort key, so a single hot value of the first key column is
+split by the next one. The bounds of the buckets are literals (``Ranges``), found once on a sample:
+every later job puts a row into the same bucket, so nothing has to be written down to keep jobs
+in step, and any bounds give the same result. Between buckets one small row per bucket travels.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prepflow.functions.columns import col, local_frame, sized
+from prepflow.functions.columns import col, data_type, local_frame, sized
 from prepflow.session import checkpoint
 
 PART, POS = "__part", "__pos"
@@ -20,6 +23,11 @@ LOW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row position i
 MIN_CHUNK = 1 << 13
 HALO_SHARE = 8  # a chunk is at least this many times its frame's reach
 MAX_CHUNKS = 20_000
+BUCKET = "__bucket"
+BUCKET_ROWS = 1 << 13  # fewer rows than this are not worth a bucket
+BUCKETS = 4  # for each shuffle partition, so that hashing buckets to tasks evens out
+SAMPLED = 24  # rows for each bucket
+FAN = 32  # bounds compared at each level of the search for a row's bucket
 
 
 def _range_sorted(df: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -53,34 +61,116 @@ def _offsets(stamped: DataFrame, weights: dict[str, Column]) -> tuple[DataFrame,
     return local_frame(stamped.sparkSession, rows, schema), totals
 
 
+@dataclass
+class Ranges:
+    """Which range of an order a row lies in: bounds as text, so that they can be stored with a plan.
+
+    Bounds that fit the table badly make buckets uneven, nothing else.
+    """
+
+    columns: tuple[str, ...]
+    cuts: list[list[str | None]] = field(default_factory=list)
+
+    def bucket(self, df: DataFrame) -> Column:
+        """The number of bounds at or below the row's key. A search tree of ``FAN`` bounds a node, no branch per bound."""
+        kinds = [data_type(df, c) for c in self.columns]
+        key = F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(self.columns)])
+
+        def marks(stride: int) -> Column:
+            rows = [
+                F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(cut, kinds))])
+                for cut in self.cuts[stride - 1 :: stride]
+            ]
+            return F.array(*rows)
+
+        stride = 1
+        while stride * FAN < len(self.cuts):
+            stride *= FAN
+        found = F.lit(0)
+        while stride and self.cuts:
+            near = marks(stride)
+            if stride * FAN < len(self.cuts):  # below the root only the node's own bounds count
+                near = F.slice(near, (found / stride).cast("int") + 1, FAN)
+            found = found + F.size(F.filter(near, lambda m: m <= key)) * stride
+            stride //= FAN
+        return found.cast("int").alias(BUCKET)
+
+    def to_dict(self) -> dict:
+        return asdict(self)
+
+    @classmethod
+    def from_dict(cls, d: dict | None) -> "Ranges | None":
+        return cls(tuple(d["columns"]), d["cuts"]) if d else None
+
+
+def cut_ranges(df: DataFrame, order_by: Sequence[str], n: int | None = None, buckets: int | None = None) -> Ranges:
+    """Bounds of about even ranges, from a sample of the key columns; ``n`` is the row count where it is known.
+
+    The sample is read in one scan of the key columns and bounded by ``SAMPLED`` rows a bucket.
+    """
+    keys = df.select(*[col(c) for c in order_by])
+    if n is None:
+        n = keys.count()
+    if buckets is None:
+        width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = min(BUCKETS * width, n // BUCKET_ROWS + 1)
+    if buckets <= 1 or n == 0:
+        return Ranges(tuple(order_by))
+    some = keys.where(F.rand(7) < F.lit(SAMPLED * buckets / n)) if n > SAMPLED * buckets else keys
+    rows = some.select(F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(order_by)]).alias("k"))
+    texts = F.transform(
+        F.array_sort(F.collect_list("k")), lambda k: F.array(*[k[f"k{i}"].cast("string") for i in range(len(order_by))])
+    )
+    found = rows.agg(texts.alias("ks")).first()["ks"]
+    step = len(found) / buckets
+    cuts = [list(found[int(i * step)]) for i in range(1, buckets)] if found else []
+    return Ranges(tuple(order_by), [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]])
+
+
+def _present(bucketed: DataFrame, by: Sequence[Column], names: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
+    """One row per series and bucket that has rows."""
+    return bucketed.groupBy(*[k.alias(a) for k, a in zip(by, names)], F.col(BUCKET).alias("__b")).agg(*aggregates)
+
+
+def _with_edges(bucketed: DataFrame, edges: DataFrame, by: Sequence[Column], names: Sequence[str], how: str) -> DataFrame:
+    """Rows beside what their bucket got from others: without series that is one row a bucket, so broadcast."""
+    same = [F.col(BUCKET) == F.col("__b")] + [k.eqNullSafe(F.col(a)) for k, a in zip(by, names)]
+    return bucketed.join(edges if names else F.broadcast(edges), same, how)
+
+
 def index_rows(
     df: DataFrame,
     order_by: Sequence[str],
     keys: Sequence[str] = (),
     idx: str = "idx",
     count: str | None = None,
+    n: int | None = None,
+    ranges: Ranges | None = None,
 ) -> DataFrame:
     """Add a dense zero-based position in ``order_by`` order, within each key if given.
 
-    ``order_by`` must be a total order; ``count`` adds the number of rows of the series.
+    ``order_by`` must be a total order; ``count`` adds the number of rows of the series. Rows are
+    shuffled once, by bucket, and numbered there; each bucket starts where the earlier ones end.
+    The plan is lazy: only the bounds are found here, unless given. ``df`` is read twice by it, so it must
+    give the same rows each time.
     """
-    order = [col(k) for k in (*keys, *order_by)]
-    stamped = _range_sorted(df, order)
-    base, totals = _offsets(stamped, {"__base": F.lit(1)})
-    placed = stamped.join(F.broadcast(base), PART).withColumn(
-        idx, (F.col("__base") + F.col(POS)).cast("bigint")
+    ranges = ranges or cut_ranges(df, [*keys, *order_by], n)
+    by = [col(k) for k in keys]
+    names = [f"__k{i}" for i in range(len(keys))]
+    bucketed = df.withColumn(BUCKET, ranges.bucket(df))
+    whole = Window.partitionBy(*(names or [F.lit(0)]))
+    earlier = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = _present(bucketed, by, names, [F.count(F.lit(1)).alias("__n")])
+    sizes = sizes.select(
+        *names,
+        "__b",
+        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"),
+        F.sum("__n").over(whole).alias("__total"),
     )
-    if keys:
-        starts = placed.groupBy(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(
-            F.min(idx).alias("__start"), F.count(F.lit(1)).alias("__n")
-        )
-        same = [col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-        placed = placed.join(sized(starts), same).withColumn(idx, F.col(idx) - F.col("__start"))
-        size = F.col("__n")
-    else:
-        size = F.lit(totals["__base"]).cast("bigint")
-    out = [col(c) for c in df.columns] + [F.col(idx)]
-    return placed.select(*out, *([size.alias(count)] if count else []))
+    order = Window.partitionBy(*by, BUCKET).orderBy(*[col(c) for c in order_by])
+    placed = _with_edges(bucketed.withColumn(POS, F.row_number().over(order)), sizes, by, names, "inner")
+    out = [col(c) for c in df.columns] + [(F.col("__start") + F.col(POS) - 1).cast("bigint").alias(idx)]
+    return placed.select(*out, *([F.col("__total").cast("bigint").alias(count)] if count else []))
 
 
 def chunk_size(n: int, reach: int = 0) -> int:
@@ -189,50 +279,39 @@ def running_weights(
 
 
 def carry_fill(
-    indexed: DataFrame,
-    name: str,
-    n: int,
-    forward: bool = True,
+    df: DataFrame,
+    columns: dict[str, bool],
+    order_by: Sequence[str],
     keys: Sequence[str] = (),
-    idx: str = "idx",
-    size: int | None = None,
+    n: int | None = None,
+    ranges: Ranges | None = None,
 ) -> DataFrame:
-    """Fill NULLs with the last (or next) present value in position order.
+    """Fill NULLs with the last present value (True) or the next one (False) in ``order_by`` order.
 
-    Inside a chunk an ordinary window does it. Across chunks only one value per chunk
-    travels: a table of at most MAX_CHUNKS rows per series.
+    One shuffle by bucket serves every column; between buckets one value per column and bucket
+    travels. The order is that of the columns as they come in, within each key if given.
     """
-    size = size or chunk_size(n)
-    lead = [col(k) for k in keys]
-    value = col(name)
-    cut = indexed.withColumn("__chunk", F.floor(F.col(idx) / F.lit(size)).cast("bigint"))
-    if forward:
-        rows = Window.partitionBy(*lead, "__chunk").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
-        inside = F.last(value, ignorenulls=True).over(rows)
-        edge = F.max_by(value, F.when(value.isNotNull(), F.col(idx)))
-    else:
-        rows = Window.partitionBy(*lead, "__chunk").orderBy(idx).rowsBetween(0, Window.unboundedFollowing)
-        inside = F.first(value, ignorenulls=True).over(rows)
-        edge = F.min_by(value, F.when(value.isNotNull(), F.col(idx)))
-    order = F.col("__c").asc() if forward else F.col("__c").desc()
+    ranges = ranges or cut_ranges(df, [*keys, *order_by], n)
+    by = [col(k) for k in keys]
     names = [f"__k{i}" for i in range(len(keys))]
-    edges = cut.groupBy(
-        *[k.alias(a) for k, a in zip(lead, names)], F.col("__chunk").alias("__c")
-    ).agg(edge.alias("__edge"))
-    earlier = Window.partitionBy(*(names or [F.lit(0)])).orderBy(order).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carried = edges.select(
-        *names, "__c", F.last("__edge", ignorenulls=True).over(earlier).alias("__carry")
-    )
-    same = [F.col("__chunk") == F.col("__c")] + [
-        k.eqNullSafe(F.col(a)) for k, a in zip(lead, names)
-    ]
-    side = carried if keys else F.broadcast(carried)
-    filled = cut.withColumn("__inside", inside).join(side, same, "left")
-    return filled.select(
-        *[
-            F.coalesce(F.col("__inside"), F.col("__carry")).alias(c) if c == name else col(c)
-            for c in indexed.columns
-        ]
-    )
+    bucketed = df.withColumn(BUCKET, ranges.bucket(df))
+    place = F.struct(*[col(c) for c in order_by])
+    rows = Window.partitionBy(*by, BUCKET).orderBy(*[col(c) for c in order_by])
+    before, after = rows.rowsBetween(Window.unboundedPreceding, 0), rows.rowsBetween(0, Window.unboundedFollowing)
+    edges, carried, filled = [], [], {}
+    buckets = Window.partitionBy(*(names or [F.lit(0)])).orderBy("__b")
+    for i, (name, forward) in enumerate(columns.items()):
+        value, held = col(name), F.when(col(name).isNotNull(), place)
+        edges.append((F.max_by if forward else F.min_by)(value, held).alias(f"__e{i}"))
+        if forward:
+            far = F.last(f"__e{i}", ignorenulls=True).over(buckets.rowsBetween(Window.unboundedPreceding, -1))
+            near = F.last(value, ignorenulls=True).over(before)
+        else:
+            far = F.first(f"__e{i}", ignorenulls=True).over(buckets.rowsBetween(1, Window.unboundedFollowing))
+            near = F.first(value, ignorenulls=True).over(after)
+        carried.append(far.alias(f"__c{i}"))
+        filled[name] = (near.alias(f"__f{i}"), F.coalesce(F.col(f"__f{i}"), F.col(f"__c{i}")))
+    there = _present(bucketed, by, names, edges).select(*names, "__b", *carried)
+    near = bucketed.select("*", *[f for f, _ in filled.values()])
+    out = _with_edges(near, there, by, names, "left")
+    return out.select(*[filled[c][1].alias(c) if c in filled else col(c) for c in df.columns])

@@ -28,6 +28,7 @@ from prepflow.functions.moments import (
     fences,
     moments_from_sums,
 )
+from prepflow.operators.duplicates import count_duplicates
 from prepflow.operators.frequency import distinct_counts, top_values
 from prepflow.operators.quantiles import exact_quantiles, outlier_tally
 from prepflow.operators.types import ColumnTypes, detect_column_types
@@ -39,44 +40,11 @@ FIXED_WIDTH = {
     "boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4,
     "double": 8, "date": 4, "timestamp": 8, "timestamp_ntz": 8,
 }
-# Share of rows above which looking for copies among suspects is dearer than counting all rows.
-SUSPECT_SHARE = 0.1
 
 
 # --- whole-table figures -------------------------------------------------------------
 
 
-def _row_key(df: DataFrame) -> Column:
-    """A 64-bit row hash that agrees for rows that compare equal (0.0 and -0.0 included)."""
-    cells = [
-        dbl(f.name) + F.lit(0.0) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else col(f.name)
-        for f in df.schema
-    ]
-    return F.xxhash64(*cells)
-
-
-def count_duplicates(df: DataFrame, suspect_share: float | None = None) -> tuple[int, int]:
-    """(rows, rows beyond the first copy), exact, nulls equal.
-
-    A row whose 64-bit hash is unique has no copy, so the first job shuffles 8 bytes per
-    row. Only rows that share a hash are then compared in full, picked out by a join while they
-    are at most ``suspect_share`` of all.
-    """
-    df = nan_to_null(df)
-    hashed = df.withColumn("__h", _row_key(df))
-    tally = hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("c"))
-    row = tally.agg(F.sum("c"), F.sum(F.when(F.col("c") > 1, F.col("c")))).first()
-    total, suspects = int(row[0] or 0), int(row[1] or 0)
-    if suspects == 0:
-        return total, 0
-    pool = df
-    if suspects <= (SUSPECT_SHARE if suspect_share is None else suspect_share) * total:
-        pool = hashed.join(tally.where(F.col("c") > 1).select("__h"), "__h", "left_semi").drop("__h")
-    counted = pool.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
-    copies = counted.agg(F.sum(F.col("__n") - 1)).first()[0]
-    return total, int(copies or 0)
-
-
 def duplicate_rows(df: DataFrame, suspect_share: float | None = None) -> DataFrame:
     total, copies = count_duplicates(df, suspect_share)
     frame = local_frame(df.sparkSession, [(copies, total)], "duplicate_rows bigint, n bigint")

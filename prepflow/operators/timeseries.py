@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -27,6 +27,7 @@ from prepflow.operators.ordering import (
 )
 from prepflow.operators.quantiles import counted_quantiles
 from prepflow.operators.types import parse_datetime
+from prepflow.session import checkpoint
 
 # fixed values
 WINDOWS = (7, 14, 30)
@@ -47,6 +48,11 @@ class Series:
     keys: tuple[str, ...] = ()
     dropped: int = 0
     _n: int | None = None
+    is_settled: bool = False
+
+    def settled(self) -> "Series":
+        """The same series with its positions written down: for work that reads them several times."""
+        return self if self.is_settled else replace(self, frame=checkpoint(self.frame), is_settled=True)
 
     @property
     def n(self) -> int:
@@ -74,8 +80,13 @@ def prepare(
         F.when(~F.isnan(v), v).alias("v"),
     )
     present = points.where(F.col("t").isNotNull() & F.col("v").isNotNull())
-    indexed = index_rows(present, ["t", *tie_breakers], keys, count="n")
-    return Series(indexed, tuple(keys))
+    if keys:
+        sizes = present.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("c"))
+        rows, longest = (int(v or 0) for v in sizes.agg(F.sum("c"), F.max("c")).first())
+    else:
+        rows = longest = present.count()
+    indexed = index_rows(present, ["t", *tie_breakers], keys, count="n", n=rows)
+    return Series(indexed, tuple(keys), _n=longest)
 
 
 def infer_frequency(df: DataFrame, date: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -194,6 +205,7 @@ def ts_summary(df: DataFrame, date: str, value: str, tie_breakers: Sequence[str]
     series = prepare(df, date, value, tie_breakers)
     if series.n < 5:
         raise ValueError("not enough points for time series analysis (need 5)")
+    series = series.settled()
     adf = adf_test(series)
     v, slope = F.col("v"), F.regr_slope(F.col("v"), F.col("idx").cast("double"))
     row = series.frame.agg(
@@ -245,6 +257,7 @@ def autocorr_lags(series: Series, max_lag: int = 7) -> DataFrame:
     Positions are dense, so which points have a partner is known from the position alone:
     only the products need the lagged values, and with them the one shuffle into chunks.
     """
+    series = series.settled()
     keys = [col(k) for k in series.keys]
     lags = range(1, max_lag + 1)
     x = F.col("v") - F.lit(series.frame.agg(F.avg("v")).first()[0] or 0.0)
@@ -343,6 +356,7 @@ def decompose(series: Series, period: int | None = None) -> DataFrame:
     idx, size, reach = F.col("idx"), F.col("n"), m // 2
     back = size - 1 - reach
     ends = ((F.lit(reach), F.least(F.lit(reach + m), back)), (F.greatest(F.lit(reach), back - m), back))
+    series = series.settled()
     frame, by = series.frame, list(series.keys)
     near = frame.where((idx < ends[0][1] + reach) | (idx >= ends[1][0] - reach))
     x = idx.cast("double")
@@ -513,6 +527,7 @@ def adf_frame(series: Series, max_lags: int | None = None, chunk: int = ADF_CHUN
     order is a sub-matrix of the totals, so one pass serves all orders. A series that is too
     short or constant has a row of NULLs.
     """
+    series = series.settled()
     names = [f"__k{i}" for i in range(len(series.keys))]
     by = names
     keyed = series.frame.select(*[col(k).alias(a) for k, a in zip(series.keys, names)], "idx", "v", "n")

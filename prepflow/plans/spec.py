@@ -94,7 +94,7 @@ class FittedPrep:
         steps = []
         for i, s in enumerate(d["features"]):
             step = FeatureStep(**s)
-            if step.op in ("label", "ordinal") and step.classes is None:
+            if step.op in ("label", "ordinal", "onehot") and step.classes is None:
                 step.table = spark.read.parquet(f"{path}/codes-{i}").select(
                     F.col("__class"), F.col("__code")
                 )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prepflow.functions.vectors import vector_parts
 from prepflow.operators import modeling
 from prepflow.queries.registry import View, query, table
 
@@ -312,11 +313,11 @@ MANY = View("orders", ["o_orderkey", "'c' || CAST(o_orderkey % 1103 AS VARCHAR(1
 def _(spark, sf):
     """A flag per category but the first: how many are set in a row, and which."""
     p = modeling.ml_prepare(MANY.df(spark, sf), "o_totalprice", ["o_orderkey"])
-    x = F.array(*[F.col(f"`{n}`") for n in p.features])
-    place = F.array_position(x, 1.0).cast("double")
-    return p.frame.select(
-        "o_orderkey", "label", F.aggregate(x, F.lit(0.0), lambda a, b: a + b).alias("flags"), place.alias("place"),
-        F.lit(len(p.features)).cast("bigint").alias("features"),
+    found = p.assembled().select("o_orderkey", "label", vector_parts(F.col("features")).alias("v"))
+    return found.select(
+        "o_orderkey", "label", F.aggregate("v.values", F.lit(0.0), lambda a, b: a + b).alias("flags"),
+        F.coalesce(F.get("v.indices", F.lit(0)) + 1, F.lit(0)).cast("double").alias("place"),
+        F.col("v.size").cast("bigint").alias("features"),
     )
 
 

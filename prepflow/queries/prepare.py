@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prepflow.functions.vectors import vector_parts
 from prepflow.operators import cleaning, features, profile
 from prepflow.operators.cleaning import CleanSpec, ColumnRule
 from prepflow.operators.features import FeatureSpec
@@ -277,18 +278,38 @@ def _(spark, sf):
     SELECT o_orderkey, 1::BIGINT AS flags, i::BIGINT AS place, (SELECT count(*) FROM k) AS columns FROM o JOIN r ON o.cat = r.cat""",
 )
 def _(spark, sf):
-    """More than a thousand flags: how many are set in a row, and which."""
+    """More than a thousand flags in one vector: how many are set in a row, and which."""
     df = table(spark, sf, "orders").selectExpr("o_orderkey", "concat('c', o_orderkey % 1103) AS cat")
-    out = features.apply_features(df, FeatureSpec(encoding={"cat": "onehot"}))[0]
-    x = F.array(*[F.col(f"`{c}`") for c in out.columns if c != "o_orderkey"])
-    return out.select(
-        "o_orderkey",
-        F.aggregate(x, F.lit(0), lambda a, b: a + b).cast("bigint").alias("flags"),
-        F.array_position(x, 1).alias("place"),
-        F.lit(len(out.columns) - 1).cast("bigint").alias("columns"),
+    return _flags_set(df, "cat", "o_orderkey")
+
+
+def _flags_set(df, name, *keys):
+    """What the sparse vector of a one-hot encoding holds; ``place`` is counted from 1."""
+    out = features.apply_features(df, FeatureSpec(encoding={name: "onehot"}))[0]
+    v = vector_parts(F.col(f"{name}_onehot"))
+    return out.select(*keys, v.alias("v")).select(
+        *keys,
+        F.aggregate("v.values", F.lit(0.0), lambda a, b: a + b).cast("bigint").alias("flags"),
+        (F.get("v.indices", F.lit(0)) + 1).cast("bigint").alias("place"),
+        F.col("v.size").cast("bigint").alias("columns"),
     )
 
 
+@query(
+    "encode_onehot_rows",
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+        CASE WHEN l_linenumber < 7 THEN l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR END AS cat FROM lineitem),
+    k AS (SELECT cat, row_number() OVER (ORDER BY cat) AS i FROM (SELECT DISTINCT cat FROM l WHERE cat IS NOT NULL))
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (i IS NOT NULL)::BIGINT AS flags, i::BIGINT AS place,
+        (SELECT count(*) FROM k)::BIGINT AS columns FROM l LEFT JOIN k ON l.cat = k.cat""",
+)
+def _(spark, sf):
+    """About as many classes as rows, and missing values: a vector that wide with at most one flag in it."""
+    cat = "CASE WHEN l_linenumber < 7 THEN concat(l_orderkey, '-', l_linenumber) END AS cat"
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return _flags_set(table(spark, sf, "lineitem").selectExpr(*keys, cat), "cat", *keys)
+
+
 @query(
     "encode_ordinal_many",
     """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_name END AS c_name FROM customer)

@@ -15,8 +15,11 @@ def _table(n=400, seed=3):
     return pd.DataFrame({"id": np.arange(n), "t": t, "k": rng.integers(0, 4, n), "v": rng.normal(size=n).round(3)})
 
 
+@pytest.mark.parametrize("small", [False, True])
 @pytest.mark.parametrize("parts", [1, 4, 17])
-def test_index_rows(spark, parts):
+def test_index_rows(spark, parts, small, monkeypatch):
+    if small:
+        _small_buckets(monkeypatch)
     pdf = _table().sample(frac=1, random_state=1)
     df = spark.createDataFrame(pdf).repartition(parts)
     got = o.index_rows(df, ["t", "id"], count="n").toPandas().sort_values("idx")
@@ -26,7 +29,10 @@ def test_index_rows(spark, parts):
     assert set(got["n"]) == {len(pdf)}
 
 
-def test_index_rows_keyed(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_index_rows_keyed(spark, small, monkeypatch):
+    if small:
+        _small_buckets(monkeypatch)
     pdf = _table()
     got = o.index_rows(spark.createDataFrame(pdf), ["t", "id"], ["k"], count="n").toPandas()
     for k, part in got.groupby("k"):
@@ -67,22 +73,70 @@ def test_halo_needs_room(spark):
         o.with_halo(spark.range(3).withColumnRenamed("id", "idx"), 5, 0, 2)
 
 
-@pytest.mark.parametrize("forward", [True, False])
-@pytest.mark.parametrize("size", [3, 10, 1000])
-def test_carry_fill(spark, forward, size):
+def _small_buckets(monkeypatch):
+    """Many uneven buckets for a small table: a search tree of several levels."""
+    monkeypatch.setattr(o, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(o, "BUCKETS", 20)
+    monkeypatch.setattr(o, "FAN", 3)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_carry_fill(spark, small, monkeypatch):
+    if small:
+        _small_buckets(monkeypatch)
     pdf = _table(90)
     pdf["v"] = pdf["v"].where(np.random.default_rng(5).random(90) < 0.2)
+    pdf["w"] = pdf["v"].where(np.random.default_rng(6).random(90) < 0.5)
     pdf.loc[:5, "v"] = None
-    rows = [(int(a), int(k), None if pd.isna(v) else float(v)) for a, k, v in zip(pdf["id"], pdf["k"], pdf["v"])]
-    df = spark.createDataFrame(rows, "id int, k int, v double")
-    got = o.carry_fill(o.index_rows(df, ["id"]), "v", 90, forward, size=size).toPandas().sort_values("idx")
-    want = pdf["v"].ffill() if forward else pdf["v"].bfill()
-    assert np.allclose(got["v"].astype(float), want, equal_nan=True)
-    keyed = o.carry_fill(o.index_rows(df, ["id"], ["k"]), "v", 90, forward, ["k"], size=size)
-    got = keyed.toPandas().sort_values("id")
-    by = pdf.groupby("k")["v"]
-    want = by.ffill() if forward else by.bfill()
-    assert np.allclose(got["v"].astype(float), want, equal_nan=True)
+    cells = lambda x: None if pd.isna(x) else float(x)
+    rows = [(int(a), int(k), cells(v), cells(w)) for a, k, v, w in zip(pdf["id"], pdf["k"], pdf["v"], pdf["w"])]
+    df = spark.createDataFrame(rows, "id int, k int, v double, w double").repartition(3)
+    got = o.carry_fill(df, {"v": True, "w": False}, ["id"]).toPandas().sort_values("id")
+    assert np.allclose(got["v"].astype(float), pdf["v"].ffill(), equal_nan=True)
+    assert np.allclose(got["w"].astype(float), pdf["w"].bfill(), equal_nan=True)
+    got = o.carry_fill(df, {"v": True, "w": False}, ["id"], ["k"]).toPandas().sort_values("id")
+    assert np.allclose(got["v"].astype(float), pdf.groupby("k")["v"].ffill(), equal_nan=True)
+    assert np.allclose(got["w"].astype(float), pdf.groupby("k")["w"].bfill(), equal_nan=True)
+
+
+@pytest.mark.parametrize("n", [1, 5, 30, 200])
+def test_bucket_is_the_number_of_bounds_below(spark, n, monkeypatch):
+    monkeypatch.setattr(o, "FAN", 3)
+    values = [None, *range(0, 3 * n, 3)]
+    ranges = o.Ranges(("t", "s"), [[None if v is None else str(v), "m"] for v in values])
+    rows = [(t, s) for t in (None, -1, 0, 1, 3, 50, 3 * n) for s in (None, "a", "m", "z")]
+    df = spark.createDataFrame(rows, "t int, s string")
+    low = lambda x: (x is not None, x if x is not None else 0)
+    key = lambda t, s: (low(t), (s is not None, s or ""))
+    for r in df.select("t", "s", ranges.bucket(df).alias("b")).collect():
+        assert r["b"] == sum(key(v, "m") <= key(r["t"], r["s"]) for v in values), r
+
+
+def test_ranges_of_every_kind_of_key(spark):
+    df = spark.range(64).selectExpr(
+        "id", "date_add(date'2020-01-01', cast(id as int)) d", "timestamp_seconds(id * 1800) t", "cast(id as decimal(20, 3)) m",
+        "if(id = 3, double('NaN'), id / 7) f", "concat('k', id) s", "id % 2 = 0 as b", "cast(concat('k', id) as binary) x", "timestamp_ntz'2020-01-01 00:00:00' z",
+    )
+    for column in df.columns[1:]:
+        ranges = o.cut_ranges(df, [column, "id"], buckets=8)
+        again = o.Ranges.from_dict(ranges.to_dict())
+        assert again == ranges and len(ranges.cuts) == 7
+        order = [r["b"] for r in df.withColumn("b", again.bucket(df)).orderBy(column, "id").collect()]
+        assert order == sorted(order) and len(set(order)) == 8, column
+
+
+def test_bounds_of_another_table_change_nothing(spark, monkeypatch):
+    _small_buckets(monkeypatch)
+    early = spark.range(100).withColumnRenamed("id", "t")
+    ranges = o.cut_ranges(early, ["t"])
+    late = spark.range(1_000, 1_100).withColumnRenamed("id", "t")
+    got = o.index_rows(late, ["t"], ranges=ranges, count="n").orderBy("t").collect()
+    assert [(r["idx"], r["n"]) for r in got] == [(i, 100) for i in range(100)]
+
+
+def test_equal_bounds_fall_together(spark):
+    df = spark.range(500).selectExpr("1 as t")
+    assert len(o.cut_ranges(df, ["t"], buckets=8).cuts) == 1
 
 
 def test_running_weights(spark):

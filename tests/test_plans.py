@@ -122,12 +122,14 @@ def _row_level(spark, sf_dir):
     }
 
 
-def test_no_window_in_one_task_and_no_python(spark, sf_dir):
+def test_no_window_in_one_task_and_no_python(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 10)  # fewer rows than a bucket holds are one
     for name, df in _row_level(spark, sf_dir).items():
         plan = _plan(df)
         lines = plan.splitlines()
         for below in (lines[i + 1] for i, line in enumerate(lines) if "SinglePartition" in line):
-            assert "partial_" in below, name  # only totals of partitions meet in one task
+            # only totals of partitions and one row a bucket meet in one task
+            assert "partial_" in below or "HashAggregate(keys=[__bucket" in below, name
         assert "Python" not in plan and "InPandas" not in plan, name
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
@@ -145,32 +147,46 @@ def test_filters_on_floating_columns_reach_the_scan(spark, sf_dir):
     assert "GreaterThan(l_discount,0.05)" in plan and "ReadSchema: struct<l_orderkey:bigint,l_discount:double>" in plan
 
 
-def test_fills_share_one_sort(spark):
+def test_fills_share_one_sort(spark, monkeypatch):
     rows = [(i, None if i % 3 else float(i), None if i % 4 else i) for i in range(50)]
     df = spark.createDataFrame(rows, "k int, v double, w int")
     rules = {"v": ColumnRule("ffill"), "w": ColumnRule("bfill")}
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 10)
     fitted = cleaning.fit_clean(df, CleanSpec(False, rules, ("k",)))
-    calls = []
-    kept = cleaning.index_rows
-    cleaning.index_rows = lambda *a, **k: calls.append(1) or kept(*a, **k)
-    try:
-        out = fitted.transform(df).orderBy("k").collect()
-    finally:
-        cleaning.index_rows = kept
-    assert len(calls) == 1
+    out = fitted.transform(df)
+    plan = _plan(out)
+    assert plan.count("hashpartitioning(__bucket") == 2  # the rows once, and one row a bucket
+    out = out.orderBy("k").collect()
     assert [r["v"] for r in out[:5]] == [0.0, 0.0, 0.0, 3.0, 3.0] and [r["w"] for r in out[:6]] == [0, 4, 4, 4, 4, 8]
 
 
-def test_hot_first_key_is_split(spark):
-    """Rows that share the first sort key still spread over the range partitions."""
+def test_hot_first_key_is_split(spark, monkeypatch):
+    """Rows that share the first sort key still spread over the buckets."""
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 100)
     df = spark.range(20_000).selectExpr("id", "1 as t")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        stamped = ordering._range_sorted(df, [F.col("t"), F.col("id")])
-        sizes = [r["count"] for r in stamped.groupBy(ordering.PART).count().collect()]
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert len(sizes) > 1 and max(sizes) < 20_000 * 0.6
+    ranges = ordering.cut_ranges(df, ["t", "id"])
+    sizes = [r["count"] for r in df.groupBy(ranges.bucket(df)).count().collect()]
+    assert len(sizes) >= 4 * 4 and max(sizes) < 20_000 / len(sizes) * 3
+
+
+def test_fills_and_positions_are_lazy(spark, monkeypatch):
+    """No job runs and nothing is written down when a fitted plan is applied."""
+    rows = [(i, None if i % 3 else float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 10)
+    fitted = cleaning.fit_clean(df, CleanSpec(False, {"v": ColumnRule("ffill")}, ("k",)))
+    assert fitted.steps[0].ranges.cuts
+    monkeypatch.setattr(session, "checkpoint", None)
+    for module in (ordering, cleaning):
+        monkeypatch.setattr(module, "checkpoint", None, raising=False)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("apply", "apply")
+    out = fitted.transform(df)
+    indexed = ordering.index_rows(df, ["k"], ranges=fitted.steps[0].ranges)
+    assert not tracker.getJobIdsForGroup("apply")
+    assert [r["v"] for r in out.orderBy("k").collect()] == [float(i - i % 3) for i in range(300)]
+    assert [r["idx"] for r in indexed.orderBy("k").collect()] == list(range(300))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_worker_functions_travel_by_value(tmp_path):

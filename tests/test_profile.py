@@ -80,10 +80,12 @@ def test_duplicates_both_ways(spark, copies, monkeypatch):
 def test_duplicates_with_colliding_hashes(spark, monkeypatch):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(profile, "_row_key", lambda df: F.lit(1))
+    from prepflow.operators import duplicates
+
+    monkeypatch.setattr(duplicates, "row_key", lambda df: F.lit(1).cast("bigint"))
     df = spark.createDataFrame([(1,), (2,), (2,), (3,)], "a int")
     assert profile.count_duplicates(df) == (4, 1)
-    monkeypatch.setattr(profile, "SUSPECT_SHARE", 1.0)
+    monkeypatch.setattr(duplicates, "SUSPECT_SHARE", 1.0)
     assert profile.count_duplicates(df) == (4, 1)
 
 
