@@ -13,7 +13,9 @@ All pages of a batch form one forest, and a message step takes one level of all
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from prepflow.llm.dom import Page
 from prepflow.llm.labelled_pages import labelled_pages
 
 STEPS = 300
+DEEP = 1_000  # levels of nested elements
 RATE = 0.15
 RIDGE = 2e-3
 SLICE = 1 << 19
@@ -90,6 +93,8 @@ class Forest:
 
     def messages(self, unary: np.ndarray, edge: np.ndarray):
         """Sum-product, up and down: node marginals of content, pair marginals of edges, log partition."""
+        if len(self.levels) > DEEP:
+            return self._messages_by_node(unary, edge)
         up = np.stack([np.zeros(self.n), unary], axis=1)  # own potential and all that comes from below
         sent = np.zeros((self.n, 2))  # message to the parent, for each label of the parent
         for nodes in self.levels[:0:-1]:
@@ -99,7 +104,7 @@ class Forest:
         down = np.zeros((self.n, 2))
         joint = np.zeros((self.n, 2, 2))
         for nodes in self.levels[1:]:
-            above = (up + down)[self.parent[nodes]] - sent[nodes]
+            above = up[self.parent[nodes]] + down[self.parent[nodes]] - sent[nodes]
             pair = edge[self.kind[nodes]] + above[:, :, None]
             down[nodes] = np.logaddexp(pair[:, 0, :], pair[:, 1, :])
             joint[nodes] = pair + up[nodes][:, None, :]
@@ -112,6 +117,42 @@ class Forest:
         return marginal, joint, float(total[~children].sum())
 
 
+    def _messages_by_node(self, unary: np.ndarray, edge: np.ndarray):
+        """The same, node by node: a page of many levels has few nodes on each, and arrays do not pay."""
+        order = np.concatenate(self.levels).tolist()
+        parent, kind, own = self.parent.tolist(), self.kind.tolist(), unary.tolist()
+        e = edge.tolist()
+        up0, up1 = [0.0] * self.n, own[:]
+        sent0, sent1 = [0.0] * self.n, [0.0] * self.n
+        for i in reversed(order):
+            p = parent[i]
+            if p >= 0:
+                (a, b), (c, d) = e[kind[i]]
+                x, y = up0[i], up1[i]
+                sent0[i], sent1[i] = _log_sum(a + x, b + y), _log_sum(c + x, d + y)
+                up0[p] += sent0[i]
+                up1[p] += sent1[i]
+        down0, down1 = [0.0] * self.n, [0.0] * self.n
+        joint = np.zeros((self.n, 2, 2))
+        for i in order:
+            p = parent[i]
+            if p >= 0:
+                (a, b), (c, d) = e[kind[i]]
+                x, y = up0[p] + down0[p] - sent0[i], up1[p] + down1[p] - sent1[i]
+                a, b, c, d = a + x, b + x, c + y, d + y
+                down0[i], down1[i] = _log_sum(a, c), _log_sum(b, d)
+                joint[i] = (a + up0[i], b + up1[i]), (c + up0[i], d + up1[i])
+        belief = np.array([up0, up1]).T + np.array([down0, down1]).T
+        total = np.logaddexp(belief[:, 0], belief[:, 1])
+        children = self.parent >= 0
+        joint[children] = np.exp(joint[children] - total[children][:, None, None])
+        return np.exp(belief[:, 1] - total), joint, float(total[~children].sum())
+
+
+def _log_sum(a: float, b: float) -> float:
+    return a + math.log1p(math.exp(b - a)) if a > b else b + math.log1p(math.exp(a - b))
+
+
 @dataclass
 class Extractor:
     vocabulary: dict[str, int]
@@ -163,6 +204,12 @@ def train(sources: list[str], steps: int = STEPS) -> Extractor:
     return Extractor(vocabulary, weights, edge)
 
 
+@lru_cache(maxsize=1)
+def default_extractor() -> Extractor:
+    """The model of this package's labelled pages, trained once in a session."""
+    return train(labelled_pages())
+
+
 def extract(
     df: DataFrame,
     model: Extractor | None = None,
@@ -176,9 +223,9 @@ def extract(
     decoded and white space within a block becomes one space. A null or empty page, one without text and
     one without content have an empty text. Pages that repeat each get a row, null ids and urls
     stay null, other columns are ignored, and an empty table gives an empty result. Without a
-    ``model`` one is trained on the labelled pages of this package, which takes seconds on the driver.
+    ``model`` one is trained on the labelled pages of this package, which takes seconds on the driver, once in a session.
     """
-    model = model or train(labelled_pages())
+    model = model or default_extractor()
 
     def run(batches):
         for part in slices(batches, "html", SLICE):

@@ -1,9 +1,12 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from prepflow.llm import extraction
+from prepflow.llm import dom, extraction
 from prepflow.llm.dom import Page
 from prepflow.llm.labelled_pages import labelled_pages
 
@@ -109,3 +112,93 @@ def test_table(spark, model):
     assert [r["text"] for r in found if r["page_id"] in (2, None)] == ["", ""]
     assert {r["text"].count("\n\n") for r in found if r["page_id"] in (1, 3)} == {4}
     assert extraction.extract(spark.createDataFrame([], schema), model).count() == 0
+
+
+ODD = ["<a ", "<a", "<a\"", "<my-x>t ", "<div>", "<b><p>x</p>", "</y>", "<my-x></y>", "<!", "<a '", "<a \"x' ", "<thead>", '<p class="', "<tr><p>", "<h1></h2>", "<x a='b\" "]
+
+
+@pytest.mark.parametrize("piece", ODD)
+def test_odd_pages_take_linear_time(piece):
+    """A megabyte of one oddity: seconds, where a search from every tag would take hours."""
+    start = time.perf_counter()
+    Page(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - start < 5
+
+
+def _plain_tags(source):
+    """Tags and text as the reader takes them, from a search at every place."""
+    out, at = [], 0
+    for found in iter(lambda: dom.TAG.search(source, at), None):
+        out.append((found.start(), found.end(), found[1], found[2]))
+        at = found.end()
+    return out
+
+
+PIECES = ["<a ", "<a>", "<!", "<!--", "-->", '"', "'", ">", "<", "x", "=", "<b c='", "</p", "<?", "<![CDATA[", "]]>"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=24).map("".join))
+def test_tags_against_search_at_every_place(source):
+    page = Page("")
+    assert [(f.start(), f.end(), f[1], f[2]) for f in page._tags(source)] == _plain_tags(source)
+
+
+def _plain_open(source):
+    """Parents of blocks by walking down all that is open, for every tag: the rules as they are stated."""
+    opened, parents, tags = [("html", 0)], [-1], ["html"]
+    block = lambda: next(n for _, n in reversed(opened) if n >= 0)
+    for _, _, slash, tag in _plain_tags(source):
+        if tag is None or tag == "html":
+            continue
+        if slash:
+            for at in range(len(opened) - 1, 0, -1):
+                name = opened[at][0]
+                if name == tag or name in dom.HEADINGS and tag in dom.HEADINGS:
+                    del opened[at:]
+                    break
+                if tag in dom.INLINE and opened[at][1] >= 0:
+                    break
+        elif tag in dom.INLINE:
+            if tag not in dom.VOID:
+                opened.append((tag, -1))
+        else:
+            for at in range(len(opened) - 1, 0, -1):
+                name = opened[at][0]
+                if tag in dom.CLOSED_BY.get(name, ()):
+                    del opened[at:]
+                    break
+                if name in dom.SCOPE:
+                    break
+            parents.append(block())
+            tags.append(tag)
+            opened.append((tag, len(tags) - 1))
+    return list(zip(tags, parents))
+
+
+NAMES = "p li ul b a td tr table h1 h2 div my-x option dt dd dl thead tbody section br".split()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([f"<{n}>" for n in NAMES] + [f"</{n}>" for n in NAMES]), max_size=30).map("".join))
+def test_tree_against_walking_down(source):
+    page = Page(source)
+    assert list(zip(page.tag, page.parent)) == _plain_open(source)
+
+
+def test_deep_pages(monkeypatch):
+    """Messages node by node are those level by level, and deep pages take seconds."""
+    model = extraction.default_extractor()
+    assert extraction.default_extractor() is model
+    pages = [Page(s) for s in extraction.labelled_pages()[:20]]
+    forest = extraction.Forest(pages, model.vocabulary)
+    unary = forest.unary(model.weights)
+    by_level = forest.messages(unary, model.edge)
+    monkeypatch.setattr(extraction, "DEEP", 0)
+    by_node = forest.messages(unary, model.edge)
+    assert np.allclose(by_level[0], by_node[0]) and np.allclose(by_level[1], by_node[1]) and np.isclose(by_level[2], by_node[2])
+    monkeypatch.undo()
+    for piece in ("<div>t ", "<my-x>t "):
+        start = time.perf_counter()
+        model.texts([piece * (1_000_000 // len(piece))])
+        assert time.perf_counter() - start < 15
