@@ -1,27 +1,31 @@
 """Near-copies by the Jaccard similarity of word shingles: every pair of at least 4/5, exactly.
 
-A document is the set of its hashed shingles. If sets are read in one order of all shingles, two
-sets within the bound share a shingle among the first fifth of each (the prefix), so equal prefix
-shingles give every candidate; which order is free. Shingles that many documents have come last,
-so that a common line makes no candidates. Candidates are checked on the whole sets.
-
-Groups are not paired out: first each set meets the smallest one that shares a prefix shingle and
-the root of its SimHash component. What these links join needs no further check, so only
-pairs of sets that still lie in different components are candidates of the second round.
+A document is the set of its hashed shingles; rows with equal sets are one from the start. Two
+searches propose pairs of sets, and a pair counts only if its whole sets pass the check:
+
+- SimHash fingerprints of the sets, linked by the self-join of binary tries (``simhash``);
+- prefixes: if sets are read in one order of all shingles, two sets within the bound share a
+  shingle among the first fifth of each. This misses no pair. Which order is free: shingles that
+  many documents have come last, so that a common passage proposes nothing.
+
+Groups are not paired out: first each set meets the smallest one that shares a prefix shingle or
+its fingerprint. What the checked links join needs no further check, so the second round proposes
+only pairs of sets that still lie in different components, of like size and position.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prepflow.llm import simhash
-from prepflow.llm.arrow import slices, texts
+from prepflow.llm.arrow import numbers, slices, texts
 from prepflow.llm.components import components
 from prepflow.llm.exchange import held, units, window_starts
 from prepflow.llm.hashing import Hasher
@@ -29,10 +33,12 @@ from prepflow.llm.substring_dedup import SPACE
 from prepflow.session import checkpoint
 
 WORDS = 5
-HOT = 16  # documents that share a prefix shingle before it counts as common
-HOT_KEYS = 1 << 17
-SAMPLE_ROWS = 1 << 18  # documents in which common shingles are counted; the order only costs time
-BITS = 1 << 25  # of the table that tells which sets are asked for
+LOCAL = 4  # documents of ``COUNTED`` bytes of text that share a shingle before a task reports it
+COUNTED = 16 << 20
+HOT = 16  # reported documents, over all tasks, that make a shingle common; the order only costs time
+BITS = 1 << 25  # of the tables that tell which shingles are common and which sets are asked for
+SEEN = 1 << 20  # sets a task remembers to have given out
+VOTES = 1 << 18  # shingles whose bits are counted at a time
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -65,51 +71,132 @@ def _ids(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.array(ids, np.uint64).view(np.int64)
 
 
-def _each(words: int, give):
+def fingerprints(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The SimHash of each set: a bit is 1 if more than half of the set's hashes have it; 0 for an empty set."""
+    votes = np.zeros((len(offsets) - 1, 64), np.int64)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    for at in range(0, len(hashes), VOTES):
+        part, of = hashes[at : at + VOTES], row[at : at + VOTES]
+        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        votes[of[begin]] += np.add.reduceat(bits, begin, axis=0, dtype=np.int64)
+    most = votes * 2 > np.diff(offsets)[:, None]
+    return np.packbits(most, axis=1).reshape(-1).view(">u8").astype(np.uint64).view(np.int64)
+
+
+ROWS = "doc_id bigint, text_key string, set_id bigint, fp bigint, keys binary, counts binary"
+
+
+def _named(words: int):
+    """Each row's set and fingerprint; rows without a text key hold the shingles that are common in a task instead."""
+
+    def report(held_back: list[np.ndarray]) -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate(held_back), return_counts=True)
+        some = counts >= LOCAL
+        blobs = [[b.tobytes()] for b in (keys[some], counts[some].astype(np.int64))]
+        nothing = [pa.array([None], t) for t in (pa.int64(), pa.string(), pa.int64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([*nothing, *[pa.array(b, pa.binary()) for b in blobs]], names=NAMES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_back, size = [], 0
         for part in slices(batches):
             hashes, offsets = shingle_sets(part, words)
-            yield give(part, hashes, offsets, _ids(hashes, offsets))
+            held_back.append(hashes)
+            size += part["text"].nbytes
+            none = pa.nulls(part.num_rows, pa.binary())
+            found = [pa.array(_ids(hashes, offsets)), pa.array(fingerprints(hashes, offsets)), none, none]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_key"], *found], names=NAMES)
+            if size >= COUNTED:
+                yield report(held_back)
+                held_back, size = [], 0
+        if held_back:
+            yield report(held_back)
 
     return run
 
 
-def _named(part, hashes, offsets, ids):
-    columns = {"doc_id": part["doc_id"], "text_key": part["text_key"], "set_id": pa.array(ids)}
-    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+NAMES = [c.split()[0] for c in ROWS.split(", ")]
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, counts = numbers(batch["keys"], np.int64)[0], numbers(batch["counts"], np.int64)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+
+
+def _table(keys: DataFrame, name: str):
+    """The slots of 64-bit keys as a table of ``BITS`` bits, broadcast once: its size does not depend on the data."""
+    # bitmap functions count positions from 1 and give 2^15 bits a row
+    slot = F.col(name).bitwiseAND(F.lit(BITS - 1)) + 1
+    found = keys.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")
+    )
+    bits = np.zeros(BITS >> 3, np.uint8)
+    for r in found.toArrow().to_pylist():
+        bits[(r["k"] - 1) << 12 : r["k"] << 12] = np.frombuffer(r["bits"], np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def _among(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    slot = keys.astype(np.uint64) & np.uint64(BITS - 1)
+    return ((bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+class _Once:
+    """Which sets of a batch a task has not given out yet: copies in a task give one."""
 
+    def __init__(self):
+        self.seen: set[int] = set()
 
-def _prefixes(common: np.ndarray):
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        if len(self.seen) > SEEN:
+            self.seen.clear()
+        new = []
+        for i, x in enumerate(ids.tolist()):
+            if x not in self.seen:
+                self.seen.add(x)
+                new.append(i)
+        return np.array(new, np.int64)
+
+
+KEYS = "key bigint, set_id bigint, n int, at int"
+
+
+def _prefixes(words: int, table):
     """The first shingles of each set: by hash, those that are common last."""
 
-    def give(part, hashes, offsets, ids):
-        n = np.diff(offsets)
-        row = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((hashes, held(hashes, common), row))
-        place = np.arange(len(hashes)) - np.repeat(offsets[:-1], n)
-        first = place < (n - (4 * n + 4) // 5 + 1)[row]
-        columns = {
-            "key": hashes[order][first].view(np.int64),
-            "set_id": ids[row[first]],
-            "n": n[row[first]].astype(np.int32),
-            "at": place[first].astype(np.int32),
-        }
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, once = table.value, _Once()
+        for part in slices(batches):
+            hashes, offsets = shingle_sets(part, words)
+            ids = _ids(hashes, offsets)
+            give = np.zeros(len(ids), bool)
+            give[once(ids)] = True
+            n = np.diff(offsets)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((hashes, _among(hashes, common), row))
+            place = np.arange(len(hashes)) - np.repeat(offsets[:-1], n)
+            first = give[row] & (place < (n - (4 * n + 4) // 5 + 1)[row])
+            columns = [hashes[order][first].view(np.int64), ids[row[first]], n[row[first]].astype(np.int32), place[first].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "set_id", "n", "at"])
 
-    return give
+    return run
 
 
-def _asked(bits: np.ndarray):
+def _asked(words: int, table):
     """The sets whose id may be asked for."""
 
-    def give(part, hashes, offsets, ids):
-        slot = ids & (BITS - 1)
-        take = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-        blobs = [hashes[offsets[i] : offsets[i + 1]].tobytes() for i in take]
-        columns = [pa.array(ids[take]), pa.array(blobs, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["set_id", "shingles"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, once = table.value, _Once()
+        for part in slices(batches):
+            hashes, offsets = shingle_sets(part, words)
+            ids = _ids(hashes, offsets)
+            take = once(np.where(_among(ids, bits), ids, 0))
+            take = take[_among(ids[take], bits) & (np.diff(offsets)[take] > 0)]
+            blobs = [hashes[offsets[i] : offsets[i + 1]].tobytes() for i in take]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[take]), pa.array(blobs, pa.binary())], names=["set_id", "shingles"])
 
-    return give
+    return run
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,32 +210,13 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
-def _common(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles in the prefixes of many documents, counted on a bounded sample."""
-    n = docs.count()
-    share = F.pmod(F.xxhash64("text"), F.lit(max(1, -(-n // SAMPLE_ROWS)))) == 0
-    keys = docs.where(share).mapInArrow(_each(words, _prefixes(np.zeros(0, np.uint64))), KEYS).select("key")
-    counts = keys.groupBy("key").count().where(F.col("count") > HOT)
-    rows = counts.orderBy(F.col("count").desc(), "key").limit(HOT_KEYS).select("key").toPandas()
-    return np.sort(rows["key"].to_numpy(np.int64).view(np.uint64))
-
-
-KEYS = "key bigint, set_id bigint, n int, at int"
-
-
 def _verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) of set ids that are near; only sets in a pair leave their task."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    # bitmap functions count positions from 1 and give 2^15 bits a row, so at most BITS / 8 bytes come here
-    slot = F.col("set_id").bitwiseAND(F.lit(BITS - 1)) + 1
-    found = ids.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")
-    )
-    bits = np.zeros(BITS >> 3, np.uint8)
-    for r in found.collect():
-        bits[(r["k"] - 1) << 12 : r["k"] << 12] = np.frombuffer(r["bits"], np.uint8)
-    sets = docs.mapInArrow(_each(words, _asked(bits)), "set_id bigint, shingles binary")
-    sets = checkpoint(sets.join(ids, "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("s")))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id"))
+    sets = docs.select("text").mapInArrow(_asked(words, _table(ids, "set_id")), "set_id bigint, shingles binary")
+    # copies in several tasks give equal blobs, of which one is enough
+    sets = sets.join(ids.distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("s"))
+    sets = checkpoint(sets)
     a, b = (sets.select(F.col("set_id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     return checkpoint(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_near, "a bigint, b bigint"))
 
@@ -159,49 +227,87 @@ def _may(na: Column, nb: Column, ia: Column, ib: Column) -> Column:
     return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (9 * rest >= 4 * (na + nb))
 
 
+def _alike(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that the trie join links: the smallest sets of linked fingerprints, and sets of equal ones."""
+    sets = rows.select("fp", "set_id").distinct()
+    least = checkpoint(sets.groupBy("fp").agg(F.min("set_id").alias("least")))
+    equal = sets.join(least, "fp").where("set_id <> least").select(F.col("least").alias("a"), F.col("set_id").alias("b"))
+    x, y = (least.select(F.col("fp").alias(f"fp_{s}"), F.col("least").alias(f"set_{s}")) for s in "xy")
+    links = simhash.links(least.select("fp"))
+    far = links.join(x, links.a == F.col("fp_x")).join(y, links.b == F.col("fp_y"))
+    return equal.unionByName(far.select(F.least("set_x", "set_y").alias("a"), F.greatest("set_x", "set_y").alias("b")))
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """The class of every row: doc_id, text_key (SHA-256 of the text), class_id.
 
     Texts are lower-cased (A-Z only) and cut at ASCII white space; a shorter text is one shingle.
     Texts link at a Jaccard similarity of 4/5 or more between their sets of shingles, and a class is all
     that links reach. Texts without words are one class. Shingles and sets are told apart by 64 hash
-    bits. A null text counts as empty, and a row with a null id takes part.
+    bits. A null text counts as empty, and a row with a null id takes part. The texts are cut four times.
     """
-    key = F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)
-    docs = texts(df, id_col, text_col, key.alias("text_key"))
-    rows = checkpoint(docs.mapInArrow(_each(words, _named), "doc_id bigint, text_key string, set_id bigint"))
-    common = _common(docs, words)
-    keys = docs.mapInArrow(_each(words, _prefixes(common)), KEYS)
-    same = Window.partitionBy("key")
-    keys = keys.withColumn("low", F.min(F.struct("set_id", "n", "at")).over(same)).withColumn("high", F.max("set_id").over(same))
-    keys = checkpoint(keys.where("low.set_id < high").distinct())
-
-    prints = simhash.near_duplicates(df, id_col, text_col, words).select(F.col("doc_id"), F.col("component_id"))
-    roots = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("set_id"))
-    alike = (
-        prints.where("doc_id <> component_id").distinct()
-        .join(roots.withColumnRenamed("set_id", "x"), "doc_id")
-        .join(roots.select(F.col("doc_id").alias("component_id"), F.col("set_id").alias("y")), "component_id")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    )
+    docs = texts(df, id_col, text_col, text_key(F.col(f"`{text_col}`")).alias("text_key"))
+    named = checkpoint(docs.mapInArrow(_named(words), ROWS))
+    rows = named.where("text_key is not null").drop("keys", "counts")
+    counts = named.where("text_key is null").select("keys", "counts").mapInArrow(_unpacked, "key bigint, n bigint")
+    common = _table(counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT), "key")
+    keys = docs.select("text").mapInArrow(_prefixes(words, common), KEYS)
+    low = keys.groupBy("key").agg(F.min(F.struct("set_id", "n", "at")).alias("low"), F.max("set_id").alias("high"))
+    low = low.where("low.set_id < high").drop("high")
+    keys = checkpoint(keys.join(low, "key").distinct())
+
     fits = _may(F.col("n"), F.col("low.n"), F.col("at"), F.col("low.at"))
     star = keys.where(F.col("set_id") != F.col("low.set_id")).where(fits)
     star = star.select(F.col("low.set_id").alias("a"), F.col("set_id").alias("b"))
-    first = checkpoint(alike.unionByName(star).where("a <> b").distinct())
+    first = checkpoint(_alike(rows).unionByName(star).distinct())
     links = _verified(docs, first, words)
 
     root = checkpoint(components(links, "a", "b"))
     keys = keys.join(root, keys.set_id == root.node, "left").select(
         "key", "set_id", "n", "at", F.coalesce("root", "set_id").alias("root")
     )
-    x, y = (keys.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("set_id", "n", "at", "root")]) for s in "xy")
+    # sets within the bound lie in the same or in neighbouring bands of sizes
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.25))
+    x, y = (keys.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("set_id", "n", "at", "root")], band.alias("band")) for s in "xy")
+    y = y.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     apart = (F.col("x_set_id") < F.col("y_set_id")) & (F.col("x_root") != F.col("y_root"))
     fits = _may(F.col("x_n"), F.col("y_n"), F.col("x_at"), F.col("y_at"))
-    more = x.join(y, (x.key == y.key) & apart & fits).select(F.col("x_set_id").alias("a"), F.col("y_set_id").alias("b"))
-    more = checkpoint(more.distinct().join(first, ["a", "b"], "left_anti"))
+    more = x.join(y, (x.key == y.key) & (x.band == y.band) & apart & fits)
+    more = more.select(F.col("x_set_id").alias("a"), F.col("y_set_id").alias("b")).distinct()
+    more = checkpoint(more.join(first, ["a", "b"], "left_anti"))
     links = links.unionByName(_verified(docs, more, words))
 
     root = components(links, "a", "b")
     return rows.join(root, rows.set_id == root.node, "left").select(
         "doc_id", "text_key", F.coalesce("root", "set_id").alias("class_id")
     )
+
+
+def text_key(text: Column) -> Column:
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
+def one_of_each_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """``df`` with one row of each class of near-copies: the smallest id, null last, then the smallest text hash.
+
+    Rows equal in id and text are copies like others; of them that with the smallest hash of all columns
+    stays. Columns may have any names. An empty table gives an empty result.
+    """
+    rows = checkpoint(near_copies(df, id_col, text_col, words))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    first = rows.groupBy("class_id").agg(F.min(order).alias("first"))
+    # a name is an id and a text; most name one row, which is the first of its class
+    names = rows.groupBy("class_id", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    judged = names.join(first, "class_id").select(
+        F.col("doc_id").alias("name_id"), F.col("text_key").alias("name_key"), is_first.alias("stays"), "copies"
+    )
+    odd = checkpoint(judged.where(~F.col("stays") | (F.col("copies") > 1)))
+    whole = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("row_id"),
+        text_key(F.col(f"`{text_col}`")).alias("row_key"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("row_hash"),
+    )
+    same = F.col("row_id").eqNullSafe(F.col("name_id")) & (F.col("row_key") == F.col("name_key"))
+    found = whole.join(odd, same, "left")
+    again = found.where("stays").groupBy("row_id", "row_key").agg(F.min_by("row", "row_hash").alias("row"))
+    return found.where("stays is null").select("row.*").unionAll(again.select("row.*"))

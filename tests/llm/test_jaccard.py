@@ -57,7 +57,8 @@ def _stage(spark, rows):
 
 
 def test_stage_finds_every_pair(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "HOT", 3)
+    for name, value in (("HOT", 3), ("LOCAL", 2), ("COUNTED", 3_000), ("SEEN", 7), ("VOTES", 50)):
+        monkeypatch.setattr(jaccard, name, value)
     rows = _varied(1) + [(1_000, None), (1_001, ""), (1_002, "A b"), (1_003, "a B"), (1_004, "a b c")]
     assert len(_pairs(rows)) > 40
     assert _stage(spark, rows) == _stay(rows)
@@ -77,3 +78,26 @@ def test_one_row_of_repeated_and_null_ids(spark):
     text, other = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
     rows = [(3, text), (3, text), (3, other), (7, text), (None, text), (None, other), (None, "x y"), (None, "x y"), (None, None), (None, "")]
     assert _stage(spark, rows) == sorted([(3, text), (3, other), (None, "x y"), (None, "")], key=str)
+
+
+def test_columns_of_any_name(spark):
+    names = "copies stays as first row row_id row_key row_hash name_id class_id text_key unnamed key n".split()
+    rows = [(i, t, *[k + i for k in range(len(names))]) for i, t in [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x"), (3, "x")]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{n}` int" for n in names))
+    found = jaccard.one_of_each_class(docs)
+    assert found.columns == docs.columns
+    assert sorted(tuple(r) for r in found.collect()) == sorted({rows[0], rows[2]})
+
+
+def test_fingerprints_against_definition(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "VOTES", 7)
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, 2, 9, 30, 0]
+    hashes, offsets = rng.integers(0, 2**64, sum(sizes), dtype=np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+    want = []
+    for s, e in zip(offsets[:-1], offsets[1:]):
+        own = [int(h) for h in hashes[s:e]]
+        want.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own)))
+    assert jaccard.fingerprints(hashes, offsets).view(np.uint64).tolist() == want

@@ -8,6 +8,8 @@ import brute
 import corpus_pipeline
 import oracle
 from prepflow.llm import line_dedup, mixing, quality
+from test_jaccard import _stay
+from test_passages import _without
 from prepflow.llm.queries import ORACLE, QUERIES
 from prepflow.llm.vocabularies import PATTERN, tokenizer_file
 
@@ -20,7 +22,7 @@ def test_matches_sql(spark, sf_dir, duck, key):
 def test_every_query_is_registered():
     import __spark_entry__ as entry
 
-    assert {int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")} == set(range(1, 11)) and "pipeline" in QUERIES
+    assert {int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")} == set(range(1, 14)) and "pipeline" in QUERIES
     assert QUERIES.items() <= entry.queries().items()
 
 
@@ -41,14 +43,13 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert sorted(_rows(good)) == sorted(before) and 0 < len(before) < docs.count()
 
     lines = stages["line dedup"](spark, good, sf_dir)
-    want = brute.without_lines([r[:2] for r in before], line_dedup.GRAM + line_dedup.WINDOW - 1)
+    want = _without([r[:2] for r in before], line_dedup.GRAM + line_dedup.WINDOW - 1)
     after = _rows(lines)
-    assert {i: t for i, t, _ in after} == {i: v[2] for i, v in want.items()}
+    assert {i: t for i, t, _ in after} == {i: v[1] for i, v in want.items()}
     assert all(r["n_chars"] == len(r["text"]) for r in lines.collect())
 
     single = stages["SimHash near-dedup"](spark, lines, sf_dir)
-    classes = brute.classes([r[:2] for r in after])
-    assert {r[0] for r in _rows(single)} == {i for i, (_, c) in classes.items() if c == i}
+    assert sorted(((i, t or "") for i, t, _ in _rows(single)), key=str) == _stay([r[:2] for r in after])
 
     mixed = stages["mixing sources"](spark, single, sf_dir)
     assert Counter(r[0] for r in _rows(mixed)) == Counter(r["doc_id"] for r in mixing.mix(single).select("doc_id").collect())
@@ -73,12 +74,17 @@ def test_run_is_the_stages_in_order(spark, sf_dir):
     assert found.where(F.length("ids") != F.col("n_tokens") * 4).count() == 0 and found.count() > 100
 
 
+ODD_COUNTS = [5, 2, 2, 2]
+
+
 def test_stages_take_odd_tables(spark, sf_dir):
     """Nulls, repeated rows and an empty table, with the columns of documents."""
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     rows = [(1, "a b c d. e f g.", "en", "s", 15), (1, "a b c d. e f g.", "en", "s", 15), (None, None, None, None, None), (2, "", None, "t", None), (3, None, "fr", None, 0)]
     for table in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
-        docs = table
+        docs, counts = table, []
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf_dir)
-        assert docs.count() == (0 if table.isEmpty() else docs.count())
+            counts.append(docs.count())
+        # the copy loses its lines, then is one of three texts without words; sources s and t double, null does not
+        assert counts == ([0, 0, 0, 0] if table.isEmpty() else ODD_COUNTS)
