@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from prepflow.llm import jaccard, line_dedup, mixing, quality, tokenization
 from prepflow.llm.vocabularies import PATTERN, tokenizer_file
-from prepflow.session import checkpoint, scratch_path
+from prepflow.session import scratch_path
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,21 +32,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near-copies: the smallest id, null last, then the smallest text hash."""
-    rows = checkpoint(jaccard.near_copies(docs))
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
-    first = rows.groupBy("class_id").agg(F.min(order).alias("first")).select("first.doc_id", "first.text_key")
-    # rows that are equal in id and text are the same row several times
-    copies = rows.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
-    both = first.doc_id.eqNullSafe(copies.doc_id) & (first.text_key == copies.text_key)
-    stay = checkpoint(
-        first.join(copies, both).select(first.doc_id.alias("stays"), first.text_key.alias("as"), "copies")
-    )
-    text_key = F.sha2(F.coalesce("text", F.lit("")), 256)
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")) & (text_key == F.col("as")))
-    again = kept.where("copies > 1").groupBy("stays", "as").agg(
-        F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
-    )
-    return kept.where("copies = 1").select(*docs.columns).unionByName(again.select("row.*"))
+    return jaccard.one_of_each_class(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
