@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from prepflow.session import checkpoint
 
 # Up to this many columns the cross products are plain sums; beyond it p*p of them would not compile well.
 SUMMED_COLUMNS = 16
+RANK_ROWS = 1 << 10  # rows whose ranks are multiplied at a time
 # A centred sum of squares this small beside the raw one is rounding: the column is constant.
 ROUNDING = 1e-12
 
@@ -195,43 +197,91 @@ def average_ranks(long: DataFrame) -> DataFrame:
     return placed.select("which", "value", rank.cast("double").alias("rank"))
 
 
+def _ranks_by_partner(long: DataFrame, p: int) -> DataFrame:
+    """(which, value, ranks): the average rank of a column's value among the rows where each other column is present.
+
+    ``long`` has (which, value, seen), ``seen`` saying which columns the row has. A distinct value is one row with
+    a count, then a running total, for every partner; nothing is copied per pair.
+    """
+    counts = long.groupBy("which", "value").agg(
+        *[F.sum(F.get("seen", F.lit(j)).cast("bigint")).alias(f"n{j}") for j in range(p)]
+    )
+    placed = running_weights(counts, [F.col("value")], {f"n{j}": f"t{j}" for j in range(p)}, keys=["which"])
+    ranks = [F.col(f"t{j}") - F.col(f"n{j}") + (F.col(f"n{j}") + 1) / 2 for j in range(p)]
+    return placed.select("which", "value", F.array(*[r.cast("double") for r in ranks]).alias("ranks"))
+
+
+def _pair_sums(p: int):
+    """Sums over the rows of a task for all pairs at once; a row holds a list of ranks per column it has."""
+    upper = np.triu_indices(p, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, p, p))
+        for batch in batches:
+            for at in range(0, batch.num_rows, RANK_ROWS):
+                part = batch.slice(at, RANK_ROWS)
+                x = np.zeros((part.num_rows, p, p))
+                seen = np.zeros((part.num_rows, p))
+                for i in range(p):
+                    there = part.column(i).is_valid().to_numpy(zero_copy_only=False)
+                    x[there, i] = part.column(i).drop_null().flatten().to_numpy().reshape(-1, p)
+                    seen[:, i] = there
+                both = seen[:, :, None] * seen[:, None, :]
+                x *= both
+                y = x.transpose(0, 2, 1)
+                for k, term in enumerate((both, x, y, x * x, y * y, x * y)):
+                    sums[k] += term.sum(axis=0)
+        i, j = upper
+        columns = [pa.array(c.astype(np.int32)) for c in (i, j)] + [pa.array(s[upper]) for s in sums]
+        yield pa.RecordBatch.from_arrays(columns, names=["i", "j", "n", "si", "sj", "sii", "sjj", "sij"])
+
+    return run
+
+
+def _spearman_with_gaps(clean: DataFrame, columns: Sequence[str]) -> dict[Pair, float | None]:
+    """r of every pair i < j, each ranked on its own complete rows.
+
+    A row is split into its present values, one row each; they fetch their ranks, one for every partner, and meet
+    again. That moves columns times columns numbers a row, the ranks that the pairs need, and no copies of values.
+    """
+    p = len(columns)
+    names = clean.columns
+    seen = F.array(*[F.col(c).isNotNull() for c in names]).alias("seen")
+    wide = clean.select(F.monotonically_increasing_id().alias("__row"), seen, *names)
+    long = wide.unpivot(["__row", "seen"], [F.col(c) for c in names], "which", "value").where(F.col("value").isNotNull())
+    ranks = _ranks_by_partner(long, p).select(F.col("which").alias("__w"), F.col("value").alias("__v"), "ranks")
+    ranked = long.drop("seen").join(ranks, (F.col("which") == F.col("__w")) & (F.col("value") == F.col("__v")))
+    back = ranked.groupBy("__row").agg(*[F.max(F.when(F.col("which") == c, F.col("ranks"))).alias(c) for c in names])
+    fields = ("n", "si", "sj", "sii", "sjj", "sij")
+    sums = back.select(*names).mapInArrow(_pair_sums(p), "i int, j int, " + ", ".join(f"{f} double" for f in fields))
+    total = sums.groupBy("i", "j").agg(*[F.sum(f).alias(f) for f in fields]).collect()
+    return {(columns[r["i"]], columns[r["j"]]): _coefficient(*[r[f] for f in fields]) for r in total}
+
+
 def corr_spearman(df: DataFrame, columns: Sequence[str] | None = None, digits: int | None = 2) -> DataFrame:
     """Pearson on average ranks. A pair with gaps is ranked on its complete rows.
 
-    Columns without gaps are ranked once, for all their pairs; a pair with gaps brings two rankings
-    of its own. All rankings go through one table of value counts, one join and one grouping
-    back to rows, however many there are.
+    Without gaps a column is ranked once, for all its pairs. With gaps it has a rank for every partner, from
+    running totals over its distinct values. Either way there is one sort, one join and one grouping back to rows.
     """
     columns = list(columns or numeric_columns(df))
     clean = df.select(*[dbl(c).alias(f"c{i}") for i, c in enumerate(columns)])
     found = aggregate(
         clean, [a for c in clean.columns for a in (F.count(F.when(F.col(c).isNull(), 1)), F.min(c), F.max(c))]
     )
-    gaps = {i for i in range(len(columns)) if found[3 * i]}
     varies = {i for i in range(len(columns)) if found[3 * i + 1] != found[3 * i + 2]}
     r: dict[Pair, float | None] = {(c, c): 1.0 if i in varies else None for i, c in enumerate(columns)}
-    rankings: dict[tuple, Column] = {}
-    pairs: dict[tuple, tuple] = {}
-    for i in range(len(columns)):
-        for j in range(i + 1, len(columns)):
-            x, y = F.col(f"c{i}"), F.col(f"c{j}")
-            if i in gaps or j in gaps:
-                both = x.isNotNull() & y.isNotNull()
-                rankings[i, j, 0], rankings[i, j, 1] = F.when(both, x), F.when(both, y)
-                pairs[i, j] = ((i, j, 0), (i, j, 1))
-            else:
-                rankings[i,], rankings[j,] = x, y
-                pairs[i, j] = ((i,), (j,))
-    if not pairs:
+    if len(columns) < 2:
         return _matrix_frame(df, columns, r, digits)
-    names = {key: f"w{k}" for k, key in enumerate(rankings)}
-    wide = clean.select(F.monotonically_increasing_id().alias("__row"), *[c.alias(names[k]) for k, c in rankings.items()])
-    long = wide.unpivot(["__row"], [F.col(n) for n in names.values()], "which", "value").where(F.col("value").isNotNull())
-    ranks = average_ranks(long)
-    there = ranks.select(F.col("which").alias("__w"), F.col("value").alias("__v"), "rank")
+    if any(found[3 * i] for i in range(len(columns))):
+        return _matrix_frame(df, columns, r | _spearman_with_gaps(clean, columns), digits)
+    names = clean.columns
+    wide = clean.select(F.monotonically_increasing_id().alias("__row"), *names)
+    long = wide.unpivot(["__row"], [F.col(c) for c in names], "which", "value")
+    there = average_ranks(long).select(F.col("which").alias("__w"), F.col("value").alias("__v"), "rank")
     ranked = long.join(sized(there), (F.col("which") == F.col("__w")) & (F.col("value") == F.col("__v")))
-    back = ranked.groupBy("__row").agg(*[F.max(F.when(F.col("which") == n, F.col("rank"))).alias(n) for n in names.values()])
-    wanted = [(names[a], names[b]) for a, b in pairs.values()]
-    for (i, j), v in zip(pairs, pair_correlations(checkpoint(back), list(names.values()), wanted).values()):
-        r[columns[i], columns[j]] = v
+    back = ranked.groupBy("__row").agg(*[F.max(F.when(F.col("which") == c, F.col("rank"))).alias(c) for c in names])
+    wanted = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    for (a, b), v in pair_correlations(checkpoint(back), names, wanted).items():
+        r[columns[int(a[1:])], columns[int(b[1:])]] = v
     return _matrix_frame(df, columns, r, digits)

@@ -13,9 +13,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prepflow.functions.columns import (
     FRACTIONAL,
+    INTEGRAL,
     chunks,
     col,
     data_type,
@@ -52,6 +54,54 @@ def distinct_counts(df: DataFrame, names: Sequence[str] | None = None, approx: b
     return {n: found[n] for n in names}
 
 
+def _lane(df: DataFrame, name: str) -> tuple[str, Column]:
+    """A column as one of three kinds of value, so that different values stay different."""
+    kind = data_type(df, name)
+    if isinstance(kind, FRACTIONAL):
+        return "d", _value(df, name).cast("double")
+    if isinstance(kind, INTEGRAL):
+        return "i", col(name).cast("bigint")
+    if isinstance(kind, T.BooleanType):
+        return "i", col(name).cast("int").cast("bigint")
+    if isinstance(kind, T.TimestampType):
+        return "i", F.unix_micros(col(name))
+    if isinstance(kind, T.DateType):
+        return "i", F.unix_date(col(name)).cast("bigint")
+    return "t", col(name).cast("string")
+
+
+def counts_and_tops(df: DataFrame, names: Sequence[str], ranked: Sequence[str], k: int) -> tuple[dict[str, int], list[tuple]]:
+    """Distinct non-null values of ``names``, and the ``k`` most frequent ones of the text columns ``ranked``.
+
+    One long table of (column, value, count), shuffled once, gives both; repeats combine before. The second
+    part is (column, value, count, rank) as from ``top_values``.
+    """
+    if not names:
+        return {}, []
+    lanes = {n: _lane(df, n) for n in names}
+    types = {"i": "bigint", "d": "double", "t": "string"}
+    cells = [
+        F.struct(
+            F.lit(at).alias("c"),
+            *[(value if lane == own else F.lit(None)).cast(kind).alias(lane) for lane, kind in types.items()],
+        )
+        for at, (own, value) in enumerate(lanes.values())
+    ]
+    long = df.select(F.inline(F.array(*cells))).where("i is not null or d is not null or t is not null")
+    counts = long.groupBy("c", "i", "d", "t").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).select(
+        "c", F.lit(None).cast("string").alias("t"), "n", F.lit(0).alias("rank")
+    )
+    places = [at for at, n in enumerate(names) if n in ranked]
+    if places:
+        order = Window.partitionBy("c").orderBy(F.desc("n"), F.asc("t"))
+        tops = counts.where(F.col("c").isin(places)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found = found.unionByName(tops.select("c", "t", "n", "rank"))
+    rows = found.collect()
+    distinct = dict.fromkeys(names, 0) | {names[r["c"]]: int(r["n"]) for r in rows if r["rank"] == 0}
+    return distinct, [(names[r["c"]], r["t"], r["n"], r["rank"]) for r in rows if r["rank"]]
+
+
 def unique_counts(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Per column: distinct count and its share of all rows."""
     names = list(names if names is not None else scalar_columns(df))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -44,6 +46,8 @@ MIN_ROWS = 10
 MIN_PERMUTE = 20
 PERMUTED = 8  # features permuted in one pass, each a copy of the row
 TINY = 1e-9
+SUMMED_FEATURES = 256  # up to here least squares of folds come from sums of cross products
+GRID_BLOCKS = 64  # of the columns of a confusion matrix
 
 
 # --- preparing ----------------------------------------------------------------------
@@ -320,13 +324,15 @@ def classification_metrics(predictions: DataFrame) -> DataFrame:
 def confusion_matrix(predictions: DataFrame, labels: Sequence[float] | None = None) -> DataFrame:
     """Every (label, prediction) pair with its count and its share of the label's row."""
     counts = _outcome_counts(predictions)
-    pair = F.array(F.struct(F.col("label").alias("v")), F.struct(F.col("prediction").alias("v")))
     if labels is None:
-        known = counts.select(F.inline(pair)).agg(F.array_sort(F.collect_set("v")).alias("vs"))
+        pair = F.array(F.struct(F.col("label").alias("v")), F.struct(F.col("prediction").alias("v")))
+        known = counts.select(F.inline(pair)).where("v is not null").distinct()
     else:
-        known = predictions.sparkSession.range(1).select(F.array(*[F.lit(float(v)) for v in labels]).alias("vs"))
-    # the answer is the whole grid of classes, so the classes of one row are its size's root
-    grid = known.select(F.explode("vs").alias("label"), "vs").select("label", F.explode("vs").alias("prediction"))
+        known = local_frame(predictions.sparkSession, [[float(v)] for v in labels], "v double")
+    # the answer is the whole grid of classes: a row of it meets the other classes in blocks
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(GRID_BLOCKS - 1))).alias("block")
+    columns = known.select(F.col("v").alias("prediction"), F.pmod(F.xxhash64("v"), F.lit(GRID_BLOCKS)).cast("int").alias("block"))
+    grid = known.select(F.col("v").alias("label"), blocks).join(columns, "block").drop("block")
     full = grid.join(counts, ["label", "prediction"], "left").fillna(0, ["n"])
     rows = counts.groupBy("label").agg(F.sum("n").alias("row_n"))
     return full.join(rows, "label", "left").select(
@@ -421,6 +427,51 @@ def cut_folds(prepared: Prepared, order_by: Sequence[str], folds: int = 5) -> Da
     return checkpoint(prepared.assembled(cut, ["fold"]))
 
 
+def _fold_products(width: int, shift: np.ndarray):
+    """Sums of z z' per fold over the rows of a task, z being 1, the features and the label, shifted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x = batch["x"].flatten().to_numpy().reshape(batch.num_rows, -1)
+            z = np.column_stack([np.ones(len(x)), x - shift[:-1], batch["label"].to_numpy() - shift[-1]])
+            folds = batch["fold"].to_numpy()
+            for fold in np.unique(folds).tolist():
+                part = z[folds == fold]
+                sums[fold] = sums.get(fold, 0.0) + part.T @ part
+        rows, cols = np.triu_indices(width)
+        for fold, total in sums.items():
+            columns = [np.full(len(rows), fold), rows, cols, total[rows, cols]]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["fold", "i", "j", "s"])
+
+    return run
+
+
+def _linear_folds(data: DataFrame, folds: int, features: int) -> list[tuple[int, float]]:
+    """R2 of least squares on every fold, from the cross products of the folds: one scan, no fit over rows.
+
+    The products of a training set are the total less the fold's own, and those of the fold give its residuals.
+    """
+    rows = data.select("fold", F.col("label").cast("double").alias("label"), vector_to_array("features").alias("x"))
+    means = rows.agg(*[F.avg(F.get("x", F.lit(i))) for i in range(features)], F.avg("label")).first()
+    shift, width = np.array([float(m) for m in means]), features + 2
+    found = rows.mapInArrow(_fold_products(width, shift), "fold int, i int, j int, s double")
+    own = np.zeros((folds, width, width))
+    for r in found.groupBy("fold", "i", "j").agg(F.sum("s").alias("s")).collect():
+        own[r["fold"], r["i"], r["j"]] = own[r["fold"], r["j"], r["i"]] = r["s"]
+    total, out = own.sum(axis=0), []
+    for fold in range(folds):
+        train = total - own[fold]
+        scale = np.sqrt(np.maximum(np.diag(train)[:-1], np.finfo(float).tiny))
+        b = np.linalg.lstsq(train[:-1, :-1] / np.outer(scale, scale), train[:-1, -1] / scale, rcond=1e-12)[0] / scale
+        test = own[fold]
+        residual = test[-1, -1] - 2 * b @ test[:-1, -1] + b @ test[:-1, :-1] @ b
+        spread = test[-1, -1] - test[0, -1] ** 2 / test[0, 0] if test[0, 0] else 0.0
+        out.append((fold, float(1.0 - residual / spread) if spread > 0 else float("nan")))
+    return out
+
+
 def cross_validate(
     prepared: Prepared,
     make: Callable[[int], object],
@@ -430,13 +481,17 @@ def cross_validate(
 ) -> DataFrame:
     """(fold, score): weighted F1 or R2 of a fresh model on each held-out fold.
 
-    ``make`` builds the estimator for a training size; ``cut`` are folds already cut.
+    ``make`` builds the estimator for a training size; ``cut`` are folds already cut. Least squares need no fit
+    per fold, see ``_linear_folds``.
     """
     data = cut_folds(prepared, order_by, folds) if cut is None else cut
     sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
     total = sum(sizes.values())
     if total < 2 * folds:
         raise ValueError(f"need at least {2 * folds} rows for {folds} folds")
+    estimator, entries = make(total), sum(prepared.widths)
+    if isinstance(estimator, LinearRegression) and estimator.getRegParam() == 0 and entries <= SUMMED_FEATURES:
+        return local_frame(prepared.frame.sparkSession, _linear_folds(data, folds, entries), "fold int, score double")
     rows = []
     for fold in range(folds):
         model = make(total - sizes.get(fold, 0)).fit(data.where(F.col("fold") != fold))

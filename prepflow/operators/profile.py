@@ -21,6 +21,7 @@ from prepflow.functions.columns import (
     per_column_agg,
     round_half_up,
     scalar_columns,
+    string_columns,
 )
 from prepflow.functions.moments import (
     adjusted_kurtosis,
@@ -29,9 +30,18 @@ from prepflow.functions.moments import (
     moments_from_sums,
 )
 from prepflow.operators.duplicates import count_duplicates
-from prepflow.operators.frequency import distinct_counts, top_values
-from prepflow.operators.quantiles import exact_quantiles, outlier_tally
-from prepflow.operators.types import ColumnTypes, detect_column_types
+from prepflow.operators import quantiles
+from prepflow.operators.frequency import counts_and_tops
+from prepflow.operators.quantiles import (
+    bracket_counts,
+    brackets_of,
+    clean_value,
+    exact_quantiles,
+    gathered,
+    outlier_tally,
+    sketches,
+)
+from prepflow.operators.types import ColumnTypes, type_facts, types_of
 from prepflow.session import together
 
 # fixed values
@@ -156,39 +166,46 @@ def kurtosis(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     )
 
 
-def moments(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
-    """count, mean, min, max, std, skewness and kurtosis of many columns in two plain scans.
+def basic_moments(names: Sequence[str]) -> list[Column]:
+    return [f(num(n)) for n in names for f in (F.count, F.avg, F.min, F.max)]
 
-    Sums of powers around the mean compile to far smaller code than one central-moment
-    aggregate per statistic, and share the work between the three of them.
-    """
-    names = list(names)
-    df = nan_to_null(df.select(*[col(n) for n in names]))
-    basic = aggregate(df, [f(num(n)) for n in names for f in (F.count, F.avg, F.min, F.max)])
-    out = {
-        n: {"count": basic[4 * i], "mean": basic[4 * i + 1], "min": basic[4 * i + 2], "max": basic[4 * i + 3]}
-        for i, n in enumerate(names)
-    }
+
+def power_sums(names: Sequence[str], means: dict[str, float | None]) -> list[Column]:
+    """Sums of powers around the mean: far smaller code than a central-moment aggregate per statistic."""
     sums = []
     for n in names:
-        d = num(n) - F.lit(out[n]["mean"] or 0.0)
+        d = num(n) - F.lit(means[n] or 0.0)
         sums += [F.sum(d), F.sum(d * d), F.sum(d * d * d), F.sum(d * d * d * d)]
-    powers = [v or 0.0 for v in aggregate(df, sums)]
+    return sums
+
+
+def moments_of(names: Sequence[str], basic: Sequence, powers: Sequence) -> dict[str, dict]:
+    out = {}
     for i, n in enumerate(names):
-        size = out[n]["count"]
-        out[n].update(moments_from_sums(size, *powers[4 * i : 4 * i + 4]))
-        if size and out[n]["min"] == out[n]["max"]:
+        size, mean, low, high = basic[4 * i : 4 * i + 4]
+        row = {"count": size, "mean": mean, "min": low, "max": high}
+        row.update(moments_from_sums(size, *[v or 0.0 for v in powers[4 * i : 4 * i + 4]]))
+        if size and low == high:
             for least, key in ((2, "std"), (3, "skewness"), (4, "kurtosis")):
-                out[n][key] = 0.0 if size >= least else None
+                row[key] = 0.0 if size >= least else None
+        out[n] = row
     return out
 
 
+def moments(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
+    """count, mean, min, max, std, skewness and kurtosis of many columns in two plain scans."""
+    names = list(names)
+    df = nan_to_null(df.select(*[col(n) for n in names]))
+    basic = aggregate(df, basic_moments(names))
+    powers = aggregate(df, power_sums(names, dict(zip(names, basic[1::4]))))
+    return moments_of(names, basic, powers)
+
+
 def outlier_counts(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Values strictly outside the fences, as a count and as a share of all rows."""
     names = list(names or numeric_columns(df))
-    n = df.count()
-    quartiles = exact_quantiles(df, names, [0.25, 0.75], n)
-    counts = outlier_tally(df, {c: fences(*quartiles[c]) for c in names})
+    quartiles = exact_quantiles(df, names, [0.25, 0.75])
+    n, counts = outlier_tally(df, {c: fences(*quartiles[c]) for c in names}, rows=True)
     frame = local_frame(
         df.sparkSession, [(c, counts[c], n) for c in names], "column string, outlier_count bigint, n bigint"
     )
@@ -240,41 +257,58 @@ class Profile:
         return local_frame(self.spark, self.tops, "column string, value string, count bigint, rank int")
 
 
+QUARTILES = [0.25, 0.5, 0.75]
+
+
+def _scanned(df: DataFrame, types: ColumnTypes | None) -> tuple:
+    """Types, rows, nulls, moments, quartiles, fences and outliers: four scans of what depends on each other.
+
+    First counts, means, ranges, what decides types, and quantile sketches; then powers around the means and the
+    proof of the sketches' brackets; then the values inside them; then the outliers. A small table has its
+    quartiles in place of the second and third.
+    """
+    names = df.columns
+    strings = [] if types else string_columns(df)
+    numeric = list(types.numeric) if types else numeric_columns(df)
+    values = {n: clean_value(num(n)) for n in numeric}
+    first = [F.count(F.lit(1)), *[F.count(F.when(col(n).isNull(), 1)) for n in names]]
+    parts = (first, [a for n in strings for a in type_facts(n)], basic_moments(numeric), sketches(values, QUARTILES))
+    found = aggregate(df, [a for part in parts for a in part])
+    cut = [sum(len(p) for p in parts[:i]) for i in range(len(parts) + 1)]
+    (total, *nulls), facts, basic, marks = (found[a:b] for a, b in zip(cut, cut[1:]))
+    types = types or types_of(df, {n: facts[3 * i : 3 * i + 3] for i, n in enumerate(strings)})
+
+    sums = power_sums(numeric, dict(zip(numeric, basic[1::4])))
+    small = total * len(numeric) <= quantiles.PLAN.builtin_cells
+    brackets = brackets_of(values, QUARTILES, marks)
+    more = aggregate(df, sums + ([] if small else bracket_counts(values, QUARTILES, brackets)))
+    stats = moments_of(numeric, basic, more[: len(sums)])
+    if small:
+        quartiles = exact_quantiles(df, values, QUARTILES, total)
+    else:
+        quartiles = gathered(df, values, QUARTILES, brackets, more[len(sums) :], quantiles.PLAN)
+    limits = {n: fences(quartiles[n][0], quartiles[n][2]) for n in numeric}
+    outliers = outlier_tally(df, limits, {n: num(n) for n in numeric})
+    return types, total, dict(zip(names, nulls)), stats, quartiles, limits, outliers
+
+
 def profile(df: DataFrame, types: ColumnTypes | None = None) -> Profile:
     """Profile a table in a fixed number of scans, whatever its number of columns.
 
-    Scans: nulls; duplicates; distinct counts; basic moments; central powers; quartiles
-    (one to three); outliers; top values of the categorical columns.
+    Beside the scans of ``_scanned`` one long table of values and counts gives distinct counts and top values,
+    and one of row hashes the duplicates.
     """
     df = nan_to_null(df)
-    types = types or detect_column_types(df)
-    names = [n for n, _ in types.items()]
-    numeric = [n for n in types.numeric]
-    scalars = [n for n in names if n in scalar_columns(df)]
-
-    def null_totals() -> dict[str, int]:
-        return dict(zip(names, aggregate(df, [F.count(F.when(col(n).isNull(), 1)) for n in names])))
-
-    def spread() -> tuple[dict, dict, dict]:
-        quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75])
-        limits = {n: fences(quartiles[n][0], quartiles[n][2]) for n in numeric}
-        return quartiles, limits, outlier_tally(df, limits, {n: num(n) for n in numeric})
-
-    def common() -> list[tuple]:
-        if not types.categorical:
-            return []
-        found = top_values(df, types.categorical, TOP_K).collect()
-        return [(r["column"], r["value"], r["count"], r["rank"]) for r in found]
-
-    (total, copies), nulls, unique, stats, (quartiles, limits, outliers), tops = together(
+    scalars = scalar_columns(df)
+    texts = [n for n in string_columns(df) if n in scalars] if types is None else list(types.categorical)
+    (_, copies), (unique, every_top), scanned = together(
         df.sparkSession,
         lambda: count_duplicates(df),
-        null_totals,
-        lambda: distinct_counts(df, scalars),
-        lambda: moments(df, numeric),
-        spread,
-        common,
+        lambda: counts_and_tops(df, scalars, texts, TOP_K),
+        lambda: _scanned(df, types),
     )
+    types, total, nulls, stats, quartiles, limits, outliers = scanned
+    tops = [t for t in every_top if t[0] in types.categorical]
     columns = {}
     for n, kind in types.items():
         c = {

@@ -1,6 +1,7 @@
 """Exact quantiles with linear interpolation, without gathering a column in one task.
 
-1. a sketch over a sample proposes a narrow value bracket around every wanted position;
+1. a mergeable sketch of all rows, which comes with the row count, proposes a narrow value bracket
+   around every wanted position;
 2. one scan counts, exactly, the rows below and inside each bracket;
 3. one scan gathers only the rows inside the brackets and picks the wanted positions.
 
@@ -23,6 +24,7 @@ from prepflow.operators.ordering import running_weights
 from prepflow.session import together
 
 ACCURACY = 10_000
+SLACK = 3 / ACCURACY  # a sketch's ranks are off by one part in ACCURACY at most
 
 Columns = Mapping[str, Column]
 
@@ -37,13 +39,12 @@ class Plan:
 
     builtin_cells: int = 1_000_000
     window_rows: int = 2_000_000
-    sample_rows: int = 100_000
 
 
 PLAN = Plan()
 
 
-def _clean(c: Column) -> Column:
+def clean_value(c: Column) -> Column:
     c = c.cast("double")
     return F.when(~F.isnan(c), c)
 
@@ -59,17 +60,20 @@ def exact_quantiles(
     if not isinstance(columns, Mapping):
         columns = {n: num(n) for n in columns}
     plan = plan or PLAN
-    columns = {n: _clean(c) for n, c in columns.items()}
+    columns = {n: clean_value(c) for n, c in columns.items()}
     if not columns:
         return {}
-    if n_rows is None:
-        n_rows = df.count()
     groups = [dict(g) for g in chunks(list(columns.items()), 1 + 2 * len(probs))]
 
     def solve(part: Columns) -> dict:
-        if n_rows * len(part) <= plan.builtin_cells:
+        n, brackets = n_rows, None
+        if n is None or n * len(part) > plan.builtin_cells:
+            n, *found = df.agg(F.count(F.lit(1)), *sketches(part, probs)).first()
+            brackets = brackets_of(part, probs, found)
+        if n * len(part) <= plan.builtin_cells:
             return _builtin(df, part, probs)
-        return _refined(df, part, probs, n_rows, plan)
+        counted = list(df.agg(*bracket_counts(part, probs, brackets)).first())
+        return gathered(df, part, probs, brackets, counted, plan)
 
     out: dict[str, list[float | None]] = {}
     for found in together(df.sparkSession, *[lambda g=g: solve(g) for g in groups]):
@@ -83,23 +87,19 @@ def _builtin(df: DataFrame, columns: Columns, probs: Sequence[float]) -> dict:
     return {n: list(row[i]) if row[i] is not None else [None] * len(probs) for i, n in enumerate(columns)}
 
 
-def _sketch(df: DataFrame, columns: Columns, probs: Sequence[float], n_rows: int, plan: Plan):
-    """Per column and probability a (low, high) value bracket, or None where the sample is empty."""
-    rows = max(plan.sample_rows, n_rows // 1000)
-    drawn = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns.values())])
-    if rows < n_rows:
-        drawn = drawn.sample(fraction=rows / n_rows, seed=17)
-    slack = [2 / ACCURACY + 5 * math.sqrt(max(p * (1 - p), 1 / rows) / rows) + 2 / rows for p in probs]
-    marks = [m for p, s in zip(probs, slack) for m in (max(p - s, 0.0), min(p + s, 1.0))]
-    row = drawn.agg(
-        *[F.percentile_approx(f"c{i}", marks, ACCURACY) for i in range(len(columns))]
-    ).first()
+def sketches(columns: Columns, probs: Sequence[float]) -> list[Column]:
+    """One aggregate per column: approximate values a little to both sides of every wanted position."""
+    marks = [m for p in probs for m in (max(p - SLACK, 0.0), min(p + SLACK, 1.0))]
+    return [F.percentile_approx(c, marks, ACCURACY) for c in columns.values()]
+
+
+def brackets_of(columns: Columns, probs: Sequence[float], found: Sequence) -> dict:
+    """Per column and probability the (low, high) value bracket that ``sketches`` give; None is an open end."""
     brackets = {}
-    for i, n in enumerate(columns):
+    for n, values in zip(columns, found):
         for j, p in enumerate(probs):
-            found = row[i]
-            low = None if found is None or p - slack[j] <= 0 else found[2 * j]
-            high = None if found is None or p + slack[j] >= 1 else found[2 * j + 1]
+            low = None if values is None or p - SLACK <= 0 else values[2 * j]
+            high = None if values is None or p + SLACK >= 1 else values[2 * j + 1]
             brackets[n, j] = (low, high)
     return brackets
 
@@ -122,16 +122,19 @@ def _count_if(test: Column) -> Column:
     return F.sum(F.when(test, F.lit(1)).otherwise(F.lit(0)))
 
 
-def _refined(df: DataFrame, columns: Columns, probs: Sequence[float], n_rows: int, plan: Plan) -> dict:
-    brackets = _sketch(df, columns, probs, n_rows, plan)
+def bracket_counts(columns: Columns, probs: Sequence[float], brackets: dict) -> list[Column]:
+    """What proves the brackets, or not: per column its values, and those below and inside of each."""
     counted = []
     for n, c in columns.items():
         counted.append(F.count(c))
         for j in range(len(probs)):
             counted += [_count_if(_below(c, brackets[n, j])), _count_if(_inside(c, brackets[n, j]))]
-    row = df.agg(*counted).first()
+    return counted
 
-    targets, at, gathered = [], 0, 0
+
+def gathered(df: DataFrame, columns: Columns, probs: Sequence[float], brackets: dict, row: Sequence, plan: Plan) -> dict:
+    """The quantiles, from the values inside the brackets that ``row`` counts; one that is wrong becomes everything."""
+    targets, at, rows = [], 0, 0
     out: dict[str, list] = {n: [None] * len(probs) for n in columns}
     for n in columns:
         size = row[at]
@@ -149,11 +152,11 @@ def _refined(df: DataFrame, columns: Columns, probs: Sequence[float], n_rows: in
             if low is not None and low == high:  # one value covers the position: nothing to gather
                 out[n][j] = low
                 continue
-            gathered += inside
+            rows += inside
             targets.append((n, j, first - below, last - below, position - first))
     if not targets:
         return out
-    picked = _pick(df, columns, brackets, targets, gathered <= plan.window_rows)
+    picked = _pick(df, columns, brackets, targets, rows <= plan.window_rows)
     for k, (n, j, first, last, fraction) in enumerate(targets):
         out[n][j] = interpolate(picked[k, first], picked[k, last], fraction)
     return out
@@ -215,14 +218,17 @@ def iqr_fences(df: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
-def outlier_tally(df: DataFrame, limits: Mapping[str, tuple], columns: Columns | None = None) -> dict[str, int]:
-    """Rows strictly outside the limits: one scan for all columns."""
+def outlier_tally(
+    df: DataFrame, limits: Mapping[str, tuple], columns: Columns | None = None, rows: bool = False
+) -> dict[str, int] | tuple[int, dict[str, int]]:
+    """Rows strictly outside the limits: one scan for all columns, which can count all ``rows`` as well."""
     columns = columns or {n: dbl(n) for n in limits}
     known = [n for n, (lo, _) in limits.items() if lo is not None]
     out = dict.fromkeys(limits, 0)
-    found = aggregate(df, [_count_if((columns[n] < limits[n][0]) | (columns[n] > limits[n][1])) for n in known])
-    out.update({n: int(v or 0) for n, v in zip(known, found)})
-    return out
+    total = [F.count(F.lit(1))] if rows else []
+    found = aggregate(df, total + [_count_if((columns[n] < limits[n][0]) | (columns[n] > limits[n][1])) for n in known])
+    out.update({n: int(v or 0) for n, v in zip(known, found[len(total) :])})
+    return (found[0], out) if rows else out
 
 
 def counted_quantiles(
@@ -264,7 +270,7 @@ def counted_quantiles(
 def grouped_quantiles(df: DataFrame, group: str, name: str, probs: Sequence[float]) -> DataFrame:
     """Quantiles of ``name`` within every group: ``group`` plus one column ``q0..`` per probability."""
     counts = (
-        df.where(_clean(dbl(name)).isNotNull())
+        df.where(clean_value(dbl(name)).isNotNull())
         .groupBy(col(group), dbl(name).alias("__value"))
         .agg(F.count(F.lit(1)).alias("__cnt"))
     )

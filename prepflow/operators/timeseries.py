@@ -200,13 +200,18 @@ def trend_slope(series: Series) -> DataFrame:
     )
 
 
-def ts_summary(df: DataFrame, date: str, value: str, tie_breakers: Sequence[str]) -> DataFrame:
-    """One row: size, range, value figures, trend and stationarity of a single series."""
+def ts_summary(
+    df: DataFrame, date: str, value: str, tie_breakers: Sequence[str], max_lags: int | None = None
+) -> DataFrame:
+    """One row: size, range, value figures, trend and stationarity of a single series.
+
+    ``max_lags`` bounds the lag orders that the unit-root test tries.
+    """
     series = prepare(df, date, value, tie_breakers)
     if series.n < 5:
         raise ValueError("not enough points for time series analysis (need 5)")
     series = series.settled()
-    adf = adf_test(series)
+    adf = adf_test(series, max_lags)
     v, slope = F.col("v"), F.regr_slope(F.col("v"), F.col("idx").cast("double"))
     row = series.frame.agg(
         F.count(F.lit(1)).alias("n_points"),

@@ -13,6 +13,7 @@ from prepflow.functions.columns import (
     NESTED,
     NUMERIC,
     TEMPORAL,
+    aggregate,
     col,
     local_frame,
     per_column_agg,
@@ -93,28 +94,26 @@ def avg_text_length(df: DataFrame, names: Sequence[str] | None = None) -> DataFr
     return per_column_agg(df, names, {"avg_length": lambda n: F.avg(F.length(col(n)))})
 
 
-def detect_column_types(df: DataFrame) -> ColumnTypes:
+def type_facts(name: str) -> list[Column]:
+    """What decides the type of a string column: values, values that are dates, mean length."""
+    return [DATE_COUNTS["probed"](name), DATE_COUNTS["parsed"](name), F.avg(F.length(col(name)))]
+
+
+def types_of(df: DataFrame, facts: dict[str, Sequence]) -> ColumnTypes:
     """Type every column: by schema first, strings by whether all are dates and by their mean length."""
-    strings = string_columns(df)
-    dates, lengths = set(), {}
-    if strings:
-        parts = {**DATE_COUNTS, "avg_length": lambda n: F.avg(F.length(col(n)))}
-        for r in per_column_agg(df, strings, parts).collect():
-            lengths[r["column"]] = r["avg_length"] or 0.0
-            if r["probed"] and r["parsed"] == r["probed"]:
-                dates.add(r["column"])
     kinds = {}
     for f in df.schema:
         kind = f.dataType
+        probed, parsed, length = facts.get(f.name, (0, 0, 0.0))
         if isinstance(kind, T.BooleanType):
             kinds[f.name] = "boolean"
         elif isinstance(kind, TEMPORAL):
             kinds[f.name] = "datetime"
         elif isinstance(kind, NUMERIC):
             kinds[f.name] = "numeric"
-        elif f.name in dates:
+        elif probed and parsed == probed:
             kinds[f.name] = "datetime"
-        elif lengths.get(f.name, 0.0) > TEXT_LENGTH:
+        elif (length or 0.0) > TEXT_LENGTH:
             kinds[f.name] = "text"
         elif isinstance(kind, NESTED):
             raise TypeError(f"column {f.name!r} has type {kind.simpleString()}: flatten or drop it first")
@@ -123,6 +122,13 @@ def detect_column_types(df: DataFrame) -> ColumnTypes:
     return ColumnTypes.of(kinds)
 
 
+def detect_column_types(df: DataFrame) -> ColumnTypes:
+    """The types of a table whose strings have not been looked at."""
+    strings = string_columns(df)
+    found = aggregate(df, [a for n in strings for a in type_facts(n)])
+    return types_of(df, {n: found[3 * i : 3 * i + 3] for i, n in enumerate(strings)})
+
+
 def column_types(df: DataFrame) -> DataFrame:
     rows = detect_column_types(df).items()
     return local_frame(df.sparkSession, rows, "column string, kind string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prepflow.operators import cleaning, features, frequency, profile, quantiles, readiness, scan, types
+from prepflow.operators.features import FeatureSpec
 from prepflow.queries.registry import (
     COLUMNS,
     DOCS_L,
@@ -12,6 +13,7 @@ from prepflow.queries.registry import (
     NUMERIC,
     ORDERS_D,
     ORDERS_N,
+    View,
     docs_labels,
     each,
     pct_sql,
@@ -343,7 +345,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """And with the values inside the brackets placed by range partitions."""
-    plan = quantiles.Plan(builtin_cells=0, window_rows=0, sample_rows=1_000)
+    plan = quantiles.Plan(builtin_cells=0, window_rows=0)
     found = quantiles.quantile_stats(table(spark, sf, "lineitem"), _MANY, plan)
     return found.select("column", *[F.round(c, 6).alias(c) for c in ("q25", "median", "q75")])
 
@@ -717,6 +719,33 @@ for _key, _column in (
     _one_score(_key, _column)
 
 
+ORDERS_C = View(
+    "orders",
+    ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "'c' || CAST(o_orderkey % 120 AS VARCHAR(10)) AS cat", "o_orderstatus"],
+)
+
+
+@query(
+    "readiness_stages",
+    f"""WITH k AS (SELECT count(DISTINCT cat) AS k FROM ({ORDERS_C.sql})),
+    s AS (SELECT 'raw' AS stage, 5 AS m, 2 AS other UNION ALL SELECT 'dated', 6, 1 UNION ALL SELECT 'encoded', 5 + k, 0 FROM k)
+    SELECT stage, round((1 - other / m::DOUBLE) * 100, 4) AS encoding, round((CASE WHEN m > 200 THEN greatest(20.0, 100 - (m - 200) * 0.3)
+        WHEN m > 50 THEN greatest(60.0, 100 - (m - 50) * 0.8) ELSE 100.0 END)::DOUBLE, 4) AS feature_count, (m + 1)::BIGINT AS n_cols FROM s""",
+)
+def _(spark, sf):
+    """The two scores of the schema before and after date parts and flags, whose number the data decides."""
+    stages = {"raw": FeatureSpec(), "dated": FeatureSpec(datetime={"o_orderdate": ["year", "month"]})}
+    stages["encoded"] = FeatureSpec(datetime={"o_orderdate": ["year", "month"]}, encoding={"cat": "onehot"})
+    out = None
+    for name, spec in stages.items():
+        df = features.apply_features(ORDERS_C.df(spark, sf), spec)[0]
+        found = readiness.scores(df, "o_orderstatus", ["encoding", "feature_count"]).select(
+            F.lit(name).alias("stage"), F.round("encoding", 4).alias("encoding"), F.round("feature_count", 4).alias("feature_count"), "n_cols"
+        )
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query(
     "readiness_issues",
     f"""WITH s AS ({_READY})

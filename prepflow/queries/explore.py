@@ -208,6 +208,33 @@ def _(spark, sf):
     return _long_ids(correlation.corr_spearman(df, ["o_orderkey", "o_custkey", "o_totalprice"], digits=4))
 
 
+def _gap(i: int, c: str) -> str:
+    """A column with gaps of its own."""
+    return f"CASE WHEN (l_orderkey * {i + 3} + l_linenumber * {2 * i + 1}) % {i + 5} <> 0 THEN {c} END AS x{i}"
+
+
+_GAPPED = View("lineitem", [_gap(i, c) for i, c in enumerate(["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey"])])
+
+
+def _spearman_pair(i: int, j: int) -> str:
+    rank = "rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0"
+    a, b = (rank.format(x=f"x{k}") for k in (i, j))
+    return f"SELECT {i} AS i, {j} AS j, corr(a, b) AS r FROM (SELECT {a} AS a, {b} AS b FROM t WHERE x{i} IS NOT NULL AND x{j} IS NOT NULL)"
+
+
+@query(
+    "corr_spearman_gaps",
+    f"WITH t AS ({_GAPPED.sql}), m AS ("
+    + " UNION ALL ".join(_spearman_pair(i, j) for i in range(6) for j in range(i + 1, 6))
+    + " UNION ALL SELECT k, k, 1.0 FROM range(6) q(k)), n AS (SELECT k FROM range(6) q(k))"
+    + """ SELECT 'x' || x.k::VARCHAR AS col_a, 'x' || y.k::VARCHAR AS col_b, x.k::BIGINT AS i, y.k::BIGINT AS j, round(r, 4) + 0.0 AS r
+    FROM m, n x, n y WHERE least(x.k, y.k) = m.i AND greatest(x.k, y.k) = m.j""",
+)
+def _(spark, sf):
+    """Six columns, each with its own gaps: every pair is ranked on its own rows."""
+    return _long_ids(correlation.corr_spearman(_GAPPED.df(spark, sf), digits=4))
+
+
 @query(
     "corr_pearson_wide",
     "WITH p AS ("
@@ -464,21 +491,7 @@ def _(spark, sf):
     return timeseries.trend_slope(series).withColumn("slope", F.col("slope") + 0.0)
 
 
-@query(
-    "ts_summary",
-    f"""{_SERIES_N} SELECT n_points, start, "end", round(m, 4) AS mean, round(s, 4) AS std, lo AS "min", hi AS "max",
-        round(s / (m + 1e-9) * 100, 2) AS cv_pct, round(sl, 6) + 0.0 AS slope, {_DIRECTION.replace("s >", "sl >").replace("s <", "sl <")},
-        dropped AS dropped_points
-        FROM (SELECT count(*) AS n_points, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS "end",
-              avg(v) AS m, stddev_samp(v) AS s, min(v) AS lo, max(v) AS hi, regr_slope(v, idx) AS sl,
-              (SELECT count(*) FROM events) - count(*) AS dropped FROM e)""",
-)
-def _(spark, sf):
-    summary = timeseries.ts_summary(EVENTS_N.df(spark, sf), "ts", "value", ["event_id"])
-    return summary.drop("adf_statistic", "adf_p_value", "stationary").withColumn("slope", F.col("slope") + 0.0)
-
-
-def _adf_sql(by: str, base: str) -> str:
+def _adf_terms(by: str, base: str) -> str:
     """The test with no or one lagged change, whichever has the smaller AIC, from centred sums.
 
     With y the change, x the level before it and z the change before that, the regressions on x
@@ -494,7 +507,11 @@ def _adf_sql(by: str, base: str) -> str:
     a AS (SELECT *, syy - bx * sxy - bz * szy AS ssr1 FROM m),
     pick AS (SELECT k, CASE WHEN n * ln(ssr1 / n) + 6 < n * ln(ssr0 / n) + 4 THEN 1 ELSE 0 END AS lags FROM a WHERE f = 2),
     t AS (SELECT a.k, lags, n, CASE WHEN lags = 0 THEN sxy / sxx / sqrt(ssr0 / (n - 2) / sxx) ELSE bx / sqrt(ssr1 / (n - 3) * szz / det) END AS stat
-          FROM a JOIN pick ON a.k = pick.k AND a.f = pick.lags + 1)
+          FROM a JOIN pick ON a.k = pick.k AND a.f = pick.lags + 1)"""
+
+
+def _adf_sql(by: str, base: str) -> str:
+    return f"""{_adf_terms(by, base)}
     SELECT k AS series, round(stat, 6) AS statistic, lags::BIGINT AS lags_used, n::BIGINT AS n_obs,
         round(-3.43035 - 6.5393 / n - 16.786 / n ** 2 - 79.433 / n ** 3, 6) AS critical_1,
         round(-2.86154 - 2.8903 / n - 4.234 / n ** 2 - 40.040 / n ** 3, 6) AS critical_5,
@@ -502,6 +519,28 @@ def _adf_sql(by: str, base: str) -> str:
         stat < -2.86154 - 2.8903 / n - 4.234 / n ** 2 - 40.040 / n ** 3 AS is_stationary FROM t"""
 
 
+@query(
+    "ts_summary",
+    f"""{_adf_terms("'all'", _SERIES_N)} SELECT n_points, start, "end", round(m, 4) AS mean, round(s, 4) AS std, lo AS "min", hi AS "max",
+        round(s / (m + 1e-9) * 100, 2) AS cv_pct, round(sl, 6) + 0.0 AS slope, {_DIRECTION.replace("s >", "sl >").replace("s <", "sl <")},
+        round(stat, 6) AS adf_statistic, CASE WHEN stat < -18.83 THEN 0.0::DOUBLE END AS adf_p_value, stat < -18.83 AS stationary,
+        dropped AS dropped_points
+        FROM t, (SELECT count(*) AS n_points, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS "end",
+              avg(v) AS m, stddev_samp(v) AS s, min(v) AS lo, max(v) AS hi, regr_slope(v, idx) AS sl,
+              (SELECT count(*) FROM events) - count(*) AS dropped FROM e)""",
+)
+def _(spark, sf):
+    """Every column; the test tries lag orders up to 1, which SQL can say. Below -18.83 its p-value is 0."""
+    summary = timeseries.ts_summary(EVENTS_N.df(spark, sf), "ts", "value", ["event_id"], max_lags=1)
+    return summary.withColumn("slope", F.col("slope") + 0.0)
+
+
+@query("ts_summary_all_lags")
+def _(spark, sf):
+    """With every lag order, as by default: the same figures but for those of the test."""
+    return timeseries.ts_summary(EVENTS_N.df(spark, sf), "ts", "value", ["event_id"])
+
+
 def _adf_rows(series, name):
     found = timeseries.adf_frame(series, max_lags=1)
     figures = ("statistic", "critical_1", "critical_5", "critical_10")

@@ -37,6 +37,21 @@ def test_pearson_both_ways(spark, monkeypatch, limit):
     assert np.isnan(got[5]).all()
 
 
+def test_spearman_of_thirty_columns_with_gaps(spark, monkeypatch):
+    """Every pair on its own complete rows, with ties, an empty and a constant column."""
+    monkeypatch.setattr(co, "RANK_ROWS", 37)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(400, 1))
+    values = np.round(base * rng.normal(size=30) + rng.normal(size=(400, 30)), 1)
+    values[rng.random(values.shape) < np.linspace(0.0, 0.5, 30)] = np.nan
+    values[:, 28], values[:, 29] = np.nan, np.where(np.isnan(values[:, 29]), np.nan, 2.0)
+    pdf = pd.DataFrame(values, columns=[f"x{i:02d}" for i in range(30)])
+    got = _matrix(co.corr_spearman(_df(spark, pdf), digits=None).orderBy("i", "j"))
+    want = pdf.corr("spearman").to_numpy()
+    want[28, 28] = want[29, 29] = np.nan
+    assert np.allclose(got, want, equal_nan=True)
+
+
 def test_spearman(spark):
     pdf = _numbers(p=3)
     pdf["full"] = np.round(np.random.default_rng(1).normal(size=len(pdf)), 1)
@@ -115,3 +130,28 @@ def test_rollup_counts(spark):
     rows = [("a", "x", 1.0)] * 3 + [("a", "y", 2.0), ("b", "x", 4.0), (None, "x", 9.0)]
     got = {(r[0], r[1]): r["total"] for r in eda.hierarchy_rollup(spark.createDataFrame(rows, "p string, q string, v double"), ["p", "q"]).collect()}
     assert got == {("a", "x"): 3, ("a", "y"): 1, ("b", "x"): 1, ("a", None): 4, ("b", None): 1}
+
+
+@pytest.mark.parametrize("spread", ["normal", "far", "two"])
+def test_density_against_every_kernel(spark, spread):
+    """Moments of boxes give the sums of kernels that the rows give."""
+    rng = np.random.default_rng(4)
+    v = {
+        "normal": rng.normal(5, 2, 700),
+        "far": np.append(rng.normal(size=700), [1e4, -1e4]),  # most grid points are near no value
+        "two": np.array([1.0, 2.0, 2.0]),
+    }[spread]
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    got = eda.kde(df, "v").orderBy("point").toPandas()
+    grid = np.linspace(v.min(), v.max(), 300)
+    h = len(v) ** -0.2 * v.std(ddof=1)
+    width = (v.max() - v.min()) / eda.bin_count(len(v))
+    want = np.exp(-0.5 * ((grid[:, None] - v) / h) ** 2).sum(axis=1) * width / (h * np.sqrt(2 * np.pi))
+    assert len(got) == 300 and np.allclose(got["x"], grid)
+    assert np.abs(got["y"] - want).max() < 1e-11 * want.max()
+
+
+def test_densities_of_groups_without_spread(spark):
+    rows = [("a", 1.0), ("a", 1.0), ("b", 2.0), ("c", float("inf")), ("c", 1.0), ("d", None), ("f", 1.0), ("f", 3.0)]
+    found = eda.grouped_violin(spark.createDataFrame(rows, "g string, v double"), "v", "g").where("part = 'density'")
+    assert {r["group"]: r["count"] for r in found.groupBy("group").count().collect()} == {"f": 300}

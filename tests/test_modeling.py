@@ -164,3 +164,47 @@ def test_regression_metrics(spark):
     got = m.regression_metrics(spark.createDataFrame(pd.DataFrame({"label": y, "prediction": p}))).first()
     assert got["r2"] == pytest.approx(1 - 1.25 / ((y - y.mean()) ** 2).sum())
     assert got["mae"] == pytest.approx(0.5) and got["rmse"] == pytest.approx((1.25 / 3) ** 0.5)
+
+
+def test_linear_folds_from_sums_are_the_fits(spark, monkeypatch):
+    """One scan of cross products gives the scores of five fits, also with a feature that repeats another."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 3)) * [1, 50, 0.01] + [0, 1e4, 3]
+    y = x @ [2.0, -0.3, 40.0] + rng.normal(size=300)
+    rows = [(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))]
+    prepared = m.ml_prepare(spark.createDataFrame(rows, "id int, a double, b double, c double, y double"), "y", ["id"])
+    make = lambda n: m.estimators(False, 0, n)["Linear Regression"]
+    quick = {r["fold"]: r["score"] for r in m.cross_validate(prepared, make, ["id"]).collect()}
+    fold = np.repeat(np.arange(5), 60)
+    for k in range(5):
+        a = np.column_stack([np.ones(300), x])
+        b = np.linalg.lstsq(a[fold != k], y[fold != k], rcond=None)[0]
+        miss, held = y[fold == k] - a[fold == k] @ b, y[fold == k]
+        assert abs(quick[k] - (1 - miss @ miss / ((held - held.mean()) ** 2).sum())) < 1e-9
+    monkeypatch.setattr(m, "SUMMED_FEATURES", 0)
+    fits = {r["fold"]: r["score"] for r in m.cross_validate(prepared, make, ["id"]).collect()}
+    assert quick == pytest.approx(fits, abs=1e-8)
+
+
+def test_confusion_matrix_of_many_classes(spark):
+    rows = [(float(i % 150), float((i * 7) % 151)) for i in range(2_000)] + [(None, 1.0)]
+    found = m.confusion_matrix(spark.createDataFrame(rows, "label double, prediction double"))
+    assert found.count() == 151 * 151 and found.agg({"count": "sum"}).first()[0] == 2_000
+    assert m.confusion_matrix(spark.createDataFrame(rows[:9], "label double, prediction double"), [0.0, 1.0]).count() == 4
+
+
+def test_wide_category_in_a_model(spark):
+    """A category of more classes than have flag columns: one sparse vector, importances by class name."""
+    rows = [(i, f"k{i % 300:03d}", float(i % 300 == 7) * 10 + (i % 50) * 0.01) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "id int, cat string, y double").withColumn("z", F.col("id") % 11)
+    prepared = m.ml_prepare(df, "y", ["id"])
+    assert prepared.features == ["cat", "z"] and prepared.widths == [299, 1]
+    vectors = {r["id"]: r["features"] for r in prepared.assembled().where("id < 302").collect()}
+    assert vectors[0].size == 300 and vectors[0].indices.tolist() == [299]  # the first class has no flag
+    assert vectors[7].indices.tolist() == [6, 299] and vectors[307 - 300].values.tolist() == [1.0, 7.0]
+    trained = m.train_and_evaluate(df, "y", ["id"], run_cv=True, permute=True, only=["Linear Regression"])
+    assert trained.metrics.first()["r2"] > 0.9
+    top = m.feature_importance(trained.models["Linear Regression"], trained.prepared, 1).first()
+    assert top["feature"] == "cat_k007"
+    assert trained.permutation["Linear Regression"].first()["feature"] == "cat"
+    assert m.partial_dependence(trained.models["Linear Regression"], trained.test, trained.prepared, "z").count() == 50

@@ -126,3 +126,23 @@ def test_numeric_strings(spark):
     df = spark.createDataFrame(rows, "a string, b string, c string, d string, e string")
     found = scan.scan_numeric_strings(df, profile.profile(df)).collect()
     assert [r["column"] for r in found] == ["a", "d", "e"]
+
+
+def test_profile_by_brackets_is_the_profile(spark, sf_dir, monkeypatch):
+    """Sketch, proof and gathering give what the built-in percentile gives."""
+    from prepflow.operators import quantiles
+
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    want = profile.column_profile(df).collect()
+    monkeypatch.setattr(quantiles, "PLAN", quantiles.Plan(builtin_cells=0))
+    assert profile.column_profile(df).collect() == want
+
+
+def test_counts_and_tops(spark):
+    """Kinds of value do not mix, and ties of top values go to the smaller one."""
+    rows = [(1, 1.0, "1", True, None), (1, -0.0, "b", True, None), (2, 0.0, "b", None, None), (None, float("nan"), None, False, None), (3, 2.5, "a", True, None), (3, 2.5, "a", True, None)]
+    df = spark.createDataFrame(rows, "i int, d double, t string, b boolean, n string").selectExpr("*", "date_add(date'2024-01-01', i) as day", "cast(i as decimal(9, 2)) as m", "timestamp_seconds(i) as s")
+    counts, tops = frequency.counts_and_tops(df, df.columns, ["t", "n"], 2)
+    assert counts == {"i": 3, "d": 3, "t": 3, "b": 2, "n": 0, "day": 3, "m": 3, "s": 3}
+    assert sorted(tops) == [("t", "a", 2, 1), ("t", "b", 2, 2)]
+    assert frequency.counts_and_tops(df, [], [], 2) == ({}, [])

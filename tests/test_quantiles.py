@@ -10,7 +10,7 @@ PROBS = [0.0, 0.25, 0.5, 0.9, 1.0]
 
 @pytest.fixture
 def refined(monkeypatch):
-    monkeypatch.setattr(q, "PLAN", q.Plan(builtin_cells=0, sample_rows=300))
+    monkeypatch.setattr(q, "PLAN", q.Plan(builtin_cells=0))
 
 
 def _columns(n=3001):
@@ -46,13 +46,13 @@ def test_refined(spark, refined):
 
 
 def test_refined_by_running_totals(spark, refined, monkeypatch):
-    monkeypatch.setattr(q, "PLAN", q.Plan(builtin_cells=0, window_rows=0, sample_rows=300))
+    monkeypatch.setattr(q, "PLAN", q.Plan(builtin_cells=0, window_rows=0))
     _check(spark)
 
 
 def test_wrong_sketch_is_caught(spark, refined, monkeypatch):
     monkeypatch.setattr(
-        q, "_sketch", lambda df, columns, probs, n, plan: {(c, j): (1e6, 2e6) for c in columns for j in range(len(probs))}
+        q, "brackets_of", lambda columns, probs, found: {(c, j): (1e6, 2e6) for c in columns for j in range(len(probs))}
     )
     _check(spark)
 
