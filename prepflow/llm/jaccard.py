@@ -33,12 +33,12 @@ from prepflow.llm.substring_dedup import SPACE
 from prepflow.session import checkpoint
 
 WORDS = 5
-LOCAL = 4  # documents of ``COUNTED`` bytes of text that share a shingle before a task reports it
-COUNTED = 16 << 20
+LOCAL = 3  # documents of ``COUNTED`` bytes of text that share a shingle before a task reports it
+COUNTED = 4 << 20
 HOT = 16  # reported documents, over all tasks, that make a shingle common; the order only costs time
 BITS = 1 << 25  # of the tables that tell which shingles are common and which sets are asked for
 SEEN = 1 << 20  # sets a task remembers to have given out
-VOTES = 1 << 18  # shingles whose bits are counted at a time
+VOTES = 1 << 14  # shingles whose bits are counted at a time
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -162,8 +162,11 @@ class _Once:
 KEYS = "key bigint, set_id bigint, n int, at int"
 
 
-def _prefixes(words: int, table):
-    """The first shingles of each set: by hash, those that are common last."""
+def _prefixes(words: int, table, shared=None):
+    """The first shingles of each set: by hash, those that are common last.
+
+    The shingles alone, or with their set, its size and the place, but only those that may be ``shared``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, once = table.value, _Once()
@@ -177,7 +180,13 @@ def _prefixes(words: int, table):
             order = np.lexsort((hashes, _among(hashes, common), row))
             place = np.arange(len(hashes)) - np.repeat(offsets[:-1], n)
             first = give[row] & (place < (n - (4 * n + 4) // 5 + 1)[row])
-            columns = [hashes[order][first].view(np.int64), ids[row[first]], n[row[first]].astype(np.int32), place[first].astype(np.int32)]
+            keys = hashes[order]
+            if shared is None:
+                yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64))], names=["key"])
+                continue
+            first = np.flatnonzero(first)
+            first = first[_among(keys[first], shared.value)]
+            columns = [keys[first].view(np.int64), ids[row[first]], n[row[first]].astype(np.int32), place[first].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "set_id", "n", "at"])
 
     return run
@@ -244,14 +253,17 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     Texts are lower-cased (A-Z only) and cut at ASCII white space; a shorter text is one shingle.
     Texts link at a Jaccard similarity of 4/5 or more between their sets of shingles, and a class is all
     that links reach. Texts without words are one class. Shingles and sets are told apart by 64 hash
-    bits. A null text counts as empty, and a row with a null id takes part. The texts are cut four times.
+    bits. A null text counts as empty, and a row with a null id takes part. The texts are cut five times.
     """
     docs = texts(df, id_col, text_col, text_key(F.col(f"`{text_col}`")).alias("text_key"))
     named = checkpoint(docs.mapInArrow(_named(words), ROWS))
     rows = named.where("text_key is not null").drop("keys", "counts")
     counts = named.where("text_key is null").select("keys", "counts").mapInArrow(_unpacked, "key bigint, n bigint")
     common = _table(counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT), "key")
-    keys = docs.select("text").mapInArrow(_prefixes(words, common), KEYS)
+    # most keys have one set: only those of several travel with it
+    several = docs.select("text").mapInArrow(_prefixes(words, common), "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    shared = _table(several.where("n > 1"), "key")
+    keys = docs.select("text").mapInArrow(_prefixes(words, common, shared), KEYS)
     low = keys.groupBy("key").agg(F.min(F.struct("set_id", "n", "at")).alias("low"), F.max("set_id").alias("high"))
     low = low.where("low.set_id < high").drop("high")
     keys = checkpoint(keys.join(low, "key").distinct())
