@@ -192,8 +192,8 @@ def _prefixes(words: int, table, shared=None):
     return run
 
 
-def _asked(words: int, table):
-    """The sets whose id may be asked for."""
+def _asked(words: int, table, short: bool):
+    """The sets whose id may be asked for: their hashes, or the leading 16 bits of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, once = table.value, _Once()
@@ -202,32 +202,54 @@ def _asked(words: int, table):
             ids = _ids(hashes, offsets)
             take = once(np.where(_among(ids, bits), ids, 0))
             take = take[_among(ids[take], bits) & (np.diff(offsets)[take] > 0)]
-            blobs = [hashes[offsets[i] : offsets[i + 1]].tobytes() for i in take]
+            given = (hashes >> np.uint64(48)).astype(np.uint16) if short else hashes
+            blobs = [given[offsets[i] : offsets[i + 1]].tobytes() for i in take]
             yield pa.RecordBatch.from_arrays([pa.array(ids[take]), pa.array(blobs, pa.binary())], names=["set_id", "shingles"])
 
     return run
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sets have a Jaccard similarity of 4/5 or more."""
-    for batch in batches:
-        near = []
-        for a, b in zip(batch["sa"], batch["sb"]):
-            a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-            both = int(held(a, b).sum())
-            near.append(9 * both >= 4 * (len(a) + len(b)))
-        yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+def shared_at_most(a: np.ndarray, b: np.ndarray) -> int:
+    """How many hashes two sets can share, by the leading bits of all: each value as often as both have it."""
+    (a, in_a), (b, in_b) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    _, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return int(np.minimum(in_a[at_a], in_b[at_b]).sum())
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) of set ids that are near; only sets in a pair leave their task."""
+def _near(short: bool):
+    """The pairs whose sets have a Jaccard similarity of 4/5 or more, or may have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.uint16 if short else np.uint64
+        for batch in batches:
+            near = []
+            for a, b in zip(batch["sa"], batch["sb"]):
+                a, b = (np.frombuffer(x.as_buffer(), kind) for x in (a, b))
+                both = shared_at_most(a, b) if short else int(held(a, b).sum())
+                near.append(9 * both >= 4 * (len(a) + len(b)))
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
+def _checked(docs: DataFrame, pairs: DataFrame, words: int, short: bool) -> DataFrame:
+    """The pairs (a, b) of set ids that pass the check; only sets in a pair leave their task."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id"))
-    sets = docs.select("text").mapInArrow(_asked(words, _table(ids, "set_id")), "set_id bigint, shingles binary")
+    table = _table(ids, "set_id")
+    sets = docs.select("text").mapInArrow(_asked(words, table, short), "set_id bigint, shingles binary")
     # copies in several tasks give equal blobs, of which one is enough
     sets = sets.join(ids.distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("s"))
     sets = checkpoint(sets)
     a, b = (sets.select(F.col("set_id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    return checkpoint(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_near, "a bigint, b bigint"))
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
+    return checkpoint(both.mapInArrow(_near(short), "a bigint, b bigint"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """The pairs that are near: a bound from a quarter of the bytes first, then the whole sets of those it leaves."""
+    if pairs.isEmpty():
+        return pairs
+    return _checked(docs, _checked(docs, pairs, words, short=True), words, short=False)
 
 
 def _may(na: Column, nb: Column, ia: Column, ib: Column) -> Column:
@@ -253,7 +275,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     Texts are lower-cased (A-Z only) and cut at ASCII white space; a shorter text is one shingle.
     Texts link at a Jaccard similarity of 4/5 or more between their sets of shingles, and a class is all
     that links reach. Texts without words are one class. Shingles and sets are told apart by 64 hash
-    bits. A null text counts as empty, and a row with a null id takes part. The texts are cut five times.
+    bits. A null text counts as empty, and a row with a null id takes part. The texts are cut five times, or seven if
+    the second round has candidates.
     """
     docs = texts(df, id_col, text_col, text_key(F.col(f"`{text_col}`")).alias("text_key"))
     named = checkpoint(docs.mapInArrow(_named(words), ROWS))

@@ -101,3 +101,15 @@ def test_fingerprints_against_definition(monkeypatch):
         own = [int(h) for h in hashes[s:e]]
         want.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own)))
     assert jaccard.fingerprints(hashes, offsets).view(np.uint64).tolist() == want
+
+
+def test_bound_of_shared_hashes():
+    """The leading bits never hide a shared hash."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 50, 3_000):
+        a, b = (np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for _ in "ab")
+        b = np.unique(np.concatenate([a[: n // 2], b]))
+        lead = lambda x: (x >> np.uint64(48)).astype(np.uint16)
+        assert len(np.intersect1d(a, b)) <= jaccard.shared_at_most(lead(a), lead(b)) <= min(len(a), len(b))
