@@ -147,3 +147,17 @@ def test_running_weights(spark):
     assert got["upto"].tolist() == counts.sort_values(["k", "t"]).groupby("k")["c"].cumsum().tolist()
     got = o.running_weights(df, [F.col("t"), F.col("k")], {"c": "upto"}).toPandas().sort_values(["t", "k"])
     assert got["upto"].tolist() == counts.sort_values(["t", "k"])["c"].cumsum().tolist()
+
+
+@pytest.mark.parametrize("fan", [2, 5])
+def test_buckets_are_never_null_and_count_the_bounds(spark, monkeypatch, fan):
+    """A bucket that may be null made joins search every row a second time, hash and all."""
+    monkeypatch.setattr(o, "FAN", fan)
+    rows = [(a, b) for a in (None, "a", "b", "c") for b in (None, 1, 2, 3)]
+    df = spark.createDataFrame(rows, "a string, b bigint")
+    ranges = o.Ranges(("a", "b"), [[None, "2"], ["a", None], ["a", "3"], ["b", "1"], ["b", "2"], ["c", "2"], ["d", "1"]])
+    found = df.select("a", "b", ranges.bucket(df))
+    assert not found.schema[o.BUCKET].nullable
+    low = lambda a, b: ((a is not None, a or ""), (b is not None, b or 0))
+    cuts = [low(a, b and int(b)) for a, b in ranges.cuts]
+    assert {(r.a, r.b): r[o.BUCKET] for r in found.collect()} == {(a, b): sum(c <= low(a, b) for c in cuts) for a, b in rows}
