@@ -124,7 +124,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
 
 
-def _table(keys: DataFrame, name: str):
+def bit_table(keys: DataFrame, name: str):
     """The slots of 64-bit keys as a table of ``BITS`` bits, broadcast once: its size does not depend on the data."""
     # bitmap functions count positions from 1 and give 2^15 bits a row
     slot = F.col(name).bitwiseAND(F.lit(BITS - 1)) + 1
@@ -137,7 +137,7 @@ def _table(keys: DataFrame, name: str):
     return keys.sparkSession.sparkContext.broadcast(bits)
 
 
-def _among(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def in_table(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     slot = keys.astype(np.uint64) & np.uint64(BITS - 1)
     return ((bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
@@ -177,7 +177,7 @@ def _prefixes(words: int, table, shared=None):
             give[once(ids)] = True
             n = np.diff(offsets)
             row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((hashes, _among(hashes, common), row))
+            order = np.lexsort((hashes, in_table(hashes, common), row))
             place = np.arange(len(hashes)) - np.repeat(offsets[:-1], n)
             first = give[row] & (place < (n - (4 * n + 4) // 5 + 1)[row])
             keys = hashes[order]
@@ -185,7 +185,7 @@ def _prefixes(words: int, table, shared=None):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64))], names=["key"])
                 continue
             first = np.flatnonzero(first)
-            first = first[_among(keys[first], shared.value)]
+            first = first[in_table(keys[first], shared.value)]
             columns = [keys[first].view(np.int64), ids[row[first]], n[row[first]].astype(np.int32), place[first].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "set_id", "n", "at"])
 
@@ -200,8 +200,8 @@ def _asked(words: int, table, short: bool):
         for part in slices(batches):
             hashes, offsets = shingle_sets(part, words)
             ids = _ids(hashes, offsets)
-            take = once(np.where(_among(ids, bits), ids, 0))
-            take = take[_among(ids[take], bits) & (np.diff(offsets)[take] > 0)]
+            take = once(np.where(in_table(ids, bits), ids, 0))
+            take = take[in_table(ids[take], bits) & (np.diff(offsets)[take] > 0)]
             given = (hashes >> np.uint64(48)).astype(np.uint16) if short else hashes
             blobs = [given[offsets[i] : offsets[i + 1]].tobytes() for i in take]
             yield pa.RecordBatch.from_arrays([pa.array(ids[take]), pa.array(blobs, pa.binary())], names=["set_id", "shingles"])
@@ -235,7 +235,7 @@ def _near(short: bool):
 def _checked(docs: DataFrame, pairs: DataFrame, words: int, short: bool) -> DataFrame:
     """The pairs (a, b) of set ids that pass the check; only sets in a pair leave their task."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id"))
-    table = _table(ids, "set_id")
+    table = bit_table(ids, "set_id")
     sets = docs.select("text").mapInArrow(_asked(words, table, short), "set_id bigint, shingles binary")
     # copies in several tasks give equal blobs, of which one is enough
     sets = sets.join(ids.distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("s"))
@@ -282,10 +282,10 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     named = checkpoint(docs.mapInArrow(_named(words), ROWS))
     rows = named.where("text_key is not null").drop("keys", "counts")
     counts = named.where("text_key is null").select("keys", "counts").mapInArrow(_unpacked, "key bigint, n bigint")
-    common = _table(counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT), "key")
+    common = bit_table(counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT), "key")
     # most keys have one set: only those of several travel with it
     several = docs.select("text").mapInArrow(_prefixes(words, common), "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    shared = _table(several.where("n > 1"), "key")
+    shared = bit_table(several.where("n > 1"), "key")
     keys = docs.select("text").mapInArrow(_prefixes(words, common, shared), KEYS)
     low = keys.groupBy("key").agg(F.min(F.struct("set_id", "n", "at")).alias("low"), F.max("set_id").alias("high"))
     low = low.where("low.set_id < high").drop("high")

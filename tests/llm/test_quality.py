@@ -78,3 +78,38 @@ def test_held_out_accuracy(spark, sf_dir):
     read = lambda t: spark.read.parquet(f"{sf_dir}/../sf0.01/{t}.parquet")
     found = quality.classify(read("documents"), read("labels")).where("held_out").join(read("labels"), "doc_id")
     assert found.selectExpr("avg(cast(predicted = quality as double))").first()[0] > 0.95
+
+
+def test_every_labelled_document_is_learned_from(spark, clash, monkeypatch):
+    """The means are those of all labelled documents, and a rare label meets every block of the other one."""
+    docs, labels = _labelled(spark, clash)
+    whole = quality.train(docs, labels)
+    monkeypatch.setattr(quality, "BLOCK", 4)
+    dealt = quality.train(docs, labels)
+    assert np.allclose(dealt.mean, whole.mean) and np.allclose(dealt.scale, whole.scale)
+    again = quality.train(docs.repartition(5), labels)
+    assert (dealt.weights == again.weights).all() and dealt.threshold == again.threshold
+    rare = labels.where("quality = 1 or doc_id = 4")
+    model = quality.train(docs, rare)
+    assert np.isfinite(model.weights).all() and model.weights.any()
+
+
+def test_blocks_agree_with_one_fit(spark, monkeypatch):
+    """More documents than a block holds: as good as a fit on all rows at once, with the exact threshold of its scores."""
+    monkeypatch.setattr(quality, "BLOCK", 50)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(["alpha", "Beta,", "!!", "##", "gamma."], 30, p=p)), good) for i, good in enumerate(rng.integers(0, 2, 600).tolist())
+            for p in ([[0.4, 0.2, 0.1, 0.1, 0.2], [0.2, 0.2, 0.25, 0.25, 0.1]][1 - good],)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    model = quality.train(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    used = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert len(used) > 4 * 50
+    x = quality.Featurizer()(pa.RecordBatch.from_arrays([pa.array([r[1] for r in used])], names=["text"]))
+    good = np.array([r[2] == 1 for r in used])
+    # the pair at a document's end depends on its neighbour in the batch
+    assert np.allclose(model.mean, x.mean(axis=0), rtol=1e-3) and np.allclose(model.spread, model.raw(x).std(), rtol=1e-2)
+    one = quality.fit(x, good)
+    errors = lambda m, at: int(((m.raw(x) >= at) != good).sum())
+    least = min(errors(model, at) for at in [*(model.raw(x) - 1e-9), np.inf])
+    assert errors(model, model.threshold) <= least + 3
+    assert errors(model, model.threshold) <= errors(one, one.threshold) + 10
