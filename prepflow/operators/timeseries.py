@@ -97,9 +97,11 @@ def infer_frequency(df: DataFrame, date: str, keys: Sequence[str] = ()) -> DataF
     parsed = df.select(*[col(k) for k in keys], _as_time(df, date).alias("t")).where(F.col("t").isNotNull())
     stamped = parsed.select(*[col(k) for k in keys], micros(parsed, "t").alias("t"), F.lit(0).alias("__all"))
     by = [*keys, "__all"]
-    days = stamped.groupBy(*[col(k) for k in by], "t").agg(F.count(F.lit(1)).alias("c"))
-    indexed = index_rows(days, ["t"], keys, count="n")
-    n = int(indexed.agg(F.max("n")).first()[0] or 0)
+    # bounds, positions and sizes each read the dates: they are counted once
+    days = checkpoint(stamped.groupBy(*[col(k) for k in by], "t").agg(F.count(F.lit(1)).alias("c")))
+    dates = days.groupBy(*[col(k) for k in by]).agg(F.count(F.lit(1)).alias("n"))
+    rows, n = (int(v or 0) for v in dates.agg(F.sum("n"), F.max("n")).first())
+    indexed = index_rows(days, ["t"], keys, n=rows)
     gaps = framed(indexed, {"__before": lagged(F.col("t"), 1)}, n, keys)
     weighted = gaps.select(
         *[col(k) for k in by],
@@ -110,7 +112,7 @@ def infer_frequency(df: DataFrame, date: str, keys: Sequence[str] = ()) -> DataF
             )
         ),
     ).where(F.col("gap").isNotNull() & (F.col("w") > 0))
-    counts = weighted.groupBy(*[col(k) for k in by], "gap").agg(F.sum("w").alias("w"))
+    counts = checkpoint(weighted.groupBy(*[col(k) for k in by], "gap").agg(F.sum("w").alias("w")))
     medians = counted_quantiles(counts, by, "gap", "w", [0.5])
     sizes = days.groupBy(*[col(k) for k in by]).agg(F.sum("c").alias("n_dates"))
     span = F.floor(F.col("q0") / F.lit(DAY)).cast("bigint")

@@ -237,3 +237,15 @@ def test_summary_needs_points(spark):
     df = spark.createDataFrame([("2024-01-01", 1.0, 1)], "d string, v double, id int")
     with pytest.raises(ValueError, match="need 5"):
         ts.ts_summary(df, "d", "v", ["id"])
+
+
+def test_dates_are_counted_once(spark, monkeypatch):
+    """Every reading of the positions grouped the whole table again."""
+    read = []
+    index = ts.index_rows
+    monkeypatch.setattr(ts, "index_rows", lambda df, *a, **k: read.append(df) or index(df, *a, **k))
+    rows = [(k, f"2024-01-{d:02d}") for k in ("a", None) for d in (1, 8, 8, 15, 22)] + [("b", "2024-01-01"), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, d string").selectExpr("k", "cast(d as timestamp) d")
+    found = {r["k"]: (r["n_dates"], r["median_days"], r["frequency"]) for r in ts.infer_frequency(df, "d", ["k"]).collect()}
+    assert found == {"a": (5, 7, "Daily"), None: (5, 7, "Daily"), "b": (1, None, "Unknown")}
+    assert "Aggregate" not in read[0]._jdf.queryExecution().optimizedPlan().toString()
