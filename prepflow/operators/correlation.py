@@ -19,6 +19,8 @@ from prepflow.session import checkpoint
 # Up to this many columns the cross products are plain sums; beyond it p*p of them would not compile well.
 SUMMED_COLUMNS = 16
 RANK_ROWS = 1 << 10  # rows whose ranks are multiplied at a time
+PIECE = 1 << 20  # values sorted by one task
+FREQUENT = 256  # a value that more than this share of the rows hold has its ranks sent to them
 # A centred sum of squares this small beside the raw one is rounding: the column is constant.
 ROUNDING = 1e-12
 
@@ -198,7 +200,7 @@ def average_ranks(long: DataFrame) -> DataFrame:
 
 
 def _ranks_by_partner(long: DataFrame, p: int) -> DataFrame:
-    """(which, value, ranks): the average rank of a column's value among the rows where each other column is present.
+    """(which, value, cnt, ranks): how many rows hold a value, and the average rank of a column's value among the rows where each other column is present.
 
     ``long`` has (which, value, seen), ``seen`` saying which columns the row has. A distinct value is one row with
     a count, then a running total, for every partner; nothing is copied per pair.
@@ -208,7 +210,32 @@ def _ranks_by_partner(long: DataFrame, p: int) -> DataFrame:
     )
     placed = running_weights(counts, [F.col("value")], {f"n{j}": f"t{j}" for j in range(p)}, keys=["which"])
     ranks = [F.col(f"t{j}") - F.col(f"n{j}") + (F.col(f"n{j}") + 1) / 2 for j in range(p)]
-    return placed.select("which", "value", F.array(*[r.cast("double") for r in ranks]).alias("ranks"))
+    cnt = F.greatest(*[F.col(f"n{j}") for j in range(p)]) if p > 1 else F.col("n0")
+    return placed.select("which", "value", cnt.alias("cnt"), F.array(*[r.cast("double") for r in ranks]).alias("ranks"))
+
+
+def _ranked(long: DataFrame, ranks: DataFrame, rows: int, pieces: int) -> DataFrame:
+    """(__row, which, ranks) of every row of ``long`` (__row, which, value), in ``pieces`` parts of about even size.
+
+    The few values that many rows hold are broadcast; their rows then meet no key in the join of the others, and
+    lie in it by their number, so that no part has all rows of a value.
+    """
+    few = ranks.where(F.col("cnt") * FREQUENT > F.lit(rows)).select(
+        F.col("which").alias("__fw"), F.col("value").alias("__fv"), F.col("ranks").alias("__found")
+    )
+    near = long.join(F.broadcast(few), (F.col("which") == F.col("__fw")) & (F.col("value") == F.col("__fv")), "left")
+    seek, key = F.col("__found").isNull(), F.xxhash64(F.col("value") + F.lit(0.0))
+    near = near.select(
+        "__row", "which", "value", "__found", F.when(seek, F.col("which")).alias("__sw"),
+        F.when(seek, key).otherwise(F.col("__row")).alias("__sk"),
+    ).repartition(pieces, "__sw", "__sk")
+    rest = ranks.where(F.col("cnt") * FREQUENT <= F.lit(rows)).select(
+        F.col("which").alias("__w"), key.alias("__k"), F.col("value").alias("__v"), "ranks"
+    )
+    # a join on the numbers themselves would move all rows again, into as many parts as the session says
+    same = (F.col("value") <= F.col("__v")) & (F.col("value") >= F.col("__v"))
+    met = near.join(rest, (F.col("__sw") == F.col("__w")) & (F.col("__sk") == F.col("__k")) & same, "left")
+    return met.select("__row", "which", F.coalesce("__found", "ranks").alias("ranks"))
 
 
 def _pair_sums(p: int):
@@ -249,9 +276,10 @@ def _spearman_with_gaps(clean: DataFrame, columns: Sequence[str]) -> dict[Pair,
     seen = F.array(*[F.col(c).isNotNull() for c in names]).alias("seen")
     wide = clean.select(F.monotonically_increasing_id().alias("__row"), seen, *names)
     long = wide.unpivot(["__row", "seen"], [F.col(c) for c in names], "which", "value").where(F.col("value").isNotNull())
-    ranks = _ranks_by_partner(long, p).select(F.col("which").alias("__w"), F.col("value").alias("__v"), "ranks")
-    ranked = long.drop("seen").join(ranks, (F.col("which") == F.col("__w")) & (F.col("value") == F.col("__v")))
-    back = ranked.groupBy("__row").agg(*[F.max(F.when(F.col("which") == c, F.col("ranks"))).alias(c) for c in names])
+    rows = clean.count()
+    pieces = max(int(clean.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows * p // PIECE))
+    ranked = _ranked(long.drop("seen"), _ranks_by_partner(long, p), rows, pieces)
+    back = ranked.repartition(pieces, "__row").groupBy("__row").agg(*[F.max(F.when(F.col("which") == c, F.col("ranks"))).alias(c) for c in names])
     fields = ("n", "si", "sj", "sii", "sjj", "sij")
     sums = back.select(*names).mapInArrow(_pair_sums(p), "i int, j int, " + ", ".join(f"{f} double" for f in fields))
     total = sums.groupBy("i", "j").agg(*[F.sum(f).alias(f) for f in fields]).collect()

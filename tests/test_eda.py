@@ -155,3 +155,34 @@ def test_densities_of_groups_without_spread(spark):
     rows = [("a", 1.0), ("a", 1.0), ("b", 2.0), ("c", float("inf")), ("c", 1.0), ("d", None), ("f", 1.0), ("f", 3.0)]
     found = eda.grouped_violin(spark.createDataFrame(rows, "g string, v double"), "v", "g").where("part = 'density'")
     assert {r["group"]: r["count"] for r in found.groupBy("group").count().collect()} == {"f": 300}
+
+
+@pytest.mark.parametrize("frequent", [2, 256])
+def test_rows_of_a_common_value_do_not_meet_in_one_task(spark, monkeypatch, frequent):
+    """One task sorted all rows that hold the same value."""
+    from prepflow.operators import correlation
+
+    monkeypatch.setattr(correlation, "FREQUENT", frequent)
+    sizes, ranked = [], correlation._ranked
+
+    def spied(*given):
+        out = ranked(*given)
+        sizes.extend(out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
+        return out
+
+    monkeypatch.setattr(correlation, "_ranked", spied)
+    rng = np.random.default_rng(4)
+    a = np.where(rng.random(4000) < 0.9, 1.0, rng.integers(0, 50, 4000).astype(float))
+    frame = pd.DataFrame({"a": a, "b": a + rng.normal(size=4000), "c": rng.integers(0, 9, 4000).astype(float)})
+    for k, c in enumerate(frame.columns):
+        frame.loc[rng.random(4000) < 0.1 * (k + 1), c] = np.nan
+    cells = [tuple(None if v != v else float(v) for v in r) for r in frame.to_numpy()]
+    df = spark.createDataFrame(cells, "a double, b double, c double")
+    found = {(r["col_a"], r["col_b"]): r["r"] for r in correlation.corr_spearman(df, digits=None).collect()}
+    for x in frame:
+        for y in frame:
+            both = frame[[x, y]].dropna() if x != y else frame[[x]].dropna()
+            want = both[x].rank().corr(both[y].rank()) if x != y else 1.0
+            assert abs(found[x, y] - want) < 1e-9
+    if frequent == 256:
+        assert max(sizes) < 0.9 * 0.9 * 4000 and len([s for s in sizes if s]) > 1
