@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prepflow.llm import simhash
@@ -30,7 +30,7 @@ from prepflow.llm.components import components
 from prepflow.llm.exchange import held, units, window_starts
 from prepflow.llm.hashing import Hasher
 from prepflow.llm.substring_dedup import SPACE
-from prepflow.session import checkpoint
+from prepflow.session import checkpoint, scratch_path
 
 WORDS = 5
 LOCAL = 3  # documents of ``COUNTED`` bytes of text that share a shingle before a task reports it
@@ -38,6 +38,9 @@ COUNTED = 4 << 20
 HOT = 16  # reported documents, over all tasks, that make a shingle common; the order only costs time
 BITS = 1 << 25  # of the tables that tell which shingles are common and which sets are asked for
 SEEN = 1 << 20  # sets a task remembers to have given out
+LIKELY = 8  # pairs of each set that are checked before its others
+TURNS = 2  # of the likeliest pairs, at most
+LEFT = 0.5  # share of the pairs that a turn may leave for another one to follow
 VOTES = 1 << 14  # shingles whose bits are counted at a time
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -245,11 +248,18 @@ def _checked(docs: DataFrame, pairs: DataFrame, words: int, short: bool) -> Data
     return checkpoint(both.mapInArrow(_near(short), "a bigint, b bigint"))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as files, sized by them: a checkpoint keeps Spark's estimate, which every join squares until planning stalls."""
+    path = scratch_path(df.sparkSession, "pairs")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """The pairs that are near: a bound from a quarter of the bytes first, then the whole sets of those it leaves."""
     if pairs.isEmpty():
         return pairs
-    return _checked(docs, _checked(docs, pairs, words, short=True), words, short=False)
+    return _written(_checked(docs, _written(_checked(docs, pairs, words, short=True)), words, short=False))
 
 
 def _may(na: Column, nb: Column, ia: Column, ib: Column) -> Column:
@@ -258,6 +268,72 @@ def _may(na: Column, nb: Column, ia: Column, ib: Column) -> Column:
     return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (9 * rest >= 4 * (na + nb))
 
 
+def _enough(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets x and y that share as many prefix shingles as 4/5 demands, and that many times k as many.
+
+    ``shared`` has a row per shingle. A pair within the bound shares t = 4/9 of both sizes. The first k of these lie in both prefixes if n - t + k is at
+    most the length of each prefix, n less 4/5 of n, plus 1: so k is t + 1 less 4/5 of the larger size. What is left
+    behind the first one must do for t.
+    """
+    na, nb = F.col("x_n").cast("bigint"), F.col("y_n").cast("bigint")
+    left = F.max(F.least(na - F.col("x_at"), nb - F.col("y_at"))).alias("left")
+    pairs = shared.groupBy(F.col("x_set_id").alias("a"), F.col("y_set_id").alias("b"), "x_n", "y_n")
+    t = F.ceil((4 * (na + nb)) / 9)
+    least = t + 1 - F.ceil(4 * F.greatest(na, nb) / 5)
+    return pairs.agg(F.count(F.lit(1)).alias("k"), left).where((F.col("k") >= least) & (F.col("left") >= t)).select("a", "b", (F.col("k") / least).alias("k"))
+
+
+def _rooted(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """The keys whose sets do not lie in one component yet, each row with the root of its set."""
+    root = checkpoint(components(links, "a", "b"))
+    named = keys.drop("root").join(root, keys.set_id == root.node, "left").select(
+        "key", "set_id", "n", "at", F.coalesce("root", "set_id").alias("root")
+    )
+    named = checkpoint(named)
+    apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return checkpoint(named.join(apart.select("key"), "key", "left_semi"))
+
+
+def _met(keys: DataFrame) -> DataFrame:
+    """Sets x and y of different components, once for each key that they share; sizes allow 4/5."""
+    # sets within the bound lie in the same or in neighbouring bands of sizes
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.25))
+    x, y = (keys.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("set_id", "n", "at", "root")], band.alias("band")) for s in "xy")
+    y = y.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    apart = (F.col("x_set_id") < F.col("y_set_id")) & (F.col("x_root") != F.col("y_root"))
+    sizes = 5 * F.least("x_n", "y_n") >= 4 * F.greatest("x_n", "y_n")
+    return x.join(y, (x.key == y.key) & (x.band == y.band) & apart & sizes)
+
+
+def _between(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs whose sets are not linked yet."""
+    root = checkpoint(components(links, "a", "b"))
+    a, b = (root.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    named = pairs.join(a, "a", "left").join(b, "b", "left")
+    return named.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "k")
+
+
+def _joined(docs: DataFrame, pairs: DataFrame, links: DataFrame, words: int) -> DataFrame:
+    """``links`` and those that the pairs (a, b, k) add: every pair is checked, or lies in one component.
+
+    A group of near copies proposes many pairs for each of its sets. The ``LIKELY`` of each set that share most are
+    checked first, and what these link needs no check any more. A turn that leaves most of the pairs was the
+    last, and so is one of which the likeliest are most: these sets do lie apart, or there are few pairs.
+    """
+    for _ in range(TURNS):
+        n = pairs.count()
+        sides = pairs.select("*", F.explode(F.array("a", "b")).alias("s"))
+        place = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("k"), "a", "b"))
+        best = _written(sides.withColumn("place", place).where(F.col("place") <= LIKELY).select("a", "b").distinct())
+        if 2 * best.count() > n:
+            break
+        links = links.unionByName(_verified(docs, best, words))
+        pairs = _written(_between(pairs.join(best, ["a", "b"], "left_anti"), links))
+        if pairs.count() > LEFT * n:
+            break
+    return links.unionByName(_verified(docs, pairs.select("a", "b"), words))
+
+
 def _alike(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets that the trie join links: the smallest sets of linked fingerprints, and sets of equal ones."""
     sets = rows.select("fp", "set_id").distinct()
@@ -275,8 +351,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     Texts are lower-cased (A-Z only) and cut at ASCII white space; a shorter text is one shingle.
     Texts link at a Jaccard similarity of 4/5 or more between their sets of shingles, and a class is all
     that links reach. Texts without words are one class. Shingles and sets are told apart by 64 hash
-    bits. A null text counts as empty, and a row with a null id takes part. The texts are cut five times, or seven if
-    the second round has candidates.
+    bits. A null text counts as empty, and a row with a null id takes part. The texts are cut five times, and
+    twice more for each of up to three turns of the second round that has candidates.
     """
     docs = texts(df, id_col, text_col, text_key(F.col(f"`{text_col}`")).alias("text_key"))
     named = checkpoint(docs.mapInArrow(_named(words), ROWS))
@@ -294,23 +370,13 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     fits = _may(F.col("n"), F.col("low.n"), F.col("at"), F.col("low.at"))
     star = keys.where(F.col("set_id") != F.col("low.set_id")).where(fits)
     star = star.select(F.col("low.set_id").alias("a"), F.col("set_id").alias("b"))
-    first = checkpoint(_alike(rows).unionByName(star).distinct())
+    first = _written(_alike(rows).unionByName(star).distinct())
     links = _verified(docs, first, words)
 
-    root = checkpoint(components(links, "a", "b"))
-    keys = keys.join(root, keys.set_id == root.node, "left").select(
-        "key", "set_id", "n", "at", F.coalesce("root", "set_id").alias("root")
-    )
-    # sets within the bound lie in the same or in neighbouring bands of sizes
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.25))
-    x, y = (keys.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("set_id", "n", "at", "root")], band.alias("band")) for s in "xy")
-    y = y.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    apart = (F.col("x_set_id") < F.col("y_set_id")) & (F.col("x_root") != F.col("y_root"))
-    fits = _may(F.col("x_n"), F.col("y_n"), F.col("x_at"), F.col("y_at"))
-    more = x.join(y, (x.key == y.key) & (x.band == y.band) & apart & fits)
-    more = more.select(F.col("x_set_id").alias("a"), F.col("y_set_id").alias("b")).distinct()
-    more = checkpoint(more.join(first, ["a", "b"], "left_anti"))
-    links = links.unionByName(_verified(docs, more, words))
+    keys = _rooted(keys, links)
+    more = _enough(_met(keys))
+    more = _written(more.join(first, ["a", "b"], "left_anti"))
+    links = _joined(docs, more, links, words)
 
     root = components(links, "a", "b")
     return rows.join(root, rows.set_id == root.node, "left").select(

@@ -113,3 +113,26 @@ def test_bound_of_shared_hashes():
         b = np.unique(np.concatenate([a[: n // 2], b]))
         lead = lambda x: (x >> np.uint64(48)).astype(np.uint16)
         assert len(np.intersect1d(a, b)) <= jaccard.shared_at_most(lead(a), lead(b)) <= min(len(a), len(b))
+
+
+def test_group_of_near_copies_is_not_paired_out(spark, monkeypatch):
+    """Of a large group of copies some pairs are near and most are not: half of them need no check, and no class is split."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    base, rows = [word() for _ in range(300)], []
+    for i in range(160):
+        copy = list(base)
+        for at in rng.sample(range(300), rng.randint(3, 6)):
+            copy[at] = word()
+        rows.append((i, " ".join(copy)))
+    asked, check = [], jaccard._checked
+
+    def counted(docs, pairs, words, short):
+        asked.append(pairs.count() if short else 0)
+        return check(docs, pairs, words, short)
+
+    monkeypatch.setattr(jaccard, "_checked", counted)
+    assert 200 < len(_pairs(rows)) < 4_000
+    assert _stage(spark, rows) == _stay(rows)
+    print("pairs checked:", asked)
+    assert sum(asked) < 50 * len(rows)
