@@ -99,6 +99,19 @@ def test_carry_fill(spark, small, monkeypatch):
     assert np.allclose(got["w"].astype(float), pdf.groupby("k")["w"].bfill(), equal_nan=True)
 
 
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_next_values_are_found_in_one_reading(spark, keys):
+    """A frame up to the end of the bucket is read anew for each row: quadratic in the rows of a bucket."""
+    rows = [(0, 1, None), (1, 2, None), (0, 3, 7.0), (0, 4, None), (1, 5, 8.0), (0, 6, None), (1, None, None)]
+    df = spark.createDataFrame(rows, "k int, t int, v double")
+    out = o.carry_fill(df, {"v": False}, ["t"], keys, ranges=o.Ranges(("t",), [["2"], ["5"]]))
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+    got = {(r["k"], r["t"]): r["v"] for r in out.collect()}
+    want = {(1, None): 7.0, (0, 1): 7.0, (1, 2): 7.0, (0, 3): 7.0, (0, 4): 8.0, (1, 5): 8.0, (0, 6): None}
+    assert got == (want | {(1, None): 8.0, (1, 2): 8.0, (0, 4): None} if keys else want)
+
+
 @pytest.mark.parametrize("n", [1, 5, 30, 200])
 def test_bucket_is_the_number_of_bounds_below(spark, n, monkeypatch):
     monkeypatch.setattr(o, "FAN", 3)
