@@ -186,3 +186,32 @@ def test_rows_of_a_common_value_do_not_meet_in_one_task(spark, monkeypatch, freq
             assert abs(found[x, y] - want) < 1e-9
     if frequent == 256:
         assert max(sizes) < 0.9 * 0.9 * 4000 and len([s for s in sizes if s]) > 1
+
+
+def test_ranks_travel_as_packed_lists_of_distinct_values(spark, monkeypatch):
+    """Every row sent its values and got a list of ranks for each of them, which took hundreds of bytes of disk a row."""
+    monkeypatch.setattr(co, "PIECE", 2000)
+    monkeypatch.setattr(co, "RANK_ROWS", 1000)
+    sent, ranked = [], co._ranked
+
+    def spied(*given):
+        out = ranked(*given)
+        sent.extend(len(r["ranks"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(co, "_ranked", spied)
+    rng = np.random.default_rng(9)
+    n = 6000
+    a = rng.normal(size=n) * 10.0 ** rng.integers(-200, 200, n)
+    b = np.round(np.sign(a) + rng.normal(size=n), 1) * np.where(rng.random(n) < 0.5, 1.0, -1.0)
+    frame = pd.DataFrame({"a": a, "b": b, "c": rng.integers(0, 9, n).astype(float), "d": np.nan})
+    frame.loc[:20, "a"], frame.loc[20:40, "a"] = np.inf, -np.inf
+    for k, c in enumerate(("a", "b", "c")):
+        frame.loc[rng.random(n) < 0.1 * (k + 1), c] = np.nan
+    assert (frame["b"] == 0).any() and np.signbit(frame["b"][frame["b"] == 0]).nunique() == 2
+    found = {(r["col_a"], r["col_b"]): r["r"] for r in co.corr_spearman(_df(spark, frame), digits=None).collect()}
+    for x, y in (("a", "b"), ("a", "c"), ("b", "c")):
+        both = frame[[x, y]].dropna()
+        assert abs(found[x, y] - both[x].rank().corr(both[y].rank())) < 1e-12
+    assert found["a", "d"] is None and found["d", "d"] is None and found["c", "c"] == 1.0
+    assert 3 < len(sent) < 100 and sum(sent) < 8 * n
